@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm.byte_bpe import op10_byte_bpe
+from strata.llm.language import op5_language_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_byte_bpe": op10_byte_bpe}
+    return {"op5_language_id": op5_language_id, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import table
+from strata.llm.common import slices, table
 
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 1_024
 #: Matches that end this close to the end of a slice may change with the text that follows.
 TAIL = 8
 #: Distinct pre-tokens kept by one Python worker; the store starts anew beyond it.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 
 
 def _ranks(path: str) -> dict[bytes, int]:
@@ -84,7 +84,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keys: tuple[str, ...]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, len(keys))):
             ids = pa.array([c.ids(x.as_py()) for x in b.column(len(keys))], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], ids], [*keys, "ids"])
 
@@ -93,7 +93,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keys: tuple[str, ...]
     many = docs.where(long).select(F.struct(*keys).alias("_key"), F.xxhash64("_text").alias("_h"), F.monotonically_increasing_id().alias("_row"), "_text")
     kind = many.schema["_key"].dataType.simpleString()
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 x = b.column(3)[i].as_py()
@@ -126,7 +126,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keys: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["_key", "_ids"])
 
     head = f"_key {kind}, _h bigint, _row bigint, _k int, _n int"
-    chunks = many.mapInArrow(slices, f"{head}, _part string").repartition("_h", "_row", "_k").mapInArrow(borders, f"{head}, _part string, _to int")
+    chunks = many.mapInArrow(cuts, f"{head}, _part string").repartition("_h", "_row", "_k").mapInArrow(borders, f"{head}, _part string, _to int")
     doc = Window.partitionBy("_h", "_row")
     chunks = chunks.withColumns({"_start": F.coalesce(F.lag("_to").over(doc.orderBy("_k")) - chunk_chars, F.lit(0)), "_ok": F.min("_to").over(doc) >= 0})
     pieces = chunks.mapInArrow(parts, f"{head}, _ids binary, _over string")

@@ -66,3 +66,11 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
     return data, offsets - offsets[0]
+
+
+def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Zero-copy runs of consecutive rows whose texts sum to about `most` bytes."""
+    i = 0
+    for part in blocks(batch.column(text), most):
+        yield batch.slice(i, len(part))
+        i += len(part)

@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strata.llm import chat, urls
 from strata.llm.byte_bpe import op10_byte_bpe
 from strata.llm.fingerprint import op9_fingerprints
 from strata.llm.language import op5_language_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_language_id": op5_language_id, "op9_fingerprints": op9_fingerprints, "op10_byte_bpe": op10_byte_bpe}
+    return {
+        "op4_url_filters": urls.op4_url_filters,
+        "op5_language_id": op5_language_id,
+        "op8_chat_format": chat.op8_chat_format,
+        "op9_fingerprints": op9_fingerprints,
+        "op10_byte_bpe": op10_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filters": urls.ORACLE, "op8_chat_format": chat.ORACLE}

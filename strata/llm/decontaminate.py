@@ -118,7 +118,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """
     found = hits(docs, benchmark, n, max_grams, text)
     if remove == "documents":
-        return found.where(F.size("_hits") == 0).drop("_words", "_hits")
+        # as a generator: a filter would be pushed below, and the words be split anew for every window
+        once = F.explode(F.when(F.size("_hits") == 0, F.array(F.lit(1))))
+        return found.select("*", once.alias("_clean")).drop("_words", "_hits", "_clean")
     hit_at = F.array_distinct(F.flatten(F.transform("_hits", lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1))))
     kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("_words")), hit_at), lambda i: F.element_at("_words", i))
     return found.withColumn(text, F.when(F.size("_hits") > 0, F.array_join(kept, " ")).otherwise(F.col(text))).drop("_words", "_hits")

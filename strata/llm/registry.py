@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import chat, decontaminate, urls
+from strata.llm import chat, decontaminate, licenses, urls
 from strata.llm.byte_bpe import op10_byte_bpe
 from strata.llm.fingerprint import op9_fingerprints
 from strata.llm.language import op5_language_id
@@ -15,6 +15,7 @@ from strata.llm.language import op5_language_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": decontaminate.op2_decontamination,
+        "op3_license_scan": licenses.op3_license_scan,
         "op4_url_filters": urls.op4_url_filters,
         "op5_language_id": op5_language_id,
         "op8_chat_format": chat.op8_chat_format,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.ORACLE, "op4_url_filters": urls.ORACLE, "op8_chat_format": chat.ORACLE}
+    return {"op2_decontamination": decontaminate.ORACLE, "op3_license_scan": licenses.ORACLE, "op4_url_filters": urls.ORACLE, "op8_chat_format": chat.ORACLE}

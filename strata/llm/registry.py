@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import chat, decontaminate, licenses, token_files, urls
+from strata.llm import chat, decontaminate, licenses, pii, token_files, urls
 from strata.llm.byte_bpe import op10_byte_bpe
 from strata.llm.fingerprint import op9_fingerprints
 from strata.llm.language import op5_language_id
@@ -14,6 +14,7 @@ from strata.llm.language import op5_language_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_personal_data": pii.op1_personal_data,
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_license_scan": licenses.op3_license_scan,
         "op4_url_filters": urls.op4_url_filters,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import chat, decontaminate, licenses, pii, token_files, urls
+from strata.llm import chat, decontaminate, licenses, near_dup, pii, token_files, urls
 from strata.llm.byte_bpe import op10_byte_bpe
 from strata.llm.fingerprint import op9_fingerprints
 from strata.llm.language import op5_language_id
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_filters": urls.op4_url_filters,
         "op5_language_id": op5_language_id,
         "op6_token_files": token_files.op6_token_files,
+        "op7_near_duplicates": near_dup.op7_near_duplicates,
         "op8_chat_format": chat.op8_chat_format,
         "op9_fingerprints": op9_fingerprints,
         "op10_byte_bpe": op10_byte_bpe,

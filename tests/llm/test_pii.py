@@ -46,26 +46,25 @@ def test_viterbi_against_all_paths():
 
 
 @pytest.fixture(scope="module")
-def model():
-    rng = np.random.default_rng(1)
-    word = lambda: "".join(map(chr, rng.integers(97, 123, rng.integers(2, 8))))
-    head = lambda: "".join(map(str, rng.integers(0, 10, 15)))
-    card = lambda h: next(h + str(d) for d in range(10) if pii.luhn(h + str(d)))
-    texts = []
-    for _ in range(300):
-        found = [f"{word()}.{rng.integers(99)}@{word()}.example.com", ".".join(map(str, rng.integers(1, 255, 4))), card(head()), f"+1 ({rng.integers(100, 999)}) 555-{rng.integers(1000, 9999)}"]
-        texts.append(" ".join([word() for _ in range(20)] + [found[rng.integers(4)]] + [word() for _ in range(20)] + [str(rng.integers(1, 9999))]))
-    return pii.train(texts, steps=150)
+def model(spark):
+    return pii.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 2 = 0"))
+
+
+def test_held_out_recall(spark, model):
+    """The model alone tags nearly all of the base spans of documents it hasn't seen."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 2 = 1 and text rlike '[0-9]'").collect()]
+    spans = [(y, *s) for t, y in zip(texts, model.tags([pii.classes(t) for t in texts])) for s in pii.base_spans(t)]
+    assert len(spans) > 20 and np.mean([(y[a:b] == 1 + pii.KINDS.index(k)).mean() > 0.8 for y, k, a, b in spans]) > 0.8
 
 
 def test_model_adds_what_patterns_swallow(spark, model):
-    texts = ["call 36784127813050 4845168114407329 soon", "write to +1 (826) 555-4081 190.137.22.1 now", "nothing 12 here", None, "", "x" * 100_000 + " 12 a.b@c.de", "0" * 5000 + ".1.2.3"]
+    texts = ["e tre o 36784127813050 4845168114407329 èaique tr", "write to +1 (826) 555-4081 190.137.22.1 now", "nothing 12 here", None, "", "x" * 100_000 + " 12 a.b@c.de", "0" * 5000 + ".1.2.3"]
     df = spark.createDataFrame([(i, t, "e") for i, t in enumerate(texts)] + [(0, texts[0], "e")], "doc_id long, text string, base string")
     got = {r.doc_id: (r.text, [tuple(s) for s in r.s]) for r in df.select("doc_id", "text", pii.find(model, F.col("text")).alias("s")).collect()}
     for text, spans in got.values():
         assert [s[:3] for s in spans if s[3]] == pii.base_spans(text or "")
         assert all(pii.valid(s[0], text[s[1] : s[2]]) for s in spans)
-    assert ("card", 20, 36, False) in got[0][1]
+    assert ("card", 23, 39, False) in got[0][1]
     assert got[2][1] == got[3][1] == got[4][1] == []
     assert got[6][1] == [("ip", 0, 5006, True)]
     red = {r.doc_id: r.r for r in df.select("doc_id", pii.redact(model, F.col("text")).alias("r")).collect()}
@@ -73,7 +72,7 @@ def test_model_adds_what_patterns_swallow(spark, model):
 
 
 def test_base_rules():
-    assert pii.base_spans("1.2.3.4.5 256.1.1.1 4111-1111-1111-1111 4111-1111-1111-1112") == [("ip", 0, 7), ("card", 20, 39)]
+    assert pii.base_spans("1.2.3.4.5 256.1.1.1 4111-1111-1111-1111, 4111-1111-1111-1112") == [("ip", 0, 7), ("card", 20, 39)]
     assert pii.base_spans("a@b.c_d@e.f +12 345 678-90 +1") == [("email", 0, 5), ("email", 5, 11), ("phone", 12, 27)]
 
 

@@ -1,8 +1,8 @@
 """Token files: ids of a public tokenizer, Re-Pair compressed shard by shard, readable at any position.
 
 A shard holds whole documents in ascending doc_id order, about `SHARD_IDS` ids (a longer document is a shard by
-itself). Re-Pair works in rounds: count all adjacent pairs, give each of the `PER_ROUND` most frequent ones that
-stand at least `LEAST` times a nonterminal, replace from left to right (in a run of overlapping places every
+itself). Re-Pair works in rounds: count all adjacent pairs (by hash; of pairs in one bucket one is counted, the others
+wait for the next round), give each of the `PER_ROUND` most frequent ones that stand at least `LEAST` times a nonterminal, replace from left to right (in a run of overlapping places every
 other one), until a round finds none or `ROUNDS` are done. No pair crosses a document's end. A file row holds
 the rules, every rule's expansion length, the symbols and where each document starts in them, so a span of a
 document is decoded by walking symbol lengths and expanding only what it needs.
@@ -11,7 +11,7 @@ Files are Parquet written by Spark into the shared folder: a lost executor's row
 Documents are dealt by ranges of doc_id (ties by text). Null text counts as empty: its only id is the end id.
 
 Encoding a text equals encoding its pieces between blanks and line ends (the tokenizer drops white space and
-pieces never look at each other), so every distinct piece is encoded once and looked up afterwards.
+pieces never look at each other), so a distinct piece is encoded once and looked up afterwards.
 """
 
 from __future__ import annotations
@@ -24,16 +24,25 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import shared_dir, slices, table
+from strata.llm.common import raw, shared_dir, slices, table
 
 END = 1
-SHARD_IDS, ROUNDS, PER_ROUND, LEAST = 1 << 20, 6, 1024, 8
+SHARD_IDS, ROUNDS, PER_ROUND, LEAST = 1 << 20, 4, 1024, 8
 #: Distinct pieces kept by one Python worker; the store starts anew beyond it.
-CACHE_PIECES = 400_000
-FILE = "range int, nth int, doc_ids array<bigint>, starts array<int>, counts array<int>, n_ids bigint, rules binary, lengths binary, symbols binary"
+CACHE_PIECES = 600_000
+FILE = "range int, before bigint, doc_ids array<bigint>, starts array<int>, counts array<int>, n_ids bigint, rules binary, lengths binary, symbols binary"
+
+
+#: A sign that is one id by itself and parts pieces that are encoded together.
+SEPARATOR = "|"
+#: Lead bytes below this: no character from U+0300, so nothing combines. Then A-Z can be lower-cased (as the
+#: tokenizer does next) and a letter be parted from the sign behind it (which always ends a piece), so that
+#: fewer distinct pieces are left.
+BELOW_MARKS = 0xCC
+LETTER_THEN_MARK = "([a-z\u00df-\u00f6\u00f8-\u00ff])([.,!?;:%*#$&])"
 
 
 class Encoder:
@@ -45,21 +54,37 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids[0]
         self.store: dict[str, bytes] = {}
 
+    def _alone(self, distinct: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False)]
+
+    def _joined(self, distinct: list[str]) -> list[bytes]:
+        """Pieces without the separator, encoded as one text: much cheaper than as many texts."""
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(distinct)], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(ids == self.separator).tolist()
+        if len(cut) != len(distinct) - 1:
+            return self._alone(distinct)
+        return [ids[i:j].tobytes() for i, j in zip([0, *(c + 1 for c in cut)], [*cut, len(ids)])]
+
     def pieces(self, distinct: list[str]) -> list[bytes]:
         store = self.store
         if len(store) + len(distinct) > CACHE_PIECES:
             store.clear()
         new = [x for x in distinct if x not in store]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            store.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+        plain, odd = [x for x in new if SEPARATOR not in x], [x for x in new if SEPARATOR in x]
+        for i in range(0, len(plain), 5_000):
+            store.update(zip(plain[i : i + 5_000], self._joined(plain[i : i + 5_000])))
+        store.update(zip(odd, self._alone(odd)))
         return [store[x] for x in distinct]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by END, and the number of each text's ids."""
-        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        texts = texts.fill_null("")
+        if raw(texts)[0].max(initial=0) < BELOW_MARKS:
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), LETTER_THEN_MARK, r"\1 \2")
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         flat = split.flatten().dictionary_encode()
         known = self.pieces(flat.dictionary.to_pylist())
         size = np.array([len(x) for x in known], np.int64) // 4
@@ -88,41 +113,44 @@ def encoder(path: str) -> Encoder:
 
 def compress(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Symbols, where documents end in them (bool), rules (n, 2), and the first nonterminal; `last` marks documents' last ids."""
-    s, end, first = ids.astype(np.int64), last, int(ids.max(initial=0)) + 1
+    s, end, first = ids.astype(np.uint32), last, int(ids.max(initial=0)) + 1
     rules: list[np.ndarray] = []
-    total = first
-    bits = 20
+    total, bits = first, 20
     for _ in range(rounds):
         if len(s) < 2:
             break
-        h = ((s[:-1] * 0x9E3779B1 + s[1:] * 0x85EBCA6B) >> 7) & ((1 << bits) - 1)
+        a, b = s[:-1], s[1:]
+        h = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
         count = np.bincount(h, minlength=1 << bits)
-        # only pairs in the fullest buckets are counted exactly
-        kept = count[count >= least]
-        if not len(kept):
+        floor = least
+        if (kept := int((count >= least).sum())) > 2 * per_round:
+            floor = max(least, int(np.partition(count, -2 * per_round)[-2 * per_round]))
+        elif not kept:
             break
-        floor = max(least, int(np.partition(kept, -2 * per_round)[-2 * per_round])) if len(kept) > 2 * per_round else least
-        place = np.flatnonzero((count[h] >= floor) & ~end[:-1])
-        pair, inverse, n = np.unique(s[place] << 32 | s[place + 1], return_inverse=True, return_counts=True)
-        best = np.flatnonzero(n >= least)
-        best = best[np.lexsort((pair[best], -n[best]))][:per_round]
+        # a full bucket stands for one of its pairs; only that pair's places count
+        place = np.flatnonzero((count >= floor)[h] & ~end[:-1])
+        of = np.zeros(1 << bits, np.int64)
+        of[h[place]] = place
+        sample = of[h[place]]
+        place = place[(a[place] == a[sample]) & (b[place] == b[sample])]
+        exact = np.bincount(h[place], minlength=1 << bits)
+        best = np.flatnonzero(exact >= least)
+        best = best[np.lexsort((best, -exact[best]))][:per_round]
         if not len(best):
             break
-        number = np.full(len(pair), -1, np.int64)
+        number = np.zeros(1 << bits, np.uint32)
         number[best] = total + np.arange(len(best))
-        new = number[inverse]
-        place, new = place[new >= 0], new[new >= 0]
+        place = place[number[h[place]] > 0]
         run = np.flatnonzero(np.concatenate([[True], np.diff(place) > 1]))  # overlapping places: every other one
         nth = np.arange(len(place)) - np.repeat(run, np.diff(np.concatenate([run, [len(place)]])))
-        place, new = place[nth % 2 == 0], new[nth % 2 == 0]
-        s = s.copy()
-        s[place] = new
+        place = place[nth % 2 == 0]
+        rules.append(np.stack([a[of[best]], b[of[best]]], 1).astype(np.int64))
+        s, end = s.copy(), end.copy()
+        s[place] = number[h[place]]
+        end[place] = end[place + 1]
         stay = np.ones(len(s), bool)
         stay[place + 1] = False
-        end = end.copy()
-        end[place] = end[place + 1]
         s, end = s[stay], end[stay]
-        rules.append(np.stack([pair[best] >> 32, pair[best] & 0xFFFFFFFF], 1))
         total += len(best)
     return s, end, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), first
 
@@ -173,23 +201,23 @@ class Shard:
 def write(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int = SHARD_IDS, ranges: int | None = None) -> None:
     """Token files of doc_id and text, in `folder` (which all executors share), as rows of FILE."""
     ranges = ranges or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, nth = TaskContext.get().partitionId(), 0
+        part, before = TaskContext.get().partitionId(), 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
         def shard() -> pa.RecordBatch:
-            nonlocal nth
+            nonlocal before
             names, counts = [x for h in held for x in h[0]], np.concatenate([h[2] for h in held])
             ids, last = np.concatenate([h[1] for h in held]), np.zeros(int(counts.sum()), bool)
             last[np.cumsum(counts) - 1] = True
             symbols, end, rules, first = compress(ids, last)
             starts = np.concatenate([[0], np.flatnonzero(end) + 1]).astype(np.int32)
-            row = (part, nth, names, starts, counts.astype(np.int32), len(ids), *Shard.row(symbols, rules, first))
-            nth += 1
+            row = (part, before, names, starts, counts.astype(np.int32), len(ids), *Shard.row(symbols, rules, first))
+            before += len(ids)
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [x.split()[0] for x in FILE.split(", ")])
 
         size = 0
@@ -197,10 +225,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int = SHARD_I
             ids, counts = encoder(tokenizer).encode(b.column(1))
             names, ends, i = b.column(0).to_pylist(), np.cumsum(counts), 0
             while i < len(counts):  # up to the document with which the shard is full
-                before = int(ends[i - 1]) if i else 0
-                j = min(len(counts), int(np.searchsorted(ends, before + shard_ids - size, "left")) + 1)
-                held.append((names[i:j], ids[before : int(ends[j - 1])], counts[i:j]))
-                size += int(ends[j - 1]) - before
+                done = int(ends[i - 1]) if i else 0
+                j = min(len(counts), int(np.searchsorted(ends, done + shard_ids - size, "left")) + 1)
+                held.append((names[i:j], ids[done : int(ends[j - 1])], counts[i:j]))
+                size += int(ends[j - 1]) - done
                 if size >= shard_ids:
                     yield shard()
                     held, size = [], 0
@@ -217,23 +245,22 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.schema(FILE).parquet(folder)
     totals = sorted(files.groupBy("range").agg(F.sum("n_ids").alias("n")).collect())  # one row per range, however many files
     before = np.concatenate([[0], np.cumsum([r.n for r in totals])[:-1]]).astype(int).tolist() if totals else []
-    offset = spark.createDataFrame([(r["range"], b) for r, b in zip(totals, before)], "range int, offset bigint")
-    own = Window.partitionBy("range").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    base = files.select("range", "nth", "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(own), F.lit(0))).join(F.broadcast(offset), "range")
-    schema = "range int, nth int, doc_id bigint, inside bigint, n_tokens bigint, ids binary"
+    offset = spark.createDataFrame([(r["range"], b) for r, b in zip(totals, before)], "range int, offset bigint")  # one row per range, too
+    schema = "range int, doc_id bigint, inside bigint, n_tokens bigint, ids binary"
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                r = {n: c[i].as_py() for n, c in zip(b.schema.names, b.columns)}
                 shard, starts, counts = Shard(r["rules"], r["lengths"], r["symbols"]), r["starts"], np.array(r["counts"], np.int64)
                 ids, n = shard.document(starts[0], starts[-1]), len(counts)
                 end = np.cumsum(counts)
                 data = [ids[e - c : e].astype("<u4").tobytes() for e, c in zip(end.tolist(), counts.tolist())]
-                arrays = [pa.array([r["range"]] * n, pa.int32()), pa.array([r["nth"]] * n, pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(end - counts), pa.array(counts), pa.array(data, pa.binary())]
+                arrays = [pa.array([r["range"]] * n, pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(r["before"] + end - counts), pa.array(counts), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
 
-    docs = files.select("doc_ids", "starts", "counts", "rules", "lengths", "symbols", "range", "nth").mapInArrow(unpack, schema)
-    return docs.join(base, ["range", "nth"]).select("doc_id", (F.col("offset") + F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids")
+    docs = files.select("range", "before", "doc_ids", "starts", "counts", "rules", "lengths", "symbols").mapInArrow(unpack, schema)
+    return docs.join(F.broadcast(offset), "range").select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids")
 
 
 def default_path() -> str:

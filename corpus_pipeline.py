@@ -1,3 +1,69 @@
-"""Corpus pipeline over `documents`: STAGES are added as their operators are."""
+"""Corpus pipeline over `documents`: five stages, each written as Parquet and reread by the next.
 
-STAGES: list = []
+Every stage works on all rows its predecessor kept. Models are fitted on the stage's own input. Null and empty
+texts have no letter, so the first stage rejects them; rows without doc_id pass the deduplication as they are.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata.llm import byte_bpe, decontaminate, language, near_dup, pii
+from strata.llm.common import shared_dir, table
+
+#: A document whose best label has less than this pooled probability is rejected (as is one without any letter).
+LEAST_SCORE = 0.3
+
+
+def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a recognised language; lang becomes the recognised one where it was null."""
+    guess = language.predict(language.fit(docs), F.col("text").cast("string"))
+    kept = docs.withColumn("_p", guess).where((F.col("_p.lang") != language.UND) & (F.col("_p.score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce(F.col("lang"), F.col("_p.lang"))).select(docs.columns)
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class: the one with the smallest doc_id."""
+    return near_dup.deduplicate(docs)
+
+
+def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), remove="documents").select(docs.columns)
+
+
+def _personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts kinds in angle brackets in the place of personal data; n_chars follows the text."""
+    masked = docs.withColumn("text", pii.redact(pii.fit(docs), F.col("text").cast("string")))
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids (little-endian uint32) and the digest of the decoded bytes."""
+    path = byte_bpe.default_path()
+    out = byte_bpe.decode(byte_bpe.encode(docs, path, keys=("doc_id", "lang", "source")), path)
+    return out.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", _language),
+    ("near_duplicates", _near_duplicates),
+    ("decontamination", _decontaminate),
+    ("personal_data", _personal_data),
+    ("byte_bpe", _encode),
+]
+
+#: Trained models and byte-level BPE have no SQL form; tests hold every stage against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs

@@ -74,3 +74,21 @@ def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 21) -> Iterator[pa
     for part in blocks(batch.column(text), most):
         yield batch.slice(i, len(part))
         i += len(part)
+
+
+def thin(df: DataFrame, h: str, most: int, by: str | None = None) -> DataFrame:
+    """df without the rows whose 64-bit hash `h` is surely not among the `most` smallest distinct ones (of each value of `by`).
+
+    Keeps about twice as many, however large df is; the caller picks the exact ones from these few.
+    """
+    count = F.approx_count_distinct(h).alias("n")
+    bound = lambda n: min(2**63 - 1, -(2**63) + int(2**64 * (2 * most + 100) / max(n, 1)))
+    if by is None:
+        return df.where(F.col(h) <= bound(df.agg(count).first().n))
+    each = df.groupBy(by).agg(count).collect()  # one row per label
+    if not each:
+        return df
+    kept = F.lit(False)
+    for r in each:
+        kept = kept | ((F.col(by) == r[by]) & (F.col(h) <= bound(r.n)))
+    return df.where(kept)

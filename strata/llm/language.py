@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import blocks, raw, table
+from strata.llm.common import blocks, raw, table, thin
 
 HIDDEN, WINDOW, BATCH = 8, 128, 2048
 SAMPLE_DOCS, SAMPLE_BYTES, STEPS = 256, 1_024, 260
@@ -172,6 +172,7 @@ def sample(labelled: DataFrame, text: str = "text", label: str = "lang", key: st
     data = F.encode(F.col(text), "UTF-8")
     at = F.pmod(h, F.greatest(F.octet_length(F.col(text)) - size, F.lit(1))).cast("int") + 1
     picked = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), h.alias("h"), F.substring(data, at, F.lit(size)).alias("b"))
+    picked = thin(picked, "h", docs, "label").dropDuplicates(["label", "h"])
     first = picked.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("h", "b"))).where(F.col("nth") <= docs)
     return sorted((bytes(r.b), r.label) for r in first.select("b", "label").collect())
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import blocks, table
+from strata.llm.common import blocks, table, thin
 
 #: Kinds in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -40,7 +40,7 @@ GROW = {"email": "%+-._", "ip": ".", "card": "", "phone": ""}
 #: An added phone may lack the plus sign, not the separators.
 LOOSE_PHONE = re.compile(r"[+(]?[0-9]+([\x20().-]+[0-9]+)+")
 HIDDEN, WINDOW, STRIDE, BATCH = 8, 128, 96, 2048
-SAMPLE_DOCS, STEPS = 1_500, 220
+SAMPLE_DOCS, STEPS = 1_500, 400
 SPANS = "array<struct<kind: string, start: int, end: int, base: boolean>>"
 
 
@@ -266,7 +266,8 @@ def train(texts: list[str], steps: int = STEPS, span: int = 80, batch: int = 64,
 def fit(docs: DataFrame, text: str = "text", most: int = SAMPLE_DOCS) -> Model | None:
     """From at most `most` documents that hold a digit or @, those with the smallest hash of their text."""
     held = docs.select(F.col(text).cast("string").alias("t")).where(F.col("t").rlike("[0-9@]")).select(F.xxhash64("t").alias("h"), "t")
-    return train([r.t for r in held.orderBy("h", "t").limit(most).collect()])
+    few = thin(held, "h", most).dropDuplicates(["h"])
+    return train([r.t for r in few.orderBy("h").limit(most).collect()])
 
 
 def _all_spans(model: Model | None, texts: pa.Array) -> Iterator[tuple[str, list[tuple[str, int, int, bool]]]]:

@@ -33,9 +33,9 @@ from strata.llm.common import blocks, cut, raw, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, BANDS = 64, 16
-#: Registers that agree in a pair worth verifying: five standard deviations below what the similarity gives.
-AGREE = 35
-BEST, BLOCK = 2, 2048
+#: Registers that agree in a pair worth verifying: three standard deviations below what the similarity gives.
+AGREE = 41
+BEST, BLOCK = 4, 2048
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -229,16 +229,28 @@ def _name_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node of its component) of every node in edges (a, b)."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """node, label (the smallest node of its component) of every node in edges (a, b).
+
+    `start`: labels known before, of parts of components. Each pass takes the smallest label around and then its
+    label, twice, so long chains fold quickly; the passes end when no label changes.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    if start is not None:  # a node's label stands for what was known before
+        both = both.unionByName(start.select(F.col("node").alias("a"), F.col("label").alias("b"))).unionByName(start.select(F.col("label").alias("a"), F.col("node").alias("b"))).distinct()
+    both = cut(both)
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
+    labels = labels if start is None else labels.join(start.withColumnRenamed("label", "l"), "node", "left").select("node", F.least("label", "l").alias("label"))
+    labels = cut(labels)
     while True:
-        seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
-        near = labels.join(seen, labels.node == seen.a, "left").select("node", "label", F.least("label", "m").alias("to"))
-        up = labels.select(F.col("node").alias("to"), F.col("label").alias("top"))
-        step = cut(near.join(up, "to", "left").select("node", F.col("label").alias("old"), F.least("to", "top").alias("label")))
-        labels = step.drop("old")
+        now = labels
+        for _ in range(2):
+            seen = both.join(now, both.b == now.node).groupBy("a").agg(F.min("label").alias("m"))
+            near = now.join(seen, now.node == seen.a, "left").select("node", F.least("label", "m").alias("to"))
+            up = now.select(F.col("node").alias("to"), F.col("label").alias("top"))
+            now = near.join(up, "to", "left").select("node", F.least("to", "top").alias("label"))
+        step = cut(now.join(labels.select("node", F.col("label").alias("old")), "node"))
+        labels = step.select("node", "label")
         if step.where("old <> label").isEmpty():
             return labels
 
@@ -263,7 +275,6 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
     rows = cut(rows.withColumn("pair", pair).select("key", "pair.i", "pair.j", "own", "id", "n", "low"))
 
-    links: DataFrame | None = None
     failed: DataFrame | None = None
     label: DataFrame | None = None
     while True:
@@ -281,8 +292,7 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
         found = tested.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         found = cut(found.select("a", "b", F.arrow_udf(text_similarity, "double")(F.col("ta"), F.col("tb")).alias("s")))
         good = found.where(F.col("s") >= SIMILARITY).select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        label = components(links)
+        label = components(good, label)
         bad = found.where(F.col("s") < SIMILARITY).select("a", "b")
         failed = bad if failed is None else failed.unionByName(bad)
         rows = cut(rows.join(named.where("a is null").select("key").distinct(), "key", "left_semi"))

@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from strata.llm.common import raw, shared_dir, slices, table
 
 END = 1
-SHARD_IDS, ROUNDS, PER_ROUND, LEAST = 1 << 20, 4, 1024, 8
-#: Distinct pieces kept by one Python worker; the store starts anew beyond it.
-CACHE_PIECES = 600_000
+SHARD_IDS, ROUNDS, PER_ROUND, LEAST = 1 << 19, 4, 512, 8
+#: Distinct pieces in each of a Python worker's two generations: a full one replaces the older, whose used pieces move on.
+CACHE_PIECES = 150_000
 FILE = "range int, before bigint, doc_ids array<bigint>, starts array<int>, counts array<int>, n_ids bigint, rules binary, lengths binary, symbols binary"
 
 
@@ -56,6 +56,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids[0]
         self.store: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _alone(self, distinct: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False)]
@@ -69,15 +70,22 @@ class Encoder:
         return [ids[i:j].tobytes() for i, j in zip([0, *(c + 1 for c in cut)], [*cut, len(ids)])]
 
     def pieces(self, distinct: list[str]) -> list[bytes]:
-        store = self.store
-        if len(store) + len(distinct) > CACHE_PIECES:
-            store.clear()
-        new = [x for x in distinct if x not in store]
+        old, store = self.old, self.store
+        new = []
+        for x in distinct:
+            if x not in store:
+                if (ids := old.get(x)) is None:
+                    new.append(x)
+                else:
+                    store[x] = ids
         plain, odd = [x for x in new if SEPARATOR not in x], [x for x in new if SEPARATOR in x]
         for i in range(0, len(plain), 5_000):
             store.update(zip(plain[i : i + 5_000], self._joined(plain[i : i + 5_000])))
         store.update(zip(odd, self._alone(odd)))
-        return [store[x] for x in distinct]
+        out = [store[x] for x in distinct]
+        if len(store) > CACHE_PIECES:
+            self.old, self.store = store, {}
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by END, and the number of each text's ids."""
@@ -115,7 +123,7 @@ def compress(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, per_round:
     """Symbols, where documents end in them (bool), rules (n, 2), and the first nonterminal; `last` marks documents' last ids."""
     s, end, first = ids.astype(np.uint32), last, int(ids.max(initial=0)) + 1
     rules: list[np.ndarray] = []
-    total, bits = first, 20
+    total, bits = first, 18
     for _ in range(rounds):
         if len(s) < 2:
             break
@@ -221,7 +229,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int = SHARD_I
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [x.split()[0] for x in FILE.split(", ")])
 
         size = 0
-        for b in (x for batch in batches for x in slices(batch, 1, 1 << 22)):
+        for b in (x for batch in batches for x in slices(batch, 1, 3 << 20)):
             ids, counts = encoder(tokenizer).encode(b.column(1))
             names, ends, i = b.column(0).to_pylist(), np.cumsum(counts), 0
             while i < len(counts):  # up to the document with which the shard is full

@@ -97,7 +97,7 @@ def evaluate(df: DataFrame, rules: list[Rule], as_of=None, references: dict[str,
             parts.append(one.select(F.lit(r.name).alias("name"), F.lit(r.kind).alias("kind"), F.lit(float(r.threshold)).alias("t"), F.col("checked").cast("long").alias("checked"), F.col("failed").cast("long").alias("failed")))
     out = reduce(DataFrame.unionByName, parts)
     ratio = F.when(F.col("checked") == 0, F.lit(1.0)).otherwise((F.col("checked") - F.col("failed")) / F.col("checked"))
-    return out.select("name", "kind", "checked", "failed", F.bround(100 * ratio, 2).alias("score"), (ratio >= F.col("t")).alias("passed"))
+    return out.select("name", "kind", "checked", "failed", F.when(F.col("checked") == 0, F.lit(100.0)).otherwise(F.bround(100 * (F.col("checked") - F.col("failed")) / F.col("checked"), 2)).alias("score"), (ratio >= F.col("t")).alias("passed"))
 
 
 def latest(results: DataFrame) -> DataFrame:

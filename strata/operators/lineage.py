@@ -16,8 +16,9 @@ def table_edges(events: DataFrame, as_of=None) -> DataFrame:
     done = events.where("kind = 'COMPLETE'")
     done = done if as_of is None else done.where(F.col("event_time") <= F.lit(as_of).cast("timestamp"))
     job = F.concat(F.lit("job:"), "job")
-    reads = done.select(F.concat(F.lit("dataset:"), F.explode("inputs")).alias("source"), job.alias("target"), "job")
-    writes = done.select(job.alias("source"), F.concat(F.lit("dataset:"), F.explode("outputs.name")).alias("target"), "job")
+    named = lambda x: F.explode(F.transform(x, lambda n: F.concat(F.lit("dataset:"), n)))
+    reads = done.select(named(F.col("inputs")).alias("source"), job.alias("target"), "job")
+    writes = done.select(job.alias("source"), named(F.col("outputs.name")).alias("target"), "job")
     return reads.unionByName(writes).distinct()
 
 

@@ -9,7 +9,7 @@ hardly ever still empty aren't generated (where one is, that text goes on until
 
 1. Texts of one word sequence are one class from the start, by two 64-bit hashes (no words: by the text itself).
 2. One text per class goes into `BANDS` buckets. In a bucket, pairs are compared by their registers inside the
-   task; each member names its `BEST` most alike candidates of other classes, so what leaves a bucket is linear
+   task; each member names the one with most candidates and its `BEST` most alike candidates of other classes, so what leaves a bucket is linear
    in its size. A bucket of more than `BLOCK` members is dealt out as pairs of blocks.
 3. Named pairs are verified exactly on their texts; links make connected components.
 4. Buckets with candidates that weren't named go on, with the classes found and the pairs that failed, until
@@ -35,7 +35,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, BANDS = 64, 16
 #: Registers that agree in a pair worth verifying: three standard deviations below what the similarity gives.
 AGREE = 41
-BEST, BLOCK = 4, 2048
+BEST, BLOCK = 2, 2048
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -206,20 +206,26 @@ def _name_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(np.unique(group)) > 1:
             low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(len(ids), REGISTERS)
             failed = [set(x or ()) for x in t["failed"].to_pylist()]
-            more = False
+            may = np.zeros((len(ids), len(ids)), np.uint8)  # agreeing registers of candidate pairs, else 0
             for x in range(len(ids)):
                 other = (group != group[x]) & (np.minimum(n, n[x]) >= SIMILARITY * np.maximum(n, n[x]))
                 if i != j:
                     other &= own != own[x]
                 (y,) = np.nonzero(other)
-                if not len(y):
-                    continue
-                agree = (low[y] == low[x]).sum(1)
-                y, agree = y[agree >= AGREE], agree[agree >= AGREE]
-                order = np.lexsort((ids[y], -agree))
-                y = [k for k in y[order].tolist() if int(ids[k]) not in failed[x] and int(ids[x]) not in failed[k]]
-                more |= len(y) > BEST
-                out += [(key, int(ids[x]), int(ids[k])) for k in y[:BEST]]
+                agree = (low[y] == low[x]).sum(1).astype(np.uint8)
+                may[x, y] = np.where(agree >= AGREE, agree, 0)
+            for x in range(len(ids)):
+                if gone := [k for k in np.flatnonzero(may[x]).tolist() if int(ids[k]) in failed[x]]:
+                    may[x, gone], may[gone, x] = 0, 0
+            count = (may > 0).sum(1)
+            hub = int(np.lexsort((ids, -may.sum(1, dtype=np.int64), -count))[0])
+            more = False
+            for x in np.flatnonzero(count).tolist():
+                y = np.flatnonzero(may[x])
+                # the member with most candidates goes first: its links make short paths
+                y = y[np.lexsort((ids[y], -may[x, y].astype(np.int64), y != hub))][: BEST + 1].tolist()
+                more |= count[x] > len(y)
+                out += [(key, int(ids[x]), int(ids[k])) for k in y]
             if more:
                 out.append((key, None, None))
         if len(out) > 20_000:
@@ -233,7 +239,7 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """node, label (the smallest node of its component) of every node in edges (a, b).
 
     `start`: labels known before, of parts of components. Each pass takes the smallest label around and then its
-    label, twice, so long chains fold quickly; the passes end when no label changes.
+    label, so long chains fold quickly; the passes end when no label changes.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     if start is not None:  # a node's label stands for what was known before
@@ -243,13 +249,10 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     labels = labels if start is None else labels.join(start.withColumnRenamed("label", "l"), "node", "left").select("node", F.least("label", "l").alias("label"))
     labels = cut(labels)
     while True:
-        now = labels
-        for _ in range(2):
-            seen = both.join(now, both.b == now.node).groupBy("a").agg(F.min("label").alias("m"))
-            near = now.join(seen, now.node == seen.a, "left").select("node", F.least("label", "m").alias("to"))
-            up = now.select(F.col("node").alias("to"), F.col("label").alias("top"))
-            now = near.join(up, "to", "left").select("node", F.least("to", "top").alias("label"))
-        step = cut(now.join(labels.select("node", F.col("label").alias("old")), "node"))
+        seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
+        near = labels.join(seen, labels.node == seen.a).select("node", F.col("label").alias("old"), F.least("label", "m").alias("to"))
+        up = labels.select(F.col("node").alias("to"), F.col("label").alias("top"))
+        step = cut(near.join(up, "to").select("node", "old", F.least("to", "top").alias("label")))
         labels = step.select("node", "label")
         if step.where("old <> label").isEmpty():
             return labels
@@ -292,7 +295,8 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
         found = tested.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         found = cut(found.select("a", "b", F.arrow_udf(text_similarity, "double")(F.col("ta"), F.col("tb")).alias("s")))
         good = found.where(F.col("s") >= SIMILARITY).select("a", "b")
-        label = components(good, label)
+        if not good.isEmpty():
+            label = components(good, label)
         bad = found.where(F.col("s") < SIMILARITY).select("a", "b")
         failed = bad if failed is None else failed.unionByName(bad)
         rows = cut(rows.join(named.where("a is null").select("key").distinct(), "key", "left_semi"))

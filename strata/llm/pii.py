@@ -1,7 +1,7 @@
 r"""Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
 Texts are read whole in windows of `WINDOW` characters every `STRIDE`, so neighbours overlap. A window without a
-digit or @ is all `none` by rule (no kind can be told there) and isn't run. The others are decoded by Viterbi;
+digit or @ isn't run: every kind's check asks for one, so no span can come of it. The others are decoded by Viterbi;
 reconciling is global: each position takes its tag from the window in which it lies deepest, runs of one tag in
 the whole text become spans, which grow to whole numbers or names. An added span must pass its kind's check
 (digits, Luhn, parts) and overlap no base span.
@@ -168,8 +168,8 @@ class Model:
             tags[t - 1] = back[t, tags[t], at]
         return tags
 
-    def tags(self, texts: list[np.ndarray]) -> list[np.ndarray]:
-        """Tags of whole texts, given as classes."""
+    def tags(self, texts: list[np.ndarray], every: bool = False) -> list[np.ndarray]:
+        """Tags of whole texts, given as classes; `every` also runs the windows that can hold no span."""
         data = np.concatenate([*texts, np.zeros(WINDOW, np.uint8)]).astype(np.intp)
         size = np.array([len(t) for t in texts], np.int64)
         first = np.cumsum(size) - size
@@ -178,7 +178,7 @@ class Model:
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
         start, stop = first[doc] + nth * STRIDE, (first + size)[doc]
         mark = np.concatenate([[0], np.cumsum(((data >= 48) & (data <= 57)) | (data == 64))])
-        run = mark[np.minimum(start + WINDOW, stop)] > mark[start]
+        run = (mark[np.minimum(start + WINDOW, stop)] > mark[start]) | every
         edge = (WINDOW - STRIDE) // 2
         low = np.where(nth == 0, start, start + edge)
         high = np.where(nth == count[doc] - 1, stop, start + edge + STRIDE)

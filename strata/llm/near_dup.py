@@ -8,8 +8,8 @@ share. A register keeps its earliest point. Points come in order of time, and ti
 hardly ever still empty aren't generated (where one is, that text goes on until all are full).
 
 1. Texts of one word sequence are one class from the start, by two 64-bit hashes (no words: by the text itself).
-2. One text per class goes into `BANDS` buckets. In a bucket, pairs are compared by their registers inside the
-   task; each member names the one with most candidates and its `BEST` most alike candidates of other classes, so what leaves a bucket is linear
+2. One text per class goes into `BANDS` buckets, by `ROWS` registers each. In a bucket, pairs are compared by all
+   registers inside the task. A small bucket names all its candidates; in a larger one each member names the one with most candidates and its `BEST` most alike candidates of other classes, so what leaves a bucket is linear
    in its size. A bucket of more than `BLOCK` members is dealt out as pairs of blocks.
 3. Named pairs are verified exactly on their texts; links make connected components.
 4. Buckets with candidates that weren't named go on, with the classes found and the pairs that failed, until
@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 from strata.llm.common import blocks, cut, raw, table
 
 SHINGLE, SIMILARITY = 5, 0.8
-REGISTERS, BANDS = 64, 16
+REGISTERS, BANDS, ROWS = 128, 16, 4
 #: Registers that agree in a pair worth verifying: three standard deviations below what the similarity gives.
-AGREE = 41
-BEST, BLOCK = 2, 2048
+AGREE = 89
+#: Buckets of up to SMALL members name all candidates at once; in larger ones each member names BEST besides the hub, in later rounds more.
+SMALL, BEST, BLOCK = 48, 1, 2048
+#: Ids that are broadcast to pick the texts of candidates (8 MB); more are joined by shuffle.
+MAX_IDS = 1_000_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -196,7 +199,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield rest
 
 
-def _name_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _name_pairs(batches: Iterator[pa.RecordBatch], best: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, a, b): a's best candidates, and a row (key, null, null) where a bucket has more."""
     names = ["key", "a", "b"]
     out: list[tuple] = []
@@ -223,7 +226,7 @@ def _name_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in np.flatnonzero(count).tolist():
                 y = np.flatnonzero(may[x])
                 # the member with most candidates goes first: its links make short paths
-                y = y[np.lexsort((ids[y], -may[x, y].astype(np.int64), y != hub))][: BEST + 1].tolist()
+                y = y[np.lexsort((ids[y], -may[x, y].astype(np.int64), y != hub))][: len(ids) if len(ids) <= SMALL else best + 1].tolist()
                 more |= count[x] > len(y)
                 out += [(key, int(ids[x]), int(ids[k])) for k in y]
             if more:
@@ -267,11 +270,14 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
     made = cut(made.select("id", F.col("f.n").alias("n"), F.when(same, F.col("f.k1")).otherwise(F.col("p.k1")).alias("k1"), F.when(same, F.col("f.k2")).otherwise(F.col("p.k2")).alias("k2"), F.col("f.sig").alias("sig"), F.col("f.low").alias("low")))
     own = cut(made.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("low").alias("low")))
 
-    size = 4 * REGISTERS // BANDS
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * size + 1, F.lit(size))))).alias("band", "key")
-    rows = own.where("n > 0").select(F.col("rep").alias("id"), "n", "low", band).drop("band")
-    many = rows.groupBy("key").count().where("count > 1")
-    rows = rows.join(many, "key")
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * 4 * ROWS + 1, F.lit(4 * ROWS))))).alias("key")
+    keys = own.where("n > 0").select(F.col("rep").alias("id"), band)
+    many = keys.groupBy("key").count().where("count > 1")
+    keys = cut(keys.join(many, "key"))  # only ids that share a bucket go on; registers and texts are fetched for these
+    asked = keys.select("id").distinct()
+    few = F.broadcast(asked) if asked.count() <= MAX_IDS else asked
+    pool = cut(docs.join(few, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    rows = keys.join(own.select(F.col("rep").alias("id"), "n", "low"), "id")
     parts = F.ceil(F.col("count") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("own", mine)
@@ -280,25 +286,25 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
 
     failed: DataFrame | None = None
     label: DataFrame | None = None
+    best = BEST
     while True:
         state = rows
         state = state.join(label.withColumnRenamed("node", "id"), "id", "left") if label is not None else state.withColumn("label", F.lit(None).cast("long"))
         state = state.join(failed.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("failed")), "id", "left") if failed is not None else state.withColumn("failed", F.array().cast("array<bigint>"))
         state = state.withColumn("class", F.coalesce("label", "id")).drop("label")
-        named = cut(state.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_name_pairs, "key bigint, a bigint, b bigint"))
+        named = cut(state.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda x, best=best: _name_pairs(x, best), "key bigint, a bigint, b bigint"))
         pairs = named.where("a is not null").select("a", "b").distinct()
         tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested.isEmpty():
             break
-        asked = tested.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = docs.join(asked, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-        found = tested.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        found = tested.join(pool.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(pool.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         found = cut(found.select("a", "b", F.arrow_udf(text_similarity, "double")(F.col("ta"), F.col("tb")).alias("s")))
         good = found.where(F.col("s") >= SIMILARITY).select("a", "b")
         if not good.isEmpty():
             label = components(good, label)
         bad = found.where(F.col("s") < SIMILARITY).select("a", "b")
         failed = bad if failed is None else failed.unionByName(bad)
+        best *= 8  # what is still open has few classes left: fewer rounds
         rows = cut(rows.join(named.where("a is null").select("key").distinct(), "key", "left_semi"))
         if rows.isEmpty():
             break

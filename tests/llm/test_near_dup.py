@@ -78,6 +78,7 @@ def test_star_of_variants_in_blocks(spark, monkeypatch):
             own[p] = f"x{rng.randrange(10**6)}"
         rows += [(k, " ".join(own))]
     monkeypatch.setattr(nd, "BLOCK", 8)
+    monkeypatch.setattr(nd, "SMALL", 4)
     got = {r.doc_id: r.class_id for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got.values()) == {0}
 

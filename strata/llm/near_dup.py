@@ -9,7 +9,7 @@ hardly ever still empty aren't generated (where one is, that text goes on until
 
 1. Texts of one word sequence are one class from the start, by two 64-bit hashes (no words: by the text itself).
 2. One text per class goes into `BANDS` buckets, by `ROWS` registers each. In a bucket, pairs are compared by all
-   registers inside the task; a pair counts in the first band that it shares. A small bucket names all its candidates; in a larger one each member names the one with most candidates and its `BEST` most alike candidates of other classes, so what leaves a bucket is linear
+   registers inside the task; a pair counts in the first bucket that it shares. A small bucket names all its candidates; in a larger one each member names the one with most candidates and its `BEST` most alike candidates of other classes, so what leaves a bucket is linear
    in its size. A bucket of more than `BLOCK` members is dealt out as pairs of blocks.
 3. Named pairs are verified exactly on their texts; links make connected components.
 4. Buckets with candidates that weren't named go on, with the classes found and the pairs that failed, until
@@ -208,7 +208,7 @@ def _name_pairs(batches: Iterator[pa.RecordBatch], best: int) -> Iterator[pa.Rec
         i, j, key = t["i"][0].as_py(), t["j"][0].as_py(), t["key"][0].as_py()
         if len(np.unique(group)) > 1:
             low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(len(ids), REGISTERS)
-            bands, band = low[:, : BANDS * ROWS].reshape(len(ids), BANDS, ROWS), t["band"][0].as_py()
+            bands = np.asarray(t["bands"].combine_chunks().flatten()).reshape(len(ids), BANDS)
             failed = [set(x or ()) for x in t["failed"].to_pylist()]
             may = np.zeros((len(ids), len(ids)), np.uint8)  # agreeing registers of candidate pairs, else 0
             for x in range(len(ids)):
@@ -218,9 +218,9 @@ def _name_pairs(batches: Iterator[pa.RecordBatch], best: int) -> Iterator[pa.Rec
                 (y,) = np.nonzero(other)
                 agree = (low[y] == low[x]).sum(1).astype(np.uint8)
                 y, agree = y[agree >= AGREE], agree[agree >= AGREE]
-                # a pair belongs to the first band that it shares, so no other bucket names it again
-                shared = (bands[y] == bands[x]).all(2)
-                may[x, y] = np.where(shared.argmax(1) == band, agree, 0)
+                # a pair belongs to the first bucket that it shares, so no other bucket names it again
+                shared = bands[y] == bands[x]
+                may[x, y] = np.where(bands[x][shared.argmax(1)] == key, agree, 0)
             for x in range(len(ids)):
                 if gone := [k for k in np.flatnonzero(may[x]).tolist() if int(ids[k]) in failed[x]]:
                     may[x, gone], may[gone, x] = 0, 0
@@ -274,19 +274,19 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
     made = cut(made.select("id", F.col("f.n").alias("n"), F.when(same, F.col("f.k1")).otherwise(F.col("p.k1")).alias("k1"), F.when(same, F.col("f.k2")).otherwise(F.col("p.k2")).alias("k2"), F.col("f.sig").alias("sig"), F.col("f.low").alias("low")))
     own = cut(made.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("low").alias("low")))
 
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * 4 * ROWS + 1, F.lit(4 * ROWS))))).alias("band", "key")
-    keys = own.where("n > 0").select(F.col("rep").alias("id"), band)
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * 4 * ROWS + 1, F.lit(4 * ROWS))))  # the keys of a text's buckets
+    keys = own.where("n > 0").select(F.col("rep").alias("id"), F.explode(bands).alias("key"))
     many = keys.groupBy("key").count().where("count > 1")
     keys = cut(keys.join(many, "key"))  # only ids that share a bucket go on; registers and texts are fetched for these
     asked = keys.select("id").distinct()
     few = F.broadcast(asked) if asked.count() <= MAX_IDS else asked
     pool = cut(docs.join(few, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-    rows = keys.join(own.select(F.col("rep").alias("id"), "n", "low"), "id")
+    rows = keys.join(own.select(F.col("rep").alias("id"), "n", "low", bands.alias("bands")), "id")
     parts = F.ceil(F.col("count") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("own", mine)
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
-    rows = cut(rows.withColumn("pair", pair).select("key", "band", "pair.i", "pair.j", "own", "id", "n", "low"))
+    rows = cut(rows.withColumn("pair", pair).select("key", "pair.i", "pair.j", "own", "id", "n", "low", "bands"))
 
     failed: DataFrame | None = None
     label: DataFrame | None = None

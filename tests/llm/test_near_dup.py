@@ -108,3 +108,17 @@ def test_edges(spark):
     kept = nd.deduplicate(df)
     assert kept.columns == df.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 4]
     assert nd.classes(df.limit(0)).collect() == []
+
+
+def test_first_bucket_is_told_by_whole_registers():
+    """An earlier band that agrees in its lowest bytes only is no bucket that the pair shares."""
+    one = np.arange(1, nd.REGISTERS + 1, dtype="<u4")
+    two = one.copy()
+    two[[0, *range(2 * nd.ROWS, nd.BANDS * nd.ROWS, nd.ROWS)]] += 256  # all bands but the second differ, above the lowest byte
+    keys = [[hash((b, x[b * nd.ROWS : (b + 1) * nd.ROWS].tobytes())) for b in range(nd.BANDS)] for x in (one, two)]
+    (key,) = set(keys[0]) & set(keys[1])
+    low = [x.astype(np.uint8).tobytes() for x in (one, two)]
+    assert low[0] == low[1]
+    t = pa.table({"key": [key] * 2, "band": [1] * 2, "i": [0] * 2, "j": [0] * 2, "own": [0] * 2, "id": [1, 2], "n": [296, 297], "low": low, "bands": keys, "class": [1, 2], "failed": [[], []]})
+    named = [tuple(r.values()) for b in nd._name_pairs(iter(t.to_batches()), nd.BEST) for r in b.to_pylist()]
+    assert sorted(named) == [(key, 1, 2), (key, 2, 1)]

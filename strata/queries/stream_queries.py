@@ -134,9 +134,9 @@ def freshness_alerts(s, d):
     return made.select("kind", "target", "message", (F.col("opened_at") == F.lit("2024-01-01").cast("timestamp")).alias("old"), F.col("resolved_at").isNotNull().alias("resolved"))
 
 
-def _graph(s, d):
+def _graph(s, d, lines="l_partkey <= 40"):
     """Parts and suppliers of line items as a graph: an order is computed from its parts, a supplier from the orders."""
-    li = table(s, d, "lineitem").where("l_partkey <= 40")
+    li = table(s, d, "lineitem").where(lines)
     return li.select(F.concat(F.lit("p|"), "l_partkey").alias("source"), F.concat(F.lit("o|"), "l_orderkey").alias("target"), F.lit("j1").alias("job")).unionByName(li.select(F.concat(F.lit("o|"), "l_orderkey"), F.concat(F.lit("s|"), "l_suppkey"), F.lit("j2")).toDF("source", "target", "job")).distinct()
 
 
@@ -153,9 +153,22 @@ def restricted_graph(s, d):
     return lin.restricted(g, g.where("source like 'o|%1'").select(F.col("source").alias("node")))
 
 
-def _lineage_events(s, d):
+def lineage_trace_all(s, d):
+    return lin.reach(_graph(s, d, "true"), ["p|1", "p|2"])
+
+
+def lineage_subgraph_all(s, d):
+    return lin.subgraph(_graph(s, d, "true"), ["p|3"], 2, "downstream")
+
+
+def restricted_graph_all(s, d):
+    g = _graph(s, d, "true")
+    return lin.restricted(g, g.where("source like 'o|%1'").select(F.col("source").alias("node")))
+
+
+def _lineage_events(s, d, orders="o_orderkey <= 400"):
     """Runs of jobs over orders' priorities: inputs and outputs with column facets, the latest definition differs."""
-    o = table(s, d, "orders").where("o_orderkey <= 400")
+    o = table(s, d, "orders").where(orders)
     job = F.concat(F.lit("load-"), (F.col("o_custkey") % 7).cast("string"))
     col = lambda n: F.struct(F.lit("raw").alias("dataset"), n.alias("column"))
     columns = F.create_map(F.lit("price"), F.array(col(F.concat(F.lit("c"), (F.col("o_orderkey") % 3).cast("string"))), col(F.lit("rate"))))
@@ -172,9 +185,21 @@ def lineage_column_edges(s, d):
     return lin.column_edges(_lineage_events(s, d))
 
 
-def lineage_impact(s, d):
+def lineage_impact(s, d, orders="o_orderkey <= 400"):
     apps = s.createDataFrame([("board", "t0"), ("board", "t1"), ("other", "none")], "app string, dataset string")
-    return lin.impact(lin.column_edges(_lineage_events(s, d)), "raw|rate", apps)
+    return lin.impact(lin.column_edges(_lineage_events(s, d, orders)), "raw|rate", apps)
+
+
+def lineage_edges_all(s, d):
+    return lin.table_edges(_lineage_events(s, d, "true"))
+
+
+def lineage_column_edges_all(s, d):
+    return lin.column_edges(_lineage_events(s, d, "true"))
+
+
+def lineage_impact_all(s, d):
+    return lineage_impact(s, d, "true")
 
 
 def batch_trace(s, d):
@@ -196,7 +221,7 @@ def catalog_search(s, d):
     return lin.search(sets, columns, "NATION")
 
 
-QUERIES = {f.__name__: f for f in (cdc_decode, cdc_dead_letters, cdc_event_decode, cdc_latest, cdc_mirror, cdc_changelog_stream, cdc_mirror_stream, stream_minutes, stream_latency, stream_status, run_summary, run_last_status, freshness_alerts, lineage_trace, lineage_subgraph, restricted_graph, lineage_edges, lineage_column_edges, lineage_impact, batch_trace, schema_drift, catalog_search)}
+QUERIES = {f.__name__: f for f in (cdc_decode, cdc_dead_letters, cdc_event_decode, cdc_latest, cdc_mirror, cdc_changelog_stream, cdc_mirror_stream, stream_minutes, stream_latency, stream_status, run_summary, run_last_status, freshness_alerts, lineage_trace, lineage_subgraph, restricted_graph, lineage_edges, lineage_column_edges, lineage_impact, lineage_trace_all, lineage_subgraph_all, restricted_graph_all, lineage_edges_all, lineage_column_edges_all, lineage_impact_all, batch_trace, schema_drift, catalog_search)}
 
 _DEC = "d as (select cast(user_id as varchar) as user_id, event_type, cast(event_id as varchar) as value, case when event_type = 'error' then 'd' when event_type = 'signup' then 'c' else 'u' end as _op, epoch_us(ts) // 1000 as source_ms, cast(user_id % 3 as varchar) || ':' || event_id as _offset, user_id % 3 as p, event_id from events where event_id % 7 <> 0)"
 _G = "li as (select * from lineitem where l_partkey <= 40), g as (select distinct 'p|' || l_partkey as source, 'o|' || l_orderkey as target, 'j1' as job from li union select distinct 'o|' || l_orderkey, 's|' || l_suppkey, 'j2' from li)"

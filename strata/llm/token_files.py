@@ -2,8 +2,8 @@
 
 A shard holds whole documents in ascending doc_id order, about `SHARD_IDS` ids (a longer document is a shard by
 itself). Re-Pair works in rounds: count all adjacent pairs (by hash; of pairs in one bucket one is counted, the others
-wait for the next round), give each of the `PER_ROUND` most frequent ones that stand at least `LEAST` times a nonterminal, replace from left to right (in a run of overlapping places every
-other one), until a round finds none or `ROUNDS` are done. No pair crosses a document's end. A file row holds
+wait for the next round; where that finds none, exactly), give each of the `PER_ROUND` most frequent ones that stand at least `LEAST` times a nonterminal, replace from left to right (in a run of overlapping places every
+other one), until no pair stands `LEAST` times. No pair crosses a document's end. A file row holds
 the rules, every rule's expansion length, the symbols and where each document starts in them, so a span of a
 document is decoded by walking symbol lengths and expanding only what it needs.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from strata.llm.common import raw, shared_dir, slices, table
 
 END = 1
-SHARD_IDS, ROUNDS, PER_ROUND, LEAST = 1 << 19, 4, 512, 8
+SHARD_IDS, PER_ROUND, LEAST = 1 << 19, 512, 8
 #: Distinct pieces in each of a Python worker's two generations: a full one replaces the older, whose used pieces move on.
 CACHE_PIECES = 150_000
 FILE = "range int, before bigint, doc_ids array<bigint>, starts array<int>, counts array<int>, n_ids bigint, rules binary, lengths binary, symbols binary"
@@ -119,42 +119,45 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def compress(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def compress(ids: np.ndarray, last: np.ndarray, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Symbols, where documents end in them (bool), rules (n, 2), and the first nonterminal; `last` marks documents' last ids."""
     s, end, first = ids.astype(np.uint32), last, int(ids.max(initial=0)) + 1
     rules: list[np.ndarray] = []
-    total, bits = first, 18
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
+    total, bits, exactly = first, 18, False
+    while len(s) > 1:
         a, b = s[:-1], s[1:]
         h = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
-        count = np.bincount(h, minlength=1 << bits)
+        count = np.bincount(h[~end[:-1]], minlength=1 << bits)
         floor = least
-        if (kept := int((count >= least).sum())) > 2 * per_round:
+        if not exactly and int((count >= least).sum()) > 2 * per_round:
             floor = max(least, int(np.partition(count, -2 * per_round)[-2 * per_round]))
-        elif not kept:
-            break
-        # a full bucket stands for one of its pairs; only that pair's places count
         place = np.flatnonzero((count >= floor)[h] & ~end[:-1])
-        of = np.zeros(1 << bits, np.int64)
-        of[h[place]] = place
-        sample = of[h[place]]
-        place = place[(a[place] == a[sample]) & (b[place] == b[sample])]
-        exact = np.bincount(h[place], minlength=1 << bits)
+        if exactly:  # every pair of a full bucket has a number of its own
+            h = np.unique(a[place].astype(np.uint64) << np.uint64(32) | b[place], return_inverse=True)[1]
+            of = np.zeros(int(h.max(initial=-1)) + 1, np.int64)
+            of[h] = place
+        else:  # a full bucket stands for one of its pairs; only that pair's places count
+            h, of = h[place], np.zeros(1 << bits, np.int64)
+            of[h] = place
+            same = (a[place] == a[of[h]]) & (b[place] == b[of[h]])
+            place, h = place[same], h[same]
+        exact = np.bincount(h, minlength=len(of))
         best = np.flatnonzero(exact >= least)
         best = best[np.lexsort((best, -exact[best]))][:per_round]
         if not len(best):
-            break
-        number = np.zeros(1 << bits, np.uint32)
+            if exactly:
+                break
+            exactly = True
+            continue
+        number = np.zeros(len(of), np.uint32)
         number[best] = total + np.arange(len(best))
-        place = place[number[h[place]] > 0]
+        place, h = place[number[h] > 0], h[number[h] > 0]
         run = np.flatnonzero(np.concatenate([[True], np.diff(place) > 1]))  # overlapping places: every other one
         nth = np.arange(len(place)) - np.repeat(run, np.diff(np.concatenate([run, [len(place)]])))
-        place = place[nth % 2 == 0]
+        place, h = place[nth % 2 == 0], h[nth % 2 == 0]
         rules.append(np.stack([a[of[best]], b[of[best]]], 1).astype(np.int64))
         s, end = s.copy(), end.copy()
-        s[place] = number[h[place]]
+        s[place] = number[h]
         end[place] = end[place + 1]
         stay = np.ones(len(s), bool)
         stay[place + 1] = False

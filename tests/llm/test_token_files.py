@@ -34,6 +34,20 @@ def test_repeats_shrink():
     assert len(symbols) < len(ids) / 8 and len(rules) >= 3
 
 
+def test_no_pair_stands_often():
+    """The grammar is whole: copies of a long passage are one rule, and no pair is left that stands LEAST times."""
+    rng = np.random.default_rng(1)
+    passage = rng.integers(10, 60_000, 1000)
+    ids = np.concatenate([np.append(passage, tf.END)] * 40 + [rng.integers(10, 300, 200_000), [tf.END]]).astype(np.uint32)
+    symbols, end, rules, first = tf.compress(ids, ids == tf.END)
+    starts = [0, *(np.flatnonzero(end) + 1).tolist()]
+    assert starts[1] <= 2
+    pairs = (symbols[:-1].astype(np.int64) << 32 | symbols[1:])[~end[:-1]]
+    assert np.unique(pairs, return_counts=True)[1].max() < tf.LEAST
+    shard = tf.Shard(*tf.Shard.row(symbols, rules, first))
+    assert shard.document(0, starts[-1]).tolist() == ids.tolist()
+
+
 def test_files_against_the_library(spark, tmp_path):
     texts = ["The quick,\tbrown fox's  \n\n dog", None, "", "<|endoftext|> <|endoftext|>", "É é é  x y", "word " * 3000, "\U0001f600 1234 don't", "same", "same"]
     rows = [(i * 2, t, "c") for i, t in enumerate(texts)] + [(4, "second of one id", "c"), (-7, "first", "c")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: event_time timestamp, kind string, job string, inputs array<string>, outputs array<struct<name, columns: map<string, array<struct<dataset, column>>>>>
@@ -132,12 +132,23 @@ def alert_state(conditions: DataFrame, alerts: DataFrame, as_of) -> DataFrame:
     return closed.select(kept.columns).unionByName(kept)
 
 
+def ranked(counted: DataFrame, by: str) -> DataFrame:
+    """Adds _upto and _of to distinct values (by, _v, _c rows with the value): the running and the whole number of known values."""
+    known, w = F.sum(F.when(F.col("_v").isNotNull(), F.col("_c")).otherwise(0)), Window.partitionBy(by)
+    return counted.withColumns({"_upto": known.over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_of": known.over(w)})
+
+
+def at_rank(rank: Column) -> Column:
+    """Aggregate of ranked rows: the element of that index of the sorted values."""
+    return F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+
+
 def run_summary(runs: DataFrame, first, last, unit: str = "hour") -> DataFrame:
     """bucket, runs, failed, p50 (element n // 2 of the sorted durations), longest; empty buckets are filled."""
     t = F.date_trunc(unit, "at")
-    n = runs.where(F.col("at").between(F.lit(first).cast("timestamp"), F.lit(last).cast("timestamp"))).groupBy(t.alias("bucket"))
-    p50 = F.get(F.array_sort(F.collect_list("seconds")), F.floor(F.count("seconds") / 2).cast("int"))
-    n = n.agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "failed").alias("failed"), p50.alias("p50"), F.max("seconds").alias("longest"))
+    n = runs.where(F.col("at").between(F.lit(first).cast("timestamp"), F.lit(last).cast("timestamp"))).groupBy(t.alias("bucket"), F.col("seconds").alias("_v"))
+    n = ranked(n.agg(F.count("*").alias("_c"), F.count_if(F.col("status") == "failed").alias("_f")), "bucket").groupBy("bucket")
+    n = n.agg(F.sum("_c").alias("runs"), F.sum("_f").alias("failed"), at_rank(F.floor(F.col("_of") / 2)).alias("p50"), F.max("_v").alias("longest"))
     step = F.expr(f"interval 1 {unit}")
     every = runs.sparkSession.range(1).select(F.explode(F.sequence(F.date_trunc(unit, F.lit(first).cast("timestamp")), F.date_trunc(unit, F.lit(last).cast("timestamp")), step)).alias("bucket"))
     return every.join(n, "bucket", "left").select("bucket", F.coalesce("runs", F.lit(0)).alias("runs"), F.coalesce("failed", F.lit(0)).alias("failed"), "p50", "longest")

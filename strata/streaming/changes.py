@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.lineage import at_rank, ranked
 from strata.operators.tables import Versions, last_per_key, merge
 
 OP, SOURCE_TS, DELETED = "__op", "__source_ts_ms", "__deleted"
@@ -91,8 +92,11 @@ def write_mirror(table: Versions, keys: list[str], generation: str):
 def latency(batches: DataFrame) -> DataFrame:
     """batch, records, p50 (median cut to a whole number), p95 (element max(int(0.95 n) - 1, 0)) of latency_ms."""
     ms = F.greatest(F.col("latency_ms"), F.lit(0))
-    p95 = F.get(F.array_sort(F.collect_list(ms)), F.greatest(F.floor(F.count("*") * 0.95).cast("int") - 1, F.lit(0)))
-    return batches.groupBy("batch").agg(F.count("*").alias("records"), F.floor(F.percentile(ms, 0.5)).cast("long").alias("p50"), p95.alias("p95"))
+    n = F.col("_of")
+    p50 = F.floor((at_rank(F.floor((n - 1) / 2)) + at_rank(F.floor(n / 2))) / 2).cast("long")
+    p95 = at_rank(F.greatest(F.floor(n * 0.95) - 1, F.lit(0)))
+    counted = ranked(batches.groupBy("batch", ms.alias("_v")).agg(F.count("*").alias("_c")), "batch")
+    return counted.groupBy("batch").agg(F.sum("_c").alias("records"), p50.alias("p50"), p95.alias("p95"))
 
 
 def minutes(stats: DataFrame) -> DataFrame:

@@ -2,24 +2,31 @@
 
 A shard holds whole documents in ascending doc_id order, about `SHARD_IDS` ids (a longer document is a shard by
 itself). Re-Pair works in rounds: count all adjacent pairs (by hash; of pairs in one bucket one is counted, the others
-wait for the next round; where that finds none, exactly), give each of the `PER_ROUND` most frequent ones that stand at least `LEAST` times a nonterminal, replace from left to right (in a run of overlapping places every
-other one), until no pair stands `LEAST` times. No pair crosses a document's end. A file row holds
-the rules, every rule's expansion length, the symbols and where each document starts in them, so a span of a
-document is decoded by walking symbol lengths and expanding only what it needs.
+wait for the next round; where that finds none, exactly), give each of the `PER_ROUND` most frequent ones that stand
+at least `LEAST` times a nonterminal, replace from left to right (in a run of overlapping places every other one),
+until no pair stands `LEAST` times. No pair crosses a document's end. A file row holds the rules, every rule's
+expansion length, the symbols and where each document starts in them, so a span of a document is decoded by walking
+symbol lengths and expanding only what it needs.
 
 Files are Parquet written by Spark into the shared folder: a lost executor's rows are written again by another.
 Documents are dealt by ranges of doc_id (ties by text). Null text counts as empty: its only id is the end id.
+Repeated rows are written once each; an empty table makes no shard; other columns are left out.
 
-Encoding a text equals encoding its pieces between blanks and line ends (the tokenizer drops white space and
-pieces never look at each other), so a distinct piece is encoded once and looked up afterwards.
+Where the tokenizer is built as `SHORTCUT` says, encoding a text equals encoding its pieces between blanks and line
+ends (white space is dropped and pieces never look at each other), so a distinct piece is encoded once and looked up
+afterwards, and pieces of small Latin letters alone need no normalising. Any other tokenizer file encodes whole texts. Strings of
+special tokens in a text are ordinary text (`encode_special_tokens`), so no text can forge an id of its own.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +37,7 @@ from pyspark.sql import functions as F
 from strata.llm.common import raw, shared_dir, slices, table
 
 END = 1
-SHARD_IDS, PER_ROUND, LEAST = 1 << 19, 512, 8
+SHARD_IDS, PER_ROUND, LEAST = 1 << 19, 2048, 8
 #: Distinct pieces in each of a Python worker's two generations: a full one replaces the older, whose used pieces move on.
 CACHE_PIECES = 150_000
 FILE = "range int, before bigint, doc_ids array<bigint>, starts array<int>, counts array<int>, n_ids bigint, rules binary, lengths binary, symbols binary"
@@ -43,6 +50,24 @@ SEPARATOR = "|"
 #: fewer distinct pieces are left.
 BELOW_MARKS = 0xCC
 LETTER_THEN_MARK = "([a-z\u00df-\u00f6\u00f8-\u00ff])([.,!?;:%*#$&])"
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+
+
+#: The parts of a tokenizer file for which texts may be cut at blanks.
+SHORTCUT = {
+    "normalizers": ["NFC", "Replace", "Lowercase"],
+    "pre_tokenizers": ["Split", "ByteLevel"],
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+
+
+def _shortcut(spec: dict) -> bool:
+    """Whether a tokenizer file drops white space and takes pieces one by one, as SHORTCUT says."""
+    norm, pre = (spec.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+    steps = pre.get("pretokenizers") or [{}]
+    same = [x.get("type") for x in norm.get("normalizers", [])] == SHORTCUT["normalizers"]
+    same &= [x.get("type") for x in steps] == SHORTCUT["pre_tokenizers"]
+    return same and (steps[0].get("pattern") or {}).get("Regex") == SHORTCUT["split"] and steps[0].get("invert") is True
 
 
 class Encoder:
@@ -50,24 +75,30 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids[0]
+        self.shortcut = _shortcut(json.loads(Path(path).read_text()))
+        self.letters = Tokenizer(self.tokenizer.model)  # for pieces of LETTERS, which the other steps leave alone
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids[0] if self.shortcut else None
+        self.bar = self.letters.encode(SEPARATOR, add_special_tokens=False).ids[0] if self.shortcut else None
         self.store: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _alone(self, distinct: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False)]
 
-    def _joined(self, distinct: list[str]) -> list[bytes]:
+    def _joined(self, distinct: list[str], tokenizer, separator: int) -> list[bytes]:
         """Pieces without the separator, encoded as one text: much cheaper than as many texts."""
-        ids = np.array(self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(distinct)], add_special_tokens=False)[0].ids, "<u4")
-        cut = np.flatnonzero(ids == self.separator).tolist()
+        text = f" {SEPARATOR} ".join(distinct)
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(ids == separator).tolist()
         if len(cut) != len(distinct) - 1:
             return self._alone(distinct)
-        return [ids[i:j].tobytes() for i, j in zip([0, *(c + 1 for c in cut)], [*cut, len(ids)])]
+        whole = ids.tobytes()
+        return [whole[4 * i : 4 * j] for i, j in zip([0, *(c + 1 for c in cut)], [*cut, len(ids)])]
 
     def pieces(self, distinct: list[str]) -> list[bytes]:
         old, store = self.old, self.store
@@ -78,10 +109,13 @@ class Encoder:
                     new.append(x)
                 else:
                     store[x] = ids
-        plain, odd = [x for x in new if SEPARATOR not in x], [x for x in new if SEPARATOR in x]
-        for i in range(0, len(plain), 5_000):
-            store.update(zip(plain[i : i + 5_000], self._joined(plain[i : i + 5_000])))
-        store.update(zip(odd, self._alone(odd)))
+        kinds: tuple[list[str], list[str], list[str]] = ([], [], [])
+        for x in new:
+            kinds[0 if LETTERS(x) else 1 if SEPARATOR not in x else 2].append(x)
+        for some, tokenizer, separator in zip(kinds, (self.letters, self.tokenizer), (self.bar, self.separator)):
+            for i in range(0, len(some), 5_000):
+                store.update(zip(some[i : i + 5_000], self._joined(some[i : i + 5_000], tokenizer, separator)))
+        store.update(zip(kinds[2], self._alone(kinds[2])))
         out = [store[x] for x in distinct]
         if len(store) > CACHE_PIECES:
             self.old, self.store = store, {}
@@ -90,6 +124,9 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by END, and the number of each text's ids."""
         texts = texts.fill_null("")
+        if not self.shortcut:
+            each = [np.append(np.array(e.ids, np.uint32), np.uint32(END)) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
         if raw(texts)[0].max(initial=0) < BELOW_MARKS:
             texts = pc.replace_substring_regex(pc.ascii_lower(texts), LETTER_THEN_MARK, r"\1 \2")
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
@@ -126,12 +163,16 @@ def compress(ids: np.ndarray, last: np.ndarray, per_round: int = PER_ROUND, leas
     total, bits, exactly = first, 18, False
     while len(s) > 1:
         a, b = s[:-1], s[1:]
-        h = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
-        count = np.bincount(h[~end[:-1]], minlength=1 << bits)
-        floor = least
-        if not exactly and int((count >= least).sum()) > 2 * per_round:
-            floor = max(least, int(np.partition(count, -2 * per_round)[-2 * per_round]))
-        place = np.flatnonzero((count >= floor)[h] & ~end[:-1])
+        h = a * np.uint32(0x9E3779B1)
+        h += b * np.uint32(0x85EBCA6B)
+        h = (h >> np.uint32(32 - bits)).astype(np.intp)
+        h[end[:-1]] = 1 << bits  # what crosses a document's end has a bucket of its own, which never counts
+        count = np.bincount(h, minlength=(1 << bits) + 1)
+        count[-1] = 0
+        full, floor = count[count >= least], least
+        if not exactly and len(full) > 2 * per_round:
+            floor = max(least, int(np.partition(full, -2 * per_round)[-2 * per_round]))
+        place = np.flatnonzero((count >= floor)[h])
         if exactly:  # every pair of a full bucket has a number of its own
             h = np.unique(a[place].astype(np.uint64) << np.uint64(32) | b[place], return_inverse=True)[1]
             of = np.zeros(int(h.max(initial=-1)) + 1, np.int64)
@@ -232,7 +273,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int = SHARD_I
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [x.split()[0] for x in FILE.split(", ")])
 
         size = 0
-        for b in (x for batch in batches for x in slices(batch, 1, 3 << 20)):
+        for b in (x for batch in batches for x in slices(batch, 1, 6 << 20)):
             ids, counts = encoder(tokenizer).encode(b.column(1))
             names, ends, i = b.column(0).to_pylist(), np.cumsum(counts), 0
             while i < len(counts):  # up to the document with which the shard is full

@@ -68,3 +68,29 @@ def test_query_and_empty_table(spark, tmp_path):
     assert r.ids_crc32 == zlib.crc32(np.array([*REF.encode("a b", add_special_tokens=False).ids, 1], "<u4").tobytes())
     tf.write(df.limit(0), tf.default_path(), str(tmp_path / "none"))
     assert tf.read(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_any_tokenizer_file_encodes_as_the_library():
+    """Shortcuts hold for one kind of file; others encode whole texts."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    texts = ["The  cat's\tÉtude naïve straße ﬁ 12", "", None, "über|all œuvre ñandú ÿ×÷", "áb İI"]
+    for name, short in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        own, ref = tf.Encoder(path), Tokenizer.from_file(path)
+        ref.encode_special_tokens = True
+        assert own.shortcut is short
+        ids, counts = own.encode(pa.array(texts))
+        want = [[*ref.encode(t or "", add_special_tokens=False).ids, tf.END] for t in texts]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+
+
+def test_strings_of_special_tokens_are_text():
+    """A choice: the plain call would turn them into one id that a text could forge."""
+    import pyarrow as pa
+
+    plain, text = Tokenizer.from_file(tf.default_path()), "a <|endoftext|> b"
+    ids = tf.encoder(tf.default_path()).encode(pa.array([text]))[0].tolist()
+    assert ids == [*REF.encode(text, add_special_tokens=False).ids, tf.END]
+    assert 49407 in plain.encode(text, add_special_tokens=False).ids and 49407 not in ids

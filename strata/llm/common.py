@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:  # glibc only
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):
+    _TRIM = None
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what stands between words once A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -76,6 +82,13 @@ def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 21) -> Iterator[pa
         i += len(part)
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system: the executor's limit holds for all its workers."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def thin(df: DataFrame, h: str, most: int, by: str | None = None) -> DataFrame:
     """df without the rows whose 64-bit hash `h` is surely not among the `most` smallest distinct ones (of each value of `by`).
 

@@ -7,16 +7,24 @@ position, and counts if the position is at most w, so two texts share a point fo
 share. A register keeps its earliest point. Points come in order of time, and times beyond which a register is
 hardly ever still empty aren't generated (where one is, that text goes on until all are full).
 
-1. Texts of one word sequence are one class from the start, by two 64-bit hashes (no words: by the text itself).
-2. One text per class goes into `BANDS` buckets, by `ROWS` registers each. In a bucket, pairs are compared by all
-   registers inside the task; a pair counts in the first bucket that it shares. A small bucket names all its candidates; in a larger one each member names the one with most candidates and its `BEST` most alike candidates of other classes, so what leaves a bucket is linear
-   in its size. A bucket of more than `BLOCK` members is dealt out as pairs of blocks.
-3. Named pairs are verified exactly on their texts; links make connected components.
-4. Buckets with candidates that weren't named go on, with the classes found and the pairs that failed, until
-   no bucket has an untested candidate pair of two classes. No candidate is dropped.
-
-Null text: a class of its own. Empty texts are copies of each other. Rows that share a doc_id are one document;
-rows without doc_id don't take part.
+1. Texts of one word sequence are one node from the start, by two 64-bit hashes (no words: by the text itself).
+2. A node goes into `BANDS` buckets, by `ROWS` registers each. Two nodes are a candidate pair if they share a bucket
+   and agree in `AGREE` registers; the pair belongs to the first bucket that it shares. A bucket of more than `BLOCK`
+   members is dealt out as blocks. First, blocks are looked at by themselves: a small one names all its pairs, in a
+   larger one each member names the one with most candidates (the hub) and its `BEST` most alike ones; then the hubs
+   of a bucket's blocks meet in the same way. What is named is linear in the members.
+3. Named pairs are verified exactly on their texts; links make connected components, the classes.
+4. Buckets with more candidates go on, by pairs of blocks. Now most members are of a few classes: blocks hold one
+   large class each, or the rest, and no block meets another one of its class. An exact bound leaves out what can't
+   be a link: two texts of different classes share at most the weight of those shingles of theirs that stand in other
+   classes (`foreign`), counted over all open texts. What passes is named and verified, until nothing is open.
+
+No candidate is dropped: it is verified, in one class already, or ruled out by the bound.
+
+Null text: a class of its own. Empty texts are copies of each other, as are all texts without words that are equal.
+Every row is a document by its own text: rows with one doc_id and different texts may be in different classes (which
+then may have one class_id, as that is the smallest doc_id), and `deduplicate` keeps one row of each class. Rows without
+doc_id take part; their class_id is null where no row of the class has one. Columns besides id and text don't matter.
 """
 
 from __future__ import annotations
@@ -29,16 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import blocks, cut, raw, table
+from strata.llm.common import blocks, cut, raw, release, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, BANDS, ROWS = 128, 16, 4
 #: Registers that agree in a pair worth verifying: three standard deviations below what the similarity gives.
 AGREE = 89
-#: Buckets of up to SMALL members name all candidates at once; in larger ones each member names BEST besides the hub, in later rounds more.
-SMALL, BEST, BLOCK = 48, 1, 2048
-#: Ids that are broadcast to pick the texts of candidates (8 MB); more are joined by shuffle.
-MAX_IDS = 1_000_000
+#: Blocks of up to SMALL members name all candidates at once; in larger ones each member names BEST besides the hub, in later rounds more.
+SMALL, BEST, BLOCK = 48, 1, 1024
+#: Rows that are broadcast to pick the texts of candidates (24 bytes each); more are joined by shuffle.
+MAX_IDS = 500_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -142,13 +150,22 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (total - both) if total else 0.0
 
 
-FEATURES = "struct<n: bigint, k1: bigint, k2: bigint, sig: binary, low: binary>"
+FEATURES = "struct<n: bigint, k1: bigint, k2: bigint, low: binary, bands: array<bigint>>"
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """Keys (texts, BANDS) of the buckets, from all bits of a band's registers and its number."""
+    part = sig[:, : BANDS * ROWS].reshape(len(sig), BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(mix(np.arange(BANDS, dtype=np.uint64) * _A + _B), part.shape[:2])
+    for k in range(ROWS):
+        key = mix(key * _C + part[:, :, k])
+    return key.view(np.int64)
 
 
 def features(texts: pa.Array) -> pa.Array:
-    """Shingles, two hashes of the word sequence, the registers and their lowest bytes."""
+    """Shingles, two hashes of the word sequence, the registers' lowest bytes and the keys of the buckets."""
     out: list[list] = [[], [], [], [], []]
-    for part in blocks(texts.fill_null(""), 1 << 20):
+    for part in blocks(texts.fill_null(""), 1 << 19):
         hashes, counts = word_hashes(part)
         at = (np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
         ends = np.cumsum(counts)
@@ -158,25 +175,39 @@ def features(texts: pa.Array) -> pa.Array:
         for k, salt in ((1, _A), (2, _B)):
             prefix = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes ^ mix(at * salt + salt)))])
             out[k].append((prefix[ends] - prefix[ends - counts]).view(np.int64))
-        out[3] += [x.tobytes() for x in sig]
-        out[4] += [x.tobytes() for x in sig.astype(np.uint8)]
-    flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out[:3]]
-    return pa.StructArray.from_arrays([*(pa.array(x, pa.int64()) for x in flat), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], ["n", "k1", "k2", "sig", "low"])
+        out[3] += [x.tobytes() for x in sig.astype(np.uint8)]
+        out[4].append(band_keys(sig).ravel())
+    flat = [pa.array(np.concatenate(out[k]) if out[k] else np.zeros(0, np.int64), pa.int64()) for k in (0, 1, 2, 4)]
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), flat[3])
+    made = pa.StructArray.from_arrays([*flat[:3], pa.array(out[3], pa.binary()), lists], ["n", "k1", "k2", "low", "bands"])
+    release()
+    return made
+
+
+def bags(texts: pa.Array, size: int = 256) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """Of every text its sorted distinct shingles and their weights, `size` texts at a time."""
+    for i in range(0, len(texts), size):
+        part = texts.slice(i, size).fill_null("")
+        doc, element, weight = shingles(*word_hashes(part))
+        cutting = np.searchsorted(doc, np.arange(len(part) + 1))
+        yield [(element[s:e], weight[s:e]) for s, e in zip(cutting, cutting[1:])]
 
 
 def text_similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     """Weighted Jaccard of two texts' shingles."""
-    out = []
-    for i in range(0, len(a), 256):
-        both = []
-        for side in (a.slice(i, 256), b.slice(i, 256)):
-            doc, element, weight = shingles(*word_hashes(side.fill_null("")))
-            cutting = np.searchsorted(doc, np.arange(len(side) + 1))
-            both.append([(element[s:e], weight[s:e]) for s, e in zip(cutting, cutting[1:])])
-        out += [similarity(x, y) for x, y in zip(*both)]
+    out = [similarity(x, y) for left, right in zip(bags(a), bags(b)) for x, y in zip(left, right)]
+    release()
     return pa.array(out, pa.float64())
 
 
+def text_bag(texts: pa.Array) -> pa.Array:
+    """Distinct shingles of a text with their weights."""
+    each = [x for part in bags(texts) for x in part]
+    flat = [np.concatenate([x[k] for x in each]).astype(np.int64, copy=False) if each else np.zeros(0, np.int64) for k in (0, 1)]
+    ends = np.cumsum([0, *(len(x[0]) for x in each)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat[0].view(np.int64)), pa.array(flat[1])], ["e", "w"]))
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of equal keys of sorted rows."""
     rest: pa.Table | None = None
@@ -192,37 +223,40 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
             changed |= x[1:] != x[:-1]
         edge = [0, *(np.flatnonzero(changed) + 1).tolist()]
         for s, e in zip(edge, edge[1:]):
-            if e - s > 1:
-                yield t.slice(s, e - s)
+            yield t.slice(s, e - s)
         rest = t.slice(edge[-1])
-    if rest is not None and rest.num_rows > 1:
+    if rest is not None and rest.num_rows:
         yield rest
 
 
 def _name_pairs(batches: Iterator[pa.RecordBatch], best: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, a, b): a's best candidates, and a row (key, null, null) where a bucket has more."""
+    """Rows (key, a, b) of pairs to verify, by a's best candidates; (key, hub, null) of a block among several; (key, null, null) where more are left."""
     names = ["key", "a", "b"]
     out: list[tuple] = []
     for t in _groups(batches, ["key", "i", "j"]):
-        ids, n, group, own = (np.asarray(t[c]) for c in ("id", "n", "class", "own"))
-        i, j, key = t["i"][0].as_py(), t["j"][0].as_py(), t["key"][0].as_py()
+        ids, n, group, own, foreign = (np.asarray(t[c]) for c in ("id", "n", "class", "own", "foreign"))
+        apart, key, size = t["i"][0].as_py() != t["j"][0].as_py(), t["key"][0].as_py(), len(t)
+        hub, several = 0, t["parts"][0].as_py() > 1
         if len(np.unique(group)) > 1:
-            low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(len(ids), REGISTERS)
-            bands = np.asarray(t["bands"].combine_chunks().flatten()).reshape(len(ids), BANDS)
+            low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(size, REGISTERS)
+            bands = np.asarray(t["bands"].combine_chunks().flatten()).reshape(size, BANDS)
             failed = [set(x or ()) for x in t["failed"].to_pylist()]
-            may = np.zeros((len(ids), len(ids)), np.uint8)  # agreeing registers of candidate pairs, else 0
-            for x in range(len(ids)):
-                other = (group != group[x]) & (np.minimum(n, n[x]) >= SIMILARITY * np.maximum(n, n[x]))
-                if i != j:
+            may = np.zeros((size, size), np.uint8)  # agreeing registers of candidate pairs, else 0
+            for x in range(size):
+                # the most that two texts of different classes can share, against what a link needs
+                most = np.minimum(foreign, foreign[x])
+                other = (group != group[x]) & (most * (1 + SIMILARITY) >= SIMILARITY * (n + n[x]) - 1e-6)
+                if apart:
                     other &= own != own[x]
                 (y,) = np.nonzero(other)
-                agree = (low[y] == low[x]).sum(1).astype(np.uint8)
-                y, agree = y[agree >= AGREE], agree[agree >= AGREE]
-                # a pair belongs to the first bucket that it shares, so no other bucket names it again
-                shared = bands[y] == bands[x]
-                may[x, y] = np.where(bands[x][shared.argmax(1)] == key, agree, 0)
-            for x in range(len(ids)):
-                if gone := [k for k in np.flatnonzero(may[x]).tolist() if int(ids[k]) in failed[x]]:
+                if len(y):
+                    agree = (low[y] == low[x]).sum(1).astype(np.uint8)
+                    y, agree = y[agree >= AGREE], agree[agree >= AGREE]
+                    # a pair belongs to the first bucket that it shares, so no other bucket names it again
+                    shared = bands[y] == bands[x]
+                    may[x, y] = np.where(bands[x][shared.argmax(1)] == key, agree, 0)
+            for x in range(size):
+                if failed[x] and (gone := [k for k in np.flatnonzero(may[x]).tolist() if int(ids[k]) in failed[x]]):
                     may[x, gone], may[gone, x] = 0, 0
             count = (may > 0).sum(1)
             hub = int(np.lexsort((ids, -may.sum(1, dtype=np.int64), -count))[0])
@@ -230,14 +264,17 @@ def _name_pairs(batches: Iterator[pa.RecordBatch], best: int) -> Iterator[pa.Rec
             for x in np.flatnonzero(count).tolist():
                 y = np.flatnonzero(may[x])
                 # the member with most candidates goes first: its links make short paths
-                y = y[np.lexsort((ids[y], -may[x, y].astype(np.int64), y != hub))][: len(ids) if len(ids) <= SMALL else best + 1].tolist()
+                y = y[np.lexsort((ids[y], -may[x, y].astype(np.int64), y != hub))][: size if size <= SMALL else best + 1].tolist()
                 more |= count[x] > len(y)
                 out += [(key, int(ids[x]), int(ids[k])) for k in y]
             if more:
                 out.append((key, None, None))
+        if several:
+            out.append((key, int(ids[hub]), None))
         if len(out) > 20_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
             out = []
+    release()
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
@@ -265,63 +302,138 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id of the class); one row per input row that has a doc_id."""
-    docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
-    plain = F.when(F.col("text").isNull(), F.struct(F.col("id").alias("k1"), F.lit(1).cast("long").alias("k2"))).otherwise(F.struct(F.xxhash64("text").alias("k1"), F.lit(0).cast("long").alias("k2")))
-    made = docs.select("id", F.arrow_udf(features, FEATURES)(F.col("text")).alias("f"), plain.alias("p"))
-    same = F.col("f.n") > 0
-    made = cut(made.select("id", F.col("f.n").alias("n"), F.when(same, F.col("f.k1")).otherwise(F.col("p.k1")).alias("k1"), F.when(same, F.col("f.k2")).otherwise(F.col("p.k2")).alias("k2"), F.col("f.sig").alias("sig"), F.col("f.low").alias("low")))
-    own = cut(made.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("low").alias("low")))
-
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * 4 * ROWS + 1, F.lit(4 * ROWS))))  # the keys of a text's buckets
-    keys = own.where("n > 0").select(F.col("rep").alias("id"), F.explode(bands).alias("key"))
-    many = keys.groupBy("key").count().where("count > 1")
-    keys = cut(keys.join(many, "key"))  # only ids that share a bucket go on; registers and texts are fetched for these
-    asked = keys.select("id").distinct()
-    few = F.broadcast(asked) if asked.count() <= MAX_IDS else asked
-    pool = cut(docs.join(few, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-    rows = keys.join(own.select(F.col("rep").alias("id"), "n", "low", bands.alias("bands")), "id")
+def _named(rows: DataFrame, best: int) -> DataFrame:
+    """Checkpointed output of _name_pairs for rows dealt by (key, i, j)."""
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return cut(dealt.mapInArrow(lambda x: _name_pairs(x, best), "key bigint, a bigint, b bigint"))
+
+
+def _alone(rows: DataFrame) -> DataFrame:
+    """Rows with blocks of about BLOCK members of a key; a block meets itself only. Needs `count`, the key's members."""
     parts = F.ceil(F.col("count") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("own", mine)
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
-    rows = cut(rows.withColumn("pair", pair).select("key", "pair.i", "pair.j", "own", "id", "n", "low", "bands"))
-
-    failed: DataFrame | None = None
-    label: DataFrame | None = None
-    best = BEST
-    while True:
-        state = rows
-        state = state.join(label.withColumnRenamed("node", "id"), "id", "left") if label is not None else state.withColumn("label", F.lit(None).cast("long"))
-        state = state.join(failed.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("failed")), "id", "left") if failed is not None else state.withColumn("failed", F.array().cast("array<bigint>"))
-        state = state.withColumn("class", F.coalesce("label", "id")).drop("label")
-        named = cut(state.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda x, best=best: _name_pairs(x, best), "key bigint, a bigint, b bigint"))
-        pairs = named.where("a is not null").select("a", "b").distinct()
-        tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested.isEmpty():
+    block = F.pmod(F.xxhash64("id", "key"), parts.cast("long"))
+    return rows.withColumns({"parts": parts, "own": block, "i": block, "j": block})
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows with the pairs of blocks that they take part in: a class of BLOCK members has blocks of its own, which don't meet."""
+    of = rows.groupBy("key", "class").agg(F.count("*").alias("_c"))
+    of = of.withColumn("_own", F.when(F.col("_c") >= BLOCK, F.col("class")).otherwise(F.lit(-1).cast("long")))
+    whole = of.groupBy("key", "_own").agg(F.ceil(F.sum("_c") / BLOCK).cast("int").alias("_parts"))
+    every = whole.groupBy("key").agg(F.collect_list(F.struct("_own", "_parts")).alias("_all"))  # a row per BLOCK members at most
+    rows = rows.join(of.where("_own >= 0").select("key", F.col("class"), "_own"), ["key", "class"], "left")
+    rows = rows.join(every, "key").withColumn("_own", F.coalesce("_own", F.lit(-1).cast("long")))
+    mine = F.element_at(F.filter("_all", lambda x: x["_own"] == F.col("_own"))["_parts"], 1)
+    name = lambda c, k: F.xxhash64(c, k.cast("long"))
+    rows = rows.withColumn("own", name(F.col("_own"), F.pmod(F.xxhash64("id"), mine.cast("long"))))
+    others = F.filter("_all", lambda x: (x["_own"] < 0) | (x["_own"] != F.col("_own")))
+    to = F.flatten(F.transform(others, lambda x: F.transform(F.sequence(F.lit(0), x["_parts"] - 1), lambda k: name(x["_own"], k))))
+    meet = F.explode(F.transform(to, lambda b: F.struct(F.least("own", b).alias("i"), F.greatest("own", b).alias("j"))))
+    return rows.withColumn("_pair", meet).withColumns({"i": F.col("_pair.i"), "j": F.col("_pair.j"), "parts": F.lit(1)}).drop("_pair", "_all", "_own")
+
+
+def _foreign(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, foreign: the weight of a text's shingles that stand in open texts of other classes. open_: id, class."""
+    each = open_.join(texts, "id").select("id", "class", F.explode(F.arrow_udf(text_bag, "array<struct<e: bigint, w: bigint>>")(F.col("text"))).alias("x"))
+    each = cut(each.select("id", "class", "x.e", "x.w"))
+    known = each.groupBy("e").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi").select("e")
+    return each.join(known, "e").groupBy("id").agg(F.sum("w").alias("foreign"))
+
+
+def _nodes(docs: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, h1, h2 of the text, n, k1, k2) and nodes (k1, k2, n, id, one row's doc, h1, h2, low, bands)."""
+    docs = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).withColumns(_text_hashes())
+    alone = F.struct(F.monotonically_increasing_id().alias("k1"), F.lit(1).cast("long").alias("k2"))
+    plain = F.when(F.col("text").isNull(), alone).otherwise(F.struct(F.col("h1").alias("k1"), F.lit(0).cast("long").alias("k2")))
+    made = docs.select("doc", "h1", "h2", F.arrow_udf(features, FEATURES)(F.col("text")).alias("f"), plain.alias("p"))
+    key = F.when(F.col("f.n") > 0, F.struct("f.k1", "f.k2")).otherwise(F.col("p"))
+    made = cut(made.select("doc", "h1", "h2", F.col("f.n").alias("n"), key.alias("k"), "f.low", "f.bands").select("*", "k.*").drop("k"))
+    one = F.min_by(F.struct("doc", "h1", "h2", "low", "bands"), F.struct(F.col("doc").isNull(), "doc", "h1", "h2")).alias("r")
+    nodes = made.groupBy("k1", "k2", "n").agg(one).select("k1", "k2", "n", "r.*", F.monotonically_increasing_id().alias("id"))
+    return made.drop("low", "bands"), cut(nodes)
+
+
+def _text_hashes(text: str = "text") -> dict:
+    return {"h1": F.xxhash64(text), "h2": F.xxhash64(text, F.lit(1))}
+
+
+def _labels(docs: DataFrame, nodes: DataFrame, text: str, id: str) -> DataFrame | None:
+    """node, label of the nodes that have links; None without any."""
+    keys = nodes.where("n > 0").select("id", F.explode("bands").alias("key"))
+    many = keys.groupBy("key").count().where("count > 1")
+    keys = cut(keys.join(many, "key"))  # only nodes that share a bucket go on; registers and texts are fetched for these
+    rows = keys.join(nodes.select("id", "n", "low", "bands"), "id")
+    asked = nodes.join(keys.select("id").distinct(), "id", "left_semi").select("id", F.col("doc").alias("_doc"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
+    asked = F.broadcast(asked) if asked.count() <= MAX_IDS else asked
+    have = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).withColumns(_text_hashes())
+    same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & F.col("doc").eqNullSafe(F.col("_doc"))
+    texts = cut(have.join(asked, same).groupBy("id").agg(F.min("text").alias("text")))
+
+    def verified(named: DataFrame) -> DataFrame:
+        tested = named.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        both = tested.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        return cut(both.select("a", "b", F.arrow_udf(text_similarity, "double")(F.col("ta"), F.col("tb")).alias("s")))
+
+    fresh = {"class": F.col("id"), "foreign": F.col("n"), "failed": F.array().cast("array<bigint>")}
+    rows = rows.withColumns(fresh)
+    named = every = _named(_alone(rows), BEST)
+    while True:  # the hubs of a bucket's blocks meet, until one block holds them
+        hubs = named.where("a is not null and b is null").select("key", F.col("a").alias("id"))
+        hubs = hubs.join(hubs.groupBy("key").agg(F.count("*").alias("count")).where("count > 1"), "key")
+        if hubs.isEmpty():
             break
-        found = tested.join(pool.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(pool.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        found = cut(found.select("a", "b", F.arrow_udf(text_similarity, "double")(F.col("ta"), F.col("tb")).alias("s")))
-        good = found.where(F.col("s") >= SIMILARITY).select("a", "b")
+        named = _named(_alone(rows.drop("count").join(hubs, ["key", "id"])), BEST)
+        every = every.unionByName(named)
+    rows, best, label, failed = rows.drop("count", *fresh), BEST, None, None
+    while True:
+        found = verified(every)
+        good, bad = found.where(F.col("s") >= SIMILARITY).select("a", "b"), found.where(F.col("s") < SIMILARITY).select("a", "b")
         if not good.isEmpty():
             label = components(good, label)
-        bad = found.where(F.col("s") < SIMILARITY).select("a", "b")
         failed = bad if failed is None else failed.unionByName(bad)
-        best *= 8  # what is still open has few classes left: fewer rounds
-        rows = cut(rows.join(named.where("a is null").select("key").distinct(), "key", "left_semi"))
+        left = every.where("b is null").select("key").distinct()
+        rows = cut(rows.join(left, "key", "left_semi"))
         if rows.isEmpty():
-            break
-    to = own.select("k1", "k2", "n", "rep")
-    to = to.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("class_id")) if label is not None else to.withColumnRenamed("rep", "class_id")
-    return made.select("id", "n", "k1", "k2").join(to, ["k1", "k2", "n"]).select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "class_id")
+            return label
+        state = rows.withColumn("class", F.col("id"))
+        if label is not None:
+            state = rows.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("label", "id")).drop("label")
+        few = _foreign(state.select("id", "class").distinct(), texts).where(F.col("foreign").isNotNull())
+        state = state.join(few, "id").where(F.col("foreign") >= SIMILARITY * F.col("n") - 1e-6)
+        state = state.join(failed.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("failed")), "id", "left")
+        best *= 8  # what is still open has few classes left: fewer rounds
+        every = _named(_blocks(state), best)
+        if every.isEmpty():
+            return label
+
 
+def _classed(docs: DataFrame, text: str, id: str) -> DataFrame:
+    """doc, h1, h2, n, class of every row."""
+    made, nodes = _nodes(docs, text, id)
+    to, label = nodes.select("k1", "k2", "n", F.col("id").alias("node")), _labels(docs, nodes, text, id)
+    to = to.withColumn("class", F.col("node")) if label is None else to.join(label, "node", "left").withColumn("class", F.coalesce("label", "node"))
+    return made.join(to.select("k1", "k2", "n", "class"), ["k1", "k2", "n"]).select("doc", "h1", "h2", "n", "class")
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs without near duplicates: of every class the document with the smallest doc_id, once. Rows without doc_id stay."""
-    best = classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(best, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+def classes(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest doc_id of the class); one row per input row."""
+    rows = cut(_classed(docs, text, id))
+    least = rows.groupBy("class").agg(F.min("doc").alias("class_id"))
+    return rows.join(least, "class").select(F.col("doc").alias(id), F.col("n").alias("n_shingles"), "class_id")
+
+
+def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """docs without near duplicates: of every class the row with the smallest doc_id (then the smallest text hashes), once."""
+    rows = _classed(docs, text, id)
+    first = F.min_by(F.struct("doc", "h1", "h2"), F.struct(F.col("doc").isNull(), "doc", "h1", "h2")).alias("r")
+    best = rows.groupBy("class").agg(first).select(F.col("r.doc").alias("_doc"), F.col("r.h1").alias("_h1"), F.col("r.h2").alias("_h2"))
+    # null texts are classes of their own, so all their rows stay
+    body = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("body")
+    have = docs.select(body, F.col(id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    have = have.select("body", "doc", *(c.alias(k) for k, c in _text_hashes().items()), F.col("text").isNull().alias("none"))
+    same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & F.col("doc").eqNullSafe(F.col("_doc"))
+    kept = have.where("not none").join(best.distinct(), same, "left_semi").dropDuplicates(["doc", "h1", "h2"])
+    return kept.select("body.*").unionByName(docs.where(F.col(text).isNull()))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

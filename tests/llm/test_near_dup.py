@@ -103,22 +103,57 @@ def test_signature_is_unbiased_and_counts_multiplicity():
 
 
 def test_edges(spark):
-    df = spark.createDataFrame([(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (None, "a b c d e f", "s"), (2, "a b c d e f", "s"), (3, None, "s"), (4, None, "s")], "doc_id long, text string, source string")
-    assert sorted((r.doc_id, r.n_shingles, r.class_id) for r in nd.classes(df).collect()) == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 0, 4)]
+    rows = [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (None, "a b c d e f", "s"), (2, "a b c d e f", "s"), (3, None, "s"), (4, None, "s"), (None, "z", "s"), (None, None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    got = sorted((key((r.doc_id, r.n_shingles, r.class_id)) for r in nd.classes(df).collect()))
+    assert got == [(-1, 0, -1), (-1, 1, -1), (-1, 2, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 0, 4)]
     kept = nd.deduplicate(df)
-    assert kept.columns == df.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 4]
-    assert nd.classes(df.limit(0)).collect() == []
+    assert kept.columns == df.columns and sorted(key((r.doc_id, r.text or "")) for r in kept.collect()) == [(-1, ""), (-1, "z"), (1, "a b c d e f"), (3, ""), (4, "")]
+    assert nd.classes(df.limit(0)).collect() == [] and nd.deduplicate(df.limit(0)).collect() == []
+
+
+def test_rows_of_one_id_are_documents_by_their_texts(spark):
+    """No text vanishes that isn't like a kept one, and links hold for every row's own text."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    df = spark.createDataFrame([(1, a, 0), (1, b, 0), (2, b + " z", 0), (3, a + " z", 0), (4, "x y", 0)], "doc_id long, text string, h1 int")
+    assert sorted((r.doc_id, r.class_id) for r in nd.classes(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    assert sorted((r.doc_id, r.text) for r in nd.deduplicate(df).collect()) == [(1, a), (1, b), (4, "x y")]
+    assert nd.deduplicate(df).columns == df.columns
+
+
+def test_bound_on_shared_weight_is_exact(spark):
+    """foreign counts a text's shingles that stand in other classes, with their weights."""
+    texts = [(1, 1, "a b c d e f"), (2, 1, "a b c d e g"), (3, 3, "a b c d e a b c d e")]
+    got = nd._foreign(spark.createDataFrame([t[:2] for t in texts], "id long, class long"), spark.createDataFrame([(t[0], t[2]) for t in texts], "id long, text string"))
+    assert {r.id: r.foreign for r in got.collect()} == {1: 1, 2: 1, 3: 2}
+
+
+def test_large_group_without_a_base(spark, monkeypatch):
+    """Variants in blocks, many of them just under the threshold to all others: classes equal those of all pairs."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(60):
+        own = list(base)
+        for p in rng.sample(range(150), rng.randrange(1, 6)):
+            own[p] = f"x{k}_{p}"
+        rows.append((k, " ".join(own)))
+    monkeypatch.setattr(nd, "BLOCK", 7)
+    monkeypatch.setattr(nd, "SMALL", 3)
+    got = {r.doc_id: r.class_id for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and 1 < len(set(got.values())) < 60
 
 
 def test_first_bucket_is_told_by_whole_registers():
     """An earlier band that agrees in its lowest bytes only is no bucket that the pair shares."""
-    one = np.arange(1, nd.REGISTERS + 1, dtype="<u4")
-    two = one.copy()
-    two[[0, *range(2 * nd.ROWS, nd.BANDS * nd.ROWS, nd.ROWS)]] += 256  # all bands but the second differ, above the lowest byte
-    keys = [[hash((b, x[b * nd.ROWS : (b + 1) * nd.ROWS].tobytes())) for b in range(nd.BANDS)] for x in (one, two)]
+    sig = np.tile(np.arange(1, nd.REGISTERS + 1, dtype="<u4"), (2, 1))
+    sig[1, [0, *range(2 * nd.ROWS, nd.BANDS * nd.ROWS, nd.ROWS)]] += 256  # all bands but the second differ, above the lowest byte
+    keys = nd.band_keys(sig).tolist()
     (key,) = set(keys[0]) & set(keys[1])
-    low = [x.astype(np.uint8).tobytes() for x in (one, two)]
-    assert low[0] == low[1]
-    t = pa.table({"key": [key] * 2, "band": [1] * 2, "i": [0] * 2, "j": [0] * 2, "own": [0] * 2, "id": [1, 2], "n": [296, 297], "low": low, "bands": keys, "class": [1, 2], "failed": [[], []]})
+    low = [x.astype(np.uint8).tobytes() for x in sig]
+    assert low[0] == low[1] and key == keys[0][1]
+    same = {"key": [key] * 2, "i": [0] * 2, "j": [0] * 2, "own": [0] * 2, "parts": [1] * 2}
+    t = pa.table(same | {"id": [1, 2], "n": [296, 297], "foreign": [296, 297], "low": low, "bands": keys, "class": [1, 2], "failed": [[], []]})
     named = [tuple(r.values()) for b in nd._name_pairs(iter(t.to_batches()), nd.BEST) for r in b.to_pylist()]
     assert sorted(named) == [(key, 1, 2), (key, 2, 1)]

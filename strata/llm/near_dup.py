@@ -45,8 +45,8 @@ REGISTERS, BANDS, ROWS = 128, 16, 4
 AGREE = 89
 #: Blocks of up to SMALL members name all candidates at once; in larger ones each member names BEST besides the hub, in later rounds more.
 SMALL, BEST, BLOCK = 48, 1, 1024
-#: Rows that are broadcast to pick the texts of candidates (24 bytes each); more are joined by shuffle.
-MAX_IDS = 500_000
+#: Rows of a few numbers that are broadcast (some 40 bytes each); more are joined by shuffle.
+MAX_IDS = 200_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -230,17 +230,16 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 
 def _name_pairs(batches: Iterator[pa.RecordBatch], best: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, a, b) of pairs to verify, by a's best candidates; (key, hub, null) of a block among several; (key, null, null) where more are left."""
-    names = ["key", "a", "b"]
+    """Rows (key, a, b, null) of pairs to verify, once each; (key, hub, null, parts) of a block among several; (key, null, null, null) where more are left."""
+    names = ["key", "a", "b", "parts"]
     out: list[tuple] = []
     for t in _groups(batches, ["key", "i", "j"]):
         ids, n, group, own, foreign = (np.asarray(t[c]) for c in ("id", "n", "class", "own", "foreign"))
         apart, key, size = t["i"][0].as_py() != t["j"][0].as_py(), t["key"][0].as_py(), len(t)
-        hub, several = 0, t["parts"][0].as_py() > 1
+        hub, parts = 0, t["parts"][0].as_py()
         if len(np.unique(group)) > 1:
             low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(size, REGISTERS)
             bands = np.asarray(t["bands"].combine_chunks().flatten()).reshape(size, BANDS)
-            failed = [set(x or ()) for x in t["failed"].to_pylist()]
             may = np.zeros((size, size), np.uint8)  # agreeing registers of candidate pairs, else 0
             for x in range(size):
                 # the most that two texts of different classes can share, against what a link needs
@@ -255,22 +254,20 @@ def _name_pairs(batches: Iterator[pa.RecordBatch], best: int) -> Iterator[pa.Rec
                     # a pair belongs to the first bucket that it shares, so no other bucket names it again
                     shared = bands[y] == bands[x]
                     may[x, y] = np.where(bands[x][shared.argmax(1)] == key, agree, 0)
-            for x in range(size):
-                if failed[x] and (gone := [k for k in np.flatnonzero(may[x]).tolist() if int(ids[k]) in failed[x]]):
-                    may[x, gone], may[gone, x] = 0, 0
             count = (may > 0).sum(1)
             hub = int(np.lexsort((ids, -may.sum(1, dtype=np.int64), -count))[0])
-            more = False
+            more, pairs = False, set()
             for x in np.flatnonzero(count).tolist():
                 y = np.flatnonzero(may[x])
                 # the member with most candidates goes first: its links make short paths
                 y = y[np.lexsort((ids[y], -may[x, y].astype(np.int64), y != hub))][: size if size <= SMALL else best + 1].tolist()
                 more |= count[x] > len(y)
-                out += [(key, int(ids[x]), int(ids[k])) for k in y]
+                pairs.update((min(x, k), max(x, k)) for k in y)
+            out += [(key, int(ids[x]), int(ids[y]), None) for x, y in pairs]
             if more:
-                out.append((key, None, None))
-        if several:
-            out.append((key, int(ids[hub]), None))
+                out.append((key, None, None, None))
+        if parts > 1:
+            out.append((key, int(ids[hub]), None, parts))
         if len(out) > 20_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
             out = []
@@ -279,24 +276,30 @@ def _name_pairs(batches: Iterator[pa.RecordBatch], best: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
 
+def handy(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= MAX_IDS else df
+
+
 def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """node, label (the smallest node of its component) of every node in edges (a, b).
+    """node, label (the smallest node of its component) of every node in edges (a, b), which are read several times: give a written table.
 
     `start`: labels known before, of parts of components. Each pass takes the smallest label around and then its
     label, so long chains fold quickly; the passes end when no label changes.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = edges.select("a", "b")
     if start is not None:  # a node's label stands for what was known before
-        both = both.unionByName(start.select(F.col("node").alias("a"), F.col("label").alias("b"))).unionByName(start.select(F.col("label").alias("a"), F.col("node").alias("b"))).distinct()
-    both = cut(both)
+        both = both.unionByName(start.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
     labels = labels if start is None else labels.join(start.withColumnRenamed("label", "l"), "node", "left").select("node", F.least("label", "l").alias("label"))
     labels = cut(labels)
     while True:
-        seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
-        near = labels.join(seen, labels.node == seen.a).select("node", F.col("label").alias("old"), F.least("label", "m").alias("to"))
-        up = labels.select(F.col("node").alias("to"), F.col("label").alias("top"))
-        step = cut(near.join(up, "to").select("node", "old", F.least("to", "top").alias("label")))
+        known = handy(labels)
+        seen = both.join(known, both.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
+        near = seen.join(known, seen.a == labels.node).select("node", F.col("label").alias("old"), F.least("label", "m").alias("to"))
+        step = near.join(known.select(F.col("node").alias("to"), F.col("label").alias("top")), "to").select("node", "old", F.least("to", "top").alias("label"))
+        step = cut(step)
         labels = step.select("node", "label")
         if step.where("old <> label").isEmpty():
             return labels
@@ -305,7 +308,7 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
 def _named(rows: DataFrame, best: int) -> DataFrame:
     """Checkpointed output of _name_pairs for rows dealt by (key, i, j)."""
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return cut(dealt.mapInArrow(lambda x: _name_pairs(x, best), "key bigint, a bigint, b bigint"))
+    return cut(dealt.mapInArrow(lambda x: _name_pairs(x, best), "key bigint, a bigint, b bigint, parts bigint"))
 
 
 def _alone(rows: DataFrame) -> DataFrame:
@@ -316,28 +319,40 @@ def _alone(rows: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows with the pairs of blocks that they take part in: a class of BLOCK members has blocks of its own, which don't meet."""
-    of = rows.groupBy("key", "class").agg(F.count("*").alias("_c"))
-    of = of.withColumn("_own", F.when(F.col("_c") >= BLOCK, F.col("class")).otherwise(F.lit(-1).cast("long")))
-    whole = of.groupBy("key", "_own").agg(F.ceil(F.sum("_c") / BLOCK).cast("int").alias("_parts"))
-    every = whole.groupBy("key").agg(F.collect_list(F.struct("_own", "_parts")).alias("_all"))  # a row per BLOCK members at most
-    rows = rows.join(of.where("_own >= 0").select("key", F.col("class"), "_own"), ["key", "class"], "left")
-    rows = rows.join(every, "key").withColumn("_own", F.coalesce("_own", F.lit(-1).cast("long")))
-    mine = F.element_at(F.filter("_all", lambda x: x["_own"] == F.col("_own"))["_parts"], 1)
+    """Rows with the pairs of blocks that they take part in: a class of BLOCK members has blocks of its own, which don't meet.
+
+    `count` is what a key had in the first round, so keys of one block need no counting.
+    """
+    whole = rows.withColumns({"own": F.lit(0).cast("long"), "i": F.lit(0).cast("long"), "j": F.lit(0).cast("long"), "parts": F.lit(1)})
+    small, large = whole.where(F.col("count") <= BLOCK), rows.where(F.col("count") > BLOCK)
+    if large.isEmpty():
+        return small
+    of = large.groupBy("key", "class").agg(F.count("*").alias("_c"))
+    # a row per BLOCK members at most
+    big = F.collect_list(F.when(F.col("_c") >= BLOCK, F.struct("class", F.ceil(F.col("_c") / BLOCK).cast("int").alias("n"))))
+    rest = F.ceil(F.coalesce(F.sum(F.when(F.col("_c") < BLOCK, F.col("_c"))), F.lit(0)) / BLOCK).cast("int")
+    large = large.join(of.groupBy("key").agg(big.alias("_big"), rest.alias("_rest")), "key")
     name = lambda c, k: F.xxhash64(c, k.cast("long"))
-    rows = rows.withColumn("own", name(F.col("_own"), F.pmod(F.xxhash64("id"), mine.cast("long"))))
-    others = F.filter("_all", lambda x: (x["_own"] < 0) | (x["_own"] != F.col("_own")))
-    to = F.flatten(F.transform(others, lambda x: F.transform(F.sequence(F.lit(0), x["_parts"] - 1), lambda k: name(x["_own"], k))))
+    mine = F.get(F.filter("_big", lambda x: x["class"] == F.col("class")), F.lit(0))
+    group, parts = F.coalesce(mine["class"], F.lit(-1).cast("long")), F.coalesce(mine["n"], F.col("_rest"))
+    large = large.withColumn("own", name(group, F.pmod(F.xxhash64("id"), parts.cast("long"))))
+    count = lambda n: F.filter(F.sequence(F.lit(0), n), lambda k: k < n)
+    others = F.flatten(F.transform(F.filter("_big", lambda x: x["class"] != F.col("class")), lambda x: F.transform(count(x["n"]), lambda k: name(x["class"], k))))
+    to = F.concat(others, F.transform(count(F.col("_rest")), lambda k: name(F.lit(-1).cast("long"), k)))
     meet = F.explode(F.transform(to, lambda b: F.struct(F.least("own", b).alias("i"), F.greatest("own", b).alias("j"))))
-    return rows.withColumn("_pair", meet).withColumns({"i": F.col("_pair.i"), "j": F.col("_pair.j"), "parts": F.lit(1)}).drop("_pair", "_all", "_own")
+    large = large.withColumn("_pair", meet).withColumns({"i": F.col("_pair.i"), "j": F.col("_pair.j"), "parts": F.lit(1)})
+    return small.unionByName(large.select(small.columns))
 
 
-def _foreign(open_: DataFrame, texts: DataFrame) -> DataFrame:
-    """id, foreign: the weight of a text's shingles that stand in open texts of other classes. open_: id, class."""
-    each = open_.join(texts, "id").select("id", "class", F.explode(F.arrow_udf(text_bag, "array<struct<e: bigint, w: bigint>>")(F.col("text"))).alias("x"))
-    each = cut(each.select("id", "class", "x.e", "x.w"))
+def _foreign(open_: DataFrame, label: DataFrame | None, texts: DataFrame) -> DataFrame:
+    """id, class, foreign of the texts with the ids of open_: the weight of a text's shingles that stand in open texts of other classes."""
+    some = texts.join(open_.select("id"), "id", "left_semi")
+    label = None if label is None else handy(label)
+    some = some.withColumn("class", F.col("id")) if label is None else some.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("label", "id"))
+    bag = F.explode(F.arrow_udf(text_bag, "array<struct<e: bigint, w: bigint>>")(F.col("text"))).alias("x")
+    each = cut(some.select("id", "class", bag).select("id", "class", "x.e", "x.w"))
     known = each.groupBy("e").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi").select("e")
-    return each.join(known, "e").groupBy("id").agg(F.sum("w").alias("foreign"))
+    return each.join(known, "e").groupBy("id").agg(F.first("class").alias("class"), F.sum("w").alias("foreign"))
 
 
 def _nodes(docs: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame]:
@@ -361,47 +376,36 @@ def _labels(docs: DataFrame, nodes: DataFrame, text: str, id: str) -> DataFrame
     """node, label of the nodes that have links; None without any."""
     keys = nodes.where("n > 0").select("id", F.explode("bands").alias("key"))
     many = keys.groupBy("key").count().where("count > 1")
-    keys = cut(keys.join(many, "key"))  # only nodes that share a bucket go on; registers and texts are fetched for these
-    rows = keys.join(nodes.select("id", "n", "low", "bands"), "id")
-    asked = nodes.join(keys.select("id").distinct(), "id", "left_semi").select("id", F.col("doc").alias("_doc"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
-    asked = F.broadcast(asked) if asked.count() <= MAX_IDS else asked
+    # only nodes that share a bucket go on
+    rows = cut(keys.join(many, "key").join(nodes.select("id", "n", "low", "bands"), "id"))
+    asked = nodes.join(rows.select("id"), "id", "left_semi").select("id", F.col("doc").alias("_doc"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
+    asked = handy(cut(asked))
     have = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).withColumns(_text_hashes())
     same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & F.col("doc").eqNullSafe(F.col("_doc"))
     texts = cut(have.join(asked, same).groupBy("id").agg(F.min("text").alias("text")))
 
-    def verified(named: DataFrame) -> DataFrame:
-        tested = named.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def verified(tested: DataFrame) -> DataFrame:
         both = tested.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        return cut(both.select("a", "b", F.arrow_udf(text_similarity, "double")(F.col("ta"), F.col("tb")).alias("s")))
+        return cut(both.select("a", "b", F.arrow_udf(text_similarity, "double")(F.col("ta"), F.col("tb")).alias("s")).where(F.col("s") >= SIMILARITY))
 
-    fresh = {"class": F.col("id"), "foreign": F.col("n"), "failed": F.array().cast("array<bigint>")}
-    rows = rows.withColumns(fresh)
-    named = every = _named(_alone(rows), BEST)
+    named = every = _named(_alone(rows.withColumns({"class": F.col("id"), "foreign": F.col("n")})), BEST)
     while True:  # the hubs of a bucket's blocks meet, until one block holds them
-        hubs = named.where("a is not null and b is null").select("key", F.col("a").alias("id"))
-        hubs = hubs.join(hubs.groupBy("key").agg(F.count("*").alias("count")).where("count > 1"), "key")
+        hubs = named.where("parts is not null").select("key", F.col("a").alias("id"), F.col("parts").alias("count"))
         if hubs.isEmpty():
             break
-        named = _named(_alone(rows.drop("count").join(hubs, ["key", "id"])), BEST)
+        met = rows.drop("count").join(handy(hubs), ["key", "id"]).withColumns({"class": F.col("id"), "foreign": F.col("n")})
+        named = _named(_alone(met), BEST)
         every = every.unionByName(named)
-    rows, best, label, failed = rows.drop("count", *fresh), BEST, None, None
+    best, label = BEST, None
     while True:
-        found = verified(every)
-        good, bad = found.where(F.col("s") >= SIMILARITY).select("a", "b"), found.where(F.col("s") < SIMILARITY).select("a", "b")
+        good = verified(every.where("b is not null").select("a", "b"))
         if not good.isEmpty():
             label = components(good, label)
-        failed = bad if failed is None else failed.unionByName(bad)
-        left = every.where("b is null").select("key").distinct()
-        rows = cut(rows.join(left, "key", "left_semi"))
+        rows = cut(rows.join(handy(every.where("b is null").select("key")), "key", "left_semi"))
         if rows.isEmpty():
             return label
-        state = rows.withColumn("class", F.col("id"))
-        if label is not None:
-            state = rows.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("label", "id")).drop("label")
-        few = _foreign(state.select("id", "class").distinct(), texts).where(F.col("foreign").isNotNull())
-        state = state.join(few, "id").where(F.col("foreign") >= SIMILARITY * F.col("n") - 1e-6)
-        state = state.join(failed.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("failed")), "id", "left")
-        best *= 8  # what is still open has few classes left: fewer rounds
+        state = rows.join(_foreign(rows, label, texts), "id").where(F.col("foreign") >= SIMILARITY * F.col("n") - 1e-6)
+        best *= 4096  # what is still open has few classes left, and pairs that the bound lets pass: few rounds
         every = _named(_blocks(state), best)
         if every.isEmpty():
             return label

@@ -219,17 +219,20 @@ class Shard:
         self.sizes = np.ones(len(self.symbols), np.int64)
         rule = self.symbols >= self.first
         self.sizes[rule] = self.lengths[self.symbols[rule] - self.first]
+        self.flat: np.ndarray | None = None
 
     @staticmethod
     def row(symbols: np.ndarray, rules: np.ndarray, first: int) -> tuple[bytes, bytes, bytes]:
-        size = np.ones(len(rules), np.int64)
-        for i, (a, b) in enumerate(rules.tolist()):
-            size[i] = (size[a - first] if a >= first else 1) + (size[b - first] if b >= first else 1)
+        size: list[int] = []
+        for a, b in rules.tolist():
+            size.append((size[a - first] if a >= first else 1) + (size[b - first] if b >= first else 1))
         wide = 4 if first + len(rules) > 1 << 16 else 2
-        return np.concatenate([[first], rules.ravel()]).astype("<u4").tobytes(), size.astype("<u4").tobytes(), bytes([wide, 0, 0, 0]) + symbols.astype("<u4" if wide == 4 else "<u2").tobytes()
+        return np.concatenate([[first], rules.ravel()]).astype("<u4").tobytes(), np.array(size, "<u4").tobytes(), bytes([wide, 0, 0, 0]) + symbols.astype("<u4" if wide == 4 else "<u2").tobytes()
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids of symbols: every pass puts a rule's two sides in its place."""
+        """Ids of symbols: few are expanded by passes that put a rule's two sides in its place, many from all rules' expansions."""
+        if len(symbols) > len(self.rules):
+            return self._copied(symbols)
         while (rule := symbols >= self.first).any():
             at = np.arange(len(symbols)) + np.cumsum(rule) - rule
             out = np.empty(len(symbols) + int(rule.sum()), np.int64)
@@ -238,6 +241,30 @@ class Shard:
             symbols = out
         return symbols.astype(np.uint32)
 
+    def _copied(self, symbols: np.ndarray) -> np.ndarray:
+        """Every rule is written out once, those of one depth together; then each symbol copies its ids."""
+        if self.flat is None:
+            first, size = self.first, self.lengths
+            begin, depth = np.cumsum(size) - size, [0] * len(size)
+            for i, (a, b) in enumerate(self.rules.tolist()):
+                depth[i] = 1 + max(depth[a - first] if a >= first else 0, depth[b - first] if b >= first else 0)
+            self.flat, level = np.empty(int(size.sum()), np.uint32), np.array(depth)
+            for d in range(1, level.max(initial=0) + 1):
+                (own,) = np.nonzero(level == d)
+                to = begin[own]
+                for side in self.rules[own].astype(np.int64).T:
+                    rule = side >= first
+                    long, known = np.ones(len(side), np.int64), side[rule] - first
+                    long[rule] = size[known]
+                    self.flat[to[~rule]] = side[~rule]
+                    self.flat[ragged(to[rule], size[known])] = self.flat[ragged(begin[known], size[known])]
+                    to = to + long
+        rule = symbols >= self.first
+        long, start = np.ones(len(symbols), np.int64), len(self.flat) + np.arange(len(symbols))
+        known = symbols[rule] - self.first
+        long[rule], start[rule] = self.lengths[known], (np.cumsum(self.lengths) - self.lengths)[known]
+        return np.concatenate([self.flat, symbols.astype(np.uint32)])[ragged(start, long)]
+
     def document(self, start: int, stop: int) -> np.ndarray:
         """Ids of the symbols [start, stop), such as a document's."""
         return self.expand(self.symbols[start:stop])

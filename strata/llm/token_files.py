@@ -247,8 +247,8 @@ class Shard:
             first, size = self.first, self.lengths
             begin, depth = np.cumsum(size) - size, [0] * len(size)
             for i, (a, b) in enumerate(self.rules.tolist()):
-                depth[i] = 1 + max(depth[a - first] if a >= first else 0, depth[b - first] if b >= first else 0)
-            self.flat, level = np.empty(int(size.sum()), np.uint32), np.array(depth)
+                depth[i] = 1 + max(depth[x - first] if x >= first else 0 for x in (a, b))
+            self.flat, level = np.empty(int(size.sum()), np.uint32), np.array(depth, np.int64)
             for d in range(1, level.max(initial=0) + 1):
                 (own,) = np.nonzero(level == d)
                 to = begin[own]

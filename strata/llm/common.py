@@ -20,6 +20,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def prefix(df: DataFrame) -> str:
+    """A beginning that no column of df has, whatever the case, for names of an operator's own."""
+    name = "_x"
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "x"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,13 +1,14 @@
 """Benchmark decontamination: a hash set of the benchmark's n-grams is held against every window of a text.
 
 Items and texts are words (A-Z lower-cased). A gram is `n` consecutive item words; an item of fewer words, but
-not none, is one gram. The grams become a hash table sent to all tasks: buckets of (words, item ids). A text's windows
-are hashed, looked up by bucket, and verified word by word, all inside the text's own row: no join, no shuffle,
-so a passage that every text holds costs no more than any other. The table's size is checked; a benchmark of more
-than `MAX_GRAMS` grams is joined by hash instead (windows that some bucket may hold, then an equi-join on the
-gram), with the same result.
-
-Null or empty texts and items have no words: no hits. Repeated items count once each by item_id.
+not none, is one gram. The grams become hash tables of at most `TABLE_GRAMS` grams, which are literals sent to all tasks:
+buckets of (words, item ids), and a byte per bucket that says whether it holds any. A text's windows are hashed, looked
+up by bucket, and verified word by word, all inside the text's own row: no join, no shuffle, so a passage that every
+text holds costs no more than any other. A larger benchmark has more tables; one job looks at `JOB_TABLES` of them, then
+its hits are written and the next job goes on, so neither a plan nor the driver holds more than that.
+
+Null or empty texts and items have no words: no hits. Repeated items count once each by item_id, repeated texts each by
+itself. Very long texts are handled whole, in their row. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, table, words
+from strata.llm.common import cut, prefix, table, words
 
-N, MAX_GRAMS, BUCKETS_PER_GRAM = 10, 20_000, 16
+N, TABLE_GRAMS, JOB_TABLES, BUCKETS_PER_GRAM = 10, 20_000, 8, 16
 HIT = "array<struct<at: int, size: int, items: array<string>>>"
 
 
@@ -40,60 +41,73 @@ def _gram_hash(size: int) -> Column:
     return _hash(F.transform(F.split("gram", " "), lambda w: F.xxhash64(w)), F.lit(1), size)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, max_grams: int = MAX_GRAMS, text: str = "text") -> DataFrame:
-    """docs and _words, _hits (HIT: window starts from 1, by start then size)."""
-    spark = docs.sparkSession
-    gram = cut(grams(benchmark, n))
-    sizes, total = sorted(r["size"] for r in gram.select("size").distinct().collect()), gram.count()
-    docs = docs.withColumn("_words", words(F.col(text)))
-    if not sizes:
-        return docs.withColumn("_hits", F.array().cast(HIT))
-    if total > max_grams:
-        return _hits_by_join(docs, gram, sizes)
-    buckets = 16
-    while buckets < total * BUCKETS_PER_GRAM:
+def _literals(gram: DataFrame) -> tuple[int, Column, Column]:
+    """Number of buckets, a byte per bucket, and the buckets, of one table's grams with their hashes (h)."""
+    rows, buckets = gram.collect(), 16  # TABLE_GRAMS short rows at most
+    while buckets < len(rows) * BUCKETS_PER_GRAM:
         buckets *= 2
-    keyed = gram.withColumn("h", F.coalesce(*(F.when(F.col("size") == k, _gram_hash(k)) for k in sizes)))
-    table_: list[list] = [[] for _ in range(buckets)]
-    for r in keyed.withColumn("b", F.pmod("h", F.lit(buckets))).collect():  # at most max_grams short rows
-        table_[r.b].append({"size": r["size"], "gram": r.gram, "items": r["items"]})
+    held: list[list] = [[] for _ in range(buckets)]
+    for r in rows:
+        held[r.h % buckets].append({"size": r["size"], "gram": r.gram, "items": r["items"]})
+    kind = "array<array<struct<size: int, gram: string, items: array<string>>>>"
     # both fold into literals, which go out with the tasks once
-    filled = F.lit(bytes(bool(x) for x in table_))
-    lists = F.from_json(F.lit(json.dumps(table_, ensure_ascii=False)), "array<array<struct<size: int, gram: string, items: array<string>>>>")
-    docs = docs.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
-    found = []
-    for k in sizes:
-        at = F.when(F.size("_words") >= k, F.sequence(F.lit(1), F.size("_words") - k + 1)).otherwise(F.array().cast("array<int>"))
-
-        # transform() hands a second parameter the index, so the size is bound by functions of one parameter
-        def slot(i: Column, k: int = k) -> Column:
-            return (F.pmod(_hash(F.col("_h"), i, k), F.lit(buckets)) + 1).cast("int")
-
-        maybe = F.filter(at, lambda i: F.substring(filled, slot(i), F.lit(1)) != F.lit(b"\0"))
-        name = f"_maybe{k}"
-        docs = docs.withColumn(name, maybe)
-
-        def verified(i: Column, k: int = k) -> Column:
-            own = F.array_join(F.slice("_words", i, k), " ")
-            same = F.filter(F.element_at(lists, slot(i)), lambda g: (g["size"] == k) & (g["gram"] == own))
-            return F.struct(i.alias("at"), F.lit(k).alias("size"), F.flatten(F.transform(same, lambda g: g["items"])).alias("items"))
-
-        found.append(F.filter(F.transform(name, lambda i: verified(i)), lambda x: F.size(x["items"]) > 0))
-    docs = docs.withColumn("_hits", F.array_sort(F.concat(*found)) if len(found) > 1 else found[0])
-    return docs.drop("_h", *(f"_maybe{k}" for k in sizes))
-
-
-def _hits_by_join(docs: DataFrame, gram: DataFrame, sizes: list[int]) -> DataFrame:
-    """For a benchmark too large to hold in one row: windows are exploded and joined with the grams."""
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
-    docs = cut(docs)
-    each = None
-    for k in sizes:
-        at = F.when(F.size("_words") >= k, F.sequence(F.lit(1), F.size("_words") - k + 1)).otherwise(F.array().cast("array<int>"))
-        w = docs.select("_row", "_words", F.explode(at).alias("at")).select("_row", "at", F.lit(k).alias("size"), F.array_join(F.slice("_words", F.col("at"), k), " ").alias("gram"))
-        each = w if each is None else each.unionByName(w)
-    hit = each.join(gram, ["size", "gram"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "size", "items"))).cast(HIT).alias("_hits"))
-    return docs.join(hit, "_row", "left").withColumn("_hits", F.coalesce("_hits", F.array().cast(HIT))).drop("_row")
+    return buckets, F.lit(bytes(bool(x) for x in held)), F.from_json(F.lit(json.dumps(held, ensure_ascii=False)), kind)
+
+
+def _found(docs: DataFrame, own: str, tables: list[tuple[int, Column, Column]], sizes: list[int]) -> tuple[DataFrame, list[Column]]:
+    """docs with columns of windows whose bucket holds something, and the verified hits of each table and size."""
+    words_, hashes, found = f"{own}_words", f"{own}_h", []
+    for i, (buckets, filled, lists) in enumerate(tables):
+        for k in sizes:
+            at = F.when(F.size(words_) >= k, F.sequence(F.lit(1), F.size(words_) - k + 1)).otherwise(F.array().cast("array<int>"))
+
+            # transform() hands a second parameter the index, so what varies is bound by functions of one parameter
+            def slot(p: Column, k: int = k, buckets: int = buckets) -> Column:
+                return (F.pmod(_hash(F.col(hashes), p, k), F.lit(buckets)) + 1).cast("int")
+
+            def maybe(p: Column, filled: Column = filled, slot=slot) -> Column:
+                return F.substring(filled, slot(p), F.lit(1)) != F.lit(b"\0")
+
+            def verified(p: Column, k: int = k, lists: Column = lists, slot=slot) -> Column:
+                text = F.array_join(F.slice(words_, p, k), " ")
+                same = F.filter(F.element_at(lists, slot(p)), lambda g: (g["size"] == k) & (g["gram"] == text))
+                return F.struct(p.alias("at"), F.lit(k).alias("size"), F.flatten(F.transform(same, lambda g: g["items"])).alias("items"))
+
+            name = f"{own}_maybe_{i}_{k}"
+            docs = docs.withColumn(name, F.filter(at, _one(maybe)))
+            found.append(F.filter(F.transform(name, _one(verified)), lambda x: F.size(x["items"]) > 0))
+    return docs, found
+
+
+def _one(f):
+    """f as a function of one parameter."""
+    return lambda x: f(x)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text: str = "text", table_grams: int = TABLE_GRAMS) -> tuple[DataFrame, str, str]:
+    """docs with two columns, and their names: the words, and the hits (HIT: window starts from 1, by start then size)."""
+    gram = grams(benchmark, n)
+    sizes = [k for k in range(1, n + 1)]
+    gram = cut(gram.withColumn("h", F.pmod(F.coalesce(*(F.when(F.col("size") == k, _gram_hash(k)) for k in sizes)), F.lit(1 << 40))))
+    total = gram.count()
+    sizes = sorted(r["size"] for r in gram.select("size").distinct().collect())  # at most n
+    own = prefix(docs)
+    words_, hashes, out = f"{own}_words", f"{own}_h", f"{own}_hits"
+    columns = docs.columns
+    docs = docs.withColumn(words_, words(F.col(text)))
+    count = -(-total // table_grams)
+    # tables by hash, so none is much larger than table_grams
+    gram = gram.withColumn("t", F.pmod(F.floor(F.col("h") / 65_536), F.lit(max(count, 1))))
+    done: list[Column] = []
+    for first in range(0, count, JOB_TABLES):
+        tables = [_literals(gram.where(F.col("t") == t)) for t in range(first, min(count, first + JOB_TABLES))]
+        docs = docs.withColumn(hashes, F.transform(words_, lambda w: F.xxhash64(w)))
+        docs, found = _found(docs, own, tables, sizes)
+        docs = docs.withColumn(out, F.array_sort(F.concat(*done, *found)) if len(done) + len(found) > 1 else found[0])
+        docs, done = docs.select(*(f"`{c}`" for c in columns), words_, out), [F.col(out)]
+        if first + JOB_TABLES < count:
+            docs = cut(docs)
+    return (docs if count else docs.withColumn(out, F.array().cast(HIT))), words_, out
 
 
 def n_hit(found: Column) -> Column:
@@ -111,25 +125,27 @@ def item_ids(found: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda x: x["items"]))))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = N, text: str = "text", max_grams: int = MAX_GRAMS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = N, text: str = "text", table_grams: int = TABLE_GRAMS) -> DataFrame:
     """docs without contaminated documents; with remove="spans", all docs, the hit words cut out.
 
     With spans removed a hit text becomes its other words (A-Z lower-cased) joined by spaces.
     """
-    found = hits(docs, benchmark, n, max_grams, text)
+    found, words_, hit = hits(docs, benchmark, n, text, table_grams)
     if remove == "documents":
         # as a generator: a filter would be pushed below, and the words be split anew for every window
-        once = F.explode(F.when(F.size("_hits") == 0, F.array(F.lit(1))))
-        return found.select("*", once.alias("_clean")).drop("_words", "_hits", "_clean")
-    hit_at = F.array_distinct(F.flatten(F.transform("_hits", lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1))))
-    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("_words")), hit_at), lambda i: F.element_at("_words", i))
-    return found.withColumn(text, F.when(F.size("_hits") > 0, F.array_join(kept, " ")).otherwise(F.col(text))).drop("_words", "_hits")
+        once = F.explode(F.when(F.size(hit) == 0, F.array(F.lit(1))))
+        return found.select("*", once.alias(f"{hit}_none")).select(*(f"`{c}`" for c in docs.columns))
+    hit_at = F.array_distinct(F.flatten(F.transform(hit, lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1))))
+    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size(words_)), hit_at), lambda i: F.element_at(words_, i))
+    cleaned = F.when(F.size(hit) > 0, F.array_join(kept, " ")).otherwise(F.col(text)).alias(text)
+    return found.select(*(cleaned if c == text else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    found = found.select("doc_id", F.size("_words").cast("long").alias("n_words"), n_hit(F.col("_hits")).cast("long").alias("n_hit"), item_ids(F.col("_hits")).alias("i"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("i").cast("long").alias("n_items"), F.sha2(F.array_join("i", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    found, words_, hit = hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = found.select("doc_id", F.size(words_).cast("long").alias("n_words"), n_hit(F.col(hit)).cast("long").alias("n_hit"), item_ids(F.col(hit)).alias("i"))
+    ids = F.sha2(F.array_join("i", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("i").cast("long").alias("n_items"), ids, (F.col("n_hit") > 0).alias("contaminated"))
 
 
 ORACLE = r"""

@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.common import table
@@ -140,6 +140,16 @@ def likeness(a: str, b: str) -> float:
     return sum(t in x and t in y for t in least) / len(least) if x and y else 0.0
 
 
+def _range_of(value: Column, ends: list[int]) -> Column:
+    """Number of the last of the ascending ends that isn't above the value: a part by its first end, then the end in the part."""
+    step = max(1, round(len(ends) ** 0.5))
+    parts = [ends[i : i + step] for i in range(0, len(ends), step)]
+    below = lambda x: F.size(F.filter(x, lambda e: e <= value))
+    nth = below(F.array(*(F.lit(p[0]) for p in parts)))
+    own = F.element_at(F.array(*(F.array(*map(F.lit, p)) for p in parts)), nth)
+    return (nth - 1) * step + below(own) - 1
+
+
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id and text with bucket, guest: every row in its own range, and the lower end's rows in the range before.
 
@@ -150,7 +160,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     got = docs.agg(F.percentile_approx("_id", [i / ranges for i in range(ranges)], 10_000).alias("q"), F.min("_id").alias("least")).first()
     ends = sorted({got.least, *(got.q or [])}) if got.least is not None else [0]
-    found = F.size(F.filter(F.array(*map(F.lit, ends)), lambda x: x <= F.col("_id"))) - 1
+    found = _range_of(F.col("_id"), ends)
     before = F.when(F.col("_id").isin(ends), F.array(F.struct(F.col("_b").alias("bucket"), F.lit(0).alias("guest")), F.struct(F.pmod(F.col("_b") - 1, F.lit(len(ends))).alias("bucket"), F.lit(1).alias("guest"))))
     dealt = docs.withColumn("_b", found).select("_id", "doc_id", "text", F.inline(F.coalesce(before, F.array(F.struct(F.col("_b").alias("bucket"), F.lit(0).alias("guest"))))))
     return dealt.repartition(len(ends), "bucket").sortWithinPartitions("bucket", "guest", "_id", "text")

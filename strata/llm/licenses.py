@@ -2,16 +2,20 @@
 
 Words have A-Z lower-cased. A phrase's places are where its words stand consecutively in the whole text.
 
-A block is a line. A template fits a block when the share of the template's distinct words that the block has
-(containment) is at least `THRESHOLD`. The join is exact and filtered by
- - prefix: with the template's words ordered by their number of blocks in the corpus, rarest first, a fitting
-   block has one of the first |T| - o + 1 of them, o = ceil(THRESHOLD |T|);
- - length: a fitting block has at least o distinct words;
- - position: a block that first meets the template at place i of its order can reach at most |T| - i words.
-Only blocks that pass the prefix and length filters leave their document's row; they are joined by the word met.
-
-Null text counts as empty. A document's score is its best containment, 1 where a phrase stands. Templates are a
-short configured list; the join sends their words out only after a check of their number.
+A block is a window of 2L words, every L words, with L the longest template's number of words: so any L words in a row
+lie in one block, whatever lines they are wrapped into. A template fits a block when the share of the template's
+distinct words that the block has (containment) is at least `THRESHOLD`. A block's other words don't matter, so blocks
+are sets of template words. All words are ordered by their number of blocks in the corpus, rarest first. The join is
+exact and filtered by
+ - length: a fitting block has at least o = ceil(THRESHOLD |T|) template words;
+ - prefix: a fitting block has one of the first |T| - o + 1 words of the template, by which templates are looked up;
+ - position: with the first shared word at place i of the template's order and j of the block's, they share at most
+   1 + min(|T| - i - 1, |B| - j - 1) words.
+What passes is counted word by word. Templates are a short configured list (its words are checked to be at most
+`MAX_TEMPLATE_WORDS`), which goes out with the tasks; every document is joined inside its own row.
+
+Null text counts as empty, and an empty text has no block. Repeated rows are scanned each by itself, very long texts
+whole, other columns don't matter. A document's score is its best containment, 1 where a phrase stands.
 """
 
 from __future__ import annotations
@@ -57,46 +61,86 @@ def _places(docs: DataFrame, phrases) -> DataFrame:
     return docs.withColumn("_places", F.array_sort(F.concat(*found)) if found else F.array().cast("array<struct<at: int, label: string>>")).drop("_begin")
 
 
-def _line_words(text: Column) -> Column:
-    """Per line, its distinct words."""
-    return F.transform(F.split(text, "\n"), lambda x: F.array_distinct(words(x)))
+def _blocks(words_: Column, vocabulary: list[str], longest: int) -> Column:
+    """Per block its distinct words of the vocabulary."""
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(words_) / longest) - 2, F.lit(0)).cast("int"))
+    own = lambda k: F.array_distinct(F.filter(F.slice(words_, k * longest + 1, 2 * longest), lambda w: w.isin(vocabulary)))
+    return F.transform(starts, own)
 
 
-def templates(docs: DataFrame, given=TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> list[dict]:
-    """Label, words by the corpus's number of blocks (rarest first, ties by word) and the least overlap, of each template."""
+def _sets(given) -> tuple[list[tuple[str, list[str]]], list[str], int]:
+    """Templates as (label, distinct words), their vocabulary and the longest one's number of words."""
     sets = [(label, sorted(set(t.split()))) for t, label in given]
     vocabulary = sorted({w for _, s in sets for w in s})
     if len(vocabulary) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"{len(vocabulary)} template words; at most {MAX_TEMPLATE_WORDS} are sent to all tasks")
-    known = docs.select(F.explode(F.flatten(F.transform(_line_words(F.col(text)), lambda line: F.filter(line, lambda w: w.isin(vocabulary))))).alias("w"))
-    count = {r.w: r["count"] for r in known.groupBy("w").count().collect()}  # as many rows as template words
-    return [{"label": label, "words": sorted(s, key=lambda w: (count.get(w, 0), w)), "least": max(1, math.ceil(threshold * len(s) - 1e-9))} for label, s in sets]
+    return sets, vocabulary, max((len(t.split()) for t, _ in given), default=1)
+
+
+def order(docs: DataFrame, given=TEMPLATES, text: str = "text") -> list[str]:
+    """Template words by the corpus's number of blocks, rarest first, ties by word."""
+    _, vocabulary, longest = _sets(given)
+    blocks = docs.select(words(F.col(text).cast("string")).alias("w")).select(_blocks(F.col("w"), vocabulary, longest).alias("b"))
+    counted = blocks.select(F.explode(F.flatten("b")).alias("w")).groupBy("w").count()
+    count = {r.w: r["count"] for r in counted.collect()}  # as many rows as template words
+    return sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
+
+
+def _ints(values: list[int]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<int>")
+
+
+def _joined(blocks: Column, given, ranked: list[str], threshold: float, longest: int) -> Column:
+    """KIND of the blocks that a template fits."""
+    rank = {w: i + 1 for i, w in enumerate(ranked)}
+    sets = [(label, sorted(rank[w] for w in s), max(1, math.ceil(threshold * len(s) - 1e-9))) for label, s in _sets(given)[0]]
+    index: dict[int, list[int]] = {}
+    for t, (_, own, least) in enumerate(sets):
+        for r in own[: len(own) - least + 1]:
+            index.setdefault(r, []).append(t + 1)
+    head, words_ = sorted(index), F.array(*map(F.lit, ranked))
+    lists, least = F.array(*(_ints(index[r]) for r in head)), min(x[2] for x in sets)
+    table_ = F.array(*(F.struct(F.lit(label).alias("label"), _ints(own).alias("t"), F.lit(o).alias("least")) for label, own, o in sets))
+
+    def met(b: Column) -> Column:
+        """Templates by the prefix words that a block (sorted ranks) has."""
+        found = F.filter(b, lambda r: r.isin(head))
+        return F.array_distinct(F.flatten(F.transform(found, lambda r: F.element_at(lists, F.array_position(_ints(head), r).cast("int")))))
+
+    def fits(b: Column, t: Column) -> Column:
+        """Shared words of a block and a template, or null where a filter rules it out."""
+        i = F.array_position(t["t"], F.element_at(F.array_intersect(t["t"], b), 1))
+        j = F.array_position(b, F.element_at(F.array_intersect(t["t"], b), 1))
+        most = 1 + F.least(F.size(t["t"]) - i, F.size(b) - j)
+        return F.when((F.size(b) >= t["least"]) & (most >= t["least"]), F.size(F.array_intersect(t["t"], b)))
+
+    def of(x: Column) -> Column:
+        pairs = F.transform(met(x["ranks"]), lambda t: F.element_at(table_, t))
+        counted = F.transform(pairs, lambda t: F.struct(t["label"].alias("label"), t["least"].alias("least"), F.size(t["t"]).alias("n"), fits(x["ranks"], t).alias("both")))
+        good = F.filter(counted, lambda t: F.coalesce(t["both"] >= t["least"], F.lit(False)))
+        return F.transform(good, lambda t: F.struct(x["block"].alias("block"), t["label"].alias("label"), (t["both"] / t["n"]).alias("containment")))
+
+    placed = F.transform(blocks, lambda b, k: F.struct((k * longest).alias("block"), b.alias("words")))
+    long = F.filter(placed, lambda x: F.size(x["words"]) >= least)
+    ranks = F.transform(long, lambda x: F.struct(x["block"].alias("block"), F.array_sort(F.transform(x["words"], lambda w: F.array_position(words_, w).cast("int"))).alias("ranks")))
+    return F.array_sort(F.flatten(F.transform(ranks, of)))
+
+
+KIND = "array<struct<block: int, label: string, containment: double>>"
 
 
 def scan(docs: DataFrame, phrases=PHRASES, given=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_words, places array<struct<at, label>>, blocks array<struct<block, label, containment>>; one row per input row."""
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumns({"_a": F.xxhash64("doc_id", "text"), "_b": F.hash("doc_id", "text")})
-    wanted = templates(docs, given, threshold)
-    base = _places(docs.withColumn("_words", words(F.col("text"))), phrases).select("doc_id", "_a", "_b", F.size("_words").cast("long").alias("n_words"), F.col("_places").alias("places"))
-    prefix = [(w, t["label"], i, t["least"], t["words"]) for t in wanted for i, w in enumerate(t["words"][: len(t["words"]) - t["least"] + 1])]
-    kind = "array<struct<block: int, label: string, containment: double>>"
-    if not prefix:
-        return base.select("doc_id", "n_words", "places", F.array().cast(kind).alias("blocks"))
-    meets = sorted({p[0] for p in prefix})
-    least = min(t["least"] for t in wanted)
-    # prefix and length filters inside the document's row: only what passes becomes a row of its own
-    lines = docs.select("_a", "_b", F.posexplode(_line_words(F.col("text"))).alias("block", "w")).where(F.size("w") >= least)
-    met = lines.select("_a", "_b", "block", "w", F.explode(F.filter("w", lambda w: w.isin(meets))).alias("word"))
-    table_ = docs.sparkSession.createDataFrame(prefix, "word string, label string, at int, least int, t array<string>")
-    pairs = met.join(F.broadcast(table_), "word")  # at most MAX_TEMPLATE_WORDS rows of short words
-    shared = F.array_intersect(F.col("t"), F.col("w"))
-    first = F.array_position("t", F.element_at(shared, 1)) - 1
-    pairs = pairs.where((F.size("t") - F.col("at") >= F.col("least")) & (F.size("w") >= F.col("least")))
-    pairs = pairs.withColumn("_n", F.size(shared)).where((F.col("_n") >= F.col("least")) & (first == F.col("at")))
-    found = pairs.select("_a", "_b", "block", "label", (F.col("_n") / F.size("t")).alias("containment")).distinct()
-    found = found.groupBy("_a", "_b").agg(F.array_sort(F.collect_list(F.struct("block", "label", "containment"))).alias("blocks"))
-    return base.join(found, ["_a", "_b"], "left").select("doc_id", "n_words", "places", F.coalesce("blocks", F.array().cast(kind)).alias("blocks"))
+    """doc_id, n_words, places array<struct<at, label>>, blocks array<struct<block, label, containment>> (a block is told by
+    the number of words before it); one row per input row."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    found = _places(docs.select("doc_id", words(F.col("text")).alias("_words")), phrases)
+    blocks = F.array().cast(KIND)
+    if given:
+        _, vocabulary, longest = _sets(given)
+        ranked = order(docs, given)
+        found = found.withColumn("_blocks", _blocks(F.col("_words"), vocabulary, longest))
+        blocks = _joined(F.col("_blocks"), given, ranked, threshold, longest).cast(KIND)
+    return found.select("doc_id", F.size("_words").cast("long").alias("n_words"), F.col("_places").alias("places"), blocks.alias("blocks"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +160,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = "list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+LONGEST = max(len(t.split()) for t, _ in TEMPLATES)
 ORACLE = f"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 w as (select r, doc_id, {_WORDS.format("text")} as w, text from d),
@@ -123,8 +168,8 @@ p(p, label) as (values {", ".join(f"({p.split()!r}, '{label}')" for p, label in
 s as (select r, i, w, unnest(range(0, len(w))) as i0 from (select r, w, 0 as i from w where list_has_any(w, {sorted({p.split()[0] for p, _ in PHRASES})!r}))),
 b as (select r, i0 as i, label from s, p where w[i0 + 1] = p[1] and w[i0 + 1 : i0 + len(p)] = p),
 t(t, label) as (values {", ".join(f"({sorted(set(t.split()))!r}, '{label}')" for t, label in TEMPLATES)}),
-l as (select r, unnest(string_split(text, chr(10))) as line from d),
-m as (select r, label, len(list_intersect(t, lw)) / len(t) as c from (select r, list_distinct({_WORDS.format("line")}) as lw from l), t where len(list_intersect(t, lw)) >= ceil({THRESHOLD} * len(t) - 1e-9)),
+l as (select r, w, unnest(range(0, greatest(cast(ceil(len(w) / {LONGEST}) as bigint) - 1, 1))) as k from w),
+m as (select r, label, len(list_intersect(t, lw)) / len(t) as c from (select r, list_distinct(w[k * {LONGEST} + 1 : k * {LONGEST} + {2 * LONGEST}]) as lw from l), t where len(list_intersect(t, lw)) >= ceil({THRESHOLD} * len(t) - 1e-9)),
 bs as (select r, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from b group by r),
 ls as (select r, string_agg(distinct label, ',' order by label) as labels from (select r, label from b union all select r, label from m) group by r),
 ms as (select r, max(c) as c from m group by r)

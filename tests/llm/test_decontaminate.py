@@ -37,20 +37,22 @@ DOCS = [
 ]
 
 
-@pytest.mark.parametrize("most", [dec.MAX_GRAMS, 2])
+@pytest.mark.parametrize("most", [dec.TABLE_GRAMS, 5, 1])
 def test_against_brute_force(spark, most):
     docs = spark.createDataFrame([(*d, 1, "s") for d in DOCS], "doc_id long, text string, size int, gram string")
     bench = spark.createDataFrame([(*i, "x") for i in ITEMS], "item_id long, text string, items string")
-    got = dec.hits(docs, bench, n=4, max_grams=most).select("doc_id", "text", dec.F.size("_words").alias("w"), dec.n_hit(dec.F.col("_hits")).alias("h"), dec.item_ids(dec.F.col("_hits")).alias("i")).collect()
+    found, words_, hit = dec.hits(docs, bench, n=4, table_grams=most)
+    got = found.select("doc_id", "text", dec.F.size(words_).alias("w"), dec.n_hit(dec.F.col(hit)).alias("h"), dec.item_ids(dec.F.col(hit)).alias("i")).collect()
     assert len(got) == len(DOCS)
     for r in got:
         assert (r.w, r.h, r.i) == brute(r.text, ITEMS, 4)
 
 
 def test_removal(spark):
-    docs, bench = spark.createDataFrame([(*d, "s") for d in DOCS], "doc_id long, text string, source string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs, bench = spark.createDataFrame([(*d, "s", "w") for d in DOCS], "doc_id long, text string, source string, _x_words string"), spark.createDataFrame(ITEMS, "item_id long, text string")
     assert sorted(r.doc_id for r in dec.decontaminate(docs, bench, n=4).collect()) == [3, 4, 6]
     cut = {r.doc_id: r.text for r in dec.decontaminate(docs, bench, remove="spans", n=4).collect()}
     assert cut[6] == "clean words only" and cut[5] == "" and cut[1].split()[0] == "a" and cut[3] is None
+    assert dec.decontaminate(docs, bench, n=4).columns == docs.columns == dec.decontaminate(docs, bench, remove="spans", n=4).columns
     assert dec.decontaminate(docs, bench.limit(0)).count() == len(DOCS)
     assert dec.decontaminate(docs.limit(0), bench).count() == 0

@@ -22,6 +22,9 @@ TEXTS = [
     "mit mit license license",
     "the of in and " * 9000 + "Apache License",
     "permission is hereby granted free of charge to any person obtaining a copy",
+    "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following holds",
+    "x y z " * 40 + "\n * Permission is hereby granted,\n * free of charge, to any\n * person obtaining a copy of\n * this software" + " a b" * 50,
+    "any copy of this source is free and in use by the person",
 ]
 
 
@@ -29,9 +32,9 @@ def brute(text):
     w = words(text)
     base = [(i, label) for i in range(len(w)) for p, label in lic.PHRASES if w[i : i + len(p.split())] == p.split()]
     blocks = []
-    for n, line in enumerate((text or "").split("\n")):
+    for n in range(0, max(1, -(-len(w) // lic.LONGEST) - 1) * lic.LONGEST, lic.LONGEST):
         for t, label in lic.TEMPLATES:
-            own, t = set(words(line)), set(t.split())
+            own, t = set(w[n : n + 2 * lic.LONGEST]), set(t.split())
             if len(own & t) >= math.ceil(lic.THRESHOLD * len(t) - 1e-9):
                 blocks.append((n, label, len(own & t) / len(t)))
     return len(w), sorted(base), sorted(blocks)
@@ -44,6 +47,11 @@ def test_against_brute_force(spark):
     assert got == sorted((i is None, i or 0, *brute(t)) for i, t, _ in rows)
 
 
+def test_wrapped_notices_are_found(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS[-3:])), "doc_id long, text string")
+    assert {r.doc_id: {b.label for b in r.blocks} for r in lic.scan(df).collect()} == {0: {"bsd"}, 1: {"mit-text"}, 2: set()}
+
+
 def test_empty_table_and_no_templates(spark):
     df = spark.createDataFrame([(1, TEXTS[3])], "doc_id long, text string")
     assert lic.scan(df.limit(0)).collect() == []

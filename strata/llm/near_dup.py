@@ -344,15 +344,17 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return small.unionByName(large.select(small.columns))
 
 
-def _foreign(open_: DataFrame, label: DataFrame | None, texts: DataFrame) -> DataFrame:
-    """id, class, foreign of the texts with the ids of open_: the weight of a text's shingles that stand in open texts of other classes."""
-    some = texts.join(open_.select("id"), "id", "left_semi")
-    label = None if label is None else handy(label)
-    some = some.withColumn("class", F.col("id")) if label is None else some.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("label", "id"))
+def _foreign(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows (id, class, n and more) with foreign: the weight of a text's shingles that stand in open texts of other classes.
+
+    It is n less the weight of the shingles that one class alone has, which are the rarer ones.
+    """
+    ids = rows.select("id", "class").distinct()
     bag = F.explode(F.arrow_udf(text_bag, "array<struct<e: bigint, w: bigint>>")(F.col("text"))).alias("x")
-    each = cut(some.select("id", "class", bag).select("id", "class", "x.e", "x.w"))
-    known = each.groupBy("e").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi").select("e")
-    return each.join(known, "e").groupBy("id").agg(F.first("class").alias("class"), F.sum("w").alias("foreign"))
+    each = cut(texts.join(ids, "id").select("id", "class", bag).select("id", "class", "x.e", "x.w"))
+    alone = each.groupBy("e").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo = _hi").select("e")
+    own = each.join(alone, "e").groupBy("id").agg(F.sum("w").alias("_own"))
+    return rows.join(own, "id", "left").withColumn("foreign", F.col("n") - F.coalesce("_own", F.lit(0))).drop("_own")
 
 
 def _nodes(docs: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame]:
@@ -404,7 +406,11 @@ def _labels(docs: DataFrame, nodes: DataFrame, text: str, id: str) -> DataFrame
         rows = cut(rows.join(handy(every.where("b is null").select("key")), "key", "left_semi"))
         if rows.isEmpty():
             return label
-        state = rows.join(_foreign(rows, label, texts), "id").where(F.col("foreign") >= SIMILARITY * F.col("n") - 1e-6)
+        state = rows.withColumn("class", F.col("id"))
+        if label is not None:
+            known = handy(label.withColumnRenamed("node", "id"))
+            state = rows.join(known, "id", "left").withColumn("class", F.coalesce("label", "id")).drop("label")
+        state = _foreign(state, texts).where(F.col("foreign") >= SIMILARITY * F.col("n") - 1e-6)
         best *= 4096  # what is still open has few classes left, and pairs that the bound lets pass: few rounds
         every = _named(_blocks(state), best)
         if every.isEmpty():

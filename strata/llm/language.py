@@ -6,6 +6,7 @@ state. A document's probabilities are the mean over all its positions. Predictio
 Training: backpropagation through time in numpy on the driver, from at most `SAMPLE_DOCS` labelled rows per
 label (those with the smallest hash of their id) and one span of `SAMPLE_BYTES` of each, so its size is
 bounded. Null text, or a text without any letter: label `und`, score 0. With no labelled row everything is `und`.
+Repeated rows are predicted each by itself; an empty table gives no row; other columns are neither read nor in the way.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import blocks, raw, table, thin
+from strata.llm.common import blocks, raw, release, table, thin
 
 HIDDEN, WINDOW, BATCH = 8, 128, 2048
 SAMPLE_DOCS, SAMPLE_BYTES, STEPS = 256, 1_024, 260
@@ -72,16 +73,18 @@ def _gru_back(a, u, mask, keep, d_out):
     table_, rec = u
     hid = rec.shape[1]
     d_table, d_rec, d_h = np.zeros_like(table_), np.zeros_like(rec), np.zeros(d_out.shape[1:], np.float32)
+    each = np.empty((len(a), 3 * hid, a.shape[1]), np.float32)
     for t in range(len(a) - 1, -1, -1):
         h, z, r, gc, c = keep[t]
         d = (d_h + d_out[t]) * mask[t]
         d_c = d * (1 - z) * (1 - np.abs(c)) ** 2
         d_g = np.concatenate([d * (h - c) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2, d_c * gc * 0.5 * (1 - np.abs(2 * r - 1)) ** 2, d_c * r])
         d_x = np.concatenate([d_g[: 2 * hid], d_c])
-        for k in range(3 * hid):
-            d_table[k] += np.bincount(a[t], d_x[k], 256).astype(np.float32)
+        each[t] = d_x
         d_rec += d_g @ h.T
         d_h = rec.T @ d_g + d * z
+    for k in range(3 * hid):
+        d_table[k] = np.bincount(a.ravel(), each[:, k].ravel(), 256)
     return d_table, d_rec
 
 
@@ -105,7 +108,7 @@ class Model:
         """Mean label probabilities (texts, labels); 0 for an empty text."""
         total = np.zeros((len(texts), len(self.labels)), np.float64)
         done = 0
-        for part in blocks(texts):
+        for part in blocks(texts, 1 << 20):
             data, offsets = raw(part)
             size = np.diff(offsets)
             count = -(-size // WINDOW)
@@ -125,6 +128,7 @@ class Model:
                 np.add.at(total, done + doc[i : i + BATCH], pooled)
             total[done : done + len(part)] /= np.maximum(size, 1)[:, None]
             done += len(part)
+        release()
         return total
 
 

@@ -1,8 +1,11 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strata.llm import pii
@@ -66,7 +69,7 @@ def test_model_adds_what_patterns_swallow(spark, model):
         assert all(pii.valid(s[0], text[s[1] : s[2]]) for s in spans)
     swallowed = {(0, "card", 23, 39), (1, "phone", 9, 26), (7, "card", 17, 33), (8, "phone", 15, 32)}
     added = {(i, *s[:3]) for i, (_, spans) in got.items() for s in spans if not s[3]}
-    assert added and added <= swallowed
+    assert len(added & swallowed) >= 2 and not any(a == b[0] for a in (2, 3, 4, 6) for b in added)
     assert got[2][1] == got[3][1] == got[4][1] == []
     assert got[6][1] == [("ip", 0, 5006, True)]
     red = {r.doc_id: r.r for r in df.select("doc_id", pii.redact(model, F.col("text")).alias("r")).collect()}
@@ -85,11 +88,112 @@ def test_windows_reconcile_whole_texts(model):
     assert all(np.array_equal(a, b) and len(a) == len(t) for a, b, t in zip(model.tags(texts), alone, texts))
 
 
-def test_skipped_windows_hold_no_span(spark, model):
-    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '[0-9@]'").limit(150).collect()]
-    few, all_ = (model.tags([pii.classes(t) for t in texts], every) for every in (False, True))
-    for t, a, b in zip(texts, few, all_):
-        assert pii.added_spans(t, a, pii.base_spans(t)) == pii.added_spans(t, b, pii.base_spans(t))
+def test_model_adds_what_patterns_miss(model):
+    """Of forms that no pattern matches, and that the model has met in training as variants, most are found."""
+    texts = {"write to jos\u00e9@example.com now": "jos\u00e9@example.com", "the host 999.10.0.0.1 is up": "10.0.0.1", "root@localhost is it": "root@localhost", "for a.smith at mail dot example dot org please": "a.smith at mail dot example dot org", "on 97841278130 4929348385146306 thu": "4929348385146306"}
+    found = 0
+    for text, want in texts.items():
+        spans = pii.added_spans(text, model.tags([pii.classes(text)])[0], pii.base_spans(text))
+        found += want in [text[s:e] for _, s, e in spans]
+    assert found >= 3
+    kept = "the cat sat at the door and said nothing at all. a dot is a dot"
+    assert pii.added_spans(kept, model.tags([pii.classes(kept)])[0], []) == []
+
+
+def _run(text, at, chars):
+    while at < len(text) and text[at] in chars:
+        at += 1
+    return at
+
+
+NAME, DIGIT = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), set("0123456789")
+
+
+def _email(t, s):
+    e = _run(t, s, NAME | set("._%+-"))
+    if e == s or t[e : e + 1] != "@":
+        return None
+    at, labels = e + 1, 0
+    e = _run(t, at, NAME | {"-"})
+    while e > at:
+        labels, end = labels + 1, e
+        if t[e : e + 1] != ".":
+            break
+        at, e = e + 1, _run(t, e + 1, NAME | {"-"})
+    return end if labels > 1 else None
+
+
+def _ip(t, s):
+    for k in range(4):
+        e = _run(t, s, DIGIT)
+        if e == s or (k < 3 and t[e : e + 1] != "."):
+            return None
+        s = e + 1
+    return e
+
+
+def _card(t, s):
+    if t[s] not in DIGIT:
+        return None
+    end, at = s + 1, s + 1
+    while at < len(t):
+        at += t[at] in " -"
+        if at >= len(t) or t[at] not in DIGIT:
+            break
+        at = end = at + 1
+    return end if end > s + 1 else None
+
+
+def _phone(t, s):
+    if t[s] != "+" or t[s + 1 : s + 2] not in DIGIT or s + 1 == len(t):
+        return None
+    end = _run(t, s + 2, DIGIT | set(" ().-"))
+    while end > s + 3 and t[end - 1] not in DIGIT:
+        end -= 1
+    return end if end > s + 3 and t[end - 1] in DIGIT else None
+
+
+def brute(text):
+    """Base spans by trying every start, character by character, without regular expressions."""
+    out = []
+    for kind, match in (("email", _email), ("ip", _ip), ("card", _card), ("phone", _phone)):
+        s = 0
+        while s < len(text):
+            if (e := match(text, s)) is None:
+                s += 1
+                continue
+            digits = [int(c) for c in text[s:e] if c in DIGIT]
+            ok = kind == "email" or (kind == "phone" and 9 <= len(digits) <= 15)
+            ok |= kind == "ip" and all(int(g) <= 255 for g in text[s:e].split("."))
+            twice = [d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(reversed(digits))]
+            ok |= kind == "card" and 13 <= len(digits) <= 19 and sum(twice) % 10 == 0
+            out += [(kind, s, e)] * ok
+            s = e
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B.", "1", "9.", "0.0.", "@", "a@b.c", "-", "+1", "+", "(", " ", "25", "4845168114407329", "10.2.3.4", "4111 1111-1111 1111", "\u00e9", "_", "%", ")", "\n"]), max_size=14))
+def test_base_spans_against_brute_force(parts):
+    text = "".join(parts)
+    assert pii.base_spans(text) == brute(text)
+
+
+def test_a_megabyte_takes_linear_time(model):
+    for text in ("1" * 10**6 + " .", "a" * 10**6 + " x@y", "+1" + " " * 10**6, "1." * 500_000, "a@" * 500_000):
+        began = time.process_time()
+        base = pii.base_spans(text)
+        assert time.process_time() - began < 5
+        began = time.process_time()
+        pii.added_spans(text, (np.arange(len(text)) // 3 % 5).astype(np.int8), base)
+        assert time.process_time() - began < 60
+
+
+def test_empty_table_and_clashing_columns(spark, model):
+    df = spark.createDataFrame([(1, "a@b.c", "x"), (1, "a@b.c", "x"), (None, "", None)], "doc_id long, text string, spans string")
+    got = df.select("doc_id", "spans", pii.redact(model, F.col("text")).alias("r"))
+    assert sorted((r.doc_id or 0, r.r) for r in got.collect()) == [(0, ""), (1, "<email>"), (1, "<email>")]
+    assert df.limit(0).select(pii.find(None, F.col("text")).alias("s")).collect() == []
 
 
 def test_query(spark, tmp_path):

@@ -1,7 +1,8 @@
 """Corpus pipeline over `documents`: five stages, each written as Parquet and reread by the next.
 
 Every stage works on all rows its predecessor kept. Models are fitted on the stage's own input. Null and empty
-texts have no letter, so the first stage rejects them; rows without doc_id pass the deduplication as they are.
+texts have no letter, so the first stage rejects them; rows without doc_id take part like others. Repeated rows are
+copies, of which the second stage keeps one. Columns besides those of documents are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import byte_bpe, decontaminate, language, near_dup, pii
-from strata.llm.common import shared_dir, table
+from strata.llm.common import prefix, shared_dir, table
 
 #: A document whose best label has less than this pooled probability is rejected (as is one without any letter).
 LEAST_SCORE = 0.3
@@ -22,8 +23,9 @@ LEAST_SCORE = 0.3
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a recognised language; lang becomes the recognised one where it was null."""
     guess = language.predict(language.fit(docs), F.col("text").cast("string"))
-    kept = docs.withColumn("_p", guess).where((F.col("_p.lang") != language.UND) & (F.col("_p.score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce(F.col("lang"), F.col("_p.lang"))).select(docs.columns)
+    own = prefix(docs)
+    kept = docs.withColumn(own, guess).where((F.col(f"{own}.lang") != language.UND) & (F.col(f"{own}.score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce(F.col("lang"), F.col(f"{own}.lang"))).select(docs.columns)
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A shard holds whole documents in ascending doc_id order, about `SHARD_IDS` ids (a longer document is a shard by
 itself). Re-Pair works in rounds: count all adjacent pairs (by hash; of pairs in one bucket one is counted, the others
-wait for the next round; where that finds none, exactly), give each of the `PER_ROUND` most frequent ones that stand
+wait for the next round; once that finds fewer than `PER_ROUND`, exactly), give each of the `PER_ROUND` most frequent ones that stand
 at least `LEAST` times a nonterminal, replace from left to right (in a run of overlapping places every other one),
 until no pair stands `LEAST` times. No pair crosses a document's end. A file row holds the rules, every rule's
 expansion length, the symbols and where each document starts in them, so a span of a document is decoded by walking
@@ -102,13 +102,15 @@ class Encoder:
 
     def pieces(self, distinct: list[str]) -> list[bytes]:
         old, store = self.old, self.store
+        out = list(map(store.get, distinct))
+        miss = [i for i, ids in enumerate(out) if ids is None]
         new = []
-        for x in distinct:
-            if x not in store:
-                if (ids := old.get(x)) is None:
-                    new.append(x)
-                else:
-                    store[x] = ids
+        for i in miss:
+            x = distinct[i]
+            if (ids := old.get(x)) is None:
+                new.append(x)
+            else:
+                store[x] = ids
         kinds: tuple[list[str], list[str], list[str]] = ([], [], [])
         for x in new:
             kinds[0 if LETTERS(x) else 1 if SEPARATOR not in x else 2].append(x)
@@ -116,7 +118,8 @@ class Encoder:
             for i in range(0, len(some), 5_000):
                 store.update(zip(some[i : i + 5_000], self._joined(some[i : i + 5_000], tokenizer, separator)))
         store.update(zip(kinds[2], self._alone(kinds[2])))
-        out = [store[x] for x in distinct]
+        for i in miss:
+            out[i] = store[distinct[i]]
         if len(store) > CACHE_PIECES:
             self.old, self.store = store, {}
         return out
@@ -132,7 +135,7 @@ class Encoder:
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         flat = split.flatten().dictionary_encode()
         known = self.pieces(flat.dictionary.to_pylist())
-        size = np.array([len(x) for x in known], np.int64) // 4
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         ids, begin, at = np.frombuffer(b"".join(known), "<u4"), np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else np.zeros(0, np.int64), np.asarray(flat.indices, np.int64)
         words = np.diff(np.asarray(split.offsets, np.int64))
         per_word = size[at]
@@ -190,15 +193,17 @@ def compress(ids: np.ndarray, last: np.ndarray, per_round: int = PER_ROUND, leas
                 break
             exactly = True
             continue
+        exactly = exactly or len(best) < per_round  # few are left that a bucket can tell
         number = np.zeros(len(of), np.uint32)
         number[best] = total + np.arange(len(best))
-        place, h = place[number[h] > 0], h[number[h] > 0]
+        given = number[h]
+        place, given = place[given > 0], given[given > 0]
         run = np.flatnonzero(np.concatenate([[True], np.diff(place) > 1]))  # overlapping places: every other one
         nth = np.arange(len(place)) - np.repeat(run, np.diff(np.concatenate([run, [len(place)]])))
-        place, h = place[nth % 2 == 0], h[nth % 2 == 0]
+        place, given = place[nth % 2 == 0], given[nth % 2 == 0]
         rules.append(np.stack([a[of[best]], b[of[best]]], 1).astype(np.int64))
         s, end = s.copy(), end.copy()
-        s[place] = number[h]
+        s[place] = given
         end[place] = end[place + 1]
         stay = np.ones(len(s), bool)
         stay[place + 1] = False
@@ -300,7 +305,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int = SHARD_I
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [x.split()[0] for x in FILE.split(", ")])
 
         size = 0
-        for b in (x for batch in batches for x in slices(batch, 1, 6 << 20)):
+        for b in (x for batch in batches for x in slices(batch, 1, 12 << 20)):
             ids, counts = encoder(tokenizer).encode(b.column(1))
             names, ends, i = b.column(0).to_pylist(), np.cumsum(counts), 0
             while i < len(counts):  # up to the document with which the shard is full

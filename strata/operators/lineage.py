@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.session import cut
+
 #: event_time timestamp, kind string, job string, inputs array<string>, outputs array<struct<name, columns: map<string, array<struct<dataset, column>>>>>
 DEPTH = 50
 
@@ -33,23 +35,29 @@ def column_edges(events: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, start: list[str], depth: int = DEPTH, direction: str = "downstream") -> DataFrame:
     """node, distance of everything within `depth` steps of the start nodes along edges (source, target).
 
-    One join per step; a node already met isn't followed again. The driver holds no nodes, only whether a step found any.
+    One join per step; a node already met isn't followed again. Each step is written to the shared folder, so it reads its
+    predecessor alone. The driver holds no nodes, only whether a step found any.
     """
     spark = edges.sparkSession
     way = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
     back = edges.select(F.col("target").alias("a"), F.col("source").alias("b"))
-    way = {"downstream": way, "upstream": back, "both": way.unionByName(back)}[direction].distinct()
+    way = cut({"downstream": way, "upstream": back, "both": way.unionByName(back)}[direction].distinct())
     front = seen = spark.createDataFrame([(s, 0) for s in start], "node string, distance int")
     for step in range(1, depth + 1):
-        front = front.join(way, front.node == way.a).select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(step))
-        if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            front = front.checkpoint()
+        front = front.join(way, front.node == way.a).select(F.col("b").alias("node")).distinct()
+        front = cut(front.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(step)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
     return seen
 
 
+def trace(edges: DataFrame, start: list[str], statements: DataFrame, depth: int = DEPTH, direction: str = "both") -> DataFrame:
+    """source, target, job, sql of the edges among the nodes within reach; statements: job, sql."""
+    near = subgraph(edges, start, depth, direction)
+    return near.join(statements.select("job", "sql").dropDuplicates(["job"]), "job", "left").select("source", "target", "job", "sql")
+
+
 def subgraph(edges: DataFrame, start: list[str], depth: int = DEPTH, direction: str = "both") -> DataFrame:
     """Edges among the nodes within reach."""
     nodes = reach(edges, start, depth, direction).select("node")

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from strata.functions.text import AUDIT, text_of
 
+#: Groups into which the facts of one key are dealt for an as-of look-up.
+SALTS = 8
+
 
 def row_hash(df: DataFrame, columns: list[str]) -> Column:
     """md5 of the trimmed texts of columns joined by ||; null counts as empty."""
@@ -43,15 +46,32 @@ def with_hub_keys(satellite: DataFrame, hub: DataFrame, entity: str) -> DataFram
     return satellite.join(hub.select(hk, *keys), hk)
 
 
-def lookup(fact: DataFrame, dimension: DataFrame, on: dict[str, str], out: str, as_of: str | None = None) -> DataFrame:
-    """fact and `out`, the dimension's sk: valid at `as_of`, or current without it; '-1' where there is none."""
-    dim = dimension if as_of else dimension.where("is_current")
-    dim = dim.select(F.col("sk").alias(out), *(text_of(dim, d).alias(f"_d{i}") for i, d in enumerate(on.values())), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"))
-    test = reduce(Column.__and__, (text_of(fact, f) == F.col(f"_d{i}") for i, f in enumerate(on)))
-    if as_of:
-        test = test & (F.col(as_of) >= F.col("_from")) & ((F.col(as_of) < F.col("_to")) | F.col("_to").isNull())
-    joined = fact.join(dim, test, "left")
-    return joined.select(*fact.columns, F.coalesce(out, F.lit("-1")).alias(out))
+def lookup(fact: DataFrame, dimension: DataFrame, on: dict[str, str], out: str, as_of: str | None = None, carry: dict[str, str] | None = None) -> DataFrame:
+    """fact, `out` (the dimension's sk: valid at `as_of`, or current without it; '-1' where there is none) and carried columns.
+
+    `carry`: dimension columns by the names they get, so that no second join is needed. As of a time, each key's facts
+    and versions are sorted together and a fact takes the last version before it: one pass, however many versions a key
+    has. Facts of a key are spread by salt over `SALTS` groups, and the versions, which are few, go to each of them.
+    """
+    carry = carry or {}
+    if not as_of:
+        now = dimension.where("is_current")
+        now = now.select(F.col("sk").alias("_sk"), *(text_of(now, d).alias(f"_d{i}") for i, d in enumerate(on.values())), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry.values())))
+        test = reduce(Column.__and__, (text_of(fact, f) == F.col(f"_d{i}") for i, f in enumerate(on)))
+        joined = fact.join(now, test, "left")
+    else:
+        keys = [f"_d{i}" for i in range(len(on))]
+        facts = fact.select(F.struct(*(F.col(f"`{c}`") for c in fact.columns)).alias("_f"), *(text_of(fact, f).alias(k) for k, f in zip(keys, on)), F.col(as_of).cast("timestamp").alias("_at"))
+        facts = facts.withColumns({"_salt": F.floor(F.rand(7) * SALTS).cast("int"), "_v": F.lit(1)})
+        dim = dimension.select(*(text_of(dimension, d).alias(k) for k, d in zip(keys, on.values())), F.col("valid_from").cast("timestamp").alias("_at"), F.struct(F.col("valid_to").cast("timestamp").alias("to"), F.col("sk").alias("sk"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry.values()))).alias("_d"))
+        dim = dim.withColumns({"_salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))), "_v": F.lit(0)})
+        both = facts.unionByName(dim, allowMissingColumns=True)
+        upto = Window.partitionBy(*keys, "_salt").orderBy("_at", "_v").rowsBetween(Window.unboundedPreceding, 0)
+        joined = both.withColumn("_d", F.last("_d", ignorenulls=True).over(upto)).where("_v = 1")
+        known = reduce(Column.__and__, (F.col(k).isNotNull() for k in keys)) & F.col("_at").isNotNull()
+        valid = known & F.col("_d").isNotNull() & ((F.col("_at") < F.col("_d.to")) | F.col("_d.to").isNull())
+        joined = joined.withColumns({"_sk": F.when(valid, F.col("_d.sk")), **{f"_c{i}": F.when(valid, F.col(f"_d.c{i}")) for i in range(len(carry))}}).select("_f.*", "_sk", *(f"_c{i}" for i in range(len(carry))))
+    return joined.select(*(f"`{c}`" for c in fact.columns), F.coalesce("_sk", F.lit("-1")).alias(out), *(F.col(f"_c{i}").alias(n) for i, n in enumerate(carry)))
 
 
 def calendar(spark: SparkSession, first: str, last: str) -> DataFrame:

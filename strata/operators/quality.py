@@ -6,6 +6,7 @@ custom rules are jobs of their own. score = 100 (checked - failed) / checked, 10
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from strata.functions.text import text_of
 
 SAMPLE = 5
+_VIEWS = threading.Lock()
 
 
 @dataclass(frozen=True)
@@ -44,60 +46,137 @@ def _column_rule(df: DataFrame, rule: Rule) -> tuple[Column, Column]:
     raise ValueError(f"unknown rule {rule.kind}")
 
 
+def _sql(df: DataFrame, query: str) -> DataFrame:
+    """A query over `data`, as a view that is gone when the plan is made."""
+    with _VIEWS:
+        df.createOrReplaceTempView("data")
+        try:
+            return df.sparkSession.sql(query)
+        finally:
+            df.sparkSession.catalog.dropTempView("data")
+
+
+def _unmatched(df: DataFrame, rule: Rule, references: dict[str, DataFrame]) -> DataFrame:
+    """_k, count, _found of the known values of a referential rule's column: a frequent value is one row in the join."""
+    if (ref := references.get(rule.params["reference"])) is None:
+        raise ValueError(f"{rule.params['reference']} has no data")
+    known = ref.select(text_of(ref, rule.params["column"]).alias("_k")).where("_k is not null").distinct().withColumn("_found", F.lit(True))
+    rows = df.select(text_of(df, rule.columns[0]).alias("_k")).where("_k is not null")
+    return rows.groupBy("_k").count().join(known, "_k", "left")
+
+
 def _alone(df: DataFrame, rule: Rule, references: dict[str, DataFrame]) -> DataFrame:
     """checked, failed of a rule that needs a job of its own."""
-    p = rule.params
+    none = F.lit(0)
     if rule.kind == "unique":
         n = df.groupBy(*rule.columns).count()
-        return n.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("checked"), F.coalesce(F.sum(F.when(F.col("count") > 1, F.col("count"))), F.lit(0)).alias("failed"))
+        return n.agg(F.coalesce(F.sum("count"), none).alias("checked"), F.coalesce(F.sum(F.when(F.col("count") > 1, F.col("count"))), none).alias("failed"))
     if rule.kind == "referential":
-        ref = references[p["reference"]]
-        known = ref.select(text_of(ref, p["column"]).alias("_k")).where("_k is not null").distinct().withColumn("_found", F.lit(True))
-        rows = df.select(text_of(df, rule.columns[0]).alias("_k")).where("_k is not null")
-        # counted by value first: a frequent value is one row in the join
-        n = rows.groupBy("_k").count().join(known, "_k", "left")
-        return n.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("checked"), F.coalesce(F.sum(F.when(F.col("_found").isNull(), F.col("count"))), F.lit(0)).alias("failed"))
+        n, lost = _unmatched(df, rule, references), F.when(F.col("_found").isNull(), F.col("count"))
+        return n.agg(F.coalesce(F.sum("count"), none).alias("checked"), F.coalesce(F.sum(lost), none).alias("failed"))
     if rule.kind == "custom_sql":
-        name = f"data_{abs(hash((rule.name, p['sql'])))}"
-        df.createOrReplaceTempView(name)
-        bad = df.sparkSession.sql(p["sql"].replace("{data}", name)).agg(F.lit(0).alias("checked"), F.count("*").alias("failed"))
-        return df.agg(F.count("*").alias("checked"), F.lit(0).alias("failed")).unionAll(bad).agg(F.sum("checked").alias("checked"), F.sum("failed").alias("failed"))
+        bad = _sql(df, rule.params["sql"]).agg(none.alias("checked"), F.count("*").alias("failed"))
+        every = df.agg(F.count("*").alias("checked"), none.alias("failed"))
+        return every.unionAll(bad).agg(F.sum("checked").alias("checked"), F.sum("failed").alias("failed"))
     raise ValueError(f"unknown rule {rule.kind}")
 
 
-def failing(df: DataFrame, rule: Rule) -> DataFrame:
-    """Up to five distinct failing values (unique: keys) as text, in order."""
+def failing(df: DataFrame, rule: Rule, references: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Up to five distinct failing values as text, in order: keys (unique), whole rows as JSON (custom_sql), what was
+    measured (freshness, row_count), none for not_null."""
+    if rule.kind == "not_null":
+        return df.sparkSession.createDataFrame([], "value string")
     if rule.kind == "unique":
         keys = df.groupBy(*rule.columns).count().where("count > 1")
-        return keys.select(F.concat_ws("|", *(text_of(df, c) for c in rule.columns)).alias("value")).orderBy("value").limit(SAMPLE)
-    checked, bad = _column_rule(df, rule)
-    return df.where(checked & bad).select(text_of(df, rule.columns[0]).alias("value")).distinct().orderBy("value").limit(SAMPLE)
+        rows = keys.select(F.concat_ws("|", *(text_of(df, c) for c in rule.columns)).alias("value"))
+    elif rule.kind == "referential":
+        rows = _unmatched(df, rule, references or {}).where("_found is null").select(F.col("_k").alias("value"))
+    elif rule.kind == "custom_sql":
+        bad = _sql(df, rule.params["sql"])
+        rows = bad.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in bad.columns))).alias("value")).distinct()
+    elif rule.kind == "freshness":
+        rows = df.agg(F.max(rule.columns[0]).cast("string").alias("value"))
+    elif rule.kind == "row_count":
+        rows = df.agg(F.count("*").cast("string").alias("value"))
+    else:
+        checked, bad = _column_rule(df, rule)
+        rows = df.where(checked & bad).select(text_of(df, rule.columns[0]).alias("value")).distinct()
+    return rows.orderBy("value").limit(SAMPLE)
+
+
+FUSED = ("not_null", "range", "regex", "allowed_values", "freshness", "row_count")
+
+
+def _fused(df: DataFrame, r: Rule, as_of) -> tuple[Column, Column]:
+    """(checked, failed) of a rule as aggregates."""
+    if r.kind == "freshness":
+        seen = F.max(r.columns[0] if r.columns else "_load_ts")
+        late = seen.isNull() | (seen < F.lit(as_of).cast("timestamp") - F.make_interval(mins=F.lit(int(r.params["minutes"]))))
+        return F.lit(1).cast("long"), late.cast("long")
+    if r.kind == "row_count":
+        low, high = r.params.get("min"), r.params.get("max")
+        bad = [F.count("*") < low] if low is not None else []
+        bad += [F.count("*") > high] if high is not None else []
+        return F.lit(1).cast("long"), reduce(Column.__or__, bad, F.lit(False)).cast("long")
+    checked, failed = _column_rule(df, r)
+    return F.count_if(checked), F.count_if(checked & failed)
+
+
+def _known(df: DataFrame, r: Rule) -> None:
+    for c in r.columns:
+        if c not in df.columns:
+            raise ValueError(f"the dataset has no column '{c}'")
 
 
 def evaluate(df: DataFrame, rules: list[Rule], as_of=None, references: dict[str, DataFrame] | None = None) -> DataFrame:
-    """name, kind, checked, failed, score, passed; one row per rule."""
-    fused = [r for r in rules if r.kind in ("not_null", "range", "regex", "allowed_values", "freshness", "row_count")]
+    """name, kind, checked, failed, score, passed, error; one row per rule.
+
+    A rule that can't be planned (an unknown column, a query that doesn't parse) has an error and no score, and the
+    others go on. What fails while running is told by `run`.
+    """
     aggs: list[Column] = []
-    for i, r in enumerate(fused):
-        if r.kind == "freshness":
-            late = F.max(r.columns[0]).isNull() | (F.max(r.columns[0]) < F.lit(as_of).cast("timestamp") - F.make_interval(mins=F.lit(int(r.params["minutes"]))))
-            pair = (F.lit(1).cast("long"), late.cast("long"))
-        elif r.kind == "row_count":
-            low, high = r.params.get("min", 0), r.params.get("max")
-            bad = F.count("*") < low if high is None else (F.count("*") < low) | (F.count("*") > high)
-            pair = (F.lit(1).cast("long"), bad.cast("long"))
-        else:
-            checked, failed = _column_rule(df, r)
-            pair = (F.count_if(checked), F.count_if(checked & failed))
-        aggs.append(F.struct(F.lit(r.name).alias("name"), F.lit(r.kind).alias("kind"), F.lit(float(r.threshold)).alias("t"), pair[0].alias("checked"), pair[1].alias("failed")))
-    parts = [df.agg(F.array(*aggs).alias("r")).select(F.inline("r"))] if fused else []
+    parts, lost = [], []
     for r in rules:
-        if r not in fused:
-            one = _alone(df, r, references or {})
-            parts.append(one.select(F.lit(r.name).alias("name"), F.lit(r.kind).alias("kind"), F.lit(float(r.threshold)).alias("t"), F.col("checked").cast("long").alias("checked"), F.col("failed").cast("long").alias("failed")))
-    out = reduce(DataFrame.unionByName, parts)
+        head = (F.lit(r.name).alias("name"), F.lit(r.kind).alias("kind"), F.lit(float(r.threshold)).alias("t"))
+        try:
+            _known(df, r)
+            if r.kind in FUSED:
+                checked, failed = _fused(df, r, as_of)
+                df.agg(checked.alias("checked"), failed.alias("failed"))  # an error of this rule's own shows here
+                aggs.append(F.struct(*head, checked.alias("checked"), failed.alias("failed")))
+            else:
+                one = _alone(df, r, references or {})
+                parts.append(one.select(*head, F.col("checked").cast("long").alias("checked"), F.col("failed").cast("long").alias("failed")))
+        except Exception as e:  # a rule's own failure is its result
+            lost.append(errored(df.sparkSession, r, e))
+    parts += [df.agg(F.array(*aggs).alias("r")).select(F.inline("r"))] if aggs else []
     ratio = F.when(F.col("checked") == 0, F.lit(1.0)).otherwise((F.col("checked") - F.col("failed")) / F.col("checked"))
-    return out.select("name", "kind", "checked", "failed", F.when(F.col("checked") == 0, F.lit(100.0)).otherwise(F.bround(100 * (F.col("checked") - F.col("failed")) / F.col("checked"), 2)).alias("score"), (ratio >= F.col("t")).alias("passed"))
+    score = F.when(F.col("checked") == 0, F.lit(100.0)).otherwise(F.bround(100 * (F.col("checked") - F.col("failed")) / F.col("checked"), 2))
+    out = [p.select("name", "kind", "checked", "failed", score.alias("score"), (ratio >= F.col("t")).alias("passed"), F.lit(None).cast("string").alias("error")) for p in parts]
+    return reduce(DataFrame.unionByName, [*out, *lost])
+
+
+RESULT = "name string, kind string, checked long, failed long, score double, passed boolean, error string"
+
+
+def errored(spark: SparkSession, rule: Rule, why: Exception) -> DataFrame:
+    """The result of a rule that failed itself: not passed, no score."""
+    return spark.createDataFrame([(rule.name, rule.kind, None, None, None, False, str(why)[:2000])], RESULT)
+
+
+def run(df: DataFrame, rules: list[Rule], as_of=None, references: dict[str, DataFrame] | None = None) -> DataFrame:
+    """`evaluate`, done: where the whole suite fails while running, each rule runs alone and keeps its own error."""
+    spark = df.sparkSession
+    try:
+        return spark.createDataFrame(evaluate(df, rules, as_of, references).collect(), RESULT)  # a row per rule
+    except Exception:  # told apart below
+        rows = []
+        for r in rules:
+            try:
+                rows += evaluate(df, [r], as_of, references).collect()
+            except Exception as e:  # a rule's own failure is its result
+                rows += errored(spark, r, e).collect()
+        return spark.createDataFrame(rows, RESULT)
 
 
 def latest(results: DataFrame) -> DataFrame:
@@ -132,14 +211,14 @@ def series(results: DataFrame, rule: str, since) -> DataFrame:
 
 #: Value shapes that a profile counts.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}",
-    "phone": r"\+?[0-9][0-9 ().\-]{6,}[0-9]",
-    "url": r"https?://\S+",
-    "uuid": r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    "ipv4": r"([0-9]{1,3}\.){3}[0-9]{1,3}",
-    "iso_date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    "card_number": r"([0-9][ \-]?){12,18}[0-9]",
-    "postal_code": r"[0-9]{5}(-[0-9]{4})?",
+    "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$",
+    "phone": r"^\+?[0-9][0-9 ()./-]{6,18}[0-9]$",
+    "url": r"^https?://\S+$",
+    "uuid": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    "ipv4": r"^((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$",
+    "iso_date": r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?.*)?$",
+    "card_number": r"^(?:\d[ -]?){13,19}$",
+    "postal_code": r"^[0-9]{4,5}(-[0-9]{4})?$",
 }
 TOP_N, CUT = 5, 100
 
@@ -161,7 +240,7 @@ def profile(df: DataFrame, exact: bool = False) -> DataFrame:
         elif isinstance(kind, T.StringType):
             n = F.length(c)
             own |= {"min_length": F.min(n).cast("long"), "max_length": F.max(n).cast("long"), "avg_length": F.bround(F.avg(n), 6), "blanks": F.count_if(F.trim(c) == "")}
-            hits = [F.struct(F.lit(k).alias("key"), F.bround(100 * F.count_if(c.rlike(rf"\A(?:{p})\z")) / F.greatest(F.count(c), F.lit(1)), 6).alias("value")) for k, p in PATTERNS.items()]
+            hits = [F.struct(F.lit(k).alias("key"), F.bround(100 * F.count_if(c.rlike(p.replace("$", r"\z"))) / F.greatest(F.count(c), F.lit(1)), 6).alias("value")) for k, p in PATTERNS.items()]
             own["patterns"] = F.map_from_entries(F.filter(F.array(*hits), lambda h: h["value"] > 0))
         elif isinstance(kind, T.BooleanType):
             own["true_pct"] = F.bround(100 * F.count_if(c) / F.greatest(F.count(c), F.lit(1)), 6)
@@ -172,17 +251,32 @@ def profile(df: DataFrame, exact: bool = False) -> DataFrame:
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
-def top_values(df: DataFrame, n: int = TOP_N) -> DataFrame:
-    """column, value, count, rank: the most frequent non-null values as text, ties by value; one job for all columns."""
+def value_counts(df: DataFrame) -> DataFrame:
+    """column, value (text), count of the known values of all flat columns; one job."""
     flat = [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType))]
-    melted = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), text_of(df, c).alias("value")) for c in flat))).alias("r")).select("r.*")
-    n_of = melted.where("value is not null").groupBy("column", "value").count()
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), text_of(df, c).alias("value")) for c in flat))).alias("r")
+    return df.select(each).select("r.*").where("value is not null").groupBy("column", "value").count()
+
+
+def top_values(df: DataFrame, n: int = TOP_N) -> DataFrame:
+    """column, value, count, rank: the most frequent non-null values as text, ties by value."""
+    return _top(value_counts(df), n)
+
+
+def _top(counts: DataFrame, n: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value"))
-    best = n_of.withColumn("rank", rank).where(F.col("rank") <= n)
+    best = counts.withColumn("rank", rank).where(F.col("rank") <= n)
     return best.withColumn("value", F.when(F.length("value") > CUT, F.concat(F.left("value", F.lit(CUT)), F.lit("…"))).otherwise(F.col("value")))
 
 
 def full_profile(df: DataFrame, exact: bool = False) -> DataFrame:
-    """profile and top_values, as array<struct<value, count>>."""
-    top = top_values(df).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("t"))
-    return profile(df, exact).join(F.broadcast(top), "column", "left").withColumn("top_values", F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count")))).drop("t")
+    """profile and top_values, as array<struct<value, count>>; exact distinct values are counted from the same counts."""
+    counts = value_counts(df)
+    top = _top(counts, TOP_N).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("t"))
+    out = profile(df).join(top, "column", "left")
+    if exact:
+        seen = counts.groupBy("column").agg(F.count("*").alias("_n"), F.sum("count").alias("_of"))
+        flat = F.col("distinct").isNotNull()
+        out = out.join(seen, "column", "left").withColumn("distinct", F.when(flat, F.coalesce("_n", F.lit(0))))
+        out = out.withColumn("distinct_pct", F.when(flat, F.bround(100 * F.col("distinct") / F.greatest(F.coalesce("_of", F.lit(0)), F.lit(1)), 6)))
+    return out.withColumn("top_values", F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count")))).drop("t", "_n", "_of")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.operators import vault
-from strata.operators.tables import append, last_per_key, merge
+from strata.operators.tables import Versions, append, last_per_key, merge
+from strata.session import shared_dir
 
 _BRACES = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.S)
 _CALL = re.compile(r"(ref|source|vault)\(\s*'([\w.]+)'(?:\s*,\s*'([\w.]+)')?\s*\)")
@@ -69,14 +72,26 @@ def order(models: dict[str, set[str]]) -> list[str]:
     return out
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Pipeline:
-    """Models as functions of the frames they need; what fails or lacks an input blocks only what comes after it."""
+    """Models as functions of the frames they need; what fails or lacks an input blocks only what comes after it.
+
+    A model is built when it is saved, so that a failure at run time is its own: by default as Parquet in the shared folder.
+    """
 
     def __init__(self, models: dict[str, tuple[set[str], Callable[..., DataFrame]]]):
         self.models = models
 
-    def run(self, inputs: dict[str, DataFrame], save: Callable[[str, DataFrame], DataFrame] = lambda n, d: d) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    def run(self, inputs: dict[str, DataFrame], save: Callable[[str, DataFrame], DataFrame] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
         frames, states = dict(inputs), {}
+        folder = uuid.uuid4().hex
+        save = save or (lambda n, d: written(d, f"models-{folder}/{n}"))
         for name in order({k: v[0] for k, v in self.models.items()}):
             needs, build = self.models[name]
             if any(n not in frames for n in needs):
@@ -108,3 +123,41 @@ def load_raw_vault(source: DataFrame, name: str, spec: dict, targets: dict[str,
                 out[f"hub_{role}"] = vault.hub(staged, role, cols, t.get(f"hub_{role}"))
         out[f"link_{link}"] = vault.link(staged, link, roles, t.get(f"link_{link}"))
     return out
+
+
+#: Order in which mappings of one source are loaded.
+KINDS = ("hub", "link", "satellite")
+
+
+@dataclass(frozen=True)
+class Mapping:
+    """One vault table's load from a staged source: load(staged source, held rows) gives the rows to add."""
+
+    kind: str
+    name: str
+    load: Callable[[DataFrame, DataFrame | None], DataFrame]
+    enabled: bool = True
+
+
+def load_plan(source: DataFrame, name: str, mappings: list[Mapping], tables: dict[str, Versions], dependents: dict[str, tuple[set[str], Callable[[dict[str, DataFrame]], DataFrame]]], txn: str) -> tuple[list[str], list[str]]:
+    """Loads a source's enabled mappings (hubs, links, satellites, each by name), then rebuilds what depends on tables with new rows.
+
+    A source without _load_ts is an error. dependents: name to (tables it reads, build). Gives the names loaded, in order,
+    and the names rebuilt. The transaction id makes a second run add nothing.
+    """
+    staged = vault.stage(source, name).persist()
+    loaded, fresh = [], set()
+    try:
+        for m in sorted((m for m in mappings if m.enabled), key=lambda m: (KINDS.index(m.kind), m.name)):
+            t = tables[m.name]
+            before = t.latest()
+            if t.append(m.load(staged, None if before is None else t.read()), f"{txn}:{m.name}") != before:
+                fresh.add(m.name)
+            loaded.append(m.name)
+    finally:
+        staged.unpersist()
+    frames = {n: t.read() for n, t in tables.items() if t.latest() is not None}
+    rebuilt = [n for n, (needs, _) in sorted(dependents.items()) if needs & fresh and needs <= set(frames)]
+    for n in rebuilt:
+        tables[n].write(dependents[n][1](frames), f"{txn}:{n}")
+    return loaded, rebuilt

@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.operators import lineage as lin
 from strata.operators.tables import Versions
 from strata.queries.base import BRONZE_ORDERS, bronze_orders, table
+from strata.session import shared_dir
 from strata.streaming import changes as ch
 
 FIELDS = ["user_id", "event_type", "value"]
@@ -52,46 +54,73 @@ def cdc_mirror(s, d):
 
 
 def _landed(s, d):
-    """The messages landed as files for the streaming twins, in the shared folder."""
-    folder = f"{_shared(s)}/stream-{uuid.uuid4().hex}"
-    raw_events(s, d).withColumn("half", (F.col("offset") % 2).cast("int")).repartition(4).write.parquet(f"{folder}/in")
+    """The messages landed as files for the streaming twins, in the shared folder: three times four files, by offset."""
+    folder = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    raw = raw_events(s, d)
+    top = raw.agg(F.max("offset")).first()[0] + 1
+    for k in range(3):
+        third = raw.where((F.col("offset") >= k * top // 3) & (F.col("offset") < (k + 1) * top // 3))
+        third.repartition(4).write.mode("append").parquet(f"{folder}/in")
     return folder
 
 
-def _shared(s) -> str:
-    have = s.sparkContext._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get()
-    if known := s.conf.get("spark.checkpoint.dir", None):
-        return known
-    if not s.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="strata-")
+def _stream(s, folder):
+    """The landed files as a stream, four a batch: the reader's bound."""
+    schema = s.read.parquet(f"{folder}/in").schema
+    return ch.bounded(s.readStream.schema(schema), "file", 4).parquet(f"{folder}/in")
 
 
 def cdc_changelog_stream(s, d):
     """A file stream into a changelog: every change is a row, whatever the batches."""
     folder = _landed(s, d)
-    schema = s.read.parquet(f"{folder}/in").schema
-    stream = ch.decode(s.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in"), FIELDS)
-    q = stream.writeStream.foreachBatch(ch.write_changelog(f"{folder}/out", "g1")).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
-    q.awaitTermination()
+    ch.start(ch.decode(_stream(s, folder), FIELDS), ch.write_changelog(f"{folder}/out", "g1"), f"{folder}/cp").awaitTermination()
     return s.read.parquet(f"{folder}/out/generation=g1/epoch=*").select(*FIELDS, "_op", "_offset")
 
 
 def cdc_mirror_stream(s, d):
-    """A file stream into a mirror of versions; one batch, as the last change per key counts."""
+    """A file stream into a mirror in three epochs, with typed columns; each rewrites only the buckets of its keys."""
     folder = _landed(s, d)
-    schema = s.read.parquet(f"{folder}/in").schema
-    stream = ch.decode(s.readStream.schema(schema).parquet(f"{folder}/in"), FIELDS)
-    versions = Versions(s, f"{folder}/mirror")
-    q = stream.writeStream.foreachBatch(ch.write_mirror(versions, ["user_id"], "g1")).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
-    q.awaitTermination()
+    versions, kinds = Versions(s, f"{folder}/mirror"), T.StructType().add("user_id", "long").add("event_type", "string").add("value", "long")
+    write = ch.write_mirror(versions, ["user_id"], "g1", kinds, buckets=8)
+    ch.start(ch.decode(_stream(s, folder), FIELDS), write, f"{folder}/cp").awaitTermination()
     return versions.read().select(*FIELDS, "_op", "_offset")
 
 
+def stream_vault(s, d):
+    """A file stream into the raw vault in three epochs, and a model that is rebuilt behind each: users by their latest event type."""
+    folder = _landed(s, d)
+    spec = {"hub": ("user", ["user_id"]), "satellites": {"user_event": ["event_type"]}, "track_deletes": True}
+    tables = {n: Versions(s, f"{folder}/{n}") for n in ("hub_user", "sat_user_event", "sat_user_status", "model")}
+
+    def model(vault):
+        sat = vault["sat_user_event"]
+        last = sat.groupBy("hk_user").agg(F.max_by("event_type", "load_date").alias("event_type"), F.count("*").alias("versions"))
+        out = vault["hub_user"].select("hk_user", "user_id").join(last, "hk_user").groupBy("event_type").agg(F.count("*").alias("users"), F.sum("versions").alias("versions"))
+        tables["model"].write(out)
+
+    rows = ch.decode(_stream(s, folder), FIELDS).withColumns({"_load_ts": F.col("_source_ts"), "_batch_id": F.lpad(F.col("_offset_no").cast("string"), 10, "0")})
+    vault = {n: t for n, t in tables.items() if n != "model"}
+    ch.start(rows, ch.propagate(vault, "events", spec, "g1", model), f"{folder}/cp").awaitTermination()
+    return tables["model"].read()
+
+
+def _stats(s, d):
+    e = table(s, d, "events")
+    return e.select(F.col("event_type").alias("stream"), F.col("ts").cast("timestamp").alias("at"), F.lit(1).cast("long").alias("records"), (F.col("value") > 90).cast("long").alias("dlq"), F.col("event_id").alias("p50"), (F.col("event_id") * 2).alias("p95"), F.col("user_id").alias("lag"))
+
+
+def stream_minutes_upsert(s, d):
+    """A rollup after two batches of stats; the second falls into the same minutes in part."""
+    x = _stats(s, d)
+    held = ch.minutes_upsert(None, x.where("p50 % 3 <> 0"))
+    return ch.minutes_upsert(held, x.where("p50 % 3 = 0"))
+
+
+def stream_series(s, d):
+    """A stream's metrics of the last days' minutes."""
+    return ch.series(ch.minutes(_stats(s, d)), "click", "2024-01-20 12:00:00", 5 * 24 * 60)
+
+
 def stream_minutes(s, d):
     e = table(s, d, "events")
     per = e.groupBy(F.col("event_type").alias("stream"), F.col("ts").alias("at")).agg(F.count("*").alias("records"), F.sum((F.col("value") > 90).cast("long")).alias("dlq"), F.max("event_id").alias("p50"), F.max("event_id").alias("p95"), F.max("user_id").alias("lag"))
@@ -134,9 +163,9 @@ def freshness_alerts(s, d):
     return made.select("kind", "target", "message", (F.col("opened_at") == F.lit("2024-01-01").cast("timestamp")).alias("old"), F.col("resolved_at").isNotNull().alias("resolved"))
 
 
-def _graph(s, d, lines="l_partkey <= 40"):
+def _graph(s, d):
     """Parts and suppliers of line items as a graph: an order is computed from its parts, a supplier from the orders."""
-    li = table(s, d, "lineitem").where(lines)
+    li = table(s, d, "lineitem")
     return li.select(F.concat(F.lit("p|"), "l_partkey").alias("source"), F.concat(F.lit("o|"), "l_orderkey").alias("target"), F.lit("j1").alias("job")).unionByName(li.select(F.concat(F.lit("o|"), "l_orderkey"), F.concat(F.lit("s|"), "l_suppkey"), F.lit("j2")).toDF("source", "target", "job")).distinct()
 
 
@@ -153,22 +182,30 @@ def restricted_graph(s, d):
     return lin.restricted(g, g.where("source like 'o|%1'").select(F.col("source").alias("node")))
 
 
-def lineage_trace_all(s, d):
-    return lin.reach(_graph(s, d, "true"), ["p|1", "p|2"])
+def lineage_steps(s, d):
+    """A column trace with the job and statement of every step."""
+    statements = s.createDataFrame([("j1", "select part from line"), ("j2", "select supplier from line")], "job string, sql string")
+    return lin.trace(_graph(s, d), ["p|5"], statements, 2, "downstream")
 
 
-def lineage_subgraph_all(s, d):
-    return lin.subgraph(_graph(s, d, "true"), ["p|3"], 2, "downstream")
+def _event_nodes(s, d):
+    """Event types as jobs and users as datasets, with runs and alerts laid over."""
+    e = table(s, d, "events")
+    jobs = e.select(F.concat(F.lit("job:"), "event_type", F.lit("-"), F.col("user_id") % 5).alias("node"))
+    return jobs.unionByName(e.select(F.concat(F.lit("dataset:u"), "user_id").alias("node"))).distinct()
 
 
-def restricted_graph_all(s, d):
-    g = _graph(s, d, "true")
-    return lin.restricted(g, g.where("source like 'o|%1'").select(F.col("source").alias("node")))
+def lineage_overlay(s, d):
+    """Nodes with the last run of a job and the open alert of a dataset."""
+    runs = _runs(s, d).join(table(s, d, "events").select(F.col("ts").alias("at"), "user_id"), "at").withColumn("job", F.concat("job", F.lit("-"), F.col("user_id") % 5))
+    e = table(s, d, "events")
+    alerts = e.where("event_type = 'error'").select(F.concat(F.lit("u"), "user_id").alias("target"), F.when(F.col("user_id") % 2 == 0, "freshness").otherwise("dq_failed").alias("kind"), F.when(F.col("user_id") % 3 == 0, F.col("ts")).alias("resolved_at"))
+    return lin.annotate(_event_nodes(s, d), runs, alerts)
 
 
-def _lineage_events(s, d, orders="o_orderkey <= 400"):
+def _lineage_events(s, d):
     """Runs of jobs over orders' priorities: inputs and outputs with column facets, the latest definition differs."""
-    o = table(s, d, "orders").where(orders)
+    o = table(s, d, "orders")
     job = F.concat(F.lit("load-"), (F.col("o_custkey") % 7).cast("string"))
     col = lambda n: F.struct(F.lit("raw").alias("dataset"), n.alias("column"))
     columns = F.create_map(F.lit("price"), F.array(col(F.concat(F.lit("c"), (F.col("o_orderkey") % 3).cast("string"))), col(F.lit("rate"))))
@@ -185,21 +222,9 @@ def lineage_column_edges(s, d):
     return lin.column_edges(_lineage_events(s, d))
 
 
-def lineage_impact(s, d, orders="o_orderkey <= 400"):
+def lineage_impact(s, d):
     apps = s.createDataFrame([("board", "t0"), ("board", "t1"), ("other", "none")], "app string, dataset string")
-    return lin.impact(lin.column_edges(_lineage_events(s, d, orders)), "raw|rate", apps)
-
-
-def lineage_edges_all(s, d):
-    return lin.table_edges(_lineage_events(s, d, "true"))
-
-
-def lineage_column_edges_all(s, d):
-    return lin.column_edges(_lineage_events(s, d, "true"))
-
-
-def lineage_impact_all(s, d):
-    return lineage_impact(s, d, "true")
+    return lin.impact(lin.column_edges(_lineage_events(s, d)), "raw|rate", apps)
 
 
 def batch_trace(s, d):
@@ -208,24 +233,32 @@ def batch_trace(s, d):
 
 
 def schema_drift(s, d):
-    """Orders' schema against customers' with some columns changed."""
-    now = [(f.name.split("_", 1)[1], f.dataType.simpleString()) for f in table(s, d, "orders").schema]
-    old = [(f.name.split("_", 1)[1], f.dataType.simpleString()) for f in table(s, d, "customer").schema]
-    frame = lambda x: s.createDataFrame(x, "column string, type string")
-    return lin.drift(frame(old), frame([*now, ("nationkey", "bigint")]), frame([("orderkey", "bigint")]))
+    """One column per order, named by its key and typed by its status, as known and as it is now."""
+    o, k = table(s, d, "orders"), F.col("o_orderkey")
+    name, kind = F.concat(F.lit("c"), k).alias("column"), F.col("o_orderstatus")
+    known = o.where("o_orderkey % 7 <> 0").select(name, kind.alias("type"))
+    now = o.where("o_orderkey % 5 <> 0").select(name, F.when(k % 11 == 0, "X").otherwise(kind).alias("type"))
+    return lin.drift(known, now, o.where("o_orderkey % 14 = 0").select(name))
 
 
 def catalog_search(s, d):
-    sets = s.createDataFrame([(t, f"the {t} table", "bronze" if t < "n" else "silver") for t in ("customer", "nation", "orders", "region")], "dataset string, description string, layer string")
-    columns = s.createDataFrame([(t, f.name) for t in ("customer", "nation", "orders", "region") for f in table(s, d, t).schema], "dataset string, column string")
-    return lin.search(sets, columns, "NATION")
+    """One dataset per part, described by its type, with a column named by its brand, and one per supplier."""
+    p, n = table(s, d, "part"), table(s, d, "supplier")
+    name = F.concat(F.lit("part_"), "p_partkey").alias("dataset")
+    layer = F.when(F.col("p_size") > 25, "silver").otherwise("bronze").alias("layer")
+    sets = p.select(name, F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).alias("description"), layer)
+    sets = sets.unionByName(n.select("s_name", F.lit("a supplier").alias("d"), F.lit("silver").alias("l")).toDF("dataset", "description", "layer"))
+    columns = p.select(name, F.concat("p_brand", F.lit("_tin")).alias("column")).where("p_partkey % 4 = 0")
+    return lin.search(sets, columns, "TIN", "silver")
 
 
-QUERIES = {f.__name__: f for f in (cdc_decode, cdc_dead_letters, cdc_event_decode, cdc_latest, cdc_mirror, cdc_changelog_stream, cdc_mirror_stream, stream_minutes, stream_latency, stream_status, run_summary, run_last_status, freshness_alerts, lineage_trace, lineage_subgraph, restricted_graph, lineage_edges, lineage_column_edges, lineage_impact, lineage_trace_all, lineage_subgraph_all, restricted_graph_all, lineage_edges_all, lineage_column_edges_all, lineage_impact_all, batch_trace, schema_drift, catalog_search)}
+QUERIES = {f.__name__: f for f in (cdc_decode, cdc_dead_letters, cdc_event_decode, cdc_latest, cdc_mirror, cdc_changelog_stream, cdc_mirror_stream, stream_vault, stream_minutes, stream_minutes_upsert, stream_series, stream_latency, stream_status, run_summary, run_last_status, freshness_alerts, lineage_trace, lineage_subgraph, lineage_steps, lineage_overlay, restricted_graph, lineage_edges, lineage_column_edges, lineage_impact, batch_trace, schema_drift, catalog_search)}
+#: Names under which the same whole tables were queried before.
+QUERIES |= {f"{n}_all": QUERIES[n] for n in ("lineage_trace", "lineage_subgraph", "restricted_graph", "lineage_edges", "lineage_column_edges", "lineage_impact")}
 
 _DEC = "d as (select cast(user_id as varchar) as user_id, event_type, cast(event_id as varchar) as value, case when event_type = 'error' then 'd' when event_type = 'signup' then 'c' else 'u' end as _op, epoch_us(ts) // 1000 as source_ms, cast(user_id % 3 as varchar) || ':' || event_id as _offset, user_id % 3 as p, event_id from events where event_id % 7 <> 0)"
-_G = "li as (select * from lineitem where l_partkey <= 40), g as (select distinct 'p|' || l_partkey as source, 'o|' || l_orderkey as target, 'j1' as job from li union select distinct 'o|' || l_orderkey, 's|' || l_suppkey, 'j2' from li)"
-_EV = "ev as (select o_orderdate + to_seconds(o_orderkey) as event_time, 'load-' || (o_custkey % 7) as job, 'ref' || (o_custkey % 2) as ref, 't' || (o_custkey % 4) as t, 'c' || (o_orderkey % 3) as c from orders where o_orderkey <= 400 and o_orderstatus <> 'P')"
+_G = "li as (select * from lineitem), g as (select distinct 'p|' || l_partkey as source, 'o|' || l_orderkey as target, 'j1' as job from li union select distinct 'o|' || l_orderkey, 's|' || l_suppkey, 'j2' from li)"
+_EV = "ev as (select o_orderdate + to_seconds(o_orderkey) as event_time, 'load-' || (o_custkey % 7) as job, 'ref' || (o_custkey % 2) as ref, 't' || (o_custkey % 4) as t, 'c' || (o_orderkey % 3) as c from orders where o_orderstatus <> 'P')"
 _CE = "ce as (select *, row_number() over (partition by job, t order by event_time desc) as n from ev), cols as (select from_column, t, min(job) as job from (select c as from_column, t, job from ce where n = 1 union all select 'rate', t, job from ce where n = 1) group by 1, 2)"
 
 ORACLES = {
@@ -235,7 +268,10 @@ ORACLES = {
     "cdc_latest": f"with {_DEC} select user_id, event_type, value, _op, _offset from d qualify row_number() over (partition by user_id order by p desc, event_id desc) = 1",
     "cdc_mirror": f"with {_DEC}, l as (select *, event_id % 2 as b from d qualify row_number() over (partition by user_id, event_id % 2 order by event_id desc) = 1), m as (select * from l qualify row_number() over (partition by user_id order by b desc) = 1) select user_id, event_type, value, _op, _offset from m where _op <> 'd'",
     "cdc_changelog_stream": f"with {_DEC} select user_id, event_type, value, _op, _offset from d",
-    "cdc_mirror_stream": f"with {_DEC}, l as (select * from d qualify row_number() over (partition by user_id order by p desc, event_id desc) = 1) select user_id, event_type, value, _op, _offset from l where _op <> 'd'",
+    "cdc_mirror_stream": f"with {_DEC}, l as (select * from d qualify row_number() over (partition by user_id order by p desc, event_id desc) = 1) select cast(user_id as bigint) as user_id, event_type, cast(value as bigint) as value, _op, _offset from l where _op <> 'd'",
+    "stream_vault": f"with {_DEC}, v as (select *, lag(event_type) over (partition by user_id order by event_id) as b from d where _op <> 'd'), k as (select *, row_number() over (partition by user_id order by event_id desc) as n from v where b is null or b <> event_type), c as (select user_id, count(*) as versions from k group by 1) select event_type, count(*) as users, cast(sum(versions) as bigint) as versions from k join c using (user_id) where n = 1 group by 1",
+    "stream_minutes_upsert": "select event_type as stream, date_trunc('minute', ts) as minute, count(*) as records, count(*) as batches, cast(sum(case when value > 90 then 1 else 0 end) as bigint) as dlq, max_by(event_id, ts) as p50, max_by(event_id * 2, ts) as p95, max_by(user_id, ts) as lag, max(ts) as \"at\" from events group by 1, 2",
+    "stream_series": "select event_type as stream, date_trunc('minute', ts) as minute, count(*) as records, count(*) as batches, cast(sum(case when value > 90 then 1 else 0 end) as bigint) as dlq, max_by(event_id, ts) as p50, max_by(event_id * 2, ts) as p95, max_by(user_id, ts) as lag from events where event_type = 'click' and date_trunc('minute', ts) > timestamp '2024-01-15 12:00:00' and date_trunc('minute', ts) <= timestamp '2024-01-20 12:00:00' group by 1, 2",
     "stream_minutes": "with p as (select event_type as stream, ts, count(*) as records, cast(sum(case when value > 90 then 1 else 0 end) as bigint) as dlq, max(event_id) as e, max(user_id) as u from events group by 1, 2) select stream, date_trunc('minute', ts) as minute, cast(sum(records) as bigint) as records, count(*) as batches, cast(sum(dlq) as bigint) as dlq, max_by(e, ts) as p50, max_by(e, ts) as p95, max_by(u, ts) as lag from p group by 1, 2",
     "stream_latency": "with x as (select user_id % 50 as batch, greatest(event_id % 977 - 20, 0) as ms from events) select batch, count(*) as records, cast(floor(median(ms)) as bigint) as p50, list_sort(list(ms))[greatest(cast(floor(count(*) * 0.95) as int) - 1, 0) + 1] as p95 from x group by 1",
     "stream_status": "with t as (select max(ts) as e from events), m as (select event_type as stream, date_trunc('minute', ts) as minute, count(*) as n from events group by 1, 2) select event_type as stream, case when date_diff('microsecond', max(ts), any_value(e)) // 1000000 > 30 then 'stalled' else 'running' end as state, (select cast(round_even(coalesce(sum(n) filter (minute > e - interval 5 minute), 0) / 5, 0) as bigint) from m, t where m.stream = event_type) as records_per_minute, count(*) as records, 0 as dlq from events, t group by 1, t.e",
@@ -249,5 +285,9 @@ ORACLES = {
     "lineage_column_edges": f"with {_EV}, {_CE} select 'raw' as from_dataset, from_column, t as to_dataset, 'price' as to_column, job from cols",
     "lineage_impact": f"with {_EV}, {_CE}, r as (select * from cols where from_column = 'rate') select 'column' as kind, t || '|price' as name from r union select 'dataset', t from r union select 'job', job from cols where t in (select t from r) union select 'app', 'board' from r where t in ('t0', 't1')",
     "batch_trace": f"with {BRONZE_ORDERS} select 'orders' as dataset, count(*) as rows from bronze_orders where _batch_id = '0000000007' union all select 'big_orders', count(*) from bronze_orders where _batch_id = '0000000007' and o_totalprice > 100000",
-    "catalog_search": "select dataset, description, layer from (values ('customer', 'the customer table', 'bronze'), ('nation', 'the nation table', 'silver')) t(dataset, description, layer)",
+    "lineage_steps": f"with {_G}, n as (select 'p|5' as node union select target from g where source = 'p|5' union select b.target from g a join g b on a.target = b.source where a.source = 'p|5') select source, target, job, case job when 'j1' then 'select part from line' else 'select supplier from line' end as sql from g where source in (select node from n) and target in (select node from n)",
+    "lineage_overlay": "with n as (select distinct 'job:' || event_type || '-' || (user_id % 5) as node from events union select 'dataset:u' || user_id from events), r as (select 'job:' || event_type || '-' || (user_id % 5) as node, max_by(case event_type when 'error' then 'failed' else 'succeeded' end, ts) as status from events group by 1), a as (select distinct 'dataset:u' || user_id as node, case when user_id % 2 = 0 then 'late' else 'dq_failed' end as alert from events where event_type = 'error' and user_id % 3 <> 0) select node, status, alert from n left join r using (node) left join a using (node)",
+    "schema_drift": "with x as (select 'c' || o_orderkey as \"column\", case when o_orderkey % 7 <> 0 then o_orderstatus end as old, case when o_orderkey % 5 <> 0 then case when o_orderkey % 11 = 0 then 'X' else o_orderstatus end end as new, o_orderkey % 14 = 0 as e from orders) select \"column\", case when old is null then case when e then 're-added' else 'added' end when new is null then 'removed' else 'type_changed' end as change, old, new from x where (old is not null or new is not null) and old is distinct from new",
+    "catalog_search": "select 'part_' || p_partkey as dataset, case when p_partkey % 3 > 0 then p_type end as description, 'silver' as layer from part where p_size > 25 and (p_partkey % 4 = 0 or (p_partkey % 3 > 0 and contains(lower(p_type), 'tin'))) union all select s_name, 'a supplier', 'silver' from supplier where contains(lower(s_name), 'tin')",
 }
+ORACLES |= {f"{n}_all": ORACLES[n] for n in ("lineage_trace", "lineage_subgraph", "restricted_graph", "lineage_edges", "lineage_column_edges", "lineage_impact")}

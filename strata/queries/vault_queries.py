@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strata.operators import models, vault
-from strata.operators.tables import last_per_key
+from strata.operators.tables import Versions, last_per_key, merge
 from strata.plans.pipeline import Pipeline, load_raw_vault, materialise
 from strata.queries.base import BRONZE_EVENTS, BRONZE_ORDERS, ORDERS_CUT, bronze_events, bronze_orders, diff_sql, key_sql, table
+from strata.session import shared_dir
 
 
 
@@ -125,8 +128,7 @@ def fct_orders_current(s, d):
 def revenue_by_priority(s, d):
     """The flagship: revenue by the customer's order priority as of the ship date."""
     dim = _dim(s, d)
-    f = models.lookup(_shipped(s, d), dim, {"o_custkey": "o_custkey"}, "customer_sk", "l_shipdate")
-    named = f.join(dim.select(F.col("sk").alias("customer_sk"), "o_orderpriority"), "customer_sk", "left")
+    named = models.lookup(_shipped(s, d), dim, {"o_custkey": "o_custkey"}, "customer_sk", "l_shipdate", {"o_orderpriority": "o_orderpriority"})
     return named.groupBy(F.coalesce("o_orderpriority", F.lit("none")).alias("priority")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("lines"))
 
 
@@ -183,16 +185,16 @@ def watermark_delta(s, d):
 
 
 def serving_upsert(s, d):
-    from strata.operators.tables import merge
-
+    """An upsert into a table of buckets: versions hold what the batch doesn't touch as it is."""
     o = table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     held = o.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.lit(0.0)).withColumn("o_orderstatus", F.lit("?"))
-    return merge(held, o.where("o_orderkey % 3 = 0"), ["o_orderkey"])
+    t, keys = Versions(s, f"{shared_dir(s)}/serving-{uuid.uuid4().hex}"), ["o_orderkey"]
+    for batch in (held, o.where("o_orderkey % 3 = 0")):
+        t.upsert(keys, lambda old, new: merge(old, new, keys), batch, buckets=16)
+    return t.read()
 
 
 def merge_delete_flag(s, d):
-    from strata.operators.tables import merge
-
     o = table(s, d, "orders").select("o_orderkey", "o_orderstatus")
     return merge(o.where("o_orderkey % 2 = 0"), o.withColumn("gone", F.col("o_orderstatus") == "F"), ["o_orderkey"], "gone")
 

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import csv
+import gzip
+import io
 import posixpath
 import re
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Date letters and their form; units of an offset.
+from strata.session import cut
+
+#: Columns that a source without a schema may have.
+MAX_COLUMNS = 10_000
+
+#: Date letters and their form; units of an offset; texts that are null; suffixes of formats.
 LETTERS = {"yyyy": "%Y", "yy": "%y", "MM": "%m", "dd": "%d", "HH": "%H", "mm": "%M", "ss": "%S"}
 UNITS = {"m": "minutes", "h": "hours", "d": "days", "w": "weeks"}
 NULLS = ("", "NULL", "null")
@@ -62,18 +72,10 @@ def infer_format(path: str) -> str:
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, quote: str = '"', header: bool = True, skip_rows: int = 0, encoding: str = "UTF-8", infer: bool = True) -> DataFrame:
     """Rows of CSV or TSV files; "", NULL and null are null; types are inferred from what is left."""
     sep = delimiter or ("\t" if re.search(r"\.tsv(\.gz)?\*?$", path) else ",")
-    options = {"sep": sep, "quote": quote, "encoding": encoding, "header": str(header).lower()}
-    if skip_rows:  # per file, so files are read as wholes and their first lines dropped
-        whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", rf"\A(?:[^\n]*\n){{{skip_rows}}}", "").alias("v"))
-        lines = whole.select(F.posexplode(F.split("v", r"\r?\n")).alias("i", "value")).where("value <> ''")
-        first = lines.where("i = 0").select("value").first()
-        names = spark.read.csv(spark.createDataFrame([(first.value,)], "value string").rdd.map(lambda r: r[0]), sep=sep, quote=quote).first() if first else []
-        columns = [c if header else f"_c{k}" for k, c in enumerate(names)]
-        body = lines.where("i > 0") if header else lines
-        schema = ", ".join(f"`{c}` string" for c in columns)
-        df = body.select(F.from_csv("value", schema, {"sep": sep, "quote": quote}).alias("r")).select("r.*") if columns else body
+    if skip_rows:
+        df = _skipping(spark, path, sep, quote, header, skip_rows, encoding)
     else:
-        df = spark.read.options(**options).csv(path)
+        df = spark.read.options(sep=sep, quote=quote, encoding=encoding, header=str(header).lower()).csv(path)
     df = df.select(*(F.when(~F.col(f"`{c}`").isin(*NULLS), F.col(f"`{c}`")).alias(c) for c in df.columns))
     if not infer:
         return df
@@ -83,13 +85,66 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, quote
     return df.select(*(F.col(f"`{c}`").try_cast(kind[c]).alias(c) for c in df.columns))
 
 
+def _skipping(spark: SparkSession, path: str, sep: str, quote: str, header: bool, skip: int, encoding: str) -> DataFrame:
+    """Rows of CSV files whose first lines are no data. Each file is read as a whole, so a quoted line end stays in its value;
+    columns go by the name in the file's own header."""
+    files = spark.read.format("binaryFile").load(path).select("content", (F.col("path").endswith(".gz")).alias("gz"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                text = (gzip.decompress(content) if packed else content).decode(encoding)
+                lines = csv.reader(io.StringIO(re.sub(rf"\A(?:[^\n]*\n){{{skip}}}", "", text), newline=""), delimiter=sep, quotechar=quote)
+                names, out = next(lines, None) if header else None, []
+                for line in lines:
+                    if line:
+                        out.append(list(zip(names or [f"_c{k}" for k in range(len(line))], line)))
+                for i in range(0, len(out), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(out[i : i + 10_000], pa.map_(pa.string(), pa.string()))], ["m"])
+
+    made = cut(files.mapInArrow(rows, "m map<string,string>"))
+    first = made.select(F.posexplode(F.map_keys("m")).alias("at", "name")).groupBy("name").agg(F.min("at").alias("at"))
+    names = [r.name for r in first.orderBy("at", "name").limit(MAX_COLUMNS + 1).collect()]
+    if len(names) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} columns")
+    return made.select(*(F.col("m")[n].alias(n) for n in names))
+
+
+def _fields(kind: str) -> dict[str, str]:
+    """Names and types of an OBJECT<...> as a variant's schema says it."""
+    out, depth, start, quoted = {}, 0, 0, False
+    body = kind[len("OBJECT<") : -1] + ","
+    for i, c in enumerate(body):
+        quoted ^= c == "`"
+        depth += 0 if quoted else (c in "<(") - (c in ">)")
+        if c == "," and not depth and not quoted and body[start:i].strip():
+            part = body[start:i].strip()
+            name, of = re.fullmatch(r"(`(?:[^`]|``)*`|[^:]*): (.*)", part, re.S).groups()
+            out[name[1:-1].replace("``", "`") if name.startswith("`") else name], start = of, i + 1
+    return out
+
+
 def normalize(records: DataFrame, column: str = "value") -> DataFrame:
-    """One column per key of JSON object texts, in order of name; nested values as JSON text, absent ones null; what isn't an object is {value: x}."""
+    """One column per key of JSON object texts, in order of name; what isn't an object is {value: x}.
+
+    Whole numbers, decimals and booleans keep their types where every record agrees; nested values are JSON text with
+    sorted keys, absent ones null. The keys come from one aggregate, the records' common schema.
+    """
     v = F.col(column)
-    as_map = F.from_json(F.when(v.rlike(r"\A\s*\{"), v), "map<string,string>")
-    rows = records.select(F.coalesce(as_map, F.create_map(F.lit("value"), v)).alias("m"))
-    keys = [r.k for r in rows.select(F.explode(F.map_keys("m")).alias("k")).distinct().orderBy("k").collect()]  # column names
-    return rows.select(*(F.col("m")[k].alias(k) for k in keys))
+    parsed = F.try_parse_json(v)
+    object_ = F.schema_of_variant(parsed).startswith("OBJECT")
+    rows = records.select(F.when(object_, parsed).otherwise(F.parse_json(F.to_json(F.struct(F.coalesce(F.variant_get(F.when(~object_, parsed), "$", "string"), v).alias("value"))))).alias("m"))
+    kind = rows.agg(F.schema_of_variant_agg("m")).first()[0]
+    fields = _fields(kind) if kind.startswith("OBJECT<") else {}
+    if len(fields) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} columns")
+
+    def one(name: str, of: str) -> Column:
+        path = "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
+        plain = of in ("BIGINT", "DOUBLE", "BOOLEAN") or of.startswith("DECIMAL")
+        return F.variant_get("m", path, of.lower() if plain else "string").alias(name)
+
+    return rows.select(*(one(n, fields[n]) for n in sorted(fields)))
 
 
 def flatten(df: DataFrame) -> DataFrame:
@@ -132,3 +187,8 @@ def manifest(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
     n = rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
     content = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
     return listing(spark, path).join(content, "path").join(n, "path", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+
+
+def arrived(files: DataFrame, seen: DataFrame) -> bool:
+    """Whether a matched file is new or changed: what a run on arrival asks before it starts."""
+    return not new_files(files, seen).isEmpty()

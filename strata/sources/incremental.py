@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +31,24 @@ def advance(df: DataFrame, column: str, mark):
     return mark if top is None else top if mark is None else max(mark, top)
 
 
-def pages(landed: DataFrame, records_path: str, column: str = "value") -> DataFrame:
-    """Rows of landed response pages: the list at a JSON path, flattened."""
+def pages(landed: DataFrame, records_path: str, column: str = "value", mark_column: str | None = None, mark=None) -> DataFrame:
+    """Rows of landed response pages: the list at a JSON path, flattened; those past a watermark, if a column is named."""
     items = F.variant_get(F.parse_json(F.get_json_object(column, records_path)), "$", "array<variant>")
-    return normalize(landed.select(F.explode(F.transform(items, lambda x: F.to_json(x))).alias("value")))
+    rows = normalize(landed.select(F.explode(F.transform(items, lambda x: F.to_json(x))).alias("value")))
+    return after(rows, mark_column, mark) if mark_column else rows
+
+
+def documents(landed: DataFrame, where: dict | None = None, mark_column: str | None = None, mark=None, column: str = "value") -> DataFrame:
+    """Rows of landed documents (one JSON object each): equal to `where`'s values, past a watermark; _id as text, {"$oid": x} as x."""
+    rows = normalize(landed, column)
+    for name, value in (where or {}).items():
+        rows = rows.where(F.col(f"`{name}`") == F.lit(value))
+    if mark_column:
+        rows = after(rows, mark_column, mark)
+    if "_id" not in rows.columns:
+        return rows
+    text = F.col("_id").cast("string")
+    return rows.withColumn("_id", F.coalesce(F.get_json_object(F.when(text.startswith("{"), text), "$['$oid']"), text))
 
 
 def topic_rows(raw: DataFrame, fields: list[str]) -> DataFrame:
@@ -41,36 +58,92 @@ def topic_rows(raw: DataFrame, fields: list[str]) -> DataFrame:
     return raw.select(*(m[f].alias(f) for f in fields), F.col("partition").alias("_kafka_partition"), F.col("offset").alias("_kafka_offset"), F.unix_millis("timestamp").alias("_kafka_timestamp_ms"), F.col("key").cast("string").alias("_kafka_key"))
 
 
-def topic(spark: SparkSession, servers: str, name: str, bounded: bool = True) -> DataFrame:
-    """A Kafka topic; bounded: from the start to the present end. Needs Spark's Kafka package."""
+def topic(spark: SparkSession, servers: str, name: str, bounded: bool = True, offsets: dict[int, int] | None = None) -> DataFrame:
+    """A Kafka topic; bounded: from the committed offsets (by partition; without any, the start) to the present end. Needs Spark's Kafka package."""
     r = (spark.read if bounded else spark.readStream).format("kafka")
-    return r.option("kafka.bootstrap.servers", servers).option("subscribe", name).option("startingOffsets", "earliest").load()
+    begin = "earliest" if not offsets else json.dumps({name: {str(p): o for p, o in offsets.items()}})
+    return r.option("kafka.bootstrap.servers", servers).option("subscribe", name).option("startingOffsets", begin).load()
+
+
+def uncommitted(raw: DataFrame, offsets: dict[int, int]) -> DataFrame:
+    """Messages (partition, offset) at or after the committed offsets; partitions without any from their start."""
+    from_ = F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv)) if offsets else None
+    return raw if from_ is None else raw.where(F.col("offset") >= F.coalesce(F.get(F.map_values(F.map_filter(from_, lambda p, o: p == F.col("partition"))), 0), F.lit(0)))
+
+
+def next_offsets(rows: DataFrame, offsets: dict[int, int]) -> dict[int, int]:
+    """The offsets to commit once the rows (with _kafka_ columns) are written: one behind the last of each partition, never lower."""
+    seen = {r[0]: r[1] + 1 for r in rows.groupBy("_kafka_partition").agg(F.max("_kafka_offset")).collect()}  # a row per partition
+    return {p: max(offsets.get(p, 0), seen.get(p, 0)) for p in {*offsets, *seen}}
 
 
 def preview(df: DataFrame, n: int = 50) -> DataFrame:
     return df.limit(n)
 
 
-def serve(df: DataFrame, url: str, table: str, driver: str | None = None, types: str | None = None) -> None:
-    """Replaces a serving table; nested columns go as JSON text."""
+def _statements(spark: SparkSession, url: str, driver: str | None, *sql: str) -> None:
+    """SQL statements in one transaction of the serving database."""
+    jvm = spark._jvm
+    if driver:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(driver)
+    con = jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        con.setAutoCommit(False)
+        for one in sql:
+            st = con.createStatement()
+            st.executeUpdate(one)
+            st.close()
+        con.commit()
+    except Exception:
+        con.rollback()
+        raise
+    finally:
+        con.close()
+
+
+def _exists(spark: SparkSession, url: str, table: str, driver: str | None) -> bool:
+    try:
+        jdbc(spark, url, query=f"select * from {table} where 1 = 0", driver=driver)
+        return True
+    except Exception:  # whatever the database says of an unknown table
+        return False
+
+
+def _staged(df: DataFrame, url: str, table: str, driver: str | None, types: str | None) -> str:
+    """The rows in a staging table of their own, and its name."""
     from strata.sources.files import flatten
 
-    w = flatten(df).write.format("jdbc").option("url", url).option("dbtable", table).option("truncate", "true").mode("overwrite")
+    name = f"{table}_{uuid.uuid4().hex[:8]}"
+    w = flatten(df).write.format("jdbc").option("url", url).option("dbtable", name).mode("errorifexists")
     w = w.option("driver", driver) if driver else w
     (w.option("createTableColumnTypes", types) if types else w).save()
+    return name
 
 
-def serve_upsert(df: DataFrame, url: str, table: str, keys: list[str], driver: str | None = None) -> None:
-    """Upserts into a serving table with the same columns; with others it is replaced."""
-    from strata.operators.tables import merge
+def _rename(url: str, old: str, new: str) -> str:
+    return f"RENAME TABLE {old} TO {new}" if url.startswith(("jdbc:derby", "jdbc:mysql")) else f"ALTER TABLE {old} RENAME TO {new}"
 
-    held = jdbc(df.sparkSession, url, table, driver=driver)
-    if sorted(c.lower() for c in held.columns) != sorted(c.lower() for c in df.columns):
+
+def serve(df: DataFrame, url: str, table: str, driver: str | None = None, types: str | None = None) -> None:
+    """Replaces a serving table: rows go to a staging table, which takes the name in one transaction. Nested columns go as JSON text."""
+    spark, name = df.sparkSession, _staged(df, url, table, driver, types)
+    gone = [f"DROP TABLE {table}"] if _exists(spark, url, table, driver) else []
+    _statements(spark, url, driver, *gone, _rename(url, name, table))
+
+
+def serve_upsert(df: DataFrame, url: str, table: str, keys: list[str], driver: str | None = None) -> None:
+    """Upserts into a serving table with the same columns; with others it is replaced.
+
+    The batch goes to a staging table; in one transaction its keys' rows are deleted and its rows inserted. So only the
+    batch moves. Keys must be unique in it.
+    """
+    spark = df.sparkSession
+    held = jdbc(spark, url, query=f"select * from {table} where 1 = 0", driver=driver) if _exists(spark, url, table, driver) else None
+    if held is None or sorted(c.lower() for c in held.columns) != sorted(c.lower() for c in df.columns):
         return serve(df, url, table, driver)
-    held = held.toDF(*(next(d for d in df.columns if d.lower() == c.lower()) for c in held.columns))
-    out = merge(held, df, keys)
-    if (folder := df.sparkSession.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-        out = out.checkpoint()  # the table is read before it is replaced
-    else:
-        raise ValueError(f"serve_upsert needs a checkpoint folder, not {folder}")
-    return serve(out, url, table, driver)
+    name = _staged(df, url, table, driver, None)
+    q = lambda c: f'"{c}"'
+    own = {c.lower(): c for c in held.columns}
+    same = " AND ".join(f"{name}.{q(k)} = {table}.{q(own[k.lower()])}" for k in keys)
+    into, out = (", ".join(q(x) for x in xs) for xs in ([own[c.lower()] for c in df.columns], df.columns))
+    _statements(spark, url, driver, f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM {name} WHERE {same})", f"INSERT INTO {table} ({into}) SELECT {out} FROM {name}", f"DROP TABLE {name}")

@@ -6,11 +6,16 @@ foreachBatch: an epoch writes to a path of its own, or under a transaction id of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from strata.operators.lineage import at_rank, ranked
-from strata.operators.tables import Versions, last_per_key, merge
+from strata.operators.tables import Versions, conform, last_per_key, merge
+from strata.plans.pipeline import load_raw_vault
 
 OP, SOURCE_TS, DELETED = "__op", "__source_ts_ms", "__deleted"
 STALE_SECONDS = 30
@@ -79,16 +84,57 @@ def write_changelog(path: str, generation: str):
     return write
 
 
-def write_mirror(table: Versions, keys: list[str], generation: str):
-    """foreachBatch function: version n from version n - 1 and the batch; an epoch that is in the log is skipped."""
+def write_mirror(table: Versions, keys: list[str], generation: str, schema: T.StructType | None = None, buckets: int = 64):
+    """foreachBatch function: the next version from the held one and the batch; an epoch that is in the log is skipped.
+
+    Only buckets of keys that the batch has are read and written. `schema`: types that fields are cast to; a value that
+    isn't one fails the batch, as nothing may be lost.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rows = batch if schema is None else conform(batch, schema)
+        table.upsert(keys, lambda held, new: mirror(held, new, keys), rows, f"{generation}:{epoch}", buckets)
+
+    return write
+
+
+def propagate(tables: dict[str, Versions], name: str, spec: dict, generation: str, then: Callable[[dict[str, DataFrame]], None] | None = None):
+    """foreachBatch function: the batch's rows to every table of a vault description, then what is built on them.
+
+    Each table is appended to under the epoch and its own name, so a replayed epoch adds what it lacks and no more.
+    `then` gets the tables after every epoch, a replayed one too, as it may have died before. tables: one Versions per name
+    that `load_raw_vault` gives.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        state = table.read() if table.latest() is not None else None
-        table.write(mirror(state, batch, keys), txn=f"{generation}:{epoch}")
+        rows = batch.persist()
+        try:
+            held = {n: t.read() for n, t in tables.items() if t.latest() is not None}
+            for n, add in load_raw_vault(rows, name, spec, held).items():
+                tables[n].append(add, f"{generation}:{epoch}:{n}")
+        finally:
+            rows.unpersist()
+        if then is not None:
+            then({n: t.read() for n, t in tables.items() if t.latest() is not None})
 
     return write
 
 
+#: Options by which a source keeps a micro-batch to a number of records (of files, for files).
+BOUNDS = {"kafka": "maxOffsetsPerTrigger", "file": "maxFilesPerTrigger", "delta": "maxFilesPerTrigger", "rate": "rowsPerSecond"}
+
+
+def bounded(reader: DataStreamReader, kind: str, records: int) -> DataStreamReader:
+    """A stream's reader whose micro-batches hold at most so many records."""
+    return reader.option(BOUNDS[kind], records)
+
+
+def start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, seconds: float | None = None) -> StreamingQuery:
+    """Runs a foreachBatch function: every `seconds`, or without them over what is there, in batches as the reader bounds them."""
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if seconds is None else w.trigger(processingTime=f"{seconds} seconds")).start()
+
+
 def latency(batches: DataFrame) -> DataFrame:
     """batch, records, p50 (median cut to a whole number), p95 (element max(int(0.95 n) - 1, 0)) of latency_ms."""
     ms = F.greatest(F.col("latency_ms"), F.lit(0))
@@ -105,6 +151,21 @@ def minutes(stats: DataFrame) -> DataFrame:
     return stats.groupBy("stream", F.date_trunc("minute", "at").alias("minute")).agg(F.sum("records").alias("records"), F.count("*").alias("batches"), F.sum("dlq").alias("dlq"), last("p50"), last("p95"), last("lag"))
 
 
+def minutes_upsert(held: DataFrame | None, stats: DataFrame) -> DataFrame:
+    """A rollup (as `minutes`, with the time `at` of its last row) after more stats: sums grow, the last p50, p95 and lag win."""
+    new = stats.select("stream", F.date_trunc("minute", "at").alias("minute"), "records", F.lit(1).cast("long").alias("batches"), "dlq", "p50", "p95", "lag", "at")
+    both = new if held is None else held.select(new.columns).unionByName(new)
+    last = lambda c: F.max_by(c, "at").alias(c)
+    sums = (F.sum(c).alias(c) for c in ("records", "batches", "dlq"))
+    return both.groupBy("stream", "minute").agg(*sums, last("p50"), last("p95"), last("lag"), F.max("at").alias("at"))
+
+
+def series(rollup: DataFrame, stream: str, as_of, minutes: int) -> DataFrame:
+    """A stream's rollup of the last minutes, in order."""
+    since = F.lit(as_of).cast("timestamp") - F.make_interval(mins=F.lit(minutes))
+    return rollup.where((F.col("stream") == stream) & (F.col("minute") > since) & (F.col("minute") <= F.lit(as_of).cast("timestamp"))).orderBy("minute")
+
+
 def status(streams: DataFrame, rollup: DataFrame, as_of) -> DataFrame:
     """stream, state (stalled: running, but silent for over 30 s), records_per_minute over five minutes, totals."""
     now = F.lit(as_of).cast("timestamp")

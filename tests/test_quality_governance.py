@@ -26,7 +26,7 @@ def test_rules(spark, customers):
         Rule("al", "allowed_values", ("country",), {"values": ["NO", "SE", "DK"]}),
         Rule("fr", "freshness", ("_load_ts",), {"minutes": 60}),
         Rule("rc", "row_count", (), {"min": 5, "max": 5}),
-        Rule("cu", "custom_sql", (), {"sql": "select * from {data} where age > 200 and country = 'NO'"}),
+        Rule("cu", "custom_sql", (), {"sql": "select * from data where age > 200 and country = 'NO'"}),
     ]
     got = {r.name: (r.checked, r.failed, r.passed) for r in q.evaluate(customers, rules, NOW).collect()}
     assert got == {"nn": (5, 1, False), "un": (5, 2, False), "ra": (5, 2, False), "re": (4, 1, False), "al": (5, 1, False), "fr": (1, 1, False), "rc": (1, 0, True), "cu": (5, 1, False)}
@@ -74,10 +74,91 @@ def test_masking_filters_and_policies(spark, customers):
     for bad in ("id in (select 1)", "exists (select 1)"):
         with pytest.raises(ValueError):
             g.checked_predicate(customers, bad)
+    with pytest.raises(g.AccessDenied):
+        g.checked_predicate(customers, "reflect('java.lang.System', 'getenv', 'HOME') = 'x'")
+    with pytest.raises(Exception):
+        g.checked_predicate(customers, "sum(age) > 1")
+    with pytest.raises(ValueError):
+        g.checked_predicate(customers, "age + 1")
     grants = spark.createDataFrame([("domain", "sales", "role", "analyst")], "kind string, name string, to_kind string, to_name string")
     assert g.allowed(grants, "d", "sales", "u", ["analyst"]) and g.allowed(grants, "d", "hr", "u", []) and not g.allowed(grants, "d", "sales", "u", ["other"]) and g.allowed(grants, "d", "sales", "u", ["admin"])
 
 
+def test_secured_sql_names_its_relations_only(spark, customers, tmp_path):
+    customers.write.parquet(str(tmp_path / "raw"))
+    customers.createOrReplaceTempView("open_view")
+    safe = {"t": g.secured(customers, {"email": "redact"}, [])}
+    good = ("select email from t", "with x as (select * from t) select email from x", "select email from (select * from T) where id in (select id from t)", "select email from t order by id limit 2 -- end")
+    for sql in good:
+        assert {r.email for r in g.secured_sql(spark, sql, safe).collect()} <= {"****", None}
+    bad = (
+        f"select * from parquet.`{tmp_path}/raw`",
+        "select * from open_view",
+        "select * from t where id in (select id from open_view)",
+        "with x as (select * from open_view) select * from x",
+        "select * from (with open_view as (select 1 as a) select * from open_view) a, open_view",
+        "select (select max(email) from open_view) from t",
+        "select reflect('java.lang.System', 'getenv', 'HOME') from t",
+        "select * from default.t",
+        "select * from sql_keywords()",
+        "select * from identifier('open_view')",
+    )
+    for sql in bad:
+        with pytest.raises(PermissionError):
+            g.secured_sql(spark, sql, safe)
+    for sql in ("drop view open_view", "insert into t values (1)", "select 1; select 2"):
+        with pytest.raises(Exception):
+            g.secured_sql(spark, sql, safe)
+    assert not [v.name for v in spark.catalog.listTables() if v.name.startswith("_secured_")]
+    few, more = g.ask(spark, "select id from t order by id", safe, 2)
+    assert ([r.id for r in few.collect()], more) == ([1, 2], True) and g.ask(spark, "select id from t", safe, 5)[1] is False
+
+
+def test_denied_reads_are_errors(spark, customers):
+    frame = spark.createDataFrame
+    p = g.Policies(
+        frame([("c", "sales"), ("d", None)], "dataset string, domain string"),
+        frame([("c", "email", "pii.email", "active")], "dataset string, column string, tag string, status string"),
+        frame([("pii", "redact", ["boss"])], "tag string, method string, exempt_roles array<string>"),
+        frame([("c", "country <> 'XX'", ["boss"])], "dataset string, predicate string, exempt_roles array<string>"),
+        frame([("domain", "sales", "role", "analyst"), ("dataset", "d", "user", "ann")], "kind string, name string, to_kind string, to_name string"),
+    )
+    seen = g.secured_relations({"c": customers}, p, "eve", ["analyst"])["c"].collect()
+    assert len(seen) == 4 and {r.email for r in seen} == {"****", None}
+    assert g.policy_of(p, "c", "x", ["admin", "boss"]) == g.DatasetPolicy("c", True, True, {}, ())
+    assert g.policy_of(p, "d", "ann", []).readable and not g.policy_of(p, "d", "eve", []).readable
+    with pytest.raises(g.AccessDenied):
+        g.secured_relations({"c": customers}, p, "eve", ["other"])
+    with pytest.raises(LookupError):
+        g.policy_of(p, "nothing", "eve", [])
+
+
+@pytest.mark.parametrize("column, tags", [("email", {"pii.email"}), ("mail_addr", {"pii.email", "pii.address"}), ("customer_phone_no", {"pii.phone"}), ("name", {"pii.name"}), ("filename", set()), ("mail_address", {"pii.email"}), ("home_address", {"pii.address"}), ("card_no", {"pii.card_number"}), ("client_ip", {"pii.ip_address"}), ("ship_date", set()), ("personnummer", {"pii.national_id"})])
+def test_name_signals(spark, column, tags):
+    got = g.name_signals(spark.createDataFrame([("d", column)], "dataset string, column string")).collect()
+    assert {r.tag for r in got} == tags and all(r.reason.startswith(f"column name '{column}' looks like ") for r in got)
+
+
+def test_value_patterns():
+    import re
+
+    fits = lambda name, text: bool(re.fullmatch(q.PATTERNS[name], text))
+    assert fits("ipv4", "255.1.0.99") and not fits("ipv4", "256.1.1.1")
+    assert fits("iso_date", "2024-01-15") and fits("iso_date", "2024-01-15T10:30:00Z") and not fits("iso_date", "2024-1-5")
+    assert fits("phone", "+47 400/11 222") and not fits("phone", "1" * 21) and fits("postal_code", "0150") and fits("card_number", "4111 1111 1111 1111 ")
+
+
+def test_suite_keeps_errors_apart(spark, customers):
+    rules = [Rule("ok", "not_null", ("id",)), Rule("lost", "unique", ("nothing",)), Rule("sql", "custom_sql", (), {"sql": "select * frm data"}), Rule("ref", "referential", ("id",), {"reference": "none", "column": "id"}), Rule("run", "custom_sql", (), {"sql": "select * from data where cast(email as int) = 1"})]
+    got = {r.name: r for r in q.run(customers, rules).collect()}
+    assert (got["ok"].passed, got["ok"].error) == (True, None)
+    assert all(got[n].error and not got[n].passed and got[n].score is None for n in ("lost", "sql", "ref", "run")) and "nothing" in got["lost"].error
+    assert q.failing(customers, Rule("nn", "not_null", ("email",))).collect() == []
+    assert [r.value for r in q.failing(customers, Rule("k", "referential", ("id",), {"reference": "c", "column": "id"}), {"c": customers.where("id < 3")}).collect()] == ["3", "4"]
+    assert [r.value for r in q.failing(customers, Rule("s", "custom_sql", (), {"sql": "select id from data where age > 200"})).collect()] == ['{"id":2}', '{"id":4}']
+    assert [r.value for r in q.failing(customers, Rule("u", "unique", ("id",))).collect()] == ["4"]
+
+
 def test_suggestions_are_made_once(spark):
     cols = spark.createDataFrame([("c", "email"), ("c", "hk_email"), ("c", "_batch_id")], "dataset string, column string")
     none = spark.createDataFrame([], "dataset string, column string, tag string, status string")

@@ -75,7 +75,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "skip.tsv").write_text("junk\nk\tv\n1\tx\n2\ty\n")
     assert rows(files.read_csv(spark, str(tmp_path / "skip.tsv"), skip_rows=1)) == [(1, "x"), (2, "y")]
     (tmp_path / "api.json").write_text('{"data": [{"id": 1, "tags": ["x"]}, {"id": 2, "o": {"b": 1}}]}')
-    assert [tuple(r) for r in files.read_document(spark, str(tmp_path / "api.json"), "data").orderBy("id").collect()] == [("1", None, '["x"]'), ("2", '{"b":1}', None)]
+    assert [tuple(r) for r in files.read_document(spark, str(tmp_path / "api.json"), "data").orderBy("id").collect()] == [(1, None, '["x"]'), (2, '{"b":1}', None)]
     (tmp_path / "e.jsonl").write_text('{"k": 1, "s": {"a": 1}}\n{"k": 2}\n')
     assert rows(files.read(spark, str(tmp_path / "e.jsonl")), "k") == [(1,), (2,)]
     seen = files.listing(spark, str(tmp_path / "*.csv*"))
@@ -86,7 +86,8 @@ def test_files(spark, tmp_path):
 
 def test_pages_topics_and_watermarks(spark):
     landed = spark.createDataFrame([('{"page": {"rows": [{"id": 1}, {"id": 2, "n": {"x": 1}}]}}',)], "value string")
-    assert rows(incremental.pages(landed, "$.page.rows"), "id") == [("1",), ("2",)]
+    assert rows(incremental.pages(landed, "$.page.rows"), "id") == [(1,), (2,)]
+    assert rows(incremental.pages(landed, "$.page.rows", mark_column="id", mark=1), "id") == [(2,)]
     raw = spark.createDataFrame([("k", '{"a": "1"}', 0, 5, AT), (None, "text", 1, 6, AT)], "key string, value string, partition int, offset long, timestamp timestamp")
     assert sorted(map(str, (tuple(r) for r in incremental.topic_rows(raw, ["a", "value"]).select("a", "value", "_kafka_offset").collect()))) == sorted(map(str, [("1", None, 5), (None, "text", 6)]))
     df = spark.createDataFrame([(1,), (5,), (None,)], "wm int")
@@ -102,6 +103,78 @@ def test_jdbc_on_derby(spark, tmp_path):
     assert sorted((r[0], r[1]) for r in incremental.jdbc(spark, url, "served", driver=driver).collect()) == [(1, "a"), (2, "z"), (3, "c")]
 
 
+def test_records_keep_their_types(spark):
+    texts = ['{"a": 1, "b": 1.5, "c": true, "d": "x", "e": {"z": 1, "y": [2]}, "m": 1}', '{"a": 2, "m": "two", "we ird`s": null}', "7", "not json", None]
+    df = files.normalize(spark.createDataFrame([(x,) for x in texts], "value string"))
+    kinds = dict(df.dtypes)
+    assert df.columns == ["a", "b", "c", "d", "e", "m", "value", "we ird`s"]
+    assert (kinds["a"], kinds["c"], kinds["d"], kinds["e"], kinds["m"]) == ("bigint", "boolean", "string", "string", "string")
+    got = {r.a: r for r in df.where("a is not null").collect()}
+    assert (got[1].c, got[1].e, float(got[1].b), got[1].m, got[2].m) == (True, '{"y":[2],"z":1}', 1.5, "1", "two")
+    assert sorted(r["value"] for r in df.where("a is null and value is not null").collect()) == ["7", "not json"]
+
+
+def test_skipped_lines_keep_quoted_line_ends(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("junk\n\xe9 junk\nk,v\n1,\"x\ny\"\n2,\xe9\n".encode("latin-1"))
+    (tmp_path / "b.csv").write_bytes(b"junk\njunk\nv,w\nz,9\n")
+    df = files.read_csv(spark, str(tmp_path / "*.csv"), skip_rows=2, encoding="latin-1")
+    assert sorted(map(str, (tuple(r) for r in df.select("k", "v", "w").collect()))) == sorted(map(str, [(1, "x\ny", None), (2, "\u00e9", None), (None, "z", 9)]))
+
+
+def test_documents_offsets_and_arrival(spark, tmp_path):
+    landed = spark.createDataFrame([('{"_id": {"$oid": "ab"}, "n": 1, "k": "x"}',), ('{"_id": 7, "n": 2, "k": "x", "o": {"b": 1}}',), ('{"_id": "q", "n": 3, "k": "y"}',)], "value string")
+    assert rows(incremental.documents(landed), "_id") == [("7",), ("ab",), ("q",)]
+    assert rows(incremental.documents(landed, {"k": "x"}, "n", 1), "_id", "o") == [("7", '{"b":1}')]
+    raw = spark.createDataFrame([(p, o) for p in (0, 1, 2) for o in range(3)], "partition int, offset long")
+    assert rows(incremental.uncommitted(raw, {0: 2, 1: 3})) == [(0, 2), (2, 0), (2, 1), (2, 2)] and incremental.uncommitted(raw, {}).count() == 9
+    read = raw.toDF("_kafka_partition", "_kafka_offset")
+    assert incremental.next_offsets(read, {0: 9, 5: 1}) == {0: 9, 1: 3, 2: 3, 5: 1} and incremental.next_offsets(read.limit(0), {1: 4}) == {1: 4}
+    (tmp_path / "x.csv").write_text("a\n1\n")
+    seen = files.listing(spark, str(tmp_path / "*.csv"))
+    assert files.arrived(seen, seen.limit(0)) and not files.arrived(seen, seen)
+
+
+def test_versions_append_upsert_and_conflict(spark, tmp_path):
+    v = t.Versions(spark, str(tmp_path / "t"))
+    one = spark.createDataFrame([(1, "a")], "k int, v string")
+    assert v.append(one, "x") == 0 and v.append(one, "x") == 0 and v.append(one.limit(0), "y") == 0
+    assert v.append(spark.createDataFrame([(2, 5)], "k int, w int"), "z") == 1
+    assert sorted(map(str, (tuple(r) for r in v.read().select("k", "v", "w").collect()))) == sorted(map(str, [(1, "a", None), (2, None, 5)]))
+    with pytest.raises(t.Conflict):
+        v._commit(["p"], None, 0, True)
+    u = t.Versions(spark, str(tmp_path / "u"))
+    put = lambda rows, txn: u.upsert(["k"], lambda old, new: t.merge(old, new, ["k"]), spark.createDataFrame(rows, "k int, v string"), txn, 4)
+    assert put([(k, "a") for k in range(20)], "a") == 0
+    before = set(u._row().paths)
+    assert put([(3, "b")], "b") == 1 and put([(3, "c")], "b") == 1
+    assert len(before & set(u._row().paths)) == len(before) - 1 and rows(u.read(), "k", "v") == [(k, "b" if k == 3 else "a") for k in range(20)]
+    gone = lambda old, new: old.where("k < 0")
+    assert u.upsert(["k"], gone, u.read(), "c", 4) == 2 and u._row().paths == []
+
+
+def test_load_plan(spark, tmp_path):
+    """Order of loads, disabled mappings, dependents of tables with new rows only, no rows from a second run."""
+    src = spark.createDataFrame([(1, 5, AT), (2, 5, AT)], "id int, g int, _load_ts timestamp")
+    tables = {n: t.Versions(spark, str(tmp_path / n)) for n in ("b", "a", "l", "s", "off", "pit", "other")}
+    seen = []
+
+    def load(name, keys):
+        def run(staged, held):
+            seen.append(name)
+            rows = staged.select(*keys).distinct()
+            return rows if held is None else rows.join(held, keys, "left_anti")
+
+        return run
+
+    maps = [p.Mapping("satellite", "s", load("s", ["id", "g"])), p.Mapping("link", "l", load("l", ["id", "g"])), p.Mapping("hub", "b", load("b", ["g"])), p.Mapping("hub", "a", load("a", ["id"])), p.Mapping("hub", "off", load("off", ["id"]), False)]
+    after = {"pit": ({"s", "a"}, lambda f: f["a"].join(f["s"], "id")), "other": ({"off"}, lambda f: f["off"])}
+    assert p.load_plan(src, "src", maps, tables, after, "t1") == (["a", "b", "l", "s"], ["pit"]) == (seen, ["pit"])
+    assert p.load_plan(src, "src", maps, tables, after, "t2") == (["a", "b", "l", "s"], [])
+    assert tables["pit"].read().count() == 2 and tables["off"].latest() is None
+    with pytest.raises(ValueError):
+        p.load_plan(src.drop("_load_ts"), "src", maps, tables, after, "t3")
+
+
 def test_templates_of_models(spark):
     sql, names = p.render("select * from {{ ref('a') }} join {{ source('s', 't') }} using (id) {% if is_incremental() %} where x > (select max(x) from {{ this }}) {% endif %}", True)
     assert "this" in sql and names == {"ref__a": ("ref", "a"), "source__s__t": ("source", "s", "t")}
@@ -118,8 +191,9 @@ def test_pipeline_states(spark):
     one = spark.range(3)
     fail = lambda a: a.select("nope")
     pipe = p.Pipeline({"a": ({"in"}, lambda **k: k["in"]), "b": ({"a"}, lambda a: a), "bad": ({"a"}, fail), "c": ({"bad"}, lambda bad: bad), "d": ({"absent"}, lambda absent: absent)})
+    pipe.models["late"] = ({"a"}, lambda a: a.select(F.raise_error(F.lit("at run time")).alias("x")))
     states = pipe.run({"in": one})[1]
-    assert [states[k].split(":")[0] for k in ("a", "b", "bad", "c", "d")] == ["succeeded", "succeeded", "failed", "skipped", "skipped"]
+    assert [states[k].split(":")[0] for k in ("a", "b", "bad", "c", "d", "late")] == ["succeeded", "succeeded", "failed", "skipped", "skipped", "failed"]
     with pytest.raises(ValueError):
         p.order({"a": {"b"}, "b": {"a"}})
 

@@ -16,8 +16,8 @@ hardly ever still empty aren't generated (where one is, that text goes on until
 3. Named pairs are verified exactly on their texts; links make connected components, the classes.
 4. Buckets with more candidates go on, by pairs of blocks. Now most members are of a few classes: blocks hold one
    large class each, or the rest, and no block meets another one of its class. An exact bound leaves out what can't
-   be a link: two texts of different classes share at most the weight of those shingles of theirs that stand in other
-   classes (`foreign`), counted over all open texts. What passes is named and verified, until nothing is open.
+   be a link: a text that is like no other yet shares with any text at most the weight of those of its shingles that
+   other open texts have (`foreign`). What passes is named and verified, until nothing is open.
 
 No candidate is dropped: it is verified, in one class already, or ruled out by the bound.
 
@@ -345,16 +345,17 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def _foreign(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """rows (id, class, n and more) with foreign: the weight of a text's shingles that stand in open texts of other classes.
+    """rows (id, class, n, single and more) with foreign: at most so much weight a text shares with open texts of other classes.
 
-    It is n less the weight of the shingles that one class alone has, which are the rarer ones.
+    For a text that is a class by itself (`single`) it is n less the weight of the shingles that no other open text has,
+    counted by shingle and then by text, without a join. For texts of larger classes, which have found their like, it is n.
     """
-    ids = rows.select("id", "class").distinct()
+    ids = rows.select("id", "class", "single").distinct()
     bag = F.explode(F.arrow_udf(text_bag, "array<struct<e: bigint, w: bigint>>")(F.col("text"))).alias("x")
-    each = cut(texts.join(ids, "id").select("id", "class", bag).select("id", "class", "x.e", "x.w"))
-    alone = each.groupBy("e").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo = _hi").select("e")
-    own = each.join(alone, "e").groupBy("id").agg(F.sum("w").alias("_own"))
-    return rows.join(own, "id", "left").withColumn("foreign", F.col("n") - F.coalesce("_own", F.lit(0))).drop("_own")
+    each = texts.join(ids, "id").select("class", "single", bag).select("class", "single", "x.e", "x.w")
+    kept = each.groupBy("e").agg(F.min("class").alias("id"), F.max("class").alias("_hi"), F.first("single").alias("_one"), F.sum("w").alias("w"))
+    own = kept.where("id = _hi and _one").groupBy("id").agg(F.sum("w").alias("_own"))
+    return rows.join(own, "id", "left").withColumn("foreign", F.col("n") - F.coalesce("_own", F.lit(0))).drop("_own", "single")
 
 
 def _nodes(docs: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame]:
@@ -406,10 +407,10 @@ def _labels(docs: DataFrame, nodes: DataFrame, text: str, id: str) -> DataFrame
         rows = cut(rows.join(handy(every.where("b is null").select("key")), "key", "left_semi"))
         if rows.isEmpty():
             return label
-        state = rows.withColumn("class", F.col("id"))
+        state = rows.withColumns({"class": F.col("id"), "single": F.lit(True)})
         if label is not None:
             known = handy(label.withColumnRenamed("node", "id"))
-            state = rows.join(known, "id", "left").withColumn("class", F.coalesce("label", "id")).drop("label")
+            state = rows.join(known, "id", "left").withColumns({"class": F.coalesce("label", "id"), "single": F.col("label").isNull()}).drop("label")
         state = _foreign(state, texts).where(F.col("foreign") >= SIMILARITY * F.col("n") - 1e-6)
         best *= 4096  # what is still open has few classes left, and pairs that the bound lets pass: few rounds
         every = _named(_blocks(state), best)

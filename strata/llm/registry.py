@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from strata.llm import chat, decontaminate, licenses, near_dup, pii, token_files, urls
 from strata.llm.byte_bpe import op10_byte_bpe
 from strata.llm.fingerprint import op9_fingerprints
@@ -14,6 +13,8 @@ from strata.llm.language import op5_language_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline  # stands beside the package, and uses it
+
     return {
         "op1_personal_data": pii.op1_personal_data,
         "op2_decontamination": decontaminate.op2_decontamination,

@@ -43,3 +43,30 @@ def test_single_and_no_document(spark, tmp_path):
     (row,) = fp.op9_fingerprints(spark, str(tmp_path)).collect()
     assert row.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and row.near_next == 1.0
     assert fp.fingerprints(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_likeness_against_true_jaccard(spark):
+    """The columns near_edited and near_next estimate the Jaccard of the texts' sets of spans."""
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(3000))]
+    for k in range(12):
+        cut = rng.randrange(200, 2800)
+        texts.append(texts[-1][:cut] + "".join(rng.choice("abcdef ") for _ in range(3000 - cut)))
+    spans = lambda t: {t[i : i + fp.SPAN] for i in range(max(1, len(t) - fp.SPAN + 1))}
+    jaccard = lambda a, b: len(spans(a) & spans(b)) / len(spans(a) | spans(b))
+    got = {r.doc_id: r for r in fp.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    errors = []
+    for k, t in enumerate(texts):
+        after = texts[(k + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        errors += [got[k].near_edited - jaccard(t, edited), got[k].near_next - jaccard(t, after)]
+    assert max(map(abs, errors)) < 0.4 and abs(sum(errors) / len(errors)) < 0.06
+
+
+def test_ranges_are_those_of_a_scan(spark):
+    ends = [-5, 0, 3, 4, 10, 11, 50]
+    df = spark.createDataFrame([(v,) for v in range(-5, 60)], "v long")
+    got = df.select("v", fp._range_of(fp.F.col("v"), ends).alias("r")).collect()
+    assert all(r.r == sum(e <= r.v for e in ends) - 1 for r in got)

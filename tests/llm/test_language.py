@@ -48,3 +48,19 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert lang.fit(empty) is None
     assert empty.select(lang.predict(None, F.col("text"))).count() == 0
+
+
+def test_query(spark, tmp_path):
+    """One row per row: repeats alike, odd texts und, the held-out fold by the id's text, no use of other columns."""
+    import zlib
+
+    texts = {"en": "the cat and the dog went to the house of the man ", "de": "der hund und die katze sind nicht in dem haus der frau "}
+    rows = [(i, texts[k] * (1 + i % 3), k if i % 5 else None, k) for i in range(60) for k in ("en" if i % 2 else "de",)]
+    rows += [(100, None, "en", "x"), (101, " 12 ", "de", "x"), (7, *rows[7][1:]), (None, texts["en"], "en", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, score string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = lang.op5_language_id(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
+    by = {r.doc_id: r.lang_pred for r in got}
+    assert by[100] == by[101] == "und" and np.mean([by[i] == ("en" if i % 2 else "de") for i in range(60)]) > 0.9

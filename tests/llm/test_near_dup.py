@@ -123,11 +123,11 @@ def test_rows_of_one_id_are_documents_by_their_texts(spark):
 
 
 def test_bound_on_shared_weight_is_exact(spark):
-    """foreign counts a text's shingles that stand in other classes, with their weights."""
+    """foreign counts the shingles of a text alone that stand in other classes, with their weights."""
     texts = [(1, 1, "a b c d e f"), (2, 1, "a b c d e g"), (3, 3, "a b c d e a b c d e")]
-    rows = spark.createDataFrame([(1, 1, 2), (2, 1, 2), (3, 3, 6), (4, 4, 1)], "id long, class long, n long")
+    rows = spark.createDataFrame([(1, 1, 2, False), (2, 1, 2, False), (3, 3, 6, True), (4, 4, 1, True)], "id long, class long, n long, single boolean")
     got = nd._foreign(rows, spark.createDataFrame([*((t[0], t[2]) for t in texts), (4, "x")], "id long, text string"))
-    assert {r.id: (r["class"], r.foreign) for r in got.collect()} == {1: (1, 1), 2: (1, 1), 3: (3, 2), 4: (4, 0)}
+    assert {r.id: (r["class"], r.foreign) for r in got.collect()} == {1: (1, 2), 2: (1, 2), 3: (3, 2), 4: (4, 0)}
 
 
 def test_large_group_without_a_base(spark, monkeypatch):

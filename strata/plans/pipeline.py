@@ -49,6 +49,24 @@ def select(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
+def build(spark: SparkSession, sql: str, frames: dict[tuple[str, ...], DataFrame], this: DataFrame | None = None) -> DataFrame:
+    """A templated model's frame: its references are the given frames, `this` its table so far (none: a first, full build).
+
+    Names stand for views of this call alone, which are gone when the plan is made.
+    """
+    text, names = render(sql, this is not None)
+    known = {n: frames[key] for n, key in names.items()} | ({"this": this} if this is not None else {})
+    views = {n: f"_model_{uuid.uuid4().hex}" for n in known}
+    try:
+        for n, df in known.items():
+            df.createTempView(views[n])
+        named = ", ".join(f"`{n}` as (select * from {v})" for n, v in views.items())
+        return select(spark, f"with {named} select * from (\n{text}\n)" if named else text)
+    finally:
+        for v in views.values():
+            spark.catalog.dropTempView(v)
+
+
 def materialise(new: DataFrame, target: DataFrame | None, kind: str = "table", unique_key: list[str] | None = None, order_by: list[str] | None = None) -> DataFrame:
     """The model's table after a build: rebuilt, appended, or merged on a key (first build: all rows)."""
     if kind == "table" or target is None:

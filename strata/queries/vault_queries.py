@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import models, vault
 from strata.operators.tables import Versions, last_per_key, merge
-from strata.plans.pipeline import Pipeline, load_raw_vault, materialise
+from strata.plans.pipeline import Pipeline, build, load_raw_vault, materialise
 from strata.queries.base import BRONZE_EVENTS, BRONZE_ORDERS, ORDERS_CUT, bronze_events, bronze_orders, diff_sql, key_sql, table
 from strata.session import shared_dir
 
@@ -28,8 +28,10 @@ def hub_customer(s, d):
 
 
 def hub_customer_delta(s, d):
+    """Keys that come behind the high-water mark of the first load and aren't in its hub."""
     rows = _orders(s, d)
-    return vault.hub(_cut(rows, True), "customer", ["o_custkey"], vault.hub(_cut(rows, False), "customer", ["o_custkey"]))
+    first = _cut(rows, False)
+    return vault.hub(vault.since(rows, vault.high_mark(first, None)), "customer", ["o_custkey"], vault.hub(first, "customer", ["o_custkey"]))
 
 
 def link_customer_order(s, d):
@@ -176,6 +178,23 @@ def pipeline_revenue(s, d):
     return frames["by_status"]
 
 
+MODEL = """
+select o_custkey, max(o_orderdate) as last_order, count(*) as orders from {{ source('tpch', 'orders') }} o
+{% if is_incremental() %} where o_orderdate > (select max(last_order) from {{ this }}) {% endif %} group by o_custkey
+"""
+
+
+def model_templated(s, d):
+    """A templated model built twice: in full over the orders up to a day, then over what is newer, merged by its key."""
+    o, key = table(s, d, "orders"), ("source", "tpch", "orders")
+    first = build(s, MODEL, {key: _upto(o)})
+    return materialise(build(s, MODEL, {key: o}, first), first, "incremental", ["o_custkey"], ["last_order"])
+
+
+def _upto(o):
+    return o.where(F.col("o_orderdate") < F.lit(ORDERS_CUT).cast("timestamp_ntz"))
+
+
 def watermark_delta(s, d):
     """Orders past the watermark."""
     from strata.sources.incremental import after
@@ -199,7 +218,7 @@ def merge_delete_flag(s, d):
     return merge(o.where("o_orderkey % 2 = 0"), o.withColumn("gone", F.col("o_orderstatus") == "F"), ["o_orderkey"], "gone")
 
 
-QUERIES = {f.__name__: f for f in (hub_customer, hub_customer_delta, link_customer_order, link_order_part, sat_customer_priority, sat_customer_priority_delta, sat_customer_status_multi, sat_user_status, pit_customer, bridge_customer_part, raw_vault_counts, dim_customer_scd2, dim_user_scd2_deletes, fct_lineitem_asof, fct_orders_current, revenue_by_priority, dim_date, model_incremental_merge, model_incremental_append, promote_silver, pipeline_revenue, watermark_delta, serving_upsert, merge_delete_flag)}
+QUERIES = {f.__name__: f for f in (hub_customer, hub_customer_delta, link_customer_order, link_order_part, sat_customer_priority, sat_customer_priority_delta, sat_customer_status_multi, sat_user_status, pit_customer, bridge_customer_part, raw_vault_counts, dim_customer_scd2, dim_user_scd2_deletes, fct_lineitem_asof, fct_orders_current, revenue_by_priority, dim_date, model_incremental_merge, model_incremental_append, model_templated, promote_silver, pipeline_revenue, watermark_delta, serving_upsert, merge_delete_flag)}
 
 _CK = key_sql("o_custkey")
 _O = f"{BRONZE_ORDERS}, st as (select *, _load_ts as load_date, _source as record_source from bronze_orders)"
@@ -260,6 +279,7 @@ select md5(user_id || '||' || cast(valid_from as varchar)) as sk, user_id, event
     "promote_silver": f"with {BRONZE_ORDERS} select * exclude (_load_ts, _source, _batch_id) from bronze_orders",
     "pipeline_revenue": "select o_orderstatus, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey group by 1",
     "watermark_delta": f"select o_orderkey, o_orderdate from orders where o_orderdate > {_CUT}",
+    "model_templated": f"with a as (select o_custkey, max(o_orderdate) as last_order, count(*) as orders from orders where o_orderdate < timestamp '{ORDERS_CUT}' group by 1), b as (select o_custkey, max(o_orderdate) as last_order, count(*) as orders from orders where o_orderdate >= timestamp '{ORDERS_CUT}' group by 1) select o_custkey, coalesce(b.last_order, a.last_order) as last_order, coalesce(b.orders, a.orders) as orders from a full join b using (o_custkey)",
     "serving_upsert": "select o_orderkey, case when o_orderkey % 3 = 0 then o_orderstatus else '?' end as o_orderstatus, case when o_orderkey % 3 = 0 then o_totalprice else 0.0 end as o_totalprice from orders where o_orderkey % 2 = 0 or o_orderkey % 3 = 0",
     "merge_delete_flag": "select o_orderkey, o_orderstatus from orders where o_orderstatus <> 'F'",
 }

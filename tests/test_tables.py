@@ -249,3 +249,40 @@ def test_stream_replays_nothing(spark, tmp_path):
     log = spark.read.parquet(str(tmp_path / "log" / "generation=g" / "epoch=*"))
     assert (log.count(), log.select("_offset").distinct().count()) == (20, 20)
     assert rows(table.read(), "id", "v") == [("0", "16"), ("1", "17"), ("2", "18"), ("3", "19")]
+
+
+def test_propagation_replays_nothing(spark, tmp_path):
+    """An epoch that comes again adds no row, and what is built behind the vault is built again."""
+    rows = lambda ids: spark.createDataFrame([(str(i), f"v{i}", "u", datetime(2026, 1, 1, 0, i), f"{i:04d}") for i in ids], "id string, v string, _op string, _load_ts timestamp, _batch_id string")
+    tables = {n: t.Versions(spark, str(tmp_path / n)) for n in ("hub_x", "sat_x", "sat_x_status")}
+    built = []
+    write = ch.propagate(tables, "src", {"hub": ("x", ["id"]), "satellites": {"x": ["v"]}, "track_deletes": True}, "g", lambda vault: built.append(vault["hub_x"].count()))
+    for epoch, ids in ((0, (1, 2)), (0, (1, 2)), (1, (2, 3)), (1, (2, 3))):
+        write(rows(ids), epoch)
+    assert built == [2, 2, 3, 3]
+    assert [tables[n].read().count() for n in tables] == [3, 3, 3] and tables["hub_x"].latest() == 1
+
+
+def test_mirror_refuses_lossy_values(spark, tmp_path):
+    table, kinds = t.Versions(spark, str(tmp_path / "m")), T.StructType().add("id", "long").add("v", "integer")
+    put = ch.write_mirror(table, ["id"], "g", kinds, buckets=4)
+    rows = lambda v: spark.createDataFrame([("7", v, "u", None, "0:1", 0, 1, ["id"])], "id string, v string, _op string, _source_ts timestamp, _offset string, _partition int, _offset_no long, _key array<string>")
+    put(rows("5"), 0)
+    with pytest.raises(Exception, match="not a int"):
+        put(rows("five"), 1)
+    assert dict(table.read().dtypes)["v"] == "int" and rows_of(table) == [(7, 5)] and table.latest() == 0
+
+
+def rows_of(table):
+    return rows(table.read(), "id", "v")
+
+
+def test_bounds_and_series(spark, tmp_path):
+    spark.range(10).repartition(5).write.parquet(str(tmp_path / "in"))
+    seen = []
+    stream = ch.bounded(spark.readStream.schema("id long"), "file", 2).parquet(str(tmp_path / "in"))
+    ch.start(stream, lambda batch, epoch: seen.append((epoch, batch.count())), str(tmp_path / "cp")).awaitTermination()
+    files_ = len(list((tmp_path / "in").glob("*.parquet")))
+    assert files_ > 2 and len(seen) == -(-files_ // 2) and sum(n for _, n in seen) == 10
+    roll = spark.createDataFrame([("a", datetime(2026, 1, 1, 0, m), m) for m in range(10)] + [("b", datetime(2026, 1, 1, 0, 9), 1)], "stream string, minute timestamp, records int")
+    assert [r.records for r in ch.series(roll, "a", datetime(2026, 1, 1, 0, 8), 3).collect()] == [6, 7, 8]

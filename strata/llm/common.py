@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.session import cut, shared_dir  # noqa: F401  used by the operators from here
+
 try:  # glibc only
     _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
 except (OSError, AttributeError):
@@ -37,28 +39,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; set for local sessions only."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    have = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get()
-    if known is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        known = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    spark.sparkContext.setCheckpointDir(known)
-    return known
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder; the lineage ends here."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def blocks(texts: pa.Array, most: int = 1 << 21) -> Iterator[pa.Array]:
     """Zero-copy runs of consecutive texts of about `most` bytes (one text at least)."""
     if len(texts) == 0:

@@ -415,7 +415,7 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     base = F.filter("s", lambda x: x["base"])
     counts = [F.size(F.filter(base, _of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("s")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("s")).alias("spans"), F.size("s").cast("long").alias("n_spans"))
 
 
 def _of(kind: str):

@@ -347,6 +347,33 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(F.broadcast(offset), "range").select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids")
 
 
+def spans(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """doc_id, low, high, ids (binary) of the wanted spans (doc_id, low, high) of documents' ids, without expanding the rest.
+
+    A span beyond the document's end is cut there. Shards that hold no wanted document aren't opened.
+    """
+    files = spark.read.schema(FILE).parquet(folder)
+    index = files.select("range", "before", F.posexplode("doc_ids").alias("k", "doc_id"))
+    asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
+    hit = asked.join(index, "doc_id").groupBy("range", "before").agg(F.collect_list(F.struct("doc_id", "k", "low", "high")).alias("asked"))  # one shard's
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                r = {n: c[i].as_py() for n, c in zip(b.schema.names, b.columns)}
+                shard, starts, counts = Shard(r["rules"], r["lengths"], r["symbols"]), r["starts"], r["counts"]
+                rows = []
+                for x in r["asked"]:
+                    high = min(x["high"], counts[x["k"]])
+                    ids = shard.span(starts[x["k"]], starts[x["k"] + 1], x["low"], high) if x["low"] < high else np.zeros(0, np.uint32)
+                    rows.append((x["doc_id"], x["low"], x["high"], ids.astype("<u4").tobytes()))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "low", "high", "ids"])
+
+    rows = files.join(hit, ["range", "before"]).select("starts", "counts", "rules", "lengths", "symbols", "asked")
+    return rows.mapInArrow(unpack, "doc_id bigint, low bigint, high bigint, ids binary")
+
+
 def default_path() -> str:
     import public_tokenizers
 

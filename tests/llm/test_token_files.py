@@ -59,6 +59,11 @@ def test_files_against_the_library(spark, tmp_path):
         want = np.array([*REF.encode(text, add_special_tokens=False).ids, tf.END], "<u4")
         assert (start, doc, n) == (at, want_doc, len(want)) and ids == want.tobytes()
         at += n
+    whole = {d: np.frombuffer(i, "<u4") for _, d, _, i in got if d != 4}
+    asked = [(10, 0, 5), (10, 700, 1100), (10, 2990, 9000), (0, 3, 3), (-7, 0, 2), (999, 0, 2)]
+    wanted = spark.createDataFrame(asked, "doc_id long, low long, high int")
+    seen = {(r.doc_id, r.low, r.high): np.frombuffer(bytes(r.ids), "<u4").tolist() for r in tf.spans(spark, str(tmp_path / "files"), wanted).collect()}
+    assert seen == {(d, a, b): whole[d][a:b].tolist() for d, a, b in asked if d in whole}
 
 
 def test_query_and_empty_table(spark, tmp_path):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import slices, table
+from strata.llm.common import batch_bytes, release, slices, table
 
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 1_024
 #: Matches that end this close to the end of a slice may change with the text that follows.
@@ -79,6 +79,7 @@ def stitch(scan, text: str, border: int) -> int | None:
 
 def encode(docs: DataFrame, path: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",), chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """`keys` and ids (binary: little-endian uint32), one row per input row; other columns aren't carried."""
+    batch_bytes(docs.sparkSession, "4m")
     docs = docs.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys), "ids binary"])
 
@@ -87,6 +88,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keys: tuple[str, ...]
         for b in (x for batch in batches for x in slices(batch, len(keys))):
             ids = pa.array([c.ids(x.as_py()) for x in b.column(len(keys))], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], ids], [*keys, "ids"])
+        release()
 
     long = F.length("_text") > chunk_chars
     short_ids = docs.where(~long).mapInArrow(whole, schema)

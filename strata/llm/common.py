@@ -70,6 +70,14 @@ def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 21) -> Iterator[pa
         i += len(part)
 
 
+def batch_bytes(spark: SparkSession, size: str) -> None:
+    """Sets how large an Arrow batch of texts may be (Spark's setting; its default is 64 MB).
+
+    What the JVM buffers and a Python worker holds is a few times that, for every task that runs.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def release() -> None:
     """Gives memory that a Python worker has freed back to the system: the executor's limit holds for all its workers."""
     pa.default_memory_pool().release_unused()

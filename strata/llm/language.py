@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import blocks, raw, release, table, thin
+from strata.llm.common import batch_bytes, blocks, raw, release, table, thin
 
 HIDDEN, WINDOW, BATCH = 8, 128, 2048
 SAMPLE_DOCS, SAMPLE_BYTES, STEPS = 256, 1_024, 260
@@ -204,6 +204,7 @@ def held_out(key: Column) -> Column:
 
 def fit(docs: DataFrame) -> Model | None:
     """From documents' text and non-null lang outside the held-out fold."""
+    batch_bytes(docs.sparkSession, "4m")
     return train(sample(docs.where(~held_out(F.col("doc_id")))))
 
 

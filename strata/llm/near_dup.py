@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import blocks, cut, raw, release, table
+from strata.llm.common import batch_bytes, blocks, cut, raw, release, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, BANDS, ROWS = 128, 16, 4
@@ -360,6 +360,7 @@ def _foreign(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _nodes(docs: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame]:
     """Rows (id, h1, h2 of the text, n, k1, k2) and nodes (k1, k2, n, id, one row's doc, h1, h2, low, bands)."""
+    batch_bytes(docs.sparkSession, "4m")
     docs = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).withColumns(_text_hashes())
     alone = F.struct(F.monotonically_increasing_id().alias("k1"), F.lit(1).cast("long").alias("k2"))
     plain = F.when(F.col("text").isNull(), alone).otherwise(F.struct(F.col("h1").alias("k1"), F.lit(0).cast("long").alias("k2")))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import blocks, release, table, thin
+from strata.llm.common import batch_bytes, blocks, release, table, thin
 
 #: Kinds in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -364,6 +364,7 @@ def train(texts: list[str], steps: int = STEPS, span: int = 80, batch: int = 64,
 
 def fit(docs: DataFrame, text: str = "text", most: int = SAMPLE_DOCS) -> Model | None:
     """From at most `most` documents that hold a digit or @, those with the smallest hash of their text."""
+    batch_bytes(docs.sparkSession, "4m")
     held = docs.select(F.col(text).cast("string").alias("t")).where(F.col("t").rlike("[0-9@]")).select(F.xxhash64("t").alias("h"), "t")
     few = thin(held, "h", most).dropDuplicates(["h"])
     return train([r.t for r in few.orderBy("h").limit(most).collect()])

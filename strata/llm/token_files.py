@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import raw, shared_dir, slices, table
+from strata.llm.common import batch_bytes, raw, shared_dir, slices, table
 
 END = 1
 SHARD_IDS, PER_ROUND, LEAST = 1 << 19, 2048, 8
@@ -284,6 +284,7 @@ class Shard:
 
 def write(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int = SHARD_IDS, ranges: int | None = None) -> None:
     """Token files of doc_id and text, in `folder` (which all executors share), as rows of FILE."""
+    batch_bytes(docs.sparkSession, "32m")
     ranges = ranges or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 

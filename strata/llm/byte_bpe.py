@@ -45,7 +45,6 @@ class Codec:
         ranks = _ranks(path)
         self.scan = regex.compile(public_tokenizers.PATTERN)
         self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_of = {b: a for a, b in ranks.items()}
         self.store: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
@@ -59,8 +58,10 @@ class Codec:
             out.append(known)
         return b"".join(out)
 
-    def text(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def rest(self) -> None:
+        """Between tasks a worker holds no pre-tokens: the executor's memory is for all of its workers, idle ones too."""
+        self.store.clear()
+        release()
 
 
 @lru_cache(maxsize=2)
@@ -68,6 +69,12 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@lru_cache(maxsize=1)
+def bytes_of(path: str) -> dict[int, bytes]:
+    """The bytes of every id."""
+    return {i: b for b, i in _ranks(path).items()}
+
+
 def stitch(scan, text: str, border: int) -> int | None:
     """First boundary at or after `border` shared by the scans from 0 and from `border`; None if the slice has none."""
     last = len(text) - TAIL
@@ -88,7 +95,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keys: tuple[str, ...]
         for b in (x for batch in batches for x in slices(batch, len(keys))):
             ids = pa.array([c.ids(x.as_py()) for x in b.column(len(keys))], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], ids], [*keys, "ids"])
-        release()
+        c.rest()
 
     long = F.length("_text") > chunk_chars
     short_ids = docs.where(~long).mapInArrow(whole, schema)
@@ -120,12 +127,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", keys: tuple[str, ...]
             ids = [c.ids(p[s:t]) if o else b"" for p, s, t, o in zip(part, start, to, ok)]
             over = [None if o else p[:chunk_chars] for p, o in zip(part, ok)]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(ids, pa.binary()), pa.array(over, pa.string())], [*b.schema.names[:5], "_ids", "_over"])
+        c.rest()
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
             out = [c.ids("".join(t)) if t else b"".join(i) for i, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["_key", "_ids"])
+        c.rest()
 
     head = f"_key {kind}, _h bigint, _row bigint, _k int, _n int"
     chunks = many.mapInArrow(cuts, f"{head}, _part string").repartition("_h", "_row", "_k").mapInArrow(borders, f"{head}, _part string, _to int")
@@ -143,8 +152,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
 
     @F.arrow_udf("binary")
     def back(column: pa.Array) -> pa.Array:
-        c = codec(path)
-        return pa.array([None if x is None else c.text(x) for x in column.to_pylist()], pa.binary())
+        known = bytes_of(path).__getitem__
+        out = pa.array([None if x is None else b"".join(map(known, np.frombuffer(x, "<u4").tolist())) for x in column.to_pylist()], pa.binary())
+        release()
+        return out
 
     return encoded.withColumn(out, back(F.col(ids)))
 

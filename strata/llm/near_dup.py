@@ -65,7 +65,7 @@ def _times(k: int, salt: np.uint64) -> np.uint64:
     return np.uint64(k * int(salt) & 0xFFFFFFFFFFFFFFFF)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2^64, and of its inverse."""
     base = 0x2127599BF4325C37
@@ -82,7 +82,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     cutting[offsets] = True
     start = np.flatnonzero(word[1:-1] & (~word[:-2] | cutting[:-1]))
     end = np.flatnonzero(word[1:-1] & (~word[2:] | cutting[1:])) + 1
-    up, down = _powers(max(20, len(data).bit_length()))
+    up, down = _powers(max(19, len(data).bit_length()))
     prefix = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data + np.uint64(1)) * up[: len(data)], out=prefix[1:])
     hashes = mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,3 +102,10 @@ def thin(df: DataFrame, h: str, most: int, by: str | None = None) -> DataFrame:
     for r in each:
         kept = kept | ((F.col(by) == r[by]) & (F.col(h) <= bound(r.n)))
     return df.where(kept)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written as Parquet into the shared folder and read back: computed once, and the lineage ends there."""
+    folder = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import chat, decontaminate, licenses, near_dup, pii, token_files, urls
+from strata.llm import chat, decontaminate, lexical, licenses, near_dup, pii, token_files, urls
 from strata.llm.byte_bpe import op10_byte_bpe
 from strata.llm.fingerprint import op9_fingerprints
 from strata.llm.language import op5_language_id
@@ -26,9 +26,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat.op8_chat_format,
         "op9_fingerprints": op9_fingerprints,
         "op10_byte_bpe": op10_byte_bpe,
+        "op13_lexical_search": lexical.op13_lexical_search,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.ORACLE, "op3_license_scan": licenses.ORACLE, "op4_url_filters": urls.ORACLE, "op8_chat_format": chat.ORACLE}
+    return {"op2_decontamination": decontaminate.ORACLE, "op3_license_scan": licenses.ORACLE, "op4_url_filters": urls.ORACLE, "op8_chat_format": chat.ORACLE, "op13_lexical_search": lexical.ORACLE}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import chat, decontaminate, lexical, licenses, near_dup, pii, token_files, urls
+from strata.llm import chat, decontaminate, lexical, licenses, near_dup, packing, pii, token_files, urls, variants
 from strata.llm.byte_bpe import op10_byte_bpe
 from strata.llm.fingerprint import op9_fingerprints
 from strata.llm.language import op5_language_id
@@ -26,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat.op8_chat_format,
         "op9_fingerprints": op9_fingerprints,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_spelling_variants": variants.op11_spelling_variants,
+        "op12_packing": packing.op12_packing,
         "op13_lexical_search": lexical.op13_lexical_search,
         "pipeline": corpus_pipeline.run,
     }

@@ -14,8 +14,9 @@ Repeated rows are written once each; an empty table makes no shard; other column
 
 Where the tokenizer is built as `SHORTCUT` says, encoding a text equals encoding its pieces between blanks and line
 ends (white space is dropped and pieces never look at each other), so a distinct piece is encoded once and looked up
-afterwards, and pieces of small Latin letters alone need no normalising. Any other tokenizer file encodes whole texts. Strings of
-special tokens in a text are ordinary text (`encode_special_tokens`), so no text can forge an id of its own.
+afterwards, and pieces of small Latin letters alone need no normalising. Any other tokenizer file encodes whole texts. A
+string of a special token in a text gives that token's id, as the library's plain call does; with `plain` as False it is
+ordinary text, so that no text can forge an id.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -73,13 +74,15 @@ def _shortcut(spec: dict) -> bool:
 class Encoder:
     """Ids (uint32) of text arrays by one tokenizer file; one per Python worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.shortcut = _shortcut(json.loads(Path(path).read_text()))
+        spec = json.loads(Path(path).read_text())
+        self.special = [t["content"] for t in spec.get("added_tokens", [])] if plain else []
+        self.path, self.shortcut = path, _shortcut(spec)
         self.letters = Tokenizer(self.tokenizer.model)  # for pieces of LETTERS, which the other steps leave alone
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids[0] if self.shortcut else None
@@ -124,12 +127,34 @@ class Encoder:
             self.old, self.store = store, {}
         return out
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by END, and the number of each text's ids."""
+    def encode(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's followed by `end`, and the number of each text's ids."""
         texts = texts.fill_null("")
         if not self.shortcut:
-            each = [np.append(np.array(e.ids, np.uint32), np.uint32(END)) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-            return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
+            return self._whole(texts, end)
+        odd = np.zeros(len(texts), bool)
+        for token in self.special:
+            odd |= np.asarray(pc.match_substring(texts, token))
+        if not odd.any():
+            return self._pieced(texts, end)
+        ids, counts = self._pieced(pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts), end)
+        each = np.split(ids, np.cumsum(counts)[:-1])
+        for i in np.flatnonzero(odd):
+            each[i], counts[i : i + 1] = self._whole(texts.slice(i, 1), end)
+        return np.concatenate(each), counts
+
+    @cached_property
+    def plain(self):
+        """The tokenizer as its file has it, for texts that hold a special token's string."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path) if self.special else self.tokenizer
+
+    def _whole(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.append(np.array(e.ids, np.uint32), np.uint32(end)) for e in self.plain.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
+
+    def _pieced(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         if raw(texts)[0].max(initial=0) < BELOW_MARKS:
             texts = pc.replace_substring_regex(pc.ascii_lower(texts), LETTER_THEN_MARK, r"\1 \2")
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
@@ -141,7 +166,7 @@ class Encoder:
         per_word = size[at]
         ends = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(words)])]
         counts = np.diff(ends) + 1
-        out = np.full(int(counts.sum()), END, np.uint32)
+        out = np.full(int(counts.sum()), end, np.uint32)
         free = np.ones(len(out), bool)
         free[np.cumsum(counts) - 1] = False
         out[free] = ids[ragged(begin[at], per_word)]
@@ -155,8 +180,8 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, plain: bool = True) -> Encoder:
+    return Encoder(path, plain)
 
 
 def compress(ids: np.ndarray, last: np.ndarray, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -282,7 +307,7 @@ class Shard:
         return self.expand(self.symbols[start + a : start + b])[low - skip : high - skip]
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int = SHARD_IDS, ranges: int | None = None) -> None:
+def write(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int = SHARD_IDS, ranges: int | None = None, plain: bool = True) -> None:
     """Token files of doc_id and text, in `folder` (which all executors share), as rows of FILE."""
     batch_bytes(docs.sparkSession, "32m")
     ranges = ranges or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -307,7 +332,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int = SHARD_I
 
         size = 0
         for b in (x for batch in batches for x in slices(batch, 1, 12 << 20)):
-            ids, counts = encoder(tokenizer).encode(b.column(1))
+            ids, counts = encoder(tokenizer, plain).encode(b.column(1))
             names, ends, i = b.column(0).to_pylist(), np.cumsum(counts), 0
             while i < len(counts):  # up to the document with which the shard is full
                 done = int(ends[i - 1]) if i else 0

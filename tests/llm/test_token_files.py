@@ -8,7 +8,6 @@ from tokenizers import Tokenizer
 from strata.llm import token_files as tf
 
 REF = Tokenizer.from_file(tf.default_path())
-REF.encode_special_tokens = True
 
 
 @settings(max_examples=100, deadline=None)
@@ -84,18 +83,18 @@ def test_any_tokenizer_file_encodes_as_the_library():
     for name, short in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
         path = public_tokenizers.path(name)
         own, ref = tf.Encoder(path), Tokenizer.from_file(path)
-        ref.encode_special_tokens = True
         assert own.shortcut is short
         ids, counts = own.encode(pa.array(texts))
         want = [[*ref.encode(t or "", add_special_tokens=False).ids, tf.END] for t in texts]
         assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
 
 
-def test_strings_of_special_tokens_are_text():
-    """A choice: the plain call would turn them into one id that a text could forge."""
+def test_strings_of_special_tokens():
+    """As in the library's plain call they give one id; by a parameter they are text, so that no text can forge an id."""
     import pyarrow as pa
 
-    plain, text = Tokenizer.from_file(tf.default_path()), "a <|endoftext|> b"
-    ids = tf.encoder(tf.default_path()).encode(pa.array([text]))[0].tolist()
-    assert ids == [*REF.encode(text, add_special_tokens=False).ids, tf.END]
-    assert 49407 in plain.encode(text, add_special_tokens=False).ids and 49407 not in ids
+    strict, text = Tokenizer.from_file(tf.default_path()), "a <|endoftext|> b"
+    strict.encode_special_tokens = True
+    for coder, ref in ((tf.encoder(tf.default_path()), REF), (tf.encoder(tf.default_path(), False), strict)):
+        assert coder.encode(pa.array([text]))[0].tolist() == [*ref.encode(text, add_special_tokens=False).ids, tf.END]
+    assert 49407 in REF.encode(text, add_special_tokens=False).ids and 49407 not in strict.encode(text, add_special_tokens=False).ids

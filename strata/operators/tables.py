@@ -1,15 +1,10 @@
-"""Table writes: audit columns, storage types, versions, merge, compaction."""
+"""Table writes: audit columns, storage types, conforming, merge. Versioned tables are in `versions`."""
 
 from __future__ import annotations
 
-import json
-import uuid
-from collections.abc import Callable
-from datetime import UTC, datetime
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +13,8 @@ from strata.functions.text import AUDIT
 
 def with_audit(df: DataFrame, load_ts, source: str, batch_id: str, file: Column | None = None) -> DataFrame:
     """The four audit columns at the end, in the place of any the source brings."""
-    return df.drop(*AUDIT).withColumns({"_load_ts": F.lit(load_ts).cast("timestamp"), "_source": F.lit(source), "_batch_id": F.lit(batch_id), "_file": file if file is not None else F.lit(None).cast("string")})
+    audit = {"_load_ts": F.lit(load_ts).cast("timestamp"), "_source": F.lit(source), "_batch_id": F.lit(batch_id)}
+    return df.drop(*AUDIT).withColumns(audit | {"_file": file if file is not None else F.lit(None).cast("string")})
 
 
 def storable(df: DataFrame) -> DataFrame:
@@ -72,137 +68,3 @@ def merge(target: DataFrame | None, source: DataFrame, keys: list[str], delete_f
     joined = t.join(s, same, "full_outer").where(~F.coalesce("_gone", F.lit(False)))
     pick = [(F.when(F.col("_src"), F.col(f"_s_{c}")).otherwise(F.col(c)) if c in target.columns else F.col(f"_s_{c}")).alias(c) if c in src.columns else F.col(c) for c in columns]
     return joined.select(*pick)
-
-
-class Conflict(RuntimeError):
-    """Another writer made the version that this write was to follow."""
-
-
-class Versions:
-    """A table as numbered versions in one folder: full loads, appends, buckets, time travel, history, statistics.
-
-    A version is a list of Parquet folders. It is visible once its log file is there, which one writer alone can create,
-    so two writers never make one version, and a write that dies leaves nothing to be read. A write under a transaction
-    id that the log has already is skipped. (Exclusive creation is atomic on HDFS and local disks; an object store needs
-    a committer that gives it.)
-    """
-
-    LOG = "version long, paths array<string>, txn string, at timestamp"
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _exists(self, path: str) -> bool:
-        fs, p = self._fs(path)
-        return fs.exists(p)
-
-    def history(self) -> DataFrame:
-        log = f"{self.path}/_log"
-        return self.spark.read.schema(self.LOG).json(log).where("version is not null") if self._exists(log) else self.spark.createDataFrame([], self.LOG)
-
-    def latest(self) -> int | None:
-        return self.history().agg(F.max("version")).first()[0]
-
-    def _row(self, version: int | None = None):
-        at = self.latest() if version is None else version
-        row = self.history().where(F.col("version") == at).first()
-        if row is None:
-            raise ValueError(f"no version {at}")
-        return row
-
-    def _done(self, txn: str | None) -> int | None:
-        return None if txn is None else self.history().where(F.col("txn") == txn).agg(F.max("version")).first()[0]
-
-    def _commit(self, paths: list[str], txn: str | None, after: int | None, strict: bool) -> int:
-        """The new version's number: after `after`, or (not strict) after whatever is latest."""
-        number = -1 if after is None else after
-        while True:
-            number += 1
-            text = json.dumps({"version": number, "paths": paths, "txn": txn, "at": datetime.now(UTC).isoformat()})
-            fs, p = self._fs(f"{self.path}/_log/{number:020d}.json")
-            try:
-                out = fs.create(p, False)
-            except Py4JJavaError as e:
-                if not fs.exists(p):
-                    raise
-                if strict:
-                    raise Conflict(f"version {number} exists") from e
-                continue
-            out.write(text.encode())
-            out.close()
-            return number
-
-    def write(self, df: DataFrame, txn: str | None = None) -> int:
-        """A full load: the next version holds these rows."""
-        if (done := self._done(txn)) is not None:
-            return done
-        path = f"{self.path}/data-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self._commit([path], txn, self.latest(), False)
-
-    def append(self, df: DataFrame, txn: str | None = None) -> int | None:
-        """The latest rows and these, which alone are written; a batch without rows writes nothing."""
-        if (done := self._done(txn)) is not None:
-            return done
-        path, last = f"{self.path}/data-{uuid.uuid4().hex}", self.latest()
-        df.write.parquet(path)
-        if self.spark.read.schema(df.schema).parquet(path).isEmpty():
-            return last
-        while True:
-            held = [] if last is None else list(self._row(last).paths)
-            try:
-                return self._commit([*held, path], txn, last, True)
-            except Conflict:  # another append came first: this one follows it
-                last = self.latest()
-
-    def read(self, version: int | None = None) -> DataFrame:
-        """A version's rows; columns that a part lacks are null."""
-        return self.spark.read.option("mergeSchema", "true").parquet(*self._row(version).paths)
-
-    def upsert(self, keys: list[str], change: Callable[[DataFrame | None, DataFrame], DataFrame], batch: DataFrame, txn: str | None = None, buckets: int = 64) -> int:
-        """change(held rows, batch rows) of the buckets (by hash of the keys) that the batch has rows in; others stay as they are.
-
-        A concurrent writer's version is a Conflict: held rows may have changed.
-        """
-        if (done := self._done(txn)) is not None:
-            return done
-        last = self.latest()
-        held = [] if last is None else list(self._row(last).paths)
-        bucket = F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in keys)), F.lit(buckets)).alias("_bucket")
-        touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # at most `buckets`
-        stay = [p for p in held if int(p.rsplit("=", 1)[1]) not in touched]
-        old = [p for p in held if p not in stay]
-        rows = change(self.spark.read.option("mergeSchema", "true").parquet(*old) if old else None, batch)
-        path = f"{self.path}/data-{uuid.uuid4().hex}"
-        rows.select("*", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
-        made = [p for b in sorted(touched) if self._exists(p := f"{path}/_bucket={b}")]
-        return self._commit([*stay, *made], txn, last, True)
-
-    def stats(self) -> DataFrame:
-        """rows, bytes and files of the latest version; counts come from Parquet footers, sizes from the listing."""
-        paths = self._row().paths
-        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(paths)
-        seen = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("files")).first()
-        rows = sum(footer_rows(self.spark, p) for p in paths)
-        return self.spark.createDataFrame([(rows, seen.bytes, seen.files)], "rows long, bytes long, files long")
-
-    def compact(self, files: int) -> int:
-        """A new version of the same rows in fewer files."""
-        return self.write(self.read().coalesce(files))
-
-
-def footer_rows(spark: SparkSession, path: str) -> int:
-    """Rows of a Parquet folder; a count that the scan answers from footers (an aggregate pushed down)."""
-    keys = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
-    before = {k: spark.conf.get(k) for k in keys}
-    try:
-        for k, v in keys.items():
-            spark.conf.set(k, v)
-        return spark.read.parquet(path).count()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)

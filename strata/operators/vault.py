@@ -44,16 +44,22 @@ def _first(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.groupBy(key).agg(best).select(key, "r.*")
 
 
-def hub(source: DataFrame, entity: str, keys: list[str], target: DataFrame | None = None) -> DataFrame:
+def narrowed(target: DataFrame | None, rows: DataFrame, keys: list[str], small: bool) -> DataFrame | None:
+    """The target's rows of the keys in `rows`, if those are few: the target is filtered where it is read, and never shuffled."""
+    return target if target is None or not small else target.join(rows.select(*keys).distinct(), keys, "left_semi")
+
+
+def hub(source: DataFrame, entity: str, keys: list[str], target: DataFrame | None = None, small: bool = False) -> DataFrame:
     """hk_<entity>, keys as trimmed text, trailer: keys not in the target. Rows with a null key are left out."""
     _need(source, keys)
     hk = f"hk_{entity}"
     rows = _with_keys(source, keys).select(hash_key(source, keys).alias(hk), *(F.trim(text_of(source, k)).alias(k) for k in keys), *TRAILER)
     rows = _first(rows, hk, [*keys, *TRAILER])
+    target = narrowed(target, rows, [hk], small)
     return rows if target is None else rows.join(target.select(hk), hk, "left_anti")
 
 
-def link(source: DataFrame, name: str, roles: dict[str, list[str]], target: DataFrame | None = None) -> DataFrame:
+def link(source: DataFrame, name: str, roles: dict[str, list[str]], target: DataFrame | None = None, small: bool = False) -> DataFrame:
     """hk_<name>, one hk_<role> per role, trailer. A null key leaves the row out."""
     keys = [k for r in roles.values() for k in r]
     _need(source, keys)
@@ -61,6 +67,7 @@ def link(source: DataFrame, name: str, roles: dict[str, list[str]], target: Data
     parts = [hash_key(source, cols).alias(f"hk_{role}") for role, cols in roles.items()]
     rows = _with_keys(source, keys).select(hash_key(source, keys).alias(hk), *parts, *TRAILER)
     rows = _first(rows, hk, [*(f"hk_{r}" for r in roles), *TRAILER])
+    target = narrowed(target, rows, [hk], small)
     return rows if target is None else rows.join(target.select(hk), hk, "left_anti")
 
 
@@ -85,7 +92,7 @@ def _versions(rows: DataFrame, key: list[str], target: DataFrame | None, keep: l
     return seen.where(~F.col("hashdiff").eqNullSafe(F.col("_before"))).drop("_before", "_new")
 
 
-def satellite(source: DataFrame, parent: str, keys: list[str], attributes: list[str], target: DataFrame | None = None, active: list[str] | None = None) -> DataFrame:
+def satellite(source: DataFrame, parent: str, keys: list[str], attributes: list[str], target: DataFrame | None = None, active: list[str] | None = None, small: bool = False) -> DataFrame:
     """hk_<parent>, load_date, hashdiff, attributes, record_source, _batch_id: changes of the attributes.
 
     Deletes (_op 'd') are left out. `active`: further columns that tell rows valid at the same time apart.
@@ -98,17 +105,18 @@ def satellite(source: DataFrame, parent: str, keys: list[str], attributes: list[
     hk = f"hk_{parent}"
     kept = [a for a in attributes if a not in active]
     rows = rows.select(hash_key(source, keys).alias(hk), "load_date", hashdiff(source, attributes).alias("hashdiff"), *active, *kept, "record_source", "_batch_id")
-    out = _versions(rows, [hk, *active], target, ["hashdiff", *kept, "record_source", "_batch_id"])
+    out = _versions(rows, [hk, *active], narrowed(target, rows, [hk], small), ["hashdiff", *kept, "record_source", "_batch_id"])
     return out.select(hk, "load_date", "hashdiff", *active, *kept, "record_source", "_batch_id")
 
 
-def status_satellite(source: DataFrame, parent: str, keys: list[str], target: DataFrame | None = None) -> DataFrame:
+def status_satellite(source: DataFrame, parent: str, keys: list[str], target: DataFrame | None = None, small: bool = False) -> DataFrame:
     """is_deleted per change; false without _op, null (with a null hashdiff) for a null one."""
     _need(source, keys)
     gone = F.col("_op") == "d" if "_op" in source.columns else F.lit(False)
     hk = f"hk_{parent}"
     rows = _with_keys(source, keys).select(hash_key(source, keys).alias(hk), "load_date", F.sha1(gone.cast("string")).alias("hashdiff"), gone.alias("is_deleted"), "record_source", "_batch_id")
-    return _versions(rows, [hk], target, ["hashdiff", "is_deleted", "record_source", "_batch_id"]).select(hk, "load_date", "hashdiff", "is_deleted", "record_source", "_batch_id")
+    out = _versions(rows, [hk], narrowed(target, rows, [hk], small), ["hashdiff", "is_deleted", "record_source", "_batch_id"])
+    return out.select(hk, "load_date", "hashdiff", "is_deleted", "record_source", "_batch_id")
 
 
 def since(df: DataFrame, mark, column: str = "_load_ts") -> DataFrame:

@@ -10,7 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.operators import vault
-from strata.operators.tables import Versions, append, last_per_key, merge
+from strata.operators.tables import append, last_per_key, merge
+from strata.operators.versions import Txn, Versions
 from strata.session import shared_dir
 
 _BRACES = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.S)
@@ -123,23 +124,24 @@ class Pipeline:
         return frames, states
 
 
-def load_raw_vault(source: DataFrame, name: str, spec: dict, targets: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+def load_raw_vault(source: DataFrame, name: str, spec: dict, targets: dict[str, DataFrame] | None = None, small: bool = False) -> dict[str, DataFrame]:
     """Rows to add to every table of one description: hub, satellites, status, links, in this order.
 
-    spec: hub (entity, keys), satellites {name: attributes}, track_deletes, links {name: roles}.
+    spec: hub (entity, keys), satellites {name: attributes}, track_deletes, links {name: roles}. small: the source has few
+    keys, so that targets are filtered by them first.
     """
     t, staged = targets or {}, vault.stage(source, name)
     entity, keys = spec["hub"]
-    out = {f"hub_{entity}": vault.hub(staged, entity, keys, t.get(f"hub_{entity}"))}
+    out = {f"hub_{entity}": vault.hub(staged, entity, keys, t.get(f"hub_{entity}"), small=small)}
     for s, attributes in spec.get("satellites", {}).items():
-        out[f"sat_{s}"] = vault.satellite(staged, entity, keys, attributes, t.get(f"sat_{s}"))
+        out[f"sat_{s}"] = vault.satellite(staged, entity, keys, attributes, t.get(f"sat_{s}"), small=small)
     if spec.get("track_deletes"):
-        out[f"sat_{entity}_status"] = vault.status_satellite(staged, entity, keys, t.get(f"sat_{entity}_status"))
+        out[f"sat_{entity}_status"] = vault.status_satellite(staged, entity, keys, t.get(f"sat_{entity}_status"), small=small)
     for link, roles in spec.get("links", {}).items():
         for role, cols in roles.items():
             if role != entity:
-                out[f"hub_{role}"] = vault.hub(staged, role, cols, t.get(f"hub_{role}"))
-        out[f"link_{link}"] = vault.link(staged, link, roles, t.get(f"link_{link}"))
+                out[f"hub_{role}"] = vault.hub(staged, role, cols, t.get(f"hub_{role}"), small=small)
+        out[f"link_{link}"] = vault.link(staged, link, roles, t.get(f"link_{link}"), small=small)
     return out
 
 
@@ -169,7 +171,7 @@ def load_plan(source: DataFrame, name: str, mappings: list[Mapping], tables: dic
         for m in sorted((m for m in mappings if m.enabled), key=lambda m: (KINDS.index(m.kind), m.name)):
             t = tables[m.name]
             before = t.latest()
-            if t.append(m.load(staged, None if before is None else t.read()), f"{txn}:{m.name}") != before:
+            if t.append(m.load(staged, None if before is None else t.read()), (f"{txn}:{m.name}", 0)) != before:
                 fresh.add(m.name)
             loaded.append(m.name)
     finally:
@@ -179,3 +181,22 @@ def load_plan(source: DataFrame, name: str, mappings: list[Mapping], tables: dic
     for n in rebuilt:
         tables[n].write(dependents[n][1](frames), f"{txn}:{n}")
     return loaded, rebuilt
+
+
+def maintain(table: Versions, added: DataFrame, keys: list[str], combine: Callable[[DataFrame], DataFrame], txn: Txn) -> tuple[DataFrame, DataFrame]:
+    """An aggregate kept by key, brought up to date with rows that its source was given; its rows of those keys before and after.
+
+    combine: one row per key, with the table's columns, of held and new rows together (new rows have the same columns).
+    Only the keys in `added` are read and written. Under the same transaction a second run changes nothing and gives the
+    same frames, as they come from the versions before and after, so whatever is built behind can follow from them.
+    """
+    if (version := table.made_by(txn)) is None:
+        held = table.latest() is not None
+        rows = added if not held else table.read().join(added.select(*keys).distinct(), keys, "left_semi").select(added.columns).unionByName(added)
+        table.upsert(combine(rows), keys, txn=txn)
+        version = table.made_by(txn)
+    if version is None:
+        return added.limit(0), added.limit(0)
+    now = table.added(version)
+    before = table.read(version - 1).join(now.select(*keys), keys, "left_semi").select(now.columns) if version else now.limit(0)
+    return before, now

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.operators import lineage as lin
-from strata.operators.tables import Versions
+from strata.operators.versions import Versions
+from strata.plans.pipeline import maintain
 from strata.queries.base import BRONZE_ORDERS, bronze_orders, table
 from strata.session import shared_dir
 from strata.streaming import changes as ch
@@ -78,30 +79,47 @@ def cdc_changelog_stream(s, d):
 
 
 def cdc_mirror_stream(s, d):
-    """A file stream into a mirror in three epochs, with typed columns; each rewrites only the buckets of its keys."""
+    """A mirror that starts from a full load (a snapshot: users as they were halfway), followed by a file stream in three epochs.
+
+    Columns are typed; the epochs write what they bring, and parts are merged after every second one.
+    """
     folder = _landed(s, d)
     versions, kinds = Versions(s, f"{folder}/mirror"), T.StructType().add("user_id", "long").add("event_type", "string").add("value", "long")
-    write = ch.write_mirror(versions, ["user_id"], "g1", kinds, buckets=8)
+    half = s.read.parquet(f"{folder}/in")
+    half = half.where(F.col("offset") < half.agg(F.expr("max(offset) div 2")).first()[0])
+    old = ch.mirror(None, ch.decode(half, FIELDS), ["user_id"])
+    versions.write(old.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds), "_op", "_source_ts", "_offset"), keys=["user_id"])
+    write = ch.write_mirror(versions, ["user_id"], "g1", kinds, compact_every=2)
     ch.start(ch.decode(_stream(s, folder), FIELDS), write, f"{folder}/cp").awaitTermination()
     return versions.read().select(*FIELDS, "_op", "_offset")
 
 
 def stream_vault(s, d):
-    """A file stream into the raw vault in three epochs, and a model that is rebuilt behind each: users by their latest event type."""
+    """A file stream into the raw vault in three epochs, and models kept up to date from the rows that each epoch adds.
+
+    By user: the latest event type and the number of versions. By event type: users and versions, from the users' rows
+    before and after.
+    """
     folder = _landed(s, d)
     spec = {"hub": ("user", ["user_id"]), "satellites": {"user_event": ["event_type"]}, "track_deletes": True}
-    tables = {n: Versions(s, f"{folder}/{n}") for n in ("hub_user", "sat_user_event", "sat_user_status", "model")}
+    tables = {n: Versions(s, f"{folder}/{n}") for n in ("hub_user", "sat_user_event", "sat_user_status")}
+    users, model = Versions(s, f"{folder}/users"), Versions(s, f"{folder}/model")
+
+    def last(rows):
+        return rows.groupBy("hk_user").agg(F.max_by("event_type", "load_date").alias("event_type"), F.max("load_date").alias("load_date"), F.sum("versions").alias("versions"))
 
-    def model(vault):
-        sat = vault["sat_user_event"]
-        last = sat.groupBy("hk_user").agg(F.max_by("event_type", "load_date").alias("event_type"), F.count("*").alias("versions"))
-        out = vault["hub_user"].select("hk_user", "user_id").join(last, "hk_user").groupBy("event_type").agg(F.count("*").alias("users"), F.sum("versions").alias("versions"))
-        tables["model"].write(out)
+    def total(rows):
+        return rows.groupBy("event_type").agg(F.sum("users").alias("users"), F.sum("versions").alias("versions"))
+
+    def then(added, epoch):
+        new = last(added["sat_user_event"].withColumn("versions", F.lit(1).cast("long")))
+        before, now = maintain(users, new, ["hk_user"], last, ("g1:users", epoch))
+        change = [rows.select("event_type", F.lit(k).cast("long").alias("users"), (F.col("versions") * k).alias("versions")) for rows, k in ((before, -1), (now, 1))]
+        maintain(model, total(change[0].unionByName(change[1])), ["event_type"], total, ("g1:model", epoch))
 
     rows = ch.decode(_stream(s, folder), FIELDS).withColumns({"_load_ts": F.col("_source_ts"), "_batch_id": F.lpad(F.col("_offset_no").cast("string"), 10, "0")})
-    vault = {n: t for n, t in tables.items() if n != "model"}
-    ch.start(rows, ch.propagate(vault, "events", spec, "g1", model), f"{folder}/cp").awaitTermination()
-    return tables["model"].read()
+    ch.start(rows, ch.propagate(tables, "events", spec, "g1", then, compact_every=2), f"{folder}/cp").awaitTermination()
+    return model.read().where("users > 0")
 
 
 def _stats(s, d):
@@ -253,9 +271,6 @@ def catalog_search(s, d):
 
 
 QUERIES = {f.__name__: f for f in (cdc_decode, cdc_dead_letters, cdc_event_decode, cdc_latest, cdc_mirror, cdc_changelog_stream, cdc_mirror_stream, stream_vault, stream_minutes, stream_minutes_upsert, stream_series, stream_latency, stream_status, run_summary, run_last_status, freshness_alerts, lineage_trace, lineage_subgraph, lineage_steps, lineage_overlay, restricted_graph, lineage_edges, lineage_column_edges, lineage_impact, batch_trace, schema_drift, catalog_search)}
-#: Names under which the same whole tables were queried before.
-QUERIES |= {f"{n}_all": QUERIES[n] for n in ("lineage_trace", "lineage_subgraph", "restricted_graph", "lineage_edges", "lineage_column_edges", "lineage_impact")}
-
 _DEC = "d as (select cast(user_id as varchar) as user_id, event_type, cast(event_id as varchar) as value, case when event_type = 'error' then 'd' when event_type = 'signup' then 'c' else 'u' end as _op, epoch_us(ts) // 1000 as source_ms, cast(user_id % 3 as varchar) || ':' || event_id as _offset, user_id % 3 as p, event_id from events where event_id % 7 <> 0)"
 _G = "li as (select * from lineitem), g as (select distinct 'p|' || l_partkey as source, 'o|' || l_orderkey as target, 'j1' as job from li union select distinct 'o|' || l_orderkey, 's|' || l_suppkey, 'j2' from li)"
 _EV = "ev as (select o_orderdate + to_seconds(o_orderkey) as event_time, 'load-' || (o_custkey % 7) as job, 'ref' || (o_custkey % 2) as ref, 't' || (o_custkey % 4) as t, 'c' || (o_orderkey % 3) as c from orders where o_orderstatus <> 'P')"
@@ -290,4 +305,3 @@ ORACLES = {
     "schema_drift": "with x as (select 'c' || o_orderkey as \"column\", case when o_orderkey % 7 <> 0 then o_orderstatus end as old, case when o_orderkey % 5 <> 0 then case when o_orderkey % 11 = 0 then 'X' else o_orderstatus end end as new, o_orderkey % 14 = 0 as e from orders) select \"column\", case when old is null then case when e then 're-added' else 'added' end when new is null then 'removed' else 'type_changed' end as change, old, new from x where (old is not null or new is not null) and old is distinct from new",
     "catalog_search": "select 'part_' || p_partkey as dataset, case when p_partkey % 3 > 0 then p_type end as description, 'silver' as layer from part where p_size > 25 and (p_partkey % 4 = 0 or (p_partkey % 3 > 0 and contains(lower(p_type), 'tin'))) union all select s_name, 'a supplier', 'silver' from supplier where contains(lower(s_name), 'tin')",
 }
-ORACLES |= {f"{n}_all": ORACLES[n] for n in ("lineage_trace", "lineage_subgraph", "restricted_graph", "lineage_edges", "lineage_column_edges", "lineage_impact")}

@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from strata.operators import models, vault
-from strata.operators.tables import Versions, last_per_key, merge
+from strata.operators.tables import last_per_key, merge
+from strata.operators.versions import Versions
+from strata.sources import serving
+from strata.sources.incremental import jdbc
 from strata.plans.pipeline import Pipeline, build, load_raw_vault, materialise
 from strata.queries.base import BRONZE_EVENTS, BRONZE_ORDERS, ORDERS_CUT, bronze_events, bronze_orders, diff_sql, key_sql, table
 from strata.session import shared_dir
@@ -203,22 +206,42 @@ def watermark_delta(s, d):
     return after(o, "o_orderdate", F.lit(ORDERS_CUT).cast("timestamp_ntz")).select("o_orderkey", "o_orderdate")
 
 
-def serving_upsert(s, d):
-    """An upsert into a table of buckets: versions hold what the batch doesn't touch as it is."""
+def versions_upsert(s, d):
+    """A full load, then upserts: one with fewer columns, which keep their values, and one after a compaction."""
     o = table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     held = o.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.lit(0.0)).withColumn("o_orderstatus", F.lit("?"))
-    t, keys = Versions(s, f"{shared_dir(s)}/serving-{uuid.uuid4().hex}"), ["o_orderkey"]
-    for batch in (held, o.where("o_orderkey % 3 = 0")):
-        t.upsert(keys, lambda old, new: merge(old, new, keys), batch, buckets=16)
+    t, keys = Versions(s, f"{shared_dir(s)}/versions-{uuid.uuid4().hex}"), ["o_orderkey"]
+    t.write(held, keys=keys)
+    t.upsert(o.where("o_orderkey % 3 = 0"), keys)
+    t.compact(fold=0.0)
+    t.upsert(o.where("o_orderkey % 5 = 0").select("o_orderkey", "o_totalprice"), keys)
     return t.read()
 
 
+def serving_upsert(s, d):
+    """A serving table replaced by a model, then upserted with what changed; read back from the database.
+
+    The database is the session's `strata.serving.url`; in local sessions without one, one in the driver's memory.
+    """
+    url = s.conf.get("strata.serving.url", None)
+    if url is None and not s.sparkContext.master.startswith("local["):
+        raise ValueError("set strata.serving.url to a database that all executors reach")
+    url = url or f"jdbc:derby:memory:serving{uuid.uuid4().hex};create=true"
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver" if ":derby:" in url else None
+    o = table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    held = o.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.lit(0.0)).withColumn("o_orderstatus", F.lit("?"))
+    name, keys = f"orders_{uuid.uuid4().hex[:8]}", ["o_orderkey"]
+    serving.serve(held, None, url, name, keys, driver)
+    serving.serve(held, o.where("o_orderkey % 3 = 0"), url, name, keys, driver)
+    return jdbc(s, url, name, driver=driver).withColumn("o_orderstatus", F.col("o_orderstatus").cast("string"))
+
+
 def merge_delete_flag(s, d):
     o = table(s, d, "orders").select("o_orderkey", "o_orderstatus")
     return merge(o.where("o_orderkey % 2 = 0"), o.withColumn("gone", F.col("o_orderstatus") == "F"), ["o_orderkey"], "gone")
 
 
-QUERIES = {f.__name__: f for f in (hub_customer, hub_customer_delta, link_customer_order, link_order_part, sat_customer_priority, sat_customer_priority_delta, sat_customer_status_multi, sat_user_status, pit_customer, bridge_customer_part, raw_vault_counts, dim_customer_scd2, dim_user_scd2_deletes, fct_lineitem_asof, fct_orders_current, revenue_by_priority, dim_date, model_incremental_merge, model_incremental_append, model_templated, promote_silver, pipeline_revenue, watermark_delta, serving_upsert, merge_delete_flag)}
+QUERIES = {f.__name__: f for f in (hub_customer, hub_customer_delta, link_customer_order, link_order_part, sat_customer_priority, sat_customer_priority_delta, sat_customer_status_multi, sat_user_status, pit_customer, bridge_customer_part, raw_vault_counts, dim_customer_scd2, dim_user_scd2_deletes, fct_lineitem_asof, fct_orders_current, revenue_by_priority, dim_date, model_incremental_merge, model_incremental_append, model_templated, promote_silver, pipeline_revenue, watermark_delta, serving_upsert, versions_upsert, merge_delete_flag)}
 
 _CK = key_sql("o_custkey")
 _O = f"{BRONZE_ORDERS}, st as (select *, _load_ts as load_date, _source as record_source from bronze_orders)"
@@ -280,6 +303,7 @@ select md5(user_id || '||' || cast(valid_from as varchar)) as sk, user_id, event
     "pipeline_revenue": "select o_orderstatus, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey group by 1",
     "watermark_delta": f"select o_orderkey, o_orderdate from orders where o_orderdate > {_CUT}",
     "model_templated": f"with a as (select o_custkey, max(o_orderdate) as last_order, count(*) as orders from orders where o_orderdate < timestamp '{ORDERS_CUT}' group by 1), b as (select o_custkey, max(o_orderdate) as last_order, count(*) as orders from orders where o_orderdate >= timestamp '{ORDERS_CUT}' group by 1) select o_custkey, coalesce(b.last_order, a.last_order) as last_order, coalesce(b.orders, a.orders) as orders from a full join b using (o_custkey)",
+    "versions_upsert": "select o_orderkey, case when o_orderkey % 3 = 0 then o_orderstatus when o_orderkey % 2 = 0 then '?' end as o_orderstatus, case when o_orderkey % 3 = 0 or o_orderkey % 5 = 0 then o_totalprice else 0.0 end as o_totalprice from orders where o_orderkey % 2 = 0 or o_orderkey % 3 = 0 or o_orderkey % 5 = 0",
     "serving_upsert": "select o_orderkey, case when o_orderkey % 3 = 0 then o_orderstatus else '?' end as o_orderstatus, case when o_orderkey % 3 = 0 then o_totalprice else 0.0 end as o_totalprice from orders where o_orderkey % 2 = 0 or o_orderkey % 3 = 0",
     "merge_delete_flag": "select o_orderkey, o_orderstatus from orders where o_orderstatus <> 'F'",
 }

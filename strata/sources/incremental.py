@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,8 @@ from strata.sources.files import normalize
 
 def jdbc(spark: SparkSession, url: str, table: str | None = None, query: str | None = None, driver: str | None = None, split: tuple[str, int, int, int] | None = None, fetch: int = 10_000) -> DataFrame:
     """A table or query; `split`: column, lower, upper, partitions to read it in parallel."""
-    r = spark.read.format("jdbc").option("url", url).option("fetchsize", fetch).option("dbtable" if table else "query", table or query)
+    r = spark.read.format("jdbc").option("url", url).option("fetchsize", fetch)
+    r = r.option("dbtable" if table else "query", table or query)
     r = r.option("driver", driver) if driver else r
     if split:
         r = r.options(partitionColumn=split[0], lowerBound=split[1], upperBound=split[2], numPartitions=split[3])
@@ -79,71 +79,3 @@ def next_offsets(rows: DataFrame, offsets: dict[int, int]) -> dict[int, int]:
 
 def preview(df: DataFrame, n: int = 50) -> DataFrame:
     return df.limit(n)
-
-
-def _statements(spark: SparkSession, url: str, driver: str | None, *sql: str) -> None:
-    """SQL statements in one transaction of the serving database."""
-    jvm = spark._jvm
-    if driver:
-        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(driver)
-    con = jvm.java.sql.DriverManager.getConnection(url)
-    try:
-        con.setAutoCommit(False)
-        for one in sql:
-            st = con.createStatement()
-            st.executeUpdate(one)
-            st.close()
-        con.commit()
-    except Exception:
-        con.rollback()
-        raise
-    finally:
-        con.close()
-
-
-def _exists(spark: SparkSession, url: str, table: str, driver: str | None) -> bool:
-    try:
-        jdbc(spark, url, query=f"select * from {table} where 1 = 0", driver=driver)
-        return True
-    except Exception:  # whatever the database says of an unknown table
-        return False
-
-
-def _staged(df: DataFrame, url: str, table: str, driver: str | None, types: str | None) -> str:
-    """The rows in a staging table of their own, and its name."""
-    from strata.sources.files import flatten
-
-    name = f"{table}_{uuid.uuid4().hex[:8]}"
-    w = flatten(df).write.format("jdbc").option("url", url).option("dbtable", name).mode("errorifexists")
-    w = w.option("driver", driver) if driver else w
-    (w.option("createTableColumnTypes", types) if types else w).save()
-    return name
-
-
-def _rename(url: str, old: str, new: str) -> str:
-    return f"RENAME TABLE {old} TO {new}" if url.startswith(("jdbc:derby", "jdbc:mysql")) else f"ALTER TABLE {old} RENAME TO {new}"
-
-
-def serve(df: DataFrame, url: str, table: str, driver: str | None = None, types: str | None = None) -> None:
-    """Replaces a serving table: rows go to a staging table, which takes the name in one transaction. Nested columns go as JSON text."""
-    spark, name = df.sparkSession, _staged(df, url, table, driver, types)
-    gone = [f"DROP TABLE {table}"] if _exists(spark, url, table, driver) else []
-    _statements(spark, url, driver, *gone, _rename(url, name, table))
-
-
-def serve_upsert(df: DataFrame, url: str, table: str, keys: list[str], driver: str | None = None) -> None:
-    """Upserts into a serving table with the same columns; with others it is replaced.
-
-    The batch goes to a staging table; in one transaction its keys' rows are deleted and its rows inserted. So only the
-    batch moves. Keys must be unique in it.
-    """
-    spark = df.sparkSession
-    held = jdbc(spark, url, query=f"select * from {table} where 1 = 0", driver=driver) if _exists(spark, url, table, driver) else None
-    if held is None or sorted(c.lower() for c in held.columns) != sorted(c.lower() for c in df.columns):
-        return serve(df, url, table, driver)
-    name = _staged(df, url, table, driver, None)
-    q = lambda c: f'"{c}"'
-    own = {c.lower(): c for c in held.columns}
-    same = " AND ".join(f"{name}.{q(k)} = {table}.{q(own[k.lower()])}" for k in keys)
-    into, out = (", ".join(q(x) for x in xs) for xs in ([own[c.lower()] for c in df.columns], df.columns))
-    _statements(spark, url, driver, f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM {name} WHERE {same})", f"INSERT INTO {table} ({into}) SELECT {out} FROM {name}", f"DROP TABLE {name}")

@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from strata.operators.lineage import at_rank, ranked
-from strata.operators.tables import Versions, conform, last_per_key, merge
+from strata.operators.tables import conform, last_per_key, merge
+from strata.operators.versions import Versions
 from strata.plans.pipeline import load_raw_vault
 
 OP, SOURCE_TS, DELETED = "__op", "__source_ts_ms", "__deleted"
@@ -84,38 +85,47 @@ def write_changelog(path: str, generation: str):
     return write
 
 
-def write_mirror(table: Versions, keys: list[str], generation: str, schema: T.StructType | None = None, buckets: int = 64):
-    """foreachBatch function: the next version from the held one and the batch; an epoch that is in the log is skipped.
+def write_mirror(table: Versions, keys: list[str], generation: str, schema: T.StructType | None = None, compact_every: int = 0):
+    """foreachBatch function: the batch's last change per key as one upsert; an epoch that the log has is skipped.
 
-    Only buckets of keys that the batch has are read and written. `schema`: types that fields are cast to; a value that
-    isn't one fails the batch, as nothing may be lost.
+    The table may hold a full load. An epoch writes as much as it has rows and reads no old ones; every `compact_every`-th
+    merges small parts. `schema`: types that fields are cast to; a value that isn't one fails the batch, as nothing may be lost.
     """
+    if not keys:
+        raise ValueError("a mirror needs keys")
 
     def write(batch: DataFrame, epoch: int) -> None:
         rows = batch if schema is None else conform(batch, schema)
-        table.upsert(keys, lambda held, new: mirror(held, new, keys), rows, f"{generation}:{epoch}", buckets)
+        now = latest_changes(rows, keys).withColumn("__deleted", F.col("_op") == "d").drop("_partition", "_offset_no", "_key")
+        table.upsert(now, keys, "__deleted", (generation, epoch))
+        if compact_every and epoch % compact_every == compact_every - 1:
+            table.compact()
 
     return write
 
 
-def propagate(tables: dict[str, Versions], name: str, spec: dict, generation: str, then: Callable[[dict[str, DataFrame]], None] | None = None):
+def propagate(tables: dict[str, Versions], name: str, spec: dict, generation: str, then: Callable[[dict[str, DataFrame], int], None] | None = None, compact_every: int = 0):
     """foreachBatch function: the batch's rows to every table of a vault description, then what is built on them.
 
-    Each table is appended to under the epoch and its own name, so a replayed epoch adds what it lacks and no more.
-    `then` gets the tables after every epoch, a replayed one too, as it may have died before. tables: one Versions per name
-    that `load_raw_vault` gives.
+    Each table is appended to under the epoch and its own name, so a replayed epoch adds what it lacks and no more. Held
+    rows are filtered by the batch's keys where they are read. `then` gets the rows that the epoch added to each table,
+    and the epoch; a replayed one too, as it may have died before: the rows come from the log, so they are the same ones.
+    tables: one Versions per name that `load_raw_vault` gives.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         rows = batch.persist()
         try:
             held = {n: t.read() for n, t in tables.items() if t.latest() is not None}
-            for n, add in load_raw_vault(rows, name, spec, held).items():
-                tables[n].append(add, f"{generation}:{epoch}:{n}")
+            for n, add in load_raw_vault(rows, name, spec, held, small=True).items():
+                tables[n].append(add, (f"{generation}:{n}", epoch))
         finally:
             rows.unpersist()
         if then is not None:
-            then({n: t.read() for n, t in tables.items() if t.latest() is not None})
+            then({n: t.added(t.made_by((f"{generation}:{n}", epoch))) for n, t in tables.items() if t.latest() is not None}, epoch)
+        if compact_every and epoch % compact_every == compact_every - 1:
+            for t in tables.values():
+                t.compact()
 
     return write
 

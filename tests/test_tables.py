@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.operators import tables as t
+from strata.operators.versions import Versions
 from strata.plans import pipeline as p
-from strata.sources import files, incremental
+from strata.sources import files, incremental, serving
 from strata.streaming import changes as ch
 
 AT = datetime(2026, 3, 5, 14, 30)
@@ -27,18 +28,6 @@ def test_merge_rules(spark):
         t.last_per_key(old, ["id"], [])
 
 
-def test_versions_commit_once_and_travel(spark, tmp_path):
-    v = t.Versions(spark, str(tmp_path / "t"))
-    assert v.latest() is None
-    assert v.write(spark.range(3).toDF("x"), "a") == 0 and v.write(spark.range(9).toDF("x"), "a") == 0
-    assert v.write(spark.range(5).toDF("x"), "b") == 1
-    assert (v.read().count(), v.read(0).count(), v.stats().first().rows, v.history().count()) == (5, 3, 5, 2)
-    v.compact(1)
-    assert v.read().count() == 5 and v.stats().first().files == 1
-    with pytest.raises(ValueError):
-        v.read(7)
-
-
 def test_conform_and_storage(spark):
     df = spark.createDataFrame([(1.0, "a")], "x double, s string").withColumn("n", F.lit(None))
     assert dict(t.storable(df).dtypes)["n"] == "string"
@@ -94,13 +83,53 @@ def test_pages_topics_and_watermarks(spark):
     assert incremental.after(df, "wm", 1).count() == 1 and incremental.advance(df, "wm", 9) == 9 and incremental.advance(df, "wm", None) == 5
 
 
-def test_jdbc_on_derby(spark, tmp_path):
-    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
-    spark.sparkContext._jsc.sc().setCheckpointDir(str(tmp_path / "cp"))
-    incremental.serve(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), url, "served", driver, "v varchar(20)")
-    assert rows(incremental.after(incremental.jdbc(spark, url, "served", driver=driver), "ID", 1)) == [(2, "b")]
-    incremental.serve_upsert(spark.createDataFrame([(2, "z"), (3, "c")], "id int, v string"), url, "served", ["id"], driver)
-    assert sorted((r[0], r[1]) for r in incremental.jdbc(spark, url, "served", driver=driver).collect()) == [(1, "a"), (2, "z"), (3, "c")]
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+def test_serving_on_derby(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    read = lambda: sorted((r[0], r[1]) for r in incremental.jdbc(spark, url, "served", driver=DERBY).collect())
+    frame = lambda rows, kinds="id int, v string": spark.createDataFrame(rows, kinds)
+    with pytest.raises(LookupError):
+        serving.upsert(frame([(1, "a")]), url, "served", ["id"], DERBY)
+    serving.replace(frame([(1, "a"), (2, "b")]), url, "served", DERBY, ["id"])
+    assert rows(incremental.after(incremental.jdbc(spark, url, "served", driver=DERBY), "ID", 1)) == [(2, "b")]
+    serving.upsert(frame([(2, "z"), (3, "c"), (4, None)]), url, "served", ["id"], DERBY)
+    assert read() == [(1, "a"), (2, "z"), (3, "c"), (4, None)]
+    with pytest.raises(ValueError):
+        serving.upsert(frame([(2, 5)], "id int, w int"), url, "served", ["id"], DERBY)
+    with pytest.raises(Exception, match="duplicate key"):
+        serving.upsert(frame([(9, "x"), (9, "y")]), url, "served", ["id"], DERBY)
+    assert read() == [(1, "a"), (2, "z"), (3, "c"), (4, None)]
+    assert serving.serve(frame([(7, "n")]), frame([(1, "m")]), url, "served", ["id"], DERBY) == "upsert" and (1, "m") in read()
+    assert serving.serve(frame([(7, 1.5)], "id int, w double"), frame([(7, 1.5)], "id int, w double"), url, "served", ["id"], DERBY) == "replace" and read() == [(7, 1.5)]
+    tables = incremental.jdbc(spark, url, query="select tablename as t from sys.systables where tabletype = 'T'", driver=DERBY)
+    assert [r.T for r in tables.collect()] == ["SERVED"]  # no staging table is left
+
+
+def test_a_failed_look_loses_nothing(spark, tmp_path, monkeypatch):
+    """The catalogue fails once: the upsert is an error, and the table keeps all rows."""
+    url, many = f"jdbc:derby:{tmp_path}/db;create=true", spark.range(5).selectExpr("cast(id as int) as id", "'v' as v")
+    serving.replace(many, url, "served", DERBY)
+
+    def broken(self, table):
+        raise RuntimeError("connection lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(serving.Database, "columns", broken)
+        for call in (lambda: serving.upsert(many.limit(1), url, "served", ["id"], DERBY), lambda: serving.serve(many, many.limit(1), url, "served", ["id"], DERBY)):
+            with pytest.raises(RuntimeError):
+                call()
+    assert incremental.jdbc(spark, url, "served", driver=DERBY).count() == 5
+
+
+def test_serving_types_and_statements(spark):
+    kinds = [T.BooleanType(), T.ShortType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.DecimalType(9, 2), T.TimestampType(), T.TimestampNTZType(), T.DateType(), T.BinaryType(), T.StringType(), T.ArrayType(T.IntegerType())]
+    assert [serving.column_type(k, "jdbc:postgresql://h/d") for k in kinds] == ["boolean", "smallint", "integer", "bigint", "double precision", "numeric(9,2)", "timestamptz", "timestamp", "date", "bytea", "text", "text"]
+    db = serving.Database(spark, "jdbc:postgresql://h/d")
+    assert db.merge("t", "s", ["k", "v"], ["k"]) == 'INSERT INTO t ("k", "v") SELECT "k", "v" FROM s ON CONFLICT ("k") DO UPDATE SET "v" = excluded."v"'
+    assert db.merge("t", "s", ["k"], ["k"]).endswith('ON CONFLICT ("k") DO NOTHING')
+    assert serving.Database(spark, "jdbc:mysql://h/d").merge("t", "s", ["k", "v"], ["k"]).endswith("ON DUPLICATE KEY UPDATE `v` = VALUES(`v`)")
 
 
 def test_records_keep_their_types(spark):
@@ -134,28 +163,10 @@ def test_documents_offsets_and_arrival(spark, tmp_path):
     assert files.arrived(seen, seen.limit(0)) and not files.arrived(seen, seen)
 
 
-def test_versions_append_upsert_and_conflict(spark, tmp_path):
-    v = t.Versions(spark, str(tmp_path / "t"))
-    one = spark.createDataFrame([(1, "a")], "k int, v string")
-    assert v.append(one, "x") == 0 and v.append(one, "x") == 0 and v.append(one.limit(0), "y") == 0
-    assert v.append(spark.createDataFrame([(2, 5)], "k int, w int"), "z") == 1
-    assert sorted(map(str, (tuple(r) for r in v.read().select("k", "v", "w").collect()))) == sorted(map(str, [(1, "a", None), (2, None, 5)]))
-    with pytest.raises(t.Conflict):
-        v._commit(["p"], None, 0, True)
-    u = t.Versions(spark, str(tmp_path / "u"))
-    put = lambda rows, txn: u.upsert(["k"], lambda old, new: t.merge(old, new, ["k"]), spark.createDataFrame(rows, "k int, v string"), txn, 4)
-    assert put([(k, "a") for k in range(20)], "a") == 0
-    before = set(u._row().paths)
-    assert put([(3, "b")], "b") == 1 and put([(3, "c")], "b") == 1
-    assert len(before & set(u._row().paths)) == len(before) - 1 and rows(u.read(), "k", "v") == [(k, "b" if k == 3 else "a") for k in range(20)]
-    gone = lambda old, new: old.where("k < 0")
-    assert u.upsert(["k"], gone, u.read(), "c", 4) == 2 and u._row().paths == []
-
-
 def test_load_plan(spark, tmp_path):
     """Order of loads, disabled mappings, dependents of tables with new rows only, no rows from a second run."""
     src = spark.createDataFrame([(1, 5, AT), (2, 5, AT)], "id int, g int, _load_ts timestamp")
-    tables = {n: t.Versions(spark, str(tmp_path / n)) for n in ("b", "a", "l", "s", "off", "pit", "other")}
+    tables = {n: Versions(spark, str(tmp_path / n)) for n in ("b", "a", "l", "s", "off", "pit", "other")}
     seen = []
 
     def load(name, keys):
@@ -229,7 +240,7 @@ def test_stream_replays_nothing(spark, tmp_path):
     """Two rounds of files, the last commit taken back in between: every change once, the mirror right."""
     schema = spark.createDataFrame([], RAW).schema
     put = lambda n, lo: spark.createDataFrame([message(f'{{"id": {i % 4}}}', f'{{"id": {i % 4}, "v": {i}, "__op": "u"}}', i) for i in range(lo, lo + 10)], RAW).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    table = t.Versions(spark, str(tmp_path / "mirror"))
+    table = Versions(spark, str(tmp_path / "mirror"))
 
     def run(name, writer):
         s = ch.decode(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), ["id", "v"])
@@ -254,18 +265,18 @@ def test_stream_replays_nothing(spark, tmp_path):
 def test_propagation_replays_nothing(spark, tmp_path):
     """An epoch that comes again adds no row, and what is built behind the vault is built again."""
     rows = lambda ids: spark.createDataFrame([(str(i), f"v{i}", "u", datetime(2026, 1, 1, 0, i), f"{i:04d}") for i in ids], "id string, v string, _op string, _load_ts timestamp, _batch_id string")
-    tables = {n: t.Versions(spark, str(tmp_path / n)) for n in ("hub_x", "sat_x", "sat_x_status")}
+    tables = {n: Versions(spark, str(tmp_path / n)) for n in ("hub_x", "sat_x", "sat_x_status")}
     built = []
-    write = ch.propagate(tables, "src", {"hub": ("x", ["id"]), "satellites": {"x": ["v"]}, "track_deletes": True}, "g", lambda vault: built.append(vault["hub_x"].count()))
+    write = ch.propagate(tables, "src", {"hub": ("x", ["id"]), "satellites": {"x": ["v"]}, "track_deletes": True}, "g", lambda added, epoch: built.append((epoch, added["hub_x"].count())), compact_every=2)
     for epoch, ids in ((0, (1, 2)), (0, (1, 2)), (1, (2, 3)), (1, (2, 3))):
         write(rows(ids), epoch)
-    assert built == [2, 2, 3, 3]
-    assert [tables[n].read().count() for n in tables] == [3, 3, 3] and tables["hub_x"].latest() == 1
+    assert built == [(0, 2), (0, 2), (1, 1), (1, 1)]  # the rows an epoch added, a replayed one too
+    assert [tables[n].read().count() for n in tables] == [3, 3, 3]
 
 
 def test_mirror_refuses_lossy_values(spark, tmp_path):
-    table, kinds = t.Versions(spark, str(tmp_path / "m")), T.StructType().add("id", "long").add("v", "integer")
-    put = ch.write_mirror(table, ["id"], "g", kinds, buckets=4)
+    table, kinds = Versions(spark, str(tmp_path / "m")), T.StructType().add("id", "long").add("v", "integer")
+    put = ch.write_mirror(table, ["id"], "g", kinds)
     rows = lambda v: spark.createDataFrame([("7", v, "u", None, "0:1", 0, 1, ["id"])], "id string, v string, _op string, _source_ts timestamp, _offset string, _partition int, _offset_no long, _key array<string>")
     put(rows("5"), 0)
     with pytest.raises(Exception, match="not a int"):

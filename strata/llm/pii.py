@@ -9,8 +9,8 @@ tag in the whole text become spans, which grow to whole numbers or names. An add
 its kind (`LOOSE`: letters beyond ASCII, hosts of one label, "at" and "dot" spelled out, other separators), pass its
 kind's check (digits, Luhn, parts), be no longer than `MAX_SPAN` and overlap no base span.
 
-Training is in numpy on the driver, from the base spans of at most `SAMPLE_DOCS` documents with a digit or @ (those
-with the smallest hash) and from variants of these spans that the patterns don't match: a fixed number of steps,
+Training is in numpy on the driver, from the base spans of stretches of at most `SAMPLE_CHARS` characters of at most
+`SAMPLE_DOCS` documents with a digit or @ (those with the smallest hash) and from variants of these spans that the patterns don't match: a fixed number of steps,
 whatever the corpus. Without any span there is no model.
 
 Null text counts as empty; an empty text has no spans, nor has an empty table a model. Repeated rows are found each by
@@ -51,7 +51,7 @@ LOOSE = {
 }
 MAX_SPAN = 256
 HIDDEN, WINDOW, STRIDE, BATCH = 8, 128, 96, 2048
-SAMPLE_DOCS, STEPS = 1_500, 500
+SAMPLE_DOCS, SAMPLE_CHARS, STEPS = 1_500, 2_000, 500
 SPANS = "array<struct<kind: string, start: int, end: int, base: boolean>>"
 
 
@@ -363,11 +363,13 @@ def train(texts: list[str], steps: int = STEPS, span: int = 80, batch: int = 64,
 
 
 def fit(docs: DataFrame, text: str = "text", most: int = SAMPLE_DOCS) -> Model | None:
-    """From at most `most` documents that hold a digit or @, those with the smallest hash of their text."""
+    """From at most `most` documents that hold a digit or @, those with the smallest hash of their text: one stretch of
+    at most SAMPLE_CHARS characters of each, around one of its digits or @, picked by the hash."""
     batch_bytes(docs.sparkSession, "4m")
     held = docs.select(F.col(text).cast("string").alias("t")).where(F.col("t").rlike("[0-9@]")).select(F.xxhash64("t").alias("h"), "t")
-    few = thin(held, "h", most).dropDuplicates(["h"])
-    return train([r.t for r in few.orderBy("h").limit(most).collect()])
+    near = F.regexp_extract_all("t", F.lit(f"(?s).{{0,{SAMPLE_CHARS // 4}}}[0-9@].{{0,{SAMPLE_CHARS - SAMPLE_CHARS // 4 - 1}}}"), F.lit(0))
+    few = thin(held, "h", most).select("h", near.alias("p")).select("h", F.get("p", F.pmod("h", F.size("p")).cast("int")).alias("t"))
+    return train([r.t for r in few.dropDuplicates(["h"]).orderBy("h").limit(most).collect()])
 
 
 def _all_spans(model: Model | None, texts: pa.Array) -> Iterator[tuple[str, list[tuple[str, int, int, bool]]]]:

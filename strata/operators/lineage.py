@@ -13,15 +13,22 @@ from strata.session import cut
 DEPTH = 50
 
 
-def table_edges(events: DataFrame, as_of=None) -> DataFrame:
-    """source, target, job of every input and output a job ever had, from COMPLETE events."""
+def table_edges(events: DataFrame, as_of=None, apps: DataFrame | None = None) -> DataFrame:
+    """source, target, job of every input and output a job ever had, from COMPLETE events; apps (app, dataset) read datasets.
+
+    An app's edges have no job and don't depend on `as_of`: they are what is registered now.
+    """
     done = events.where("kind = 'COMPLETE'")
     done = done if as_of is None else done.where(F.col("event_time") <= F.lit(as_of).cast("timestamp"))
     job = F.concat(F.lit("job:"), "job")
     named = lambda x: F.explode(F.transform(x, lambda n: F.concat(F.lit("dataset:"), n)))
     reads = done.select(named(F.col("inputs")).alias("source"), job.alias("target"), "job")
     writes = done.select(job.alias("source"), named(F.col("outputs.name")).alias("target"), "job")
-    return reads.unionByName(writes).distinct()
+    edges = reads.unionByName(writes).distinct()
+    if apps is None:
+        return edges
+    used = apps.where("dataset is not null").select(F.concat(F.lit("dataset:"), "dataset").alias("source"), F.concat(F.lit("app:"), "app").alias("target"), F.lit(None).cast("string").alias("job"))
+    return edges.unionByName(used.distinct())
 
 
 def column_edges(events: DataFrame) -> DataFrame:
@@ -81,6 +88,46 @@ def impact(edges: DataFrame, column: str, apps: DataFrame | None = None) -> Data
     return reduce(DataFrame.unionByName, (p.select(F.lit(k).alias("kind"), "name") for k, p in parts))
 
 
+def dataset_impact(edges: DataFrame, node: str) -> DataFrame:
+    """kind, name, distance of everything downstream of a dataset (or job) in table edges: datasets, jobs and apps."""
+    found = reach(edges, [node]).where("distance > 0")
+    return found.select(F.substring_index("node", ":", 1).alias("kind"), F.expr("substr(node, instr(node, ':') + 1)").alias("name"), "distance")
+
+
+def propagated(edges: DataFrame, marks: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """node, mark, distance: every mark (node, mark) at all nodes downstream of its own, by the shortest way.
+
+    A fixpoint: a step moves along edges only the marks that were new in the one before, all marks together. Each step is
+    written to the shared folder.
+    """
+    way = cut(edges.select(F.col("source").alias("node"), F.col("target").alias("_to")).distinct())
+    front = seen = cut(marks.select("node", "mark").distinct().withColumn("distance", F.lit(0)))
+    for step in range(1, depth + 1):
+        front = front.join(way, "node").select(F.col("_to").alias("node"), "mark").distinct()
+        front = cut(front.join(seen.select("node", "mark"), ["node", "mark"], "left_anti").withColumn("distance", F.lit(step)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def governed(edges: DataFrame, nodes: DataFrame, tags: DataFrame, scores: DataFrame) -> DataFrame:
+    """nodes (node) with own and inherited tags (sorted), their own score, and the lowest score upstream of them.
+
+    tags: node, tag, status (active ones count). scores: node, score. A dataset is no better than what it is made from:
+    `weakest` is the least of its own score and those of all datasets upstream; null where none of them has a score.
+    """
+    active = tags.where("status = 'active'").select("node", F.col("tag").alias("mark"))
+    spread = propagated(edges, active)
+    own = F.sort_array(F.collect_set(F.when(F.col("distance") == 0, F.col("mark")))).alias("tags")
+    inherited = F.sort_array(F.collect_set(F.when(F.col("distance") > 0, F.col("mark")))).alias("inherited")
+    # a score goes downstream as a mark of its value: equal ones are one
+    least = propagated(edges, scores.where("score is not null").select("node", F.col("score").alias("mark"))).groupBy("node").agg(F.min("mark").alias("weakest"))
+    out = nodes.join(spread.groupBy("node").agg(own, inherited), "node", "left").join(scores.groupBy("node").agg(F.min("score").alias("score")), "node", "left").join(least, "node", "left")
+    none = F.array().cast("array<string>")
+    return out.select("node", F.coalesce("tags", none).alias("tags"), F.array_except(F.coalesce("inherited", none), F.coalesce("tags", none)).alias("inherited"), "score", "weakest")
+
+
 def batch_trace(tables: dict[str, DataFrame], batch_id: str) -> DataFrame:
     """dataset, rows that carry a batch id; tables without the column are left out."""
     parts = [df.where(F.col("_batch_id") == batch_id).agg(F.count("*").alias("rows")).select(F.lit(n).alias("dataset"), "rows") for n, df in tables.items() if "_batch_id" in df.columns]

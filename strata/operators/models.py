@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from strata.functions.text import AUDIT, text_of
 
-#: Groups into which the facts of one key are dealt for an as-of look-up.
-SALTS = 8
+#: Versions of a key among which a fact looks for its own.
+VERSIONS = 64
+#: Beginnings of stretches that are sent to every executor at most.
+BROADCAST = 1_000_000
 
 
 def row_hash(df: DataFrame, columns: list[str]) -> Column:
@@ -46,32 +48,48 @@ def with_hub_keys(satellite: DataFrame, hub: DataFrame, entity: str) -> DataFram
     return satellite.join(hub.select(hk, *keys), hk)
 
 
-def lookup(fact: DataFrame, dimension: DataFrame, on: dict[str, str], out: str, as_of: str | None = None, carry: dict[str, str] | None = None) -> DataFrame:
+def _history(dimension: DataFrame, on: dict[str, str], carry: dict[str, str], each: int) -> tuple[DataFrame, DataFrame]:
+    """A dimension's versions with their keys as text and numbered stretches of `each` versions; and, for keys that have
+    several stretches, when each but the first begins. Versions of a key don't overlap, so a time lies in one stretch."""
+    keys = [f"_d{i}" for i in range(len(on))]
+    columns = {"_from": F.col("valid_from").cast("timestamp"), "_to": F.col("valid_to").cast("timestamp"), "_sk": F.col("sk")}
+    columns |= {f"_c{i}": F.col(c) for i, c in enumerate(carry.values())}
+    rows = dimension.select(*(text_of(dimension, d).alias(k) for k, d in zip(keys, on.values())), *(c.alias(n) for n, c in columns.items()))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_from", F.asc_nulls_last("_to")))
+    rows = rows.withColumn("_part", F.floor((nth - 1) / each).cast("int"))
+    first = rows.where("_part > 0").groupBy(*keys, "_part").agg(F.min("_from").alias("_from"))
+    return rows, first.groupBy(*keys).agg(F.collect_list("_from").alias("_starts"))
+
+
+def lookup(fact: DataFrame, dimension: DataFrame, on: dict[str, str], out: str, as_of: str | None = None, carry: dict[str, str] | None = None, each: int = VERSIONS) -> DataFrame:
     """fact, `out` (the dimension's sk: valid at `as_of`, or current without it; '-1' where there is none) and carried columns.
 
-    `carry`: dimension columns by the names they get, so that no second join is needed. As of a time, each key's facts
-    and versions are sorted together and a fact takes the last version before it: one pass, however many versions a key
-    has. Facts of a key are spread by salt over `SALTS` groups, and the versions, which are few, go to each of them.
+    `carry`: dimension columns by the names they get, so that no second join is needed. As of a time, facts and versions
+    are joined by key and stretch of the key's history, and a version must be valid then. A key with a large share of the
+    facts is a skewed join, which Spark splits at run time wherever it likes. Where keys have more than `each` versions
+    (the dimension is asked for that first), their facts find the stretch before, so a fact meets at most `each` versions;
+    the stretches' beginnings are broadcast only after a count.
     """
     carry = carry or {}
+    keys = [f"_d{i}" for i in range(len(on))]
+    mine = {k: text_of(fact, f) for k, f in zip(keys, on)}
+    found = ["_sk", *(f"_c{i}" for i in range(len(carry)))]
     if not as_of:
         now = dimension.where("is_current")
-        now = now.select(F.col("sk").alias("_sk"), *(text_of(now, d).alias(f"_d{i}") for i, d in enumerate(on.values())), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry.values())))
-        test = reduce(Column.__and__, (text_of(fact, f) == F.col(f"_d{i}") for i, f in enumerate(on)))
-        joined = fact.join(now, test, "left")
+        now = now.select(F.col("sk").alias("_sk"), *(text_of(now, d).alias(k) for k, d in zip(keys, on.values())), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry.values())))
+        joined = fact.join(now, reduce(Column.__and__, (mine[k] == F.col(k) for k in keys)), "left")
     else:
-        keys = [f"_d{i}" for i in range(len(on))]
-        facts = fact.select(F.struct(*(F.col(f"`{c}`") for c in fact.columns)).alias("_f"), *(text_of(fact, f).alias(k) for k, f in zip(keys, on)), F.col(as_of).cast("timestamp").alias("_at"))
-        facts = facts.withColumns({"_salt": F.floor(F.rand(7) * SALTS).cast("int"), "_v": F.lit(1)})
-        dim = dimension.select(*(text_of(dimension, d).alias(k) for k, d in zip(keys, on.values())), F.col("valid_from").cast("timestamp").alias("_at"), F.struct(F.col("valid_to").cast("timestamp").alias("to"), F.col("sk").alias("sk"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry.values()))).alias("_d"))
-        dim = dim.withColumns({"_salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))), "_v": F.lit(0)})
-        both = facts.unionByName(dim, allowMissingColumns=True)
-        upto = Window.partitionBy(*keys, "_salt").orderBy("_at", "_v").rowsBetween(Window.unboundedPreceding, 0)
-        joined = both.withColumn("_d", F.last("_d", ignorenulls=True).over(upto)).where("_v = 1")
-        known = reduce(Column.__and__, (F.col(k).isNotNull() for k in keys)) & F.col("_at").isNotNull()
-        valid = known & F.col("_d").isNotNull() & ((F.col("_at") < F.col("_d.to")) | F.col("_d.to").isNull())
-        joined = joined.withColumns({"_sk": F.when(valid, F.col("_d.sk")), **{f"_c{i}": F.when(valid, F.col(f"_d.c{i}")) for i in range(len(carry))}}).select("_f.*", "_sk", *(f"_c{i}" for i in range(len(carry))))
-    return joined.select(*(f"`{c}`" for c in fact.columns), F.coalesce("_sk", F.lit("-1")).alias(out), *(F.col(f"_c{i}").alias(n) for i, n in enumerate(carry)))
+        versions, starts = _history(dimension, on, carry, each)
+        facts = fact.withColumns({f"_k{k}": c for k, c in mine.items()} | {"_at": F.col(as_of).cast("timestamp")})
+        same = lambda other: [F.col(f"_k{k}") == other[k] for k in keys]
+        if long := starts.agg(F.sum(F.size("_starts"))).first()[0]:
+            facts = facts.join(F.broadcast(starts) if long <= BROADCAST else starts, same(starts), "left").drop(*keys)
+            facts = facts.withColumn("_at_part", F.coalesce(F.size(F.filter("_starts", lambda t: t <= F.col("_at"))), F.lit(0))).drop("_starts")
+        else:  # a key of the join that isn't a literal: so both sides are shuffled for the join alone, which Spark can split then
+            facts = facts.withColumn("_at_part", F.when(F.col("_at").isNull(), -1).otherwise(0))
+        valid = (F.col("_at") >= versions["_from"]) & ((F.col("_at") < versions["_to"]) | versions["_to"].isNull())
+        joined = facts.join(versions, [*same(versions), F.col("_at_part") == versions["_part"], valid], "left")
+    return joined.select(*(f"`{c}`" for c in fact.columns), F.coalesce(found[0], F.lit("-1")).alias(out), *(F.col(f"_c{i}").alias(n) for i, n in enumerate(carry)))
 
 
 def calendar(spark: SparkSession, first: str, last: str) -> DataFrame:

@@ -6,7 +6,8 @@ custom rules are jobs of their own. score = 100 (checked - failed) / checked, 10
 
 from __future__ import annotations
 
-import threading
+import re
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -17,7 +18,6 @@ from pyspark.sql import types as T
 from strata.functions.text import text_of
 
 SAMPLE = 5
-_VIEWS = threading.Lock()
 
 
 @dataclass(frozen=True)
@@ -47,13 +47,16 @@ def _column_rule(df: DataFrame, rule: Rule) -> tuple[Column, Column]:
 
 
 def _sql(df: DataFrame, query: str) -> DataFrame:
-    """A query over `data`, as a view that is gone when the plan is made."""
-    with _VIEWS:
-        df.createOrReplaceTempView("data")
-        try:
-            return df.sparkSession.sql(query)
-        finally:
-            df.sparkSession.catalog.dropTempView("data")
+    """A query over `data`. The rows stand under a view of a name of their own, and a common table expression gives them the
+    name `data` inside the query alone: a view of the user's that is called so stays what it is."""
+    spark, own = df.sparkSession, f"data_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(own)
+    try:
+        head = re.match(r"(?is)\s*with\s+(recursive\s+)?", query)
+        named = f"WITH {head[1] or ''}data AS (SELECT * FROM {own}), {query[head.end() :]}" if head else f"WITH data AS (SELECT * FROM {own}) {query}"
+        return spark.sql(named)
+    finally:
+        spark.catalog.dropTempView(own)
 
 
 def _unmatched(df: DataFrame, rule: Rule, references: dict[str, DataFrame]) -> DataFrame:
@@ -81,9 +84,9 @@ def _alone(df: DataFrame, rule: Rule, references: dict[str, DataFrame]) -> DataF
     raise ValueError(f"unknown rule {rule.kind}")
 
 
-def failing(df: DataFrame, rule: Rule, references: dict[str, DataFrame] | None = None) -> DataFrame:
+def failing(df: DataFrame, rule: Rule, references: dict[str, DataFrame] | None = None, as_of=None) -> DataFrame:
     """Up to five distinct failing values as text, in order: keys (unique), whole rows as JSON (custom_sql), what was
-    measured (freshness, row_count), none for not_null."""
+    measured where the rule fails (freshness, row_count), none for not_null."""
     if rule.kind == "not_null":
         return df.sparkSession.createDataFrame([], "value string")
     if rule.kind == "unique":
@@ -94,10 +97,9 @@ def failing(df: DataFrame, rule: Rule, references: dict[str, DataFrame] | None =
     elif rule.kind == "custom_sql":
         bad = _sql(df, rule.params["sql"])
         rows = bad.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in bad.columns))).alias("value")).distinct()
-    elif rule.kind == "freshness":
-        rows = df.agg(F.max(rule.columns[0]).cast("string").alias("value"))
-    elif rule.kind == "row_count":
-        rows = df.agg(F.count("*").cast("string").alias("value"))
+    elif rule.kind in ("freshness", "row_count"):
+        measured = F.max(rule.columns[0] if rule.columns else "_load_ts") if rule.kind == "freshness" else F.count("*")
+        rows = df.agg(measured.cast("string").alias("value"), _fused(df, rule, as_of)[1].alias("_bad")).where("_bad > 0").select("value")
     else:
         checked, bad = _column_rule(df, rule)
         rows = df.where(checked & bad).select(text_of(df, rule.columns[0]).alias("value")).distinct()
@@ -251,11 +253,28 @@ def profile(df: DataFrame, exact: bool = False) -> DataFrame:
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
-def value_counts(df: DataFrame) -> DataFrame:
-    """column, value (text), count of the known values of all flat columns; one job."""
-    flat = [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType))]
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), text_of(df, c).alias("value")) for c in flat))).alias("r")
-    return df.select(each).select("r.*").where("value is not null").groupBy("column", "value").count()
+def _flat(df: DataFrame) -> list[str]:
+    nested = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
+    return [f.name for f in df.schema if not isinstance(f.dataType, nested)]
+
+
+#: Types whose values are equal where their texts are; others are counted as text.
+_TYPED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.StringType, T.BooleanType, T.DateType, T.TimestampType)
+
+
+def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column, value (text), count of the known values of flat columns (all, or those given).
+
+    Each column is read and counted by itself in its own type, so a shuffle carries that column's distinct values and no
+    texts; they become text once counted.
+    """
+    kinds = {f.name: f.dataType for f in df.schema}
+    parts = []
+    for c in _flat(df) if columns is None else columns:
+        own = F.col(f"`{c}`") if isinstance(kinds[c], _TYPED) else text_of(df, c)
+        n = df.select(own.alias(c)).where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`")).count()
+        parts.append(n.select(F.lit(c).alias("column"), text_of(n, c).alias("value"), "count"))
+    return reduce(DataFrame.unionAll, parts) if parts else df.sparkSession.createDataFrame([], "column string, value string, count long")
 
 
 def top_values(df: DataFrame, n: int = TOP_N) -> DataFrame:
@@ -263,6 +282,45 @@ def top_values(df: DataFrame, n: int = TOP_N) -> DataFrame:
     return _top(value_counts(df), n)
 
 
+#: Values a sketch keeps of a column, and asked of it.
+TRACKED, CANDIDATES = 10_000, 100
+
+
+def heavy_values(df: DataFrame, n: int = TOP_N, tracked: int = TRACKED) -> DataFrame:
+    """top_values by sketches where they prove it; the other columns are counted in full.
+
+    One aggregation makes a frequent-items sketch of each column, whose size doesn't grow with the data. A value that a
+    sketch doesn't name stands at most `bound` times: twice the sketch's error (3.5 / tracked of the values), or what the
+    last named one is said to have. The named ones are counted exactly in a second pass, without a shuffle of any other
+    value. If the n-th of them stands more often than `bound`, they hold the n most frequent ones, and all that tie with them.
+    """
+    spark, kinds = df.sparkSession, {f.name: f.dataType for f in df.schema}
+    some = [c for c in _flat(df) if isinstance(kinds[c], _TYPED)]
+    proven: list[DataFrame] = []
+    asked = min(CANDIDATES, tracked)
+    if some:
+        quoted = lambda c: f"`{c.replace('`', '``')}`"
+        said = df.agg(*(F.struct(F.count(quoted(c)).alias("n"), F.expr(f"approx_top_k({quoted(c)}, {asked}, {tracked})").alias("top")).alias(f"c{i}") for i, c in enumerate(some))).first()
+        hope, bound = {}, {}
+        for i, c in enumerate(some):
+            found = [x for x in said[i]["top"] if x["item"] is not None]
+            bound[c] = max(7 * said[i]["n"] / tracked, found[-1]["count"] if len(found) == asked else 0)
+            if sum(x["count"] > bound[c] for x in found) >= n or said[i]["n"] and len(found) == said[i]["n"]:
+                hope[c] = [x["item"] for x in found]
+        if hope:
+            each = [F.struct(F.lit(c).alias("column"), text_of(df, c).alias("value"), F.col(quoted(c)).isin(v).alias("ok")) for c, v in hope.items()]
+            rows = df.select(F.explode(F.filter(F.array(*each), lambda x: x["ok"])).alias("r")).select("r.column", "r.value")
+            exact: dict[str, list] = {}
+            for r in rows.groupBy("column", "value").count().collect():  # CANDIDATES rows of a column at most
+                exact.setdefault(r["column"], []).append((r["value"], r["count"]))
+            for c, counted in exact.items():
+                if len(counted) >= n and sorted((k for _, k in counted), reverse=True)[n - 1] > bound[c]:
+                    proven.append(spark.createDataFrame([(c, *x) for x in counted], "column string, value string, count long"))
+                    some.remove(c)
+    rest = [c for c in _flat(df) if c in some or not isinstance(kinds[c], _TYPED)]
+    return _top(reduce(DataFrame.unionAll, [*proven, *([value_counts(df, rest)] if rest or not proven else [])]), n)
+
+
 def _top(counts: DataFrame, n: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value"))
     best = counts.withColumn("rank", rank).where(F.col("rank") <= n)
@@ -270,13 +328,16 @@ def _top(counts: DataFrame, n: int) -> DataFrame:
 
 
 def full_profile(df: DataFrame, exact: bool = False) -> DataFrame:
-    """profile and top_values, as array<struct<value, count>>; exact distinct values are counted from the same counts."""
-    counts = value_counts(df)
-    top = _top(counts, TOP_N).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("t"))
+    """profile and top_values, as array<struct<value, count>>. exact: distinct values are counted, from the same counts that
+    give the top ones; else both come from sketches as far as these prove the top ones."""
+    counts = value_counts(df) if exact else None
+    best = _top(counts, TOP_N) if exact else heavy_values(df)
+    top = best.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("t"))
     out = profile(df).join(top, "column", "left")
     if exact:
         seen = counts.groupBy("column").agg(F.count("*").alias("_n"), F.sum("count").alias("_of"))
         flat = F.col("distinct").isNotNull()
         out = out.join(seen, "column", "left").withColumn("distinct", F.when(flat, F.coalesce("_n", F.lit(0))))
         out = out.withColumn("distinct_pct", F.when(flat, F.bround(100 * F.col("distinct") / F.greatest(F.coalesce("_of", F.lit(0)), F.lit(1)), 6)))
-    return out.withColumn("top_values", F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count")))).drop("t", "_n", "_of")
+    values = F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count")))
+    return out.withColumn("top_values", values).drop("t", "_n", "_of")

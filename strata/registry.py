@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.queries import quality_queries, stream_queries, vault_queries
+from strata.queries import quality_queries, stream_queries, table_queries, vault_queries
 
-_MODULES = (vault_queries, quality_queries, stream_queries)
+_MODULES = (vault_queries, quality_queries, stream_queries, table_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

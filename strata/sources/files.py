@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import csv
 import gzip
+import hashlib
 import io
+import itertools
 import posixpath
 import re
 from collections.abc import Iterator
@@ -86,23 +88,24 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, quote
 
 
 def _skipping(spark: SparkSession, path: str, sep: str, quote: str, header: bool, skip: int, encoding: str) -> DataFrame:
-    """Rows of CSV files whose first lines are no data. Each file is read as a whole, so a quoted line end stays in its value;
-    columns go by the name in the file's own header."""
-    files = spark.read.format("binaryFile").load(path).select("content", (F.col("path").endswith(".gz")).alias("gz"))
+    """Rows of CSV files whose first lines are no data; columns go by the name in the file's own header.
+
+    A file is one stream, read in small buffers by one task (a quoted line end may stand anywhere in it), and rows leave as
+    they are read, so memory doesn't grow with the file.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                text = (gzip.decompress(content) if packed else content).decode(encoding)
-                lines = csv.reader(io.StringIO(re.sub(rf"\A(?:[^\n]*\n){{{skip}}}", "", text), newline=""), delimiter=sep, quotechar=quote)
-                names, out = next(lines, None) if header else None, []
-                for line in lines:
-                    if line:
-                        out.append(list(zip(names or [f"_c{k}" for k in range(len(line))], line)))
-                for i in range(0, len(out), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(out[i : i + 10_000], pa.map_(pa.string(), pa.string()))], ["m"])
-
-    made = cut(files.mapInArrow(rows, "m map<string,string>"))
+        for name in (x for b in batches for x in b.column(0).to_pylist()):
+            with _stream(name) as raw, gzip.open(raw) if name.endswith(".gz") else raw as plain, io.TextIOWrapper(plain, encoding, newline="") as text:
+                for _ in range(skip):
+                    text.readline()
+                lines = csv.reader(text, delimiter=sep, quotechar=quote)
+                names = next(lines, None) if header else None
+                full = (list(zip(names or [f"_c{k}" for k in range(len(x))], x)) for x in lines if x)
+                while some := list(itertools.islice(full, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.map_(pa.string(), pa.string()))], ["m"])
+
+    made = cut(_each_file(listing(spark, path)).mapInArrow(rows, "m map<string,string>"))
     first = made.select(F.posexplode(F.map_keys("m")).alias("at", "name")).groupBy("name").agg(F.min("at").alias("at"))
     names = [r.name for r in first.orderBy("at", "name").limit(MAX_COLUMNS + 1).collect()]
     if len(names) > MAX_COLUMNS:
@@ -110,6 +113,34 @@ def _skipping(spark: SparkSession, path: str, sep: str, quote: str, header: bool
     return made.select(*(F.col("m")[n].alias(n) for n in names))
 
 
+def _stream(path: str):
+    """A file's bytes as a buffered stream, by whatever file system its path names."""
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path)
+    return io.BufferedReader(system.open_input_stream(place, compression=None), 1 << 20)
+
+
+def _each_file(files: DataFrame) -> DataFrame:
+    """Their paths, dealt out so that a task has few."""
+    return files.select("path").repartition(max(1, min(10_000, files.count())), "path")
+
+
+def digests(files: DataFrame) -> DataFrame:
+    """path, sha256 of files, read in buffers of 8 MB whatever their size."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                sha = hashlib.sha256()
+                with _stream(name) as f:
+                    while data := f.read(8 << 20):
+                        sha.update(data)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sha.hexdigest()])], ["path", "sha256"])
+
+    return _each_file(files).mapInArrow(each, "path string, sha256 string")
+
+
 def _fields(kind: str) -> dict[str, str]:
     """Names and types of an OBJECT<...> as a variant's schema says it."""
     out, depth, start, quoted = {}, 0, 0, False
@@ -185,8 +216,8 @@ def new_files(files: DataFrame, seen: DataFrame) -> DataFrame:
 def manifest(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
     """path, size, sha256, fingerprint, rows of files; `rows` is the read frame with its _metadata."""
     n = rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
-    content = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
-    return listing(spark, path).join(content, "path").join(n, "path", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    files = listing(spark, path)
+    return files.join(digests(files), "path").join(n, "path", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
 
 
 def arrived(files: DataFrame, seen: DataFrame) -> bool:

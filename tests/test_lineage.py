@@ -5,6 +5,7 @@ import datetime
 import pytest
 
 from strata import registry
+from strata.operators import lineage as lin
 
 LINES = [(1, 1, 1), (1, 50, 9), (500, 2, 3), (500, 77, 4), (501, 90, 9), (7, 3, 5), (7, 60, 6)]  # order, part, supplier
 ORDERS = [(3, 1, "O"), (401, 1, "F"), (900, 8, "O"), (901, 6, "F"), (902, 5, "P"), (3000, 13, "O")]  # order, customer, status
@@ -54,3 +55,25 @@ def test_whole_events(run):
     tables = {t for x, t in first if x == "rate"}
     jobs = {job for (_, t), job in first.items() if t in tables}
     assert run("lineage_impact_all") == sorted([("column", f"{t}|price") for t in tables] + [("dataset", t) for t in tables] + [("job", j) for j in jobs] + ([("app", "board")] if tables & {"t0", "t1"} else []))
+
+
+def test_marks_go_downstream_once(spark):
+    """Diamonds and cycles: every mark at the shortest distance; suggestions don't count; scores fall to the weakest source."""
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "b"), ("x", "e")], "source string, target string")
+    marks = spark.createDataFrame([("a", "m"), ("c", "m"), ("x", "n"), ("x", "n"), ("z", "q")], "node string, mark string")
+    got = sorted(map(tuple, lin.propagated(edges, marks).collect()))
+    assert got == sorted([("a", "m", 0), ("c", "m", 0), ("b", "m", 1), ("d", "m", 1), ("e", "m", 2), ("x", "n", 0), ("e", "n", 1), ("b", "n", 2), ("d", "n", 3), ("z", "q", 0)])
+    nodes = spark.createDataFrame([(n,) for n in "abcdex"], "node string")
+    tags = spark.createDataFrame([("a", "pii", "active"), ("d", "pii", "active"), ("b", "no", "rejected")], "node string, tag string, status string")
+    scores = spark.createDataFrame([("a", 90.0), ("x", 40.0), ("d", 99.0), ("c", None)], "node string, score double")
+    out = {r.node: (r.tags, r.inherited, r.score, r.weakest) for r in lin.governed(edges, nodes, tags, scores).collect()}
+    assert out["a"] == (["pii"], [], 90.0, 90.0) and out["x"] == ([], [], 40.0, 40.0) and out["c"] == ([], ["pii"], None, 90.0)
+    assert out["d"] == (["pii"], [], 99.0, 40.0) and out["e"] == ([], ["pii"], None, 40.0)
+
+
+def test_apps_in_table_edges_and_impact(spark):
+    events = spark.createDataFrame([("2026-01-01 00:00:00", "COMPLETE", "j", ["in"], [("out",)]), ("2026-01-02 00:00:00", "START", "k", ["out"], [("more",)])], "event_time string, kind string, job string, inputs array<string>, outputs array<struct<name:string>>")
+    apps = spark.createDataFrame([("report", "out"), ("report", "out"), ("lost", None)], "app string, dataset string")
+    edges = lin.table_edges(events, apps=apps)
+    assert sorted((r.source, r.target) for r in edges.collect()) == [("dataset:in", "job:j"), ("dataset:out", "app:report"), ("job:j", "dataset:out")]
+    assert sorted((r.kind, r.name, r.distance) for r in lin.dataset_impact(edges, "dataset:in").collect()) == [("app", "report", 3), ("dataset", "out", 2), ("job", "j", 1)]

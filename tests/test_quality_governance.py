@@ -185,3 +185,27 @@ def test_reach_stops_on_cycles(spark):
     assert {r.node for r in lin.reach(e, ["a"], 1, "both").collect()} == {"a", "b", "c", "x"}
     d = lin.drift(spark.createDataFrame([("a", "int"), ("b", "int")], "column string, type string"), spark.createDataFrame([("a", "bigint"), ("c", "int"), ("d", "int")], "column string, type string"), spark.createDataFrame([("c",)], "column string"))
     assert {(r.column, r.change) for r in d.collect()} == {("a", "type_changed"), ("b", "removed"), ("c", "re-added"), ("d", "added")}
+
+
+def test_heavy_values_are_proven_or_counted(spark):
+    """A long tail, ties at the edge, unique keys and nulls: always what counting everything gives."""
+    rows = [(i, f"v{i % 7}" if i % 3 else f"t{i}", i % 2 == 0, None, float(i % 11)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k int, tail string, half boolean, none string, d double")
+    want = sorted(map(tuple, q.top_values(df).collect()))
+    for tracked in (10, 100, 10_000):
+        assert sorted(map(tuple, q.heavy_values(df, tracked=tracked).collect())) == want
+    assert q.heavy_values(df.limit(0)).collect() == []
+    many = spark.range(200_000).selectExpr("if(id % 4 = 0, concat('h', id % 5), concat('u', id)) as x")
+    plan = q.heavy_values(many, tracked=50_000)
+    assert plan.count() == 5 and "Range" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.value for r in plan.collect()) == ["h0", "h1", "h2", "h3", "h4"]
+
+
+def test_custom_sql_leaves_a_users_view_alone(spark):
+    spark.range(2).createOrReplaceTempView("data")
+    df = spark.createDataFrame([(1,), (5,), (9,)], "x int")
+    for sql in ("select * from data where x > 3", "with big as (select * from data where x > 3) select * from big", "select x from data where x in (select max(x) from data) union all select x from data where x = 5"):
+        r = q.evaluate(df, [Rule("r", "custom_sql", (), {"sql": sql})]).first()
+        assert (r.checked, r.failed, r.error) == (3, 2, None)
+    assert spark.table("data").count() == 2
+    spark.catalog.dropTempView("data")

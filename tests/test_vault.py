@@ -83,3 +83,34 @@ def test_facts_and_calendar(spark):
     assert [r.k for r in models.lookup(fact, dim, {"cust": "cust"}, "k").orderBy("sale").collect()] == ["b", "b", "-1"]
     days = models.calendar(spark, "2024-02-27", "2024-03-02").orderBy("date").collect()
     assert [d.date_key for d in days] == [20240227, 20240228, 20240229, 20240301, 20240302] and days[-1].is_weekend and days[3].month_name == "March"
+
+
+def test_as_of_look_ups_of_hot_keys_and_long_histories(spark):
+    """One key with half the facts and hundreds of versions, against a plain range join; the hot key's join is split."""
+    at = lambda m: T0 + timedelta(minutes=m)
+    dim = [(f"k{k}-{v}", str(k), at(10 * v), at(10 * v + 10) if v + 1 < n else None, v + 1 == n) for k, n in ((7, 300), (8, 1), (9, 3)) for v in range(n)]
+    dim.append(("empty", "7", at(50), at(50), False))  # a version of no length
+    fact = [(i, 7 if i % 2 else 8 + i % 3, at(i % 3100 - 20) if i % 50 else None) for i in range(4000)]
+    dims = spark.createDataFrame(dim, "sk string, cust string, valid_from timestamp, valid_to timestamp, is_current boolean")
+    facts = spark.createDataFrame(fact, "sale int, cust int, at timestamp")
+
+    def plain(cust, when):
+        return next((s for s, k, a, b, _ in dim if when is not None and k == str(cust) and a <= when and (b is None or when < b)), "-1")
+
+    want = [plain(c, t) for _, c, t in fact]
+    for each in (1, 7, models.VERSIONS):
+        got = models.lookup(facts, dims, {"cust": "cust"}, "k", "at", {"v": "sk"}, each).orderBy("sale").collect()
+        assert [r.k for r in got] == want == [r.v or "-1" for r in got]
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, x in keys.items():
+            spark.conf.set(k, x)
+        hot = models.lookup(facts.repartition(8), dims, {"cust": "cust"}, "k", "at", each=10_000)
+        assert [r.k for r in hot.orderBy("sale").collect()] == want
+        seen = hot.where("k is not null")
+        seen.collect()
+        assert "skew=true" in seen._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)

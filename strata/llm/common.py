@@ -86,6 +86,14 @@ def release() -> None:
         _TRIM(0)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Lets every executor's JVM return heap that it has grown to and no longer needs, which is for Python workers then.
+
+    A job of one task for each core, without input; an executor that it misses keeps its heap, and nothing else depends on it.
+    """
+    spark.range(0, n := spark.sparkContext.defaultParallelism, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("x")).write.format("noop").mode("overwrite").save()
+
+
 def thin(df: DataFrame, h: str, most: int, by: str | None = None) -> DataFrame:
     """df without the rows whose 64-bit hash `h` is surely not among the `most` smallest distinct ones (of each value of `by`).
 

@@ -2,16 +2,17 @@
 
 Words have A-Z lower-cased. A phrase's places are where its words stand consecutively in the whole text.
 
-A block is a window of 2L words, every L words, with L the longest template's number of words: so any L words in a row
-lie in one block, whatever lines they are wrapped into. A template fits a block when the share of the template's
-distinct words that the block has (containment) is at least `THRESHOLD`. A block's other words don't matter, so blocks
-are sets of template words. All words are ordered by their number of blocks in the corpus, rarest first. The join is
-exact and filtered by
+Templates go by size: those with at most twice the words of the shortest one are a class, and so on. For each class a
+block is a window of 2L words, every L words, with L the class's longest template: so any L words in a row lie in one
+block, whatever lines they are wrapped into. A template fits a block when the share of the template's distinct words
+that the block has (containment) is at least `THRESHOLD`. A block's other words don't matter, so blocks are sets of the
+class's words, ordered by their number of blocks in the corpus, rarest first. The join is exact and filtered by
  - length: a fitting block has at least o = ceil(THRESHOLD |T|) template words;
  - prefix: a fitting block has one of the first |T| - o + 1 words of the template, by which templates are looked up;
- - position: with the first shared word at place i of the template's order and j of the block's, they share at most
-   1 + min(|T| - i - 1, |B| - j - 1) words.
-What passes is counted word by word. Templates are a short configured list (its words are checked to be at most
+ - position: the look-up knows the word's place i in the template, and the block its place j, so both share at most
+   1 + min(|T| - i - 1, |B| - j - 1) words from there on; a pair is counted only if that is enough. (Its first shared
+   word is in the prefix, and later ones allow less, so any meeting that passes is the first one's.)
+What passes is counted word by word. Templates are a configured list (its words are checked to be at most
 `MAX_TEMPLATE_WORDS`), which goes out with the tasks; every document is joined inside its own row.
 
 Null text counts as empty, and an empty text has no block. Repeated rows are scanned each by itself, very long texts
@@ -21,15 +22,17 @@ whole, other columns don't matter. A document's score is its best containment, 1
 from __future__ import annotations
 
 import math
+import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import table, words
+from strata.llm.common import GAP, table, words
 
 #: Phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Wording of short license notices, with their labels.
+#: Wording of license notices and of whole licenses, with their labels.
 TEMPLATES = (
     ("this work is licensed under the gnu general public license version 3", "gpl-3.0"),
     ("licensed under the apache license version 2 0", "apache-2.0"),
@@ -37,14 +40,69 @@ TEMPLATES = (
     ("released under the mit license", "mit-notice"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit-text"),
+    (
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+        details. You should have received a copy of the GNU General Public License along with this program. If not, see
+        <https://www.gnu.org/licenses/>.""",
+        "gpl-3.0-header",
+    ),
+    (
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+        the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+        applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+        governing permissions and limitations under the License.""",
+        "apache-2.0-header",
+    ),
+    (
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+        PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT,
+        OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION
+        OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
+        "isc",
+    ),
+    (
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+        permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright
+        notice and this permission notice shall be included in all copies or substantial portions of the Software. THE
+        SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+        COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+        OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        "mit",
+    ),
+    (
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY
+        THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+        THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+        COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+        DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+        BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+        (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+        POSSIBILITY OF SUCH DAMAGE.""",
+        "bsd-3-clause",
+    ),
 )
 THRESHOLD, MAX_TEMPLATE_WORDS = 0.8, 10_000
 
 
 def _places(docs: DataFrame, phrases) -> DataFrame:
     """Adds _places to a frame with _words."""
-    split = [(p.split(), label) for p, label in phrases]
-    first = sorted({p[0] for p, _ in split})
+    wanted = [(p.split(), label) for p, label in phrases]
+    first = sorted({p[0] for p, _ in wanted})
     docs = docs.withColumn("_begin", F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.get("_words", i).isin(first)) if first else F.array().cast("array<int>"))
     docs = docs.withColumn("_begin", F.when(F.size("_words") > 0, F.col("_begin")).otherwise(F.array().cast("array<int>")))
 
@@ -57,7 +115,7 @@ def _places(docs: DataFrame, phrases) -> DataFrame:
 
         return F.transform(F.filter("_begin", fits), lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
 
-    found = [of(p, label) for p, label in split]
+    found = [of(p, label) for p, label in wanted]
     return docs.withColumn("_places", F.array_sort(F.concat(*found)) if found else F.array().cast("array<struct<at: int, label: string>>")).drop("_begin")
 
 
@@ -68,62 +126,76 @@ def _blocks(words_: Column, vocabulary: list[str], longest: int) -> Column:
     return F.transform(starts, own)
 
 
-def _sets(given) -> tuple[list[tuple[str, list[str]]], list[str], int]:
-    """Templates as (label, distinct words), their vocabulary and the longest one's number of words."""
-    sets = [(label, sorted(set(t.split()))) for t, label in given]
-    vocabulary = sorted({w for _, s in sets for w in s})
-    if len(vocabulary) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"{len(vocabulary)} template words; at most {MAX_TEMPLATE_WORDS} are sent to all tasks")
-    return sets, vocabulary, max((len(t.split()) for t, _ in given), default=1)
+def split(text: str) -> list[str]:
+    """A template's words, by the rule for documents."""
+    return [w for w in re.split(GAP, text.translate({i: i + 32 for i in range(65, 91)})) if w]
 
 
-def order(docs: DataFrame, given=TEMPLATES, text: str = "text") -> list[str]:
-    """Template words by the corpus's number of blocks, rarest first, ties by word."""
-    _, vocabulary, longest = _sets(given)
-    blocks = docs.select(words(F.col(text).cast("string")).alias("w")).select(_blocks(F.col("w"), vocabulary, longest).alias("b"))
-    counted = blocks.select(F.explode(F.flatten("b")).alias("w")).groupBy("w").count()
-    count = {r.w: r["count"] for r in counted.collect()}  # as many rows as template words
-    return sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
+@dataclass(frozen=True)
+class Class:
+    """Templates of about one size as (label, distinct words), their vocabulary and the longest one's number of words."""
+
+    sets: list[tuple[str, list[str]]]
+    vocabulary: list[str]
+    longest: int
+
+
+def classes(given) -> list[Class]:
+    """Classes of templates, shortest first."""
+    sized = sorted(((split(t), label) for t, label in given), key=lambda x: (len(x[0]), x[1]))
+    out: list[list] = []
+    for own, label in sized:
+        if not out or len(own) > 2 * len(out[-1][0][0]):
+            out.append([])
+        out[-1].append((own, label))
+    made = [Class([(label, sorted(set(own))) for own, label in some], sorted({w for own, _ in some for w in own}), len(some[-1][0])) for some in out]
+    if (n := sum(len(c.vocabulary) for c in made)) > MAX_TEMPLATE_WORDS:
+        raise ValueError(f"{n} template words; at most {MAX_TEMPLATE_WORDS} are sent to all tasks")
+    return made
+
+
+def order(docs: DataFrame, groups: list[Class], text: str = "text") -> list[list[str]]:
+    """Each class's words by the corpus's number of blocks, rarest first, ties by word."""
+    split_ = docs.select(words(F.col(text).cast("string")).alias("w"))
+    each = [F.transform(F.flatten(_blocks(F.col("w"), c.vocabulary, c.longest)), lambda w, k=k: F.struct(F.lit(k).alias("k"), w.alias("w"))) for k, c in enumerate(groups)]
+    counted = split_.select(F.explode(F.concat(*each)).alias("x")).groupBy("x.k", "x.w").count()
+    count = {(r.k, r.w): r["count"] for r in counted.collect()}  # as many rows as template words
+    return [sorted(c.vocabulary, key=lambda w, k=k: (count.get((k, w), 0), w)) for k, c in enumerate(groups)]
 
 
 def _ints(values: list[int]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<int>")
 
 
-def _joined(blocks: Column, given, ranked: list[str], threshold: float, longest: int) -> Column:
-    """KIND of the blocks that a template fits."""
+def _joined(blocks: Column, own: Class, ranked: list[str], threshold: float) -> Column:
+    """KIND of the blocks that a template of the class fits."""
     rank = {w: i + 1 for i, w in enumerate(ranked)}
-    sets = [(label, sorted(rank[w] for w in s), max(1, math.ceil(threshold * len(s) - 1e-9))) for label, s in _sets(given)[0]]
-    index: dict[int, list[int]] = {}
-    for t, (_, own, least) in enumerate(sets):
-        for r in own[: len(own) - least + 1]:
-            index.setdefault(r, []).append(t + 1)
+    sets = [(label, sorted(rank[w] for w in s), max(1, math.ceil(threshold * len(s) - 1e-9))) for label, s in own.sets]
+    index: dict[int, list[tuple[int, int]]] = {}
+    for t, (_, ranks, least) in enumerate(sets):
+        for i, r in enumerate(ranks[: len(ranks) - least + 1]):
+            index.setdefault(r, []).append((t, i))
     head, words_ = sorted(index), F.array(*map(F.lit, ranked))
-    lists, least = F.array(*(_ints(index[r]) for r in head)), min(x[2] for x in sets)
-    table_ = F.array(*(F.struct(F.lit(label).alias("label"), _ints(own).alias("t"), F.lit(o).alias("least")) for label, own, o in sets))
+    entry = lambda t, i: F.struct(F.lit(t + 1).alias("t"), F.lit(len(sets[t][1]) - i - 1).alias("left"), F.lit(sets[t][2]).alias("least"))
+    lists, least = F.array(*(F.array(*(entry(*x) for x in index[r])) for r in head)), min(x[2] for x in sets)
+    table_ = F.array(*(F.struct(F.lit(label).alias("label"), _ints(ranks).alias("t"), F.lit(o).alias("least")) for label, ranks, o in sets))
 
     def met(b: Column) -> Column:
-        """Templates by the prefix words that a block (sorted ranks) has."""
-        found = F.filter(b, lambda r: r.isin(head))
-        return F.array_distinct(F.flatten(F.transform(found, lambda r: F.element_at(lists, F.array_position(_ints(head), r).cast("int")))))
-
-    def fits(b: Column, t: Column) -> Column:
-        """Shared words of a block and a template, or null where a filter rules it out."""
-        i = F.array_position(t["t"], F.element_at(F.array_intersect(t["t"], b), 1))
-        j = F.array_position(b, F.element_at(F.array_intersect(t["t"], b), 1))
-        most = 1 + F.least(F.size(t["t"]) - i, F.size(b) - j)
-        return F.when((F.size(b) >= t["least"]) & (most >= t["least"]), F.size(F.array_intersect(t["t"], b)))
+        """Templates by the prefix words that a block (sorted ranks) has, as far as length and position allow."""
+        found = F.filter(F.transform(b, lambda r, j: F.struct(r.alias("r"), j.alias("j"))), lambda x: x["r"].isin(head))
+        may = lambda x: F.filter(F.element_at(lists, F.array_position(_ints(head), x["r"]).cast("int")), lambda e: (F.size(b) >= e["least"]) & (1 + F.least(e["left"], F.size(b) - x["j"] - 1) >= e["least"]))
+        return F.array_distinct(F.flatten(F.transform(found, lambda x: F.transform(may(x), lambda e: e["t"]))))
 
     def of(x: Column) -> Column:
         pairs = F.transform(met(x["ranks"]), lambda t: F.element_at(table_, t))
-        counted = F.transform(pairs, lambda t: F.struct(t["label"].alias("label"), t["least"].alias("least"), F.size(t["t"]).alias("n"), fits(x["ranks"], t).alias("both")))
-        good = F.filter(counted, lambda t: F.coalesce(t["both"] >= t["least"], F.lit(False)))
+        counted = F.transform(pairs, lambda t: F.struct(t["label"].alias("label"), t["least"].alias("least"), F.size(t["t"]).alias("n"), F.size(F.array_intersect(t["t"], x["ranks"])).alias("both")))
+        good = F.filter(counted, lambda t: t["both"] >= t["least"])
         return F.transform(good, lambda t: F.struct(x["block"].alias("block"), t["label"].alias("label"), (t["both"] / t["n"]).alias("containment")))
 
-    placed = F.transform(blocks, lambda b, k: F.struct((k * longest).alias("block"), b.alias("words")))
+    placed = F.transform(blocks, lambda b, k: F.struct((k * own.longest).alias("block"), b.alias("words")))
     long = F.filter(placed, lambda x: F.size(x["words"]) >= least)
     ranks = F.transform(long, lambda x: F.struct(x["block"].alias("block"), F.array_sort(F.transform(x["words"], lambda w: F.array_position(words_, w).cast("int"))).alias("ranks")))
-    return F.array_sort(F.flatten(F.transform(ranks, of)))
+    return F.flatten(F.transform(ranks, of))
 
 
 KIND = "array<struct<block: int, label: string, containment: double>>"
@@ -134,12 +206,13 @@ def scan(docs: DataFrame, phrases=PHRASES, given=TEMPLATES, threshold: float = T
     the number of words before it); one row per input row."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = _places(docs.select("doc_id", words(F.col("text")).alias("_words")), phrases)
-    blocks = F.array().cast(KIND)
-    if given:
-        _, vocabulary, longest = _sets(given)
-        ranked = order(docs, given)
-        found = found.withColumn("_blocks", _blocks(F.col("_words"), vocabulary, longest))
-        blocks = _joined(F.col("_blocks"), given, ranked, threshold, longest).cast(KIND)
+    blocks, groups = F.array().cast(KIND), classes(given)
+    if groups:
+        parts = []
+        for k, (own, ranked) in enumerate(zip(groups, order(docs, groups))):
+            found = found.withColumn(f"_blocks{k}", _blocks(F.col("_words"), own.vocabulary, own.longest))
+            parts.append(_joined(F.col(f"_blocks{k}"), own, ranked, threshold).cast(KIND))
+        blocks = F.array_sort(F.concat(*parts))
     return found.select("doc_id", F.size("_words").cast("long").alias("n_words"), F.col("_places").alias("places"), blocks.alias("blocks"))
 
 
@@ -160,16 +233,16 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = "list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
-LONGEST = max(len(t.split()) for t, _ in TEMPLATES)
+_CLASSES = classes(TEMPLATES)
 ORACLE = f"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 w as (select r, doc_id, {_WORDS.format("text")} as w, text from d),
 p(p, label) as (values {", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES)}),
 s as (select r, i, w, unnest(range(0, len(w))) as i0 from (select r, w, 0 as i from w where list_has_any(w, {sorted({p.split()[0] for p, _ in PHRASES})!r}))),
 b as (select r, i0 as i, label from s, p where w[i0 + 1] = p[1] and w[i0 + 1 : i0 + len(p)] = p),
-t(t, label) as (values {", ".join(f"({sorted(set(t.split()))!r}, '{label}')" for t, label in TEMPLATES)}),
-l as (select r, w, unnest(range(0, greatest(cast(ceil(len(w) / {LONGEST}) as bigint) - 1, 1))) as k from w),
-m as (select r, label, len(list_intersect(t, lw)) / len(t) as c from (select r, list_distinct(w[k * {LONGEST} + 1 : k * {LONGEST} + {2 * LONGEST}]) as lw from l), t where len(list_intersect(t, lw)) >= ceil({THRESHOLD} * len(t) - 1e-9)),
+t(t, label, longest) as (values {", ".join(f"({own!r}, '{label}', {c.longest})" for c in _CLASSES for label, own in c.sets)}),
+l as (select r, w, longest, unnest(range(0, greatest(cast(ceil(len(w) / longest) as bigint) - 1, 1))) as k from w, (select distinct longest from t)),
+m as (select r, label, len(list_intersect(t, lw)) / len(t) as c from (select r, longest, list_distinct(w[k * longest + 1 : k * longest + 2 * longest]) as lw from l) join t using (longest) where len(list_intersect(t, lw)) >= ceil({THRESHOLD} * len(t) - 1e-9)),
 bs as (select r, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from b group by r),
 ls as (select r, string_agg(distinct label, ',' order by label) as labels from (select r, label from b union all select r, label from m) group by r),
 ms as (select r, max(c) as c from m group by r)

@@ -28,15 +28,22 @@ TEXTS = [
 ]
 
 
+#: Whole licenses: wrapped anew, with words left out, changed or put in between.
+LONG = [t for t, _ in lic.TEMPLATES if len(t) > 300]
+TEXTS += [f"x y {' '.join(t.split())} z" for t in LONG] + ["\n * ".join(t.split(", ")) + " of the in" * 300 for t in LONG]
+TEXTS += [" ".join(w for i, w in enumerate(t.split()) if i % k) for t in LONG for k in (3, 5, 7, 11)] + [" ".join(f"{w} filler" for w in t.split()) for t in LONG]
+
+
 def brute(text):
     w = words(text)
     base = [(i, label) for i in range(len(w)) for p, label in lic.PHRASES if w[i : i + len(p.split())] == p.split()]
     blocks = []
-    for n in range(0, max(1, -(-len(w) // lic.LONGEST) - 1) * lic.LONGEST, lic.LONGEST):
-        for t, label in lic.TEMPLATES:
-            own, t = set(w[n : n + 2 * lic.LONGEST]), set(t.split())
-            if len(own & t) >= math.ceil(lic.THRESHOLD * len(t) - 1e-9):
-                blocks.append((n, label, len(own & t) / len(t)))
+    for c in lic.classes(lic.TEMPLATES):
+        for n in range(0, max(1, -(-len(w) // c.longest) - 1) * c.longest, c.longest):
+            own = set(w[n : n + 2 * c.longest])
+            for label, t in c.sets:
+                if len(own & set(t)) >= math.ceil(lic.THRESHOLD * len(t) - 1e-9):
+                    blocks.append((n, label, len(own & set(t)) / len(t)))
     return len(w), sorted(base), sorted(blocks)
 
 
@@ -48,7 +55,7 @@ def test_against_brute_force(spark):
 
 
 def test_wrapped_notices_are_found(spark):
-    df = spark.createDataFrame(list(enumerate(TEXTS[-3:])), "doc_id long, text string")
+    df = spark.createDataFrame(list(enumerate(TEXTS[11:14])), "doc_id long, text string")
     assert {r.doc_id: {b.label for b in r.blocks} for r in lic.scan(df).collect()} == {0: {"bsd"}, 1: {"mit-text"}, 2: set()}
 
 
@@ -57,3 +64,15 @@ def test_empty_table_and_no_templates(spark):
     assert lic.scan(df.limit(0)).collect() == []
     (r,) = lic.scan(df, given=()).collect()
     assert r.blocks == [] and len(r.places) == 1
+
+
+def test_classes_by_size():
+    made = lic.classes(lic.TEMPLATES)
+    assert sum(len(c.sets) for c in made) == len(lic.TEMPLATES) and [c.longest for c in made] == sorted(c.longest for c in made)
+    assert all(c.longest >= max(len(t) for _, t in c.sets) for c in made) and lic.classes(()) == []
+
+
+def test_whole_licenses_are_found(spark):
+    df = spark.createDataFrame([(i, " ".join(t.split()).upper()) for i, t in enumerate(LONG)], "doc_id long, text string")
+    label = {i: x for i, x in enumerate(x for t, x in lic.TEMPLATES if len(t) > 300)}
+    assert all((label[r.doc_id], 1.0) in {(b.label, b.containment) for b in r.blocks} for r in lic.scan(df).collect())

@@ -4,8 +4,13 @@ Items and texts are words (A-Z lower-cased). A gram is `n` consecutive item word
 not none, is one gram. The grams become hash tables of at most `TABLE_GRAMS` grams, which are literals sent to all tasks:
 buckets of (words, item ids), and a byte per bucket that says whether it holds any. A text's windows are hashed, looked
 up by bucket, and verified word by word, all inside the text's own row: no join, no shuffle, so a passage that every
-text holds costs no more than any other. A larger benchmark has more tables; one job looks at `JOB_TABLES` of them, then
-its hits are written and the next job goes on, so neither a plan nor the driver holds more than that.
+text holds costs no more than any other. One job looks at `JOB_TABLES` tables.
+
+A benchmark of more grams than that is first reduced to the grams that occur, in one pass: a Bloom filter of the grams'
+hashes (`BITS` bits and three probes a gram, at most `FILTER_GRAMS` grams a filter) marks windows, the distinct hashes of
+marked windows are held against the grams by a join, and what is left (the hashes that both have) makes the tables. If
+even these are more than a job takes, its hits are written and the next job goes on; neither a plan nor the driver holds
+more than a filter or a job's tables.
 
 Null or empty texts and items have no words: no hits. Repeated items count once each by item_id, repeated texts each by
 itself. Very long texts are handled whole, in their row. Other columns are kept, whatever their names.
@@ -21,6 +26,9 @@ from pyspark.sql import functions as F
 from strata.llm.common import cut, prefix, table, words
 
 N, TABLE_GRAMS, JOB_TABLES, BUCKETS_PER_GRAM = 10, 20_000, 8, 16
+BITS, FILTER_GRAMS = 32, 8_000_000
+#: Hashes of grams are below this.
+HASHES = 1 << 40
 HIT = "array<struct<at: int, size: int, items: array<string>>>"
 
 
@@ -54,6 +62,48 @@ def _literals(gram: DataFrame) -> tuple[int, Column, Column]:
     return buckets, F.lit(bytes(bool(x) for x in held)), F.from_json(F.lit(json.dumps(held, ensure_ascii=False)), kind)
 
 
+def _slots(h: Column, bits: int) -> list[Column]:
+    """Three places of a hash in a filter."""
+    return [F.pmod(x, F.lit(bits)) for x in (h, F.xxhash64(h), F.xxhash64(h, F.lit(1)))]
+
+
+def _filter(gram: DataFrame, n: int) -> tuple[int, Column]:
+    """Number of bits, and a Bloom filter of n grams' hashes (h) as 64-bit numbers: one row for each of them comes to the driver."""
+    bits = 64
+    while bits < n * BITS:
+        bits *= 2
+    each = gram.select(F.explode(F.array(*_slots(F.col("h"), bits))).alias("s"))
+    set_ = each.groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
+    held = [0] * (bits // 64)
+    for r in set_.toLocalIterator():
+        held[r.word] = r.bits
+    return bits, F.from_json(F.lit(json.dumps(held)), "array<bigint>")
+
+
+def _occurring(split: DataFrame, gram: DataFrame, sizes: list[int], total: int, filter_grams: int) -> DataFrame:
+    """The grams whose hash some window of the texts (a column w of words) has."""
+    count = -(-total // filter_grams)
+    hashed, left = split.select(F.transform("w", lambda w: F.xxhash64(w)).alias("h")), []
+    for t in range(count):
+        part = gram if count == 1 else gram.where(F.pmod(F.xxhash64("h"), F.lit(count)) == t)
+        bits, held = _filter(part, -(-total // count))
+
+        def may(h: Column, bits: int = bits, held: Column = held) -> Column:
+            tests = [F.getbit(F.element_at(held, (F.shiftright(s, 6) + 1).cast("int")), (s % 64).cast("int")) == 1 for s in _slots(h, bits)]
+            return tests[0] & tests[1] & tests[2]
+
+        windows = []
+        for k in sizes:
+            at = F.when(F.size("h") >= k, F.sequence(F.lit(1), F.size("h") - k + 1)).otherwise(F.array().cast("array<int>"))
+            windows.append(F.filter(F.transform(at, _at(k)), _one(may)))
+        seen = hashed.select(F.explode(F.concat(*windows)).alias("h")).distinct()
+        left.append(part.join(seen, "h", "left_semi").select(gram.columns))
+    out = left[0]
+    for x in left[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def _found(docs: DataFrame, own: str, tables: list[tuple[int, Column, Column]], sizes: list[int]) -> tuple[DataFrame, list[Column]]:
     """docs with columns of windows whose bucket holds something, and the verified hits of each table and size."""
     words_, hashes, found = f"{own}_words", f"{own}_h", []
@@ -79,21 +129,29 @@ def _found(docs: DataFrame, own: str, tables: list[tuple[int, Column, Column]],
     return docs, found
 
 
+def _at(k: int):
+    """The hash of k words from a place, as a function of the place alone."""
+    return lambda p: F.pmod(_hash(F.col("h"), p, k), F.lit(HASHES))
+
+
 def _one(f):
     """f as a function of one parameter."""
     return lambda x: f(x)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text: str = "text", table_grams: int = TABLE_GRAMS) -> tuple[DataFrame, str, str]:
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text: str = "text", table_grams: int = TABLE_GRAMS, filter_grams: int = FILTER_GRAMS) -> tuple[DataFrame, str, str]:
     """docs with two columns, and their names: the words, and the hits (HIT: window starts from 1, by start then size)."""
     gram = grams(benchmark, n)
     sizes = [k for k in range(1, n + 1)]
-    gram = cut(gram.withColumn("h", F.pmod(F.coalesce(*(F.when(F.col("size") == k, _gram_hash(k)) for k in sizes)), F.lit(1 << 40))))
+    gram = cut(gram.withColumn("h", F.pmod(F.coalesce(*(F.when(F.col("size") == k, _gram_hash(k)) for k in sizes)), F.lit(HASHES))))
     total = gram.count()
     sizes = sorted(r["size"] for r in gram.select("size").distinct().collect())  # at most n
     own = prefix(docs)
     words_, hashes, out = f"{own}_words", f"{own}_h", f"{own}_hits"
     columns = docs.columns
+    if total > JOB_TABLES * table_grams:
+        gram = cut(_occurring(docs.select(words(F.col(text)).alias("w")), gram, sizes, total, filter_grams))
+        total = gram.count()
     docs = docs.withColumn(words_, words(F.col(text)))
     count = -(-total // table_grams)
     # tables by hash, so none is much larger than table_grams

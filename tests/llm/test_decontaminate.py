@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from strata.llm import decontaminate as dec
 
@@ -37,11 +38,11 @@ DOCS = [
 ]
 
 
-@pytest.mark.parametrize("most", [dec.TABLE_GRAMS, 5, 1])
-def test_against_brute_force(spark, most):
+@pytest.mark.parametrize(("most", "filtered"), [(dec.TABLE_GRAMS, 1), (5, 1), (1, dec.FILTER_GRAMS), (1, 3)])
+def test_against_brute_force(spark, most, filtered):
     docs = spark.createDataFrame([(*d, 1, "s") for d in DOCS], "doc_id long, text string, size int, gram string")
     bench = spark.createDataFrame([(*i, "x") for i in ITEMS], "item_id long, text string, items string")
-    found, words_, hit = dec.hits(docs, bench, n=4, table_grams=most)
+    found, words_, hit = dec.hits(docs, bench, n=4, table_grams=most, filter_grams=filtered)
     got = found.select("doc_id", "text", dec.F.size(words_).alias("w"), dec.n_hit(dec.F.col(hit)).alias("h"), dec.item_ids(dec.F.col(hit)).alias("i")).collect()
     assert len(got) == len(DOCS)
     for r in got:
@@ -56,3 +57,15 @@ def test_removal(spark):
     assert dec.decontaminate(docs, bench, n=4).columns == docs.columns == dec.decontaminate(docs, bench, remove="spans", n=4).columns
     assert dec.decontaminate(docs, bench.limit(0)).count() == len(DOCS)
     assert dec.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_a_large_benchmark_is_reduced_to_what_occurs(spark):
+    """Far more grams than a job takes: one pass leaves those that the texts have, and the hits are the same."""
+    docs = spark.createDataFrame([(*d, 1) for d in DOCS], "doc_id long, text string, x int")
+    noise = spark.range(400).select((F.col("id") + 100).alias("item_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.concat(F.lit("w"), F.xxhash64("id", i).cast("string"))), " ").alias("text"))
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string").unionByName(noise)
+    gram = dec.grams(bench, 4)
+    assert gram.count() > 60_000
+    found, words_, hit = dec.hits(docs, bench, n=4, table_grams=100)
+    got = found.select("text", dec.n_hit(F.col(hit)).alias("h"), dec.item_ids(F.col(hit)).alias("i")).collect()
+    assert len(got) == len(DOCS) and all((r.h, r.i) == brute(r.text, ITEMS, 4)[1:] for r in got)

@@ -130,12 +130,12 @@ def propagate(tables: dict[str, Versions], name: str, spec: dict, generation: st
     return write
 
 
-#: Options by which a source keeps a micro-batch to a number of records (of files, for files).
-BOUNDS = {"kafka": "maxOffsetsPerTrigger", "file": "maxFilesPerTrigger", "delta": "maxFilesPerTrigger", "rate": "rowsPerSecond"}
+#: Options by which a source keeps a micro-batch to a number of records; file and delta sources count files instead.
+BOUNDS = {"kafka": "maxOffsetsPerTrigger", "topic_log": "maxRecords", "rate-micro-batch": "rowsPerBatch", "file": "maxFilesPerTrigger", "delta": "maxFilesPerTrigger"}
 
 
 def bounded(reader: DataStreamReader, kind: str, records: int) -> DataStreamReader:
-    """A stream's reader whose micro-batches hold at most so many records."""
+    """A stream's reader whose micro-batches hold at most so many records (files, for file and delta sources)."""
     return reader.option(BOUNDS[kind], records)
 
 

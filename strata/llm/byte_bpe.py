@@ -6,7 +6,8 @@ every chunk is scanned from its own start, and in the overlap the first boundary
 becomes the stitch. Shorter texts are one chunk. Where an overlap holds no common boundary (one
 pre-token longer than the overlap) the document is scanned whole, which is exact too.
 
-Null text counts as empty: no ids. Rows with equal ids stay apart, as each input row gets a key of its own.
+Null text counts as empty: no ids. Rows with equal ids stay apart, as each input row gets a key of its own. An empty table
+gives no row. Other columns than the keys are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ common extension of two positions is found by binary search.
 Fingerprint: code points, both whole-text hashes, then the `SKETCH` smallest distinct mixed hashes of all spans
 of `SPAN` code points (a shorter text is one span), in hex. Likeness: 1 for equal fingerprints, else the
 bottom-k Jaccard estimate of the two span sets. Null text counts as empty; two empty texts are alike (1),
-an empty and another text are not (0).
+an empty and another text are not (0). Repeated rows follow each other, each with its own row of the result; an empty table
+gives none; other columns are left out, whatever their names.
 
 `with_next` gives each row its successor by (doc_id, text); the last one's is the first. Rows are dealt to
 ranges of doc_id whose lower ends are actual ids; the rows at a lower end are also dealt, as guests, to the

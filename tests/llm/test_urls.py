@@ -40,3 +40,10 @@ def test_rules_and_edges(spark):
     for i, r in enumerate(rows):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == r[1:]
     assert urls.judge(df.limit(0)).collect() == []
+
+
+def test_very_long_and_odd_html(spark):
+    """A listed word at the end of 3 MB of html counts; so do null urls and pages, and other columns don't matter."""
+    rows = [(1, "http://long.example/a", "<p>" + "word " * 600_000 + "casino</p>", "x"), (2, "http://short.example/a", "<p>casino</p>", "x"), (3, None, "casino", "x"), (4, "http://none.example/", None, "x"), (4, "http://none.example/", None, "x")]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
+    assert got[1] == got[2] and got[4] == "allow"

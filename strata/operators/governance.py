@@ -58,6 +58,7 @@ def name_signals(columns: DataFrame) -> DataFrame:
     name = F.lower("column")
 
     def why(tag: str) -> Column:
+        # fixed value: the text decides between equal confidences
         return F.concat(F.lit("column name '"), "column", F.lit(f"' looks like {CLASSIFICATIONS[tag].lower()}"))
 
     hits = [F.when(name.rlike(p), F.struct(F.lit(t).alias("tag"), F.lit(c).alias("confidence"), why(t).alias("reason"))) for t, p, c in NAME_RULES]
@@ -70,6 +71,7 @@ def pattern_signals(profiles: DataFrame, least: float = PATTERN_MIN_PCT) -> Data
     each = profiles.select("dataset", "column", F.explode("patterns").alias("pattern", "pct"))
     tag = F.create_map(*(F.lit(x) for kv in PATTERN_RULES.items() for x in kv))
     hit = each.where(F.col("pattern").isin(list(PATTERN_RULES)) & (F.col("pct") >= least))
+    # fixed value: the text decides between equal confidences
     why = F.concat(F.bround("pct", 0).cast("int").cast("string"), F.lit("% of values look like "), F.translate("pattern", "_", " "), F.lit("s"))
     return hit.select("dataset", "column", tag[F.col("pattern")].alias("tag"), F.bround(F.least(F.col("pct") / 100, F.lit(0.99)), 2).alias("confidence"), why.alias("reason"))
 
@@ -79,6 +81,7 @@ def lineage_signals(edges: DataFrame, tags: DataFrame) -> DataFrame:
     active = tags.where((F.col("status") == "active") & F.col("tag").isin(list(CLASSIFICATIONS)))
     active = active.select(F.col("dataset").alias("from_dataset"), F.col("column").alias("from_column"), "tag")
     hit = edges.join(active, ["from_dataset", "from_column"])
+    # fixed value: the text decides between equal confidences
     why = F.concat(F.lit("computed from "), "from_dataset", F.lit("."), "from_column", F.lit(", which is classified "), "tag")
     return hit.select(F.col("to_dataset").alias("dataset"), F.col("to_column").alias("column"), "tag", F.lit(0.9).alias("confidence"), why.alias("reason")).distinct()
 

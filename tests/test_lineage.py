@@ -35,26 +35,26 @@ def near(start):
 
 
 def test_whole_graph(run):
-    assert run("lineage_trace_all") == sorted(near(["p|1", "p|2"]).items())
+    assert run("lineage_trace") == sorted(near(["p|1", "p|2"]).items())
     nodes = near(["p|3"])
-    assert run("lineage_subgraph_all") == sorted(e for e in graph() if e[0] in nodes and e[1] in nodes)
-    shown = run("restricted_graph_all")
+    assert run("lineage_subgraph") == sorted(e for e in graph() if e[0] in nodes and e[1] in nodes)
+    shown = run("restricted_graph")
     assert len(shown) == len(graph()) and {e for e in graph() if "o|1" not in e[:2] and "o|501" not in e[:2]} == {e for e in shown if "restricted:" not in e[0] + e[1]}
 
 
 def test_whole_events(run):
     done = [(o, c) for o, c, status in ORDERS if status != "P"]
     edges = {(f"dataset:{x}", f"job:load-{c % 7}", f"load-{c % 7}") for _, c in done for x in ("raw", f"ref{c % 2}")} | {(f"job:load-{c % 7}", f"dataset:t{c % 4}", f"load-{c % 7}") for _, c in done}
-    assert run("lineage_edges_all") == sorted(edges)
+    assert run("lineage_edges") == sorted(edges)
     last = {(f"load-{c % 7}", f"t{c % 4}"): f"c{o % 3}" for o, c in sorted(done)}  # one day: the later order is the later event
     first = {}
     for (job, t), column in last.items():
         for x in (column, "rate"):
             first[x, t] = min(job, first.get((x, t), job))
-    assert run("lineage_column_edges_all") == sorted(("raw", x, t, "price", job) for (x, t), job in first.items())
+    assert run("lineage_column_edges") == sorted(("raw", x, t, "price", job) for (x, t), job in first.items())
     tables = {t for x, t in first if x == "rate"}
     jobs = {job for (_, t), job in first.items() if t in tables}
-    assert run("lineage_impact_all") == sorted([("column", f"{t}|price") for t in tables] + [("dataset", t) for t in tables] + [("job", j) for j in jobs] + ([("app", "board")] if tables & {"t0", "t1"} else []))
+    assert run("lineage_impact") == sorted([("column", f"{t}|price") for t in tables] + [("dataset", t) for t in tables] + [("job", j) for j in jobs] + ([("app", "board")] if tables & {"t0", "t1"} else []))
 
 
 def test_marks_go_downstream_once(spark):

@@ -122,15 +122,21 @@ def csv_files(s, d):
     return files.read_csv(s, f"{path}/*/*.txt", skip_rows=2)
 
 
+#: Events of which one set of documents is made: a document is one value to its reader, so it must not grow with the table.
+DOCUMENT_EVENTS = 500_000
+
+
 def json_documents(s, d):
-    """Events as JSON documents, one for each type and hour of day with its records under a key, read back as rows."""
+    """Events as JSON documents with their records under a key, read back as rows.
+
+    A document for each type and hour of day, of every so many events; each is written as a file of its own by the task that made it.
+    """
     folder = _folder(s, "documents")
     e = table(s, d, "events")
     record = F.struct("event_id", "user_id", F.struct(F.col("event_type").alias("type"), "value").alias("what"))
-    docs = e.groupBy("event_type", F.hour("ts").alias("h")).agg(F.to_json(F.struct(F.collect_list(record).alias("data"))).alias("value"))
-    docs.select("value").repartition(8).write.text(f"{folder}/x", lineSep="\n\n")
-    whole = s.read.text(f"{folder}/x", lineSep="\n\n").where("value <> ''")
-    whole.select("value").repartitionByRange(whole.count(), "value").write.text(f"{folder}/events.json")
+    sets = F.pmod(F.hash("event_id"), F.lit(e.count() // DOCUMENT_EVENTS + 1))
+    docs = e.groupBy("event_type", F.hour("ts").alias("h"), sets.alias("k")).agg(F.to_json(F.struct(F.collect_list(record).alias("data"))).alias("value"))
+    docs.write.partitionBy("event_type", "h", "k").text(f"{folder}/events.json")
     return files.read_document(s, f"{folder}/events.json", "data").select("event_id", "user_id", F.get_json_object("what", "$.type").alias("event_type"))
 
 

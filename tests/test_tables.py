@@ -312,3 +312,16 @@ def test_large_files_are_read_in_buffers(spark, tmp_path):
     got = {r.path.rpartition("/")[2]: r.sha256 for r in files.digests(files.listing(spark, str(tmp_path / "*.bin"))).collect()}
     with open(big, "rb") as f:
         assert got == {"big.bin": hashlib.file_digest(f, "sha256").hexdigest(), "small.bin": hashlib.sha256(b"abc").hexdigest()}
+
+
+def test_json_documents_are_bounded(spark, tmp_path, monkeypatch):
+    """No document holds more than its share of the events, and none is sent to the driver as a range's bound."""
+    from strata.queries import table_queries as tq
+
+    events = spark.range(4000).selectExpr("id as event_id", "id % 7 as user_id", "'view' as event_type", "1.5 as value", "timestamp_ntz '2024-01-01 05:00:00' as ts")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(tq, "DOCUMENT_EVENTS", 500)
+    monkeypatch.setattr(tq, "_folder", lambda s, name: str(tmp_path / name))
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", lambda *a: pytest.fail("values as bounds"))
+    assert rows(tq.json_documents(spark, str(tmp_path)), "event_id", "user_id", "event_type") == [(k, k % 7, "view") for k in range(4000)]
+    assert max(map(len, (r.value.split('"event_id"') for r in spark.read.text(str(tmp_path / "documents/events.json"), wholetext=True).collect()))) < 800

@@ -10,7 +10,6 @@ from strata.operators import models, vault
 from strata.operators.tables import last_per_key, merge
 from strata.operators.versions import Versions
 from strata.sources import serving
-from strata.sources.incremental import jdbc
 from strata.plans.pipeline import Pipeline, build, load_raw_vault, materialise
 from strata.queries.base import BRONZE_EVENTS, BRONZE_ORDERS, ORDERS_CUT, bronze_events, bronze_orders, diff_sql, key_sql, table
 from strata.session import shared_dir
@@ -221,19 +220,20 @@ def versions_upsert(s, d):
 def serving_upsert(s, d):
     """A serving table replaced by a model, then upserted with what changed; read back from the database.
 
-    The database is the session's `strata.serving.url`; in local sessions without one, one in the driver's memory.
+    The database is the session's `strata.serving.url`. Without one it is in the driver's memory in local sessions, and on
+    a cluster, whose executors don't reach that, the shared folder.
     """
     url = s.conf.get("strata.serving.url", None)
-    if url is None and not s.sparkContext.master.startswith("local["):
-        raise ValueError("set strata.serving.url to a database that all executors reach")
-    url = url or f"jdbc:derby:memory:serving{uuid.uuid4().hex};create=true"
+    if url is None:
+        local = s.sparkContext.master.startswith("local[")
+        url = f"jdbc:derby:memory:serving{uuid.uuid4().hex};create=true" if local else f"{serving.SHARED}{shared_dir(s)}/serving"
     driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver" if ":derby:" in url else None
     o = table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     held = o.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.lit(0.0)).withColumn("o_orderstatus", F.lit("?"))
     name, keys = f"orders_{uuid.uuid4().hex[:8]}", ["o_orderkey"]
     serving.serve(held, None, url, name, keys, driver)
     serving.serve(held, o.where("o_orderkey % 3 = 0"), url, name, keys, driver)
-    return jdbc(s, url, name, driver=driver).withColumn("o_orderstatus", F.col("o_orderstatus").cast("string"))
+    return serving.served(s, url, name, driver).withColumn("o_orderstatus", F.col("o_orderstatus").cast("string"))
 
 
 def merge_delete_flag(s, d):

@@ -3,6 +3,9 @@
 Rows go to a staging table of their own, by all executors; one transaction then takes them over. Whether a table is there,
 and with which columns, is asked of the database's catalogue: an error there is an error here, never "no such table".
 Each of Spark's tasks writes its rows in one transaction, which a lost executor's task rolls back.
+
+Where there is no database that all executors reach, `versions:<shared folder>` serves from versioned tables there: the same
+replacing and upserting, each one new version, published whole.
 """
 
 from __future__ import annotations
@@ -10,9 +13,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.operators.versions import Versions
 from strata.sources.files import flatten
+from strata.sources.incremental import jdbc
 
 #: Column types by kind of database; what isn't listed is text.
 TYPES = {
@@ -22,6 +28,8 @@ TYPES = {
 }
 #: What a key has in the place of text, where text can't be compared or indexed.
 KEY_TEXT = {"derby": "varchar(1024)", "mysql": "varchar(512)"}
+#: Begins the url of a shared folder in the place of a database.
+SHARED = "versions:"
 
 
 def kind_of(url: str) -> str:
@@ -148,9 +156,25 @@ def serve(full: DataFrame, changed: DataFrame | None, url: str, table: str, keys
 
     changed: None for a model that was built anew.
     """
+    if url.startswith(SHARED):
+        return _serve_shared(full, changed, Versions(full.sparkSession, f"{url[len(SHARED) :]}/{table}"), keys)
     held = Database(full.sparkSession, url, driver).columns(table)
     if changed is not None and held == full.columns:
         upsert(changed.select(full.columns), url, table, keys, driver)
         return "upsert"
     replace(full, url, table, driver, keys)
     return "replace"
+
+
+def _serve_shared(full: DataFrame, changed: DataFrame | None, held: Versions, keys: list[str]) -> str:
+    upserts = changed is not None and held.latest() is not None and held.read().columns == full.columns
+    rows = flatten(changed.select(full.columns) if upserts else full)
+    if keys and not rows.na.drop(subset=keys).groupBy(*keys).count().where(F.col("count") > 1).isEmpty():
+        raise ValueError(f"duplicate key among {keys}")
+    held.upsert(rows, keys) if upserts else held.write(rows, keys=keys)
+    return "upsert" if upserts else "replace"
+
+
+def served(spark: SparkSession, url: str, table: str, driver: str | None = None) -> DataFrame:
+    """A serving table's rows."""
+    return Versions(spark, f"{url[len(SHARED) :]}/{table}").read() if url.startswith(SHARED) else jdbc(spark, url, table, driver=driver)

@@ -325,3 +325,25 @@ def test_json_documents_are_bounded(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", lambda *a: pytest.fail("values as bounds"))
     assert rows(tq.json_documents(spark, str(tmp_path)), "event_id", "user_id", "event_type") == [(k, k % 7, "view") for k in range(4000)]
     assert max(map(len, (r.value.split('"event_id"') for r in spark.read.text(str(tmp_path / "documents/events.json"), wholetext=True).collect()))) < 800
+
+
+def test_serving_from_a_shared_folder(spark, tmp_path):
+    url, frame = f"versions:{tmp_path}/serving", lambda rows, kinds="id int, v string": spark.createDataFrame(rows, kinds)
+    read = lambda: rows(serving.served(spark, url, "t"))
+    assert serving.serve(frame([(1, "a"), (2, "b")]), frame([(9, "x")]), url, "t", ["id"]) == "replace" and read() == [(1, "a"), (2, "b")]
+    assert serving.serve(frame([(7, "n")]), frame([(2, "z"), (3, "c")]), url, "t", ["id"]) == "upsert" and read() == [(1, "a"), (2, "z"), (3, "c")]
+    with pytest.raises(ValueError, match="duplicate key"):
+        serving.serve(frame([(7, "n")]), frame([(9, "x"), (9, "y")]), url, "t", ["id"])
+    assert read() == [(1, "a"), (2, "z"), (3, "c")]
+    wide = frame([(7, 1.5)], "id int, w double")
+    assert serving.serve(wide, wide, url, "t", ["id"]) == "replace" and read() == [(7, 1.5)]
+
+
+def test_serving_upsert_on_a_cluster(spark, monkeypatch):
+    """Executors that don't share the driver's memory, and no database: the rows are those of a local session."""
+    from strata.queries.vault_queries import serving_upsert
+
+    data = "/root/testdata/sf0.001"
+    want = rows(serving_upsert(spark, data))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    assert want and rows(serving_upsert(spark, data)) == want

@@ -146,19 +146,27 @@ def json_lines(s, d):
     return files.read(s, f"{folder}/e.jsonl").select("event_id", "event_type", "who.user_id")
 
 
+def _one_file(rows, path):
+    """The rows as one file of JSON lines, whose bytes depend on nothing but the rows.
+
+    Parquet's don't: its footer lists a column's encodings in an order that differs from one executor to the next.
+    """
+    rows.coalesce(1).sortWithinPartitions(*rows.columns).write.json(path, compression="none")
+
+
 def new_files_manifest(s, d):
     """Files that came or changed since a listing, and what the manifest says of all: rows, and whether digests tell contents apart."""
     folder = _folder(s, "manifest")
     p = table(s, d, "part").select("p_partkey", "p_name")
     for k in range(3):
-        p.where(f"p_partkey % 4 = {k}").coalesce(1).write.parquet(f"{folder}/{k}")
-    seen = files.listing(s, f"{folder}/*/*.parquet")
+        _one_file(p.where(f"p_partkey % 4 = {k}"), f"{folder}/{k}")
+    seen = files.listing(s, f"{folder}/*/*.json")
     seen = s.createDataFrame(seen.collect(), seen.schema)  # a row a file, as it was then
-    p.where("p_partkey % 4 = 3").coalesce(1).write.parquet(f"{folder}/3")
-    p.where("p_partkey % 4 = 3").coalesce(1).write.parquet(f"{folder}/4")  # the same content
-    fresh = files.new_files(files.listing(s, f"{folder}/*/*.parquet"), seen)
-    rows = s.read.parquet(f"{folder}/*/*.parquet").select("*", "_metadata")
-    m = files.manifest(s, f"{folder}/*/*.parquet", rows).join(fresh.select("path", F.lit(True).alias("new")), "path", "left")
+    _one_file(p.where("p_partkey % 4 = 3"), f"{folder}/3")
+    _one_file(p.where("p_partkey % 4 = 3"), f"{folder}/4")  # the same content
+    fresh = files.new_files(files.listing(s, f"{folder}/*/*.json"), seen)
+    rows = s.read.schema(p.schema).json(f"{folder}/*/*.json").select("*", "_metadata")
+    m = files.manifest(s, f"{folder}/*/*.json", rows).join(fresh.select("path", F.lit(True).alias("new")), "path", "left")
     return m.agg(F.count("*").alias("files"), F.count("new").alias("new_files"), F.sum("rows").alias("rows"), F.count_distinct("sha256").alias("contents"))
 
 

@@ -347,3 +347,12 @@ def test_serving_upsert_on_a_cluster(spark, monkeypatch):
     want = rows(serving_upsert(spark, data))
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     assert want and rows(serving_upsert(spark, data)) == want
+
+
+def test_equal_rows_are_equal_files(spark, tmp_path):
+    from strata.queries.table_queries import _one_file
+
+    there, back = spark.range(1000).selectExpr("id", "id % 3 as k").orderBy("id"), spark.range(1000).selectExpr("id", "id % 3 as k").orderBy(F.desc("id"))
+    _one_file(there, str(tmp_path / "0"))
+    _one_file(back, str(tmp_path / "1"))
+    assert files.digests(files.listing(spark, str(tmp_path / "*/*.json"))).select("sha256").distinct().count() == 1

@@ -23,9 +23,14 @@ def norm(text: Column, upper: bool) -> Column:
     return F.coalesce(F.upper(F.trim(text)) if upper else F.trim(text), F.lit(""))
 
 
+def key_text(df: DataFrame, columns: list[str]) -> Column:
+    """The upper-cased, trimmed values joined by ||: what a hash key is made of."""
+    return F.concat_ws("||", *(norm(text_of(df, c), True) for c in columns))
+
+
 def hash_key(df: DataFrame, columns: list[str]) -> Column:
-    """sha1 of the upper-cased, trimmed values joined by ||."""
-    return F.sha1(F.concat_ws("||", *(norm(text_of(df, c), True) for c in columns)))
+    """sha1 of the key text."""
+    return F.sha1(key_text(df, columns))
 
 
 def hashdiff(df: DataFrame, columns: list[str]) -> Column:

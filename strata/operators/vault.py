@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.text import hash_key, hashdiff, norm, text_of
+from strata.functions.text import hash_key, hashdiff, key_text, norm, text_of
 
 TRAILER = ("load_date", "record_source", "_batch_id")
 
@@ -39,8 +39,13 @@ def _with_keys(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _first(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Of each key the row that comes first by (load_date, _batch_id): an aggregate, so combined before the shuffle."""
-    best = F.min_by(F.struct(*columns), F.struct("load_date", "_batch_id")).alias("r")
+    """Of each key the row that comes first by (load_date, _batch_id): an aggregate, so combined before the shuffle.
+
+    One struct has the order and the rest, so a row's values are shuffled once. Its columns are short texts: hashes, which
+    don't compress, are made of what is left.
+    """
+    order = ("load_date", "_batch_id")
+    best = F.min(F.struct(*order, *(c for c in columns if c not in order))).alias("r")
     return df.groupBy(key).agg(best).select(key, "r.*")
 
 
@@ -53,8 +58,8 @@ def hub(source: DataFrame, entity: str, keys: list[str], target: DataFrame | Non
     """hk_<entity>, keys as trimmed text, trailer: keys not in the target. Rows with a null key are left out."""
     _need(source, keys)
     hk = f"hk_{entity}"
-    rows = _with_keys(source, keys).select(hash_key(source, keys).alias(hk), *(F.trim(text_of(source, k)).alias(k) for k in keys), *TRAILER)
-    rows = _first(rows, hk, [*keys, *TRAILER])
+    rows = _with_keys(source, keys).select(key_text(source, keys).alias(hk), *(F.trim(text_of(source, k)).alias(k) for k in keys), *TRAILER)
+    rows = _first(rows, hk, [*keys, *TRAILER]).select(F.sha1(hk).alias(hk), *keys, *TRAILER)
     target = narrowed(target, rows, [hk], small)
     return rows if target is None else rows.join(target.select(hk), hk, "left_anti")
 
@@ -64,9 +69,10 @@ def link(source: DataFrame, name: str, roles: dict[str, list[str]], target: Data
     keys = [k for r in roles.values() for k in r]
     _need(source, keys)
     hk = f"hk_{name}"
-    parts = [hash_key(source, cols).alias(f"hk_{role}") for role, cols in roles.items()]
-    rows = _with_keys(source, keys).select(hash_key(source, keys).alias(hk), *parts, *TRAILER)
-    rows = _first(rows, hk, [*(f"hk_{r}" for r in roles), *TRAILER])
+    ends = [f"hk_{role}" for role in roles]
+    parts = [key_text(source, cols).alias(end) for end, cols in zip(ends, roles.values())]
+    rows = _with_keys(source, keys).select(key_text(source, keys).alias(hk), *parts, *TRAILER)
+    rows = _first(rows, hk, [*ends, *TRAILER]).select(*(F.sha1(c).alias(c) for c in (hk, *ends)), *TRAILER)
     target = narrowed(target, rows, [hk], small)
     return rows if target is None else rows.join(target.select(hk), hk, "left_anti")
 
@@ -143,17 +149,30 @@ def pit(hub: DataFrame, entity: str, satellites: dict[str, DataFrame]) -> DataFr
     return each.select(hk, "snapshot_date", *(F.last(f"_{n}", ignorenulls=True).over(over).alias(f"{n}_load_date") for n in satellites))
 
 
-def bridge(hub: DataFrame, entity: str, links: list[DataFrame]) -> DataFrame:
-    """Distinct hub keys along a path of links; each link must share a hub with the path so far."""
+def key_texts(source: DataFrame, roles: dict[str, list[str]]) -> DataFrame:
+    """Distinct hk_<role>, as the texts that hashes are made of, of rows without null keys: a hub's keys, or a link's ends, for `bridge`."""
+    keys = [k for r in roles.values() for k in r]
+    _need(source, keys)
+    return _with_keys(source, keys).select(*(key_text(source, cols).alias(f"hk_{role}") for role, cols in roles.items())).distinct()
+
+
+def bridge(hub: DataFrame, entity: str, links: list[DataFrame], hashed: bool = True) -> DataFrame:
+    """Distinct hub keys along a path of links; each link must share a hub with the path so far.
+
+    hashed: hub and links are tables of the vault. Else they are `key_texts` of the sources that those would be loaded from;
+    the path is made of the texts, a fraction of the hashes' bytes in every shuffle, and hashed at its end. Pairs that one link hash stands for (of texts
+    with || in them) are both in the path, where a stored link has the first.
+    """
     path, known = hub.select(f"hk_{entity}"), [f"hk_{entity}"]
     for k, step in enumerate(links):
-        ends = [c for c in step.columns if c.startswith("hk_")][1:]
+        ends = [c for c in step.columns if c.startswith("hk_")][1 if hashed else 0 :]
         shared = [c for c in ends if c in known]
         if not shared:
             raise ValueError(f"link {k} shares no hub with the path")
         path = path.join(step.select(*ends), shared)
         known += [c for c in ends if c not in known]
-    return path.select(*known).distinct()
+    path = path.select(*known).distinct()
+    return path if hashed else path.select(*(F.sha1(c).alias(c) for c in known))
 
 
 def norm_key(df: DataFrame, column: str) -> Column:

@@ -114,3 +114,22 @@ def test_as_of_look_ups_of_hot_keys_and_long_histories(spark):
     finally:
         for k, x in before.items():
             spark.conf.set(k, x)
+
+
+def test_hashes_are_made_behind_the_shuffle(spark):
+    """Hubs, links and bridges shuffle key texts; the plan's hashes stand above its aggregates. Equal texts of other parts are one key."""
+    rows = [("a||b", "c", "p", 1), ("a", "b||c", "p", 0), ("a", "b", "q", 2), ("a ", "B", "q", 1), (None, "b", "q", 0)]
+    df = spark.createDataFrame([(a, b, p, T0 + timedelta(days=n), f"b{n}") for a, b, p, n in rows], "a string, b string, p string, _load_ts timestamp, _batch_id string")
+    st = vault.stage(df, "s")
+    link, hub = vault.link(st, "ab", {"x": ["a"], "y": ["b"]}), vault.hub(st, "ab", ["a", "b"])
+    sha = lambda s: hashlib.sha1(s.encode()).hexdigest()
+    assert sorted(map(tuple, link.select("hk_ab", "hk_x", "hk_y", "_batch_id").collect())) == sorted([(sha("A||B||C"), sha("A"), sha("B||C"), "b0"), (sha("A||B"), sha("A"), sha("B"), "b1")])
+    assert sorted(map(tuple, hub.select("hk_ab", "a", "b").collect())) == sorted([(sha("A||B||C"), "a", "b||c"), (sha("A||B"), "a", "B")])
+    st = st.where("a <> 'a||b'")  # its link hash is another pair's, so a stored link has only one of both
+    other = vault.link(st, "bp", {"y": ["b"], "z": ["p"]})
+    stored = vault.bridge(vault.hub(st, "x", ["a"]), "x", [vault.link(st, "ab", {"x": ["a"], "y": ["b"]}), other])
+    texts = vault.bridge(vault.key_texts(st, {"x": ["a"]}), "x", [vault.key_texts(st, {"x": ["a"], "y": ["b"]}), vault.key_texts(st, {"y": ["b"], "z": ["p"]})], hashed=False)
+    assert texts.columns == ["hk_x", "hk_y", "hk_z"] and sorted(map(tuple, texts.collect())) == sorted(tuple(r[c] for c in texts.columns) for r in stored.collect())
+    for made, below in ((hub, "Aggregate"), (link, "Aggregate"), (texts, "Join")):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "sha1" in plan and "sha1" not in plan[plan.index(below) :]

@@ -84,8 +84,9 @@ def pit_customer(s, d):
 
 
 def bridge_customer_part(s, d):
-    rows = _orders(s, d)
-    return vault.bridge(vault.hub(rows, "customer", ["o_custkey"]), "customer", [link_customer_order(s, d), link_order_part(s, d)])
+    rows, customer, order = _orders(s, d), {"customer": ["o_custkey"]}, {"order": ["o_orderkey"]}
+    links = [vault.key_texts(rows, customer | order), vault.key_texts(_lines(s, d), {"order": ["l_orderkey"], "part": ["l_partkey"]})]
+    return vault.bridge(vault.key_texts(rows, customer), "customer", links, hashed=False)
 
 
 def raw_vault_counts(s, d):

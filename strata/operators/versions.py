@@ -261,7 +261,7 @@ class Versions:
                 keys = self._scan(state, [d for d in deltas if d["path"] in over]).select(*state.keys)
                 rows = rows.join(keys, list(state.keys), "left_anti").select(rows.columns)
             out.append(rows)
-        return reduce(DataFrame.unionByName, out, self._scan(state, [])) if out else self._scan(state, [])
+        return reduce(DataFrame.unionByName, out) if out else self._scan(state, [])
 
     def _rows(self, state: State) -> DataFrame:
         base, deltas = ([p for p in state.parts if p["kind"] == k] for k in ("base", "delta"))

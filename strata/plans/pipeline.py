@@ -145,6 +145,13 @@ def load_raw_vault(source: DataFrame, name: str, spec: dict, targets: dict[str,
     return out
 
 
+def columns(spec: dict) -> set[str]:
+    """Columns of a source that `load_raw_vault` reads, if the source has them."""
+    roles = (cols for link in spec.get("links", {}).values() for cols in link.values())
+    named = [spec["hub"][1], *spec.get("satellites", {}).values(), *roles]
+    return {c for cols in named for c in cols} | {"_op", "_source_ts", "_load_ts", "_source", "_batch_id"}
+
+
 #: Order in which mappings of one source are loaded.
 KINDS = ("hub", "link", "satellite")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,17 +10,22 @@ from pyspark.sql import types as T
 
 from strata.operators import lineage as lin
 from strata.operators.versions import Versions
-from strata.plans.pipeline import maintain
+from strata.plans.pipeline import columns, maintain
 from strata.queries.base import BRONZE_ORDERS, bronze_orders, table
 from strata.session import shared_dir
 from strata.streaming import changes as ch
 
 FIELDS = ["user_id", "event_type", "value"]
+#: Messages in a landed file, about.
+FILE_ROWS = 500_000
 
 
 def raw_events(s, d):
     """Events as topic messages: key and value JSON, every seventh value broken in one of three ways."""
-    e = table(s, d, "events")
+    return _messages(table(s, d, "events"))
+
+
+def _messages(e):
     gone = F.when(F.col("event_type") == "error", F.lit("true")).otherwise(F.lit("false"))
     good = F.to_json(F.struct(F.col("user_id").cast("string").alias("user_id"), "event_type", F.col("event_id").cast("string").alias("value"), F.when(F.col("event_type") == "signup", "c").otherwise("u").alias("__op"), F.unix_millis(F.col("ts").cast("timestamp")).alias("__source_ts_ms"), gone.alias("__deleted")))
     n = F.col("event_id") % 21
@@ -55,26 +61,31 @@ def cdc_mirror(s, d):
 
 
 def _landed(s, d):
-    """The messages landed as files for the streaming twins, in the shared folder: three times four files, by offset."""
+    """The messages landed as files for the streaming twins, in the shared folder: three times so many files, by offset.
+
+    A third has a file for each core (four at least), and more where they would pass `FILE_ROWS`: an epoch uses the whole
+    cluster, and no task's share of it grows with the table.
+    """
     folder = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
-    raw = raw_events(s, d)
-    top = raw.agg(F.max("offset")).first()[0] + 1
+    e = table(s, d, "events").select("event_id", "user_id", "event_type", "ts")
+    top, rows = e.agg(F.max("event_id") + 1, F.count("*")).first()
+    files = max(4, s.sparkContext.defaultParallelism, math.ceil(rows / 3 / FILE_ROWS))
     for k in range(3):
-        third = raw.where((F.col("offset") >= k * top // 3) & (F.col("offset") < (k + 1) * top // 3))
-        third.repartition(4).write.mode("append").parquet(f"{folder}/in")
-    return folder
+        third = e.where((F.col("event_id") >= k * top // 3) & (F.col("event_id") < (k + 1) * top // 3))
+        _messages(third.repartition(files)).write.mode("append").parquet(f"{folder}/in")
+    return folder, files
 
 
-def _stream(s, folder):
-    """The landed files as a stream, four a batch: the reader's bound."""
+def _stream(s, folder, files):
+    """The landed files as a stream, a third of them a batch: the reader's bound."""
     schema = s.read.parquet(f"{folder}/in").schema
-    return ch.bounded(s.readStream.schema(schema), "file", 4).parquet(f"{folder}/in")
+    return ch.bounded(s.readStream.schema(schema), "file", files).parquet(f"{folder}/in")
 
 
 def cdc_changelog_stream(s, d):
     """A file stream into a changelog: every change is a row, whatever the batches."""
-    folder = _landed(s, d)
-    ch.start(ch.decode(_stream(s, folder), FIELDS), ch.write_changelog(f"{folder}/out", "g1"), f"{folder}/cp").awaitTermination()
+    folder, files = _landed(s, d)
+    ch.start(ch.decode(_stream(s, folder, files), FIELDS), ch.write_changelog(f"{folder}/out", "g1"), f"{folder}/cp").awaitTermination()
     return s.read.parquet(f"{folder}/out/generation=g1/epoch=*").select(*FIELDS, "_op", "_offset")
 
 
@@ -83,14 +94,14 @@ def cdc_mirror_stream(s, d):
 
     Columns are typed; the epochs write what they bring, and parts are merged after every second one.
     """
-    folder = _landed(s, d)
+    folder, files = _landed(s, d)
     versions, kinds = Versions(s, f"{folder}/mirror"), T.StructType().add("user_id", "long").add("event_type", "string").add("value", "long")
     half = s.read.parquet(f"{folder}/in")
     half = half.where(F.col("offset") < half.agg(F.expr("max(offset) div 2")).first()[0])
     old = ch.mirror(None, ch.decode(half, FIELDS), ["user_id"])
     versions.write(old.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds), "_op", "_source_ts", "_offset"), keys=["user_id"])
     write = ch.write_mirror(versions, ["user_id"], "g1", kinds, compact_every=2)
-    ch.start(ch.decode(_stream(s, folder), FIELDS), write, f"{folder}/cp").awaitTermination()
+    ch.start(ch.decode(_stream(s, folder, files), FIELDS), write, f"{folder}/cp").awaitTermination()
     return versions.read().select(*FIELDS, "_op", "_offset")
 
 
@@ -100,7 +111,7 @@ def stream_vault(s, d):
     By user: the latest event type and the number of versions. By event type: users and versions, from the users' rows
     before and after.
     """
-    folder = _landed(s, d)
+    folder, files = _landed(s, d)
     spec = {"hub": ("user", ["user_id"]), "satellites": {"user_event": ["event_type"]}, "track_deletes": True}
     tables = {n: Versions(s, f"{folder}/{n}") for n in ("hub_user", "sat_user_event", "sat_user_status")}
     users, model = Versions(s, f"{folder}/users"), Versions(s, f"{folder}/model")
@@ -117,7 +128,8 @@ def stream_vault(s, d):
         change = [rows.select("event_type", F.lit(k).cast("long").alias("users"), (F.col("versions") * k).alias("versions")) for rows, k in ((before, -1), (now, 1))]
         maintain(model, total(change[0].unionByName(change[1])), ["event_type"], total, ("g1:model", epoch))
 
-    rows = ch.decode(_stream(s, folder), FIELDS).withColumns({"_load_ts": F.col("_source_ts"), "_batch_id": F.lpad(F.col("_offset_no").cast("string"), 10, "0")})
+    rows = ch.decode(_stream(s, folder, files), FIELDS).withColumns({"_load_ts": F.col("_source_ts"), "_batch_id": F.lpad(F.col("_offset_no").cast("string"), 10, "0")})
+    rows = rows.select(*(c for c in rows.columns if c in columns(spec)))  # an epoch's frame holds what the stream has, used or not
     ch.start(rows, ch.propagate(tables, "events", spec, "g1", then, compact_every=2), f"{folder}/cp").awaitTermination()
     return model.read().where("users > 0")
 

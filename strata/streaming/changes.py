@@ -7,6 +7,7 @@ foreachBatch: an epoch writes to a path of its own, or under a transaction id of
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,15 +17,15 @@ from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 from strata.operators.lineage import at_rank, ranked
 from strata.operators.tables import conform, last_per_key, merge
 from strata.operators.versions import Versions
-from strata.plans.pipeline import load_raw_vault
+from strata.plans.pipeline import columns, load_raw_vault
 
 OP, SOURCE_TS, DELETED = "__op", "__source_ts_ms", "__deleted"
 STALE_SECONDS = 30
 
 
 def is_object(text: Column) -> Column:
-    """Whether a text is a JSON object (repeated keys are allowed)."""
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.from_json(text, "map<string,string>").isNotNull() & text.rlike(r"\A\s*\{"), F.lit(False))
+    """Whether a text is a JSON object (repeated keys are allowed): one parser takes it, and it begins as one."""
+    return F.coalesce(text.rlike(r"\A\s*\{") & (_fields(text).isNotNull() | F.try_parse_json(text).isNotNull()), F.lit(False))
 
 
 def dead_letters(raw: DataFrame) -> DataFrame:
@@ -52,15 +53,18 @@ def decode(raw: DataFrame, fields: list[str], cdc: bool = True) -> DataFrame:
     cdc: control fields are taken off, the key's fields fill in what the value lacks. Else every row is a 'c'.
     """
     key, value = F.col("key").cast("string"), F.col("value").cast("string")
-    rows = raw.where(is_object(value)).withColumns({"_v": _fields(value), "_key": key_fields(key, value)})
+    rows = raw.where(is_object(value)).withColumn("_v", _fields(value))
+    if cdc:  # the key is parsed for rows that lack a field
+        lacks = reduce(Column.__or__, (F.col("_v")[f].isNull() for f in fields), F.lit(False))
+        rows = rows.withColumn("_k", F.when(lacks, key_fields(key, value)))
     at = F.when(F.unix_millis("timestamp") > 0, F.col("timestamp"))
     if cdc:
         gone = F.lower(F.coalesce(F.col("_v")[DELETED], F.lit("false"))) == "true"
         op, at = F.when(gone, F.lit("d")).otherwise(F.coalesce(F.col("_v")[OP], F.lit("r"))), F.timestamp_millis(F.col("_v")[SOURCE_TS].try_cast("long"))
     else:
         op = F.lit("c")
-    get = lambda f: F.coalesce(F.col("_v")[f], F.col("_key")[f]) if cdc else F.col("_v")[f]
-    return rows.select(*(get(f).alias(f) for f in fields), op.alias("_op"), at.alias("_source_ts"), F.concat_ws(":", "partition", "offset").alias("_offset"), F.col("partition").alias("_partition"), F.col("offset").alias("_offset_no"), F.map_keys("_key").alias("_key"))
+    get = lambda f: F.coalesce(F.col("_v")[f], F.col("_k")[f]) if cdc else F.col("_v")[f]
+    return rows.select(*(get(f).alias(f) for f in fields), op.alias("_op"), at.alias("_source_ts"), F.concat_ws(":", "partition", "offset").alias("_offset"), F.col("partition").alias("_partition"), F.col("offset").alias("_offset_no"), F.map_keys(key_fields(key, value)).alias("_key"))
 
 
 def latest_changes(changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -108,14 +112,18 @@ def propagate(tables: dict[str, Versions], name: str, spec: dict, generation: st
     """foreachBatch function: the batch's rows to every table of a vault description, then what is built on them.
 
     Each table is appended to under the epoch and its own name, so a replayed epoch adds what it lacks and no more. Held
-    rows are filtered by the batch's keys where they are read. `then` gets the rows that the epoch added to each table,
+    rows are filtered by the batch's keys where they are read. The batch is decoded once, before anything is built on it (jobs
+    that run at the same time would each decode what the other's executor has not stored yet), and only the columns that the
+    vault takes are. `then` gets the rows that the epoch added to each table,
     and the epoch; a replayed one too, as it may have died before: the rows come from the log, so they are the same ones.
     tables: one Versions per name that `load_raw_vault` gives.
     """
+    taken = columns(spec)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        rows = batch.persist()
+        rows = batch.select(*(c for c in batch.columns if c in taken)).persist()
         try:
+            rows.count()
             held = {n: t.read() for n, t in tables.items() if t.latest() is not None}
             for n, add in load_raw_vault(rows, name, spec, held, small=True).items():
                 tables[n].append(add, (f"{generation}:{n}", epoch))

@@ -274,6 +274,35 @@ def test_propagation_replays_nothing(spark, tmp_path):
     assert [tables[n].read().count() for n in tables] == [3, 3, 3]
 
 
+def test_propagation_takes_what_the_vault_reads(spark, tmp_path):
+    """A column that no table of the vault has is neither held nor computed."""
+    rows = spark.createDataFrame([("1", "a", "u", datetime(2026, 1, 1), "0")], "id string, v string, _op string, _load_ts timestamp, _batch_id string")
+    tables = {n: Versions(spark, str(tmp_path / n)) for n in ("hub_x", "sat_x", "sat_x_status")}
+    write = ch.propagate(tables, "src", {"hub": ("x", ["id"]), "satellites": {"x": ["v"]}, "track_deletes": True}, "g")
+    write(rows.withColumn("other", F.raise_error(F.concat("id", F.lit(" was read")))), 0)
+    assert [tables[n].read().count() for n in tables] == [1, 1, 1]
+
+
+def test_objects_begin_as_one(spark):
+    texts = {"{}": True, ' \t{"a": 1}': True, '{"a": 1, "a": 2}': True, "{'a': 1}": True, '{"a": {"b": [1]}}': True, "[1]": False, '[{"a": 1}]': False, '"{"': False, "1": False, "null": False, "": False, "{": False, '{"a": 1,}': False, None: False}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ch.is_object(F.col("t")).alias("o")).collect()
+    assert {r.t: r.o for r in got} == texts
+
+
+def test_landed_files_grow_in_number(spark, monkeypatch):
+    """An epoch is a third of the files: as many as the cluster has cores, and no file grows with the table."""
+    from strata.queries import stream_queries as sq
+
+    monkeypatch.setattr(sq, "FILE_ROWS", 20)
+    folder, files = sq._landed(spark, "/root/testdata/sf0.001")
+    seen = spark.read.parquet(f"{folder}/in").groupBy(F.input_file_name().alias("f")).count().collect()
+    assert files >= spark.sparkContext.defaultParallelism and files > 4 and len(seen) == 3 * files and max(r["count"] for r in seen) <= 40
+    assert sum(r["count"] for r in seen) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    epochs = []
+    ch.start(sq._stream(spark, folder, files), lambda batch, epoch: epochs.append((batch.agg(F.min("offset"), F.max("offset")).first())), f"{folder}/cp").awaitTermination()
+    assert len(epochs) == 3 and all(a[1] < b[0] for a, b in zip(epochs, epochs[1:]))
+
+
 def test_mirror_refuses_lossy_values(spark, tmp_path):
     table, kinds = Versions(spark, str(tmp_path / "m")), T.StructType().add("id", "long").add("v", "integer")
     put = ch.write_mirror(table, ["id"], "g", kinds)

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
@@ -39,8 +38,8 @@ from strata.llm.common import batch_bytes, raw, shared_dir, slices, table
 
 END = 1
 SHARD_IDS, PER_ROUND, LEAST = 1 << 19, 2048, 8
-#: Distinct pieces in each of a Python worker's two generations: a full one replaces the older, whose used pieces move on.
-CACHE_PIECES = 150_000
+#: Distinct pieces that a Python worker knows before it forgets those it hasn't met since it last forgot some.
+CACHE_PIECES = 600_000
 FILE = "range int, before bigint, doc_ids array<bigint>, starts array<int>, counts array<int>, n_ids bigint, rules binary, lengths binary, symbols binary"
 
 
@@ -51,7 +50,7 @@ SEPARATOR = "|"
 #: fewer distinct pieces are left.
 BELOW_MARKS = 0xCC
 LETTER_THEN_MARK = "([a-z\u00df-\u00f6\u00f8-\u00ff])([.,!?;:%*#$&])"
-LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+LETTERS = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 
 
 #: The parts of a tokenizer file for which texts may be cut at blanks.
@@ -87,45 +86,59 @@ class Encoder:
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids[0] if self.shortcut else None
         self.bar = self.letters.encode(SEPARATOR, add_special_tokens=False).ids[0] if self.shortcut else None
-        self.store: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _alone(self, distinct: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False)]
-
-    def _joined(self, distinct: list[str], tokenizer, separator: int) -> list[bytes]:
-        """Pieces without the separator, encoded as one text: much cheaper than as many texts."""
-        text = f" {SEPARATOR} ".join(distinct)
-        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        cut = np.flatnonzero(ids == separator).tolist()
+        self.known = pa.array([], pa.string())
+        #: Of each known piece: where its ids begin in `ids`, how many they are, and whether it was met since the last forgetting.
+        self.begin, self.size, self.met, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint32)
+
+    def _alone(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False)]
+        return np.array([x for ids in each for x in ids], np.uint32), np.array([len(ids) for ids in each], np.int64)
+
+    def _joined(self, distinct: pa.Array, tokenizer, separator: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces without the separator, encoded as one text (much cheaper than as many texts), and how many each has."""
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), f" {SEPARATOR} ")[0].as_py()
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        apart = ids == separator
+        cut = np.flatnonzero(apart)
         if len(cut) != len(distinct) - 1:
-            return self._alone(distinct)
-        whole = ids.tobytes()
-        return [whole[4 * i : 4 * j] for i, j in zip([0, *(c + 1 for c in cut)], [*cut, len(ids)])]
-
-    def pieces(self, distinct: list[str]) -> list[bytes]:
-        old, store = self.old, self.store
-        out = list(map(store.get, distinct))
-        miss = [i for i, ids in enumerate(out) if ids is None]
-        new = []
-        for i in miss:
-            x = distinct[i]
-            if (ids := old.get(x)) is None:
-                new.append(x)
-            else:
-                store[x] = ids
-        kinds: tuple[list[str], list[str], list[str]] = ([], [], [])
-        for x in new:
-            kinds[0 if LETTERS(x) else 1 if SEPARATOR not in x else 2].append(x)
-        for some, tokenizer, separator in zip(kinds, (self.letters, self.tokenizer), (self.bar, self.separator)):
-            for i in range(0, len(some), 5_000):
-                store.update(zip(some[i : i + 5_000], self._joined(some[i : i + 5_000], tokenizer, separator)))
-        store.update(zip(kinds[2], self._alone(kinds[2])))
-        for i in miss:
-            out[i] = store[distinct[i]]
-        if len(store) > CACHE_PIECES:
-            self.old, self.store = store, {}
-        return out
+            return self._alone(distinct.to_pylist())
+        return ids[~apart], np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+
+    def _learn(self, new: pa.Array) -> None:
+        """Encodes pieces that aren't known."""
+        letters, bar = (np.asarray(x) for x in (pc.match_substring_regex(new, LETTERS), pc.match_substring(new, SEPARATOR)))
+        begin, size, parts, total = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [self.ids], len(self.ids)
+        for rows, tokenizer, separator in ((letters, self.letters, self.bar), (~letters & ~bar, self.tokenizer, self.separator), (bar, None, None)):
+            rows = np.flatnonzero(rows)
+            for i in range(0, len(rows), 5_000):
+                own = rows[i : i + 5_000]
+                some = new.take(pa.array(own))
+                ids, n = self._joined(some, tokenizer, separator) if tokenizer else self._alone(some.to_pylist())
+                begin[own], size[own] = total + np.cumsum(n) - n, n
+                parts.append(ids)
+                total += len(ids)
+        self.known, self.ids = pa.concat_arrays([self.known, new]), np.concatenate(parts)
+        self.begin, self.size, self.met = (np.concatenate(x) for x in ((self.begin, begin), (self.size, size), (self.met, np.ones(len(new), bool))))
+
+    def _forget(self) -> None:
+        """Leaves the pieces that were met since the last time."""
+        kept = np.flatnonzero(self.met)
+        self.known, size = self.known.take(pa.array(kept)), self.size[kept]
+        self.ids, self.begin, self.size, self.met = self.ids[ragged(self.begin[kept], size)], np.cumsum(size) - size, size, np.zeros(len(kept), bool)
+
+    def pieces(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of each distinct piece, where its ids begin in `ids`, and how many they are."""
+        distinct = distinct.cast(pa.string())
+        if len(self.known) > CACHE_PIECES:
+            self._forget()
+        at = pc.index_in(distinct, value_set=self.known)
+        new = np.asarray(at.is_null())
+        at = np.array(at.fill_null(0), np.int64)
+        if new.any():
+            at[new] = len(self.known) + np.arange(int(new.sum()))
+            self._learn(distinct.filter(pa.array(new)))
+        self.met[at] = True
+        return self.begin[at], self.size[at]
 
     def encode(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end`, and the number of each text's ids."""
@@ -159,9 +172,8 @@ class Encoder:
             texts = pc.replace_substring_regex(pc.ascii_lower(texts), LETTER_THEN_MARK, r"\1 \2")
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         flat = split.flatten().dictionary_encode()
-        known = self.pieces(flat.dictionary.to_pylist())
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        ids, begin, at = np.frombuffer(b"".join(known), "<u4"), np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else np.zeros(0, np.int64), np.asarray(flat.indices, np.int64)
+        begin, size = self.pieces(flat.dictionary)
+        at = np.asarray(flat.indices, np.int64)
         words = np.diff(np.asarray(split.offsets, np.int64))
         per_word = size[at]
         ends = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(words)])]
@@ -169,7 +181,7 @@ class Encoder:
         out = np.full(int(counts.sum()), end, np.uint32)
         free = np.ones(len(out), bool)
         free[np.cumsum(counts) - 1] = False
-        out[free] = ids[ragged(begin[at], per_word)]
+        out[free] = self.ids[ragged(begin[at], per_word)]
         return out, counts
 
 

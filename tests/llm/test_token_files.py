@@ -98,3 +98,20 @@ def test_strings_of_special_tokens():
     for coder, ref in ((tf.encoder(tf.default_path()), REF), (tf.encoder(tf.default_path(), False), strict)):
         assert coder.encode(pa.array([text]))[0].tolist() == [*ref.encode(text, add_special_tokens=False).ids, tf.END]
     assert 49407 in REF.encode(text, add_special_tokens=False).ids and 49407 not in strict.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_are_known_once_and_forgotten(monkeypatch):
+    """A piece that is known isn't encoded again; what wasn't met since the last forgetting goes, and ids stay right."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tf, "CACHE_PIECES", 40)
+    own, rng, learnt = tf.Encoder(tf.default_path()), np.random.default_rng(3), []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda new: (learnt.append(new.to_pylist()), learn(new)))
+    for k in range(30):
+        texts = ["same words, don't a|b | É " + " ".join(f"w{x} äb{'xyz'[x % 3]}q" for x in rng.integers(20 * k, 20 * k + 25, 12)) for _ in range(3)]
+        ids, counts = own.encode(pa.array([*texts, None]))
+        want = [[*REF.encode(t, add_special_tokens=False).ids, tf.END] for t in [*texts, ""]]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+        assert len(own.known) <= 40 + 2 * 40 and len(own.ids) == own.size.sum()
+    assert sum("same" in new for new in learnt) == 1 and len(set(own.known.to_pylist())) == len(own.known)
